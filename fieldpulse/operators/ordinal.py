@@ -24,17 +24,14 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_global_ordinal(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
-                        name: str = "ordinal", with_total: bool = False,
-                        num_partitions: int | None = None) -> DataFrame:
-    """Add a 1-based position in ``order_cols`` order (within ``group_cols``).
+def _ranged_blocks(df: DataFrame, keys: list[str], group_cols: list[str], n: int):
+    """Range-partition + sort, pin positions by a checkpoint, and summarise blocks.
 
-    ``order_cols`` should make the order total (add a unique id as the last
-    key) when ties must be numbered deterministically.
+    Returns (rows, blocks): ``rows`` carries ``_pid``/``_pos``; ``blocks`` has one
+    row per (partition, group) with its size ``_n``, first position ``_first``,
+    the number of rows of the group in earlier partitions ``_before`` and the
+    group total ``_total``.
     """
-    group_cols, order_cols = list(group_cols), list(order_cols)
-    keys = group_cols + order_cols
-    n = _partitions(df, num_partitions)
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()))
@@ -42,12 +39,28 @@ def with_global_ordinal(df: DataFrame, order_cols: Sequence[str], group_cols: Se
     blocks = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"),
                                                      F.min("_pos").alias("_first"))
     w = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")
-    blocks = blocks.withColumn(
-        "_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    if with_total:
-        tw = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
-        blocks = blocks.withColumn("_total", F.sum("_n").over(tw))
+    tw = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
+    blocks = (blocks
+              .withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                                F.lit(0)))
+              .withColumn("_total", F.sum("_n").over(tw)))
+    return ranged, blocks
+
+
+def with_global_ordinal(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
+                        name: str = "ordinal", with_total: bool = False,
+                        num_partitions: int | None = None) -> DataFrame:
+    """Add a 1-based position in ``order_cols`` order (within ``group_cols``).
+
+    ``order_cols`` should make the order total (add a unique id as the last
+    key) when ties must be numbered deterministically.  Select only the
+    columns you need first: the checkpoint materialises what it is given.
+    """
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    ranged, blocks = _ranged_blocks(df, group_cols + order_cols, group_cols, _partitions(df, num_partitions))
     blocks = blocks.drop("_n")
+    if not with_total:
+        blocks = blocks.drop("_total")
     if not group_cols:
         # at most one row per range partition: a proven bound
         blocks = F.broadcast(blocks)
@@ -64,13 +77,19 @@ def floor_rank_index(n, q: float = 0.95):
 
 
 def floor_rank_pick(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), q: float = 0.95,
-                    alias: str | None = None) -> DataFrame:
+                    alias: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Per group, the value at sorted index ``max(0, int(q*n)-1)`` (exact, distributed).
 
-    Not ``percentile_disc`` (ceil rank) nor ``percentile`` (interpolated).
+    Not ``percentile_disc`` (ceil rank) nor ``percentile`` (interpolated).  The
+    block table locates the one (partition, position) holding each group's
+    target rank; the rows are then probed with an equi-join on that pair, so
+    the full data is neither re-shuffled nor filtered row by row.
     """
+    group_cols = list(group_cols)
     alias = alias or f"p{int(round(q * 100))}"
     vals = df.select(*group_cols, value_col).where(F.col(value_col).isNotNull())
-    o = with_global_ordinal(vals, [value_col], group_cols, name="_rk", with_total=True)
-    pick = o.where(F.col("_rk") == floor_rank_index(F.col("_rk_total"), q) + F.lit(1))
-    return pick.select(*group_cols, F.col(value_col).alias(alias))
+    ranged, blocks = _ranged_blocks(vals, group_cols + [value_col], group_cols, _partitions(df, num_partitions))
+    k = floor_rank_index(F.col("_total"), q) + F.lit(1)          # 1-based target rank
+    targets = (blocks.where((F.col("_before") < k) & (k <= F.col("_before") + F.col("_n")))
+               .select("_pid", *group_cols, (F.col("_first") + (k - F.col("_before") - F.lit(1))).alias("_pos")))
+    return ranged.join(targets, ["_pid", "_pos", *group_cols]).select(*group_cols, F.col(value_col).alias(alias))

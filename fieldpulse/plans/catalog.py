@@ -339,12 +339,13 @@ def q_counter_snapshot_read(spark, sf):
 
 
 def q_replay_batches(spark, sf):
-    r = RP.replay_batches(A.readings(_ev(spark, sf)), ORDER)
+    r = RP.replay_batches(A.readings(_ev(spark, sf)).select("event_id", "arrival_ts"), ORDER)
     return r.select("event_id", "row_no", "batch_no", "release_offset_s")
 
 
 def q_batch_slice(spark, sf):
-    return RP.batch_slice(A.readings(_ev(spark, sf)), SLICE_SKIP, SLICE_TAKE, ORDER).select("event_id", "row_no")
+    r = A.readings(_ev(spark, sf)).select("event_id", "arrival_ts")
+    return RP.batch_slice(r, SLICE_SKIP, SLICE_TAKE, ORDER).select("event_id", "row_no")
 
 
 def q_offset_table_scan(spark, sf):
