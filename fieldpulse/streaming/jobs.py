@@ -16,10 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fieldpulse.operators import alerts as AL
 from fieldpulse.operators import windows as W
-from fieldpulse.schema import READING_COLUMNS
+from fieldpulse.schema import (
+    INSTANT_ALERT_THRESHOLD, READING_COLUMNS, STORAGE_BATCH_SIZE, WINDOW_ALERT_THRESHOLD, WINDOW_SECONDS,
+)
 from fieldpulse.sources import messages as M
 
+STORAGE_METRICS = "storage_counters"
+
 
 def kafka_messages(spark: SparkSession, bootstrap_servers: str, topic: str,
                    starting_offsets: str = "earliest", max_offsets_per_trigger: int | None = None
@@ -84,6 +89,16 @@ def processed_rows(q: StreamingQuery) -> int:
     return int(sum(p.get("numInputRows", 0) for p in q.recentProgress))
 
 
+def jdbc_batches(url: str, table: str, properties: dict[str, str], batch_size: int = STORAGE_BATCH_SIZE):
+    """``foreachBatch`` writer into a relational readings table (multi-row inserts
+    of ``batch_size``).  Not exercised here: it needs a database server."""
+    def write(batch: DataFrame, batch_id: int) -> None:  # pragma: no cover
+        view = M.storage_view(M.decode(batch)).where("is_valid").select(*READING_COLUMNS)
+        (view.write.mode("append").option("batchsize", str(batch_size))
+         .jdbc(url, table, properties=properties))
+    return write
+
+
 def storage_batches(good_path: str, bad_path: str):
     """``foreachBatch`` writer: valid readings to the table, the rest to quarantine.
 
@@ -91,7 +106,7 @@ def storage_batches(good_path: str, bad_path: str):
     so a retried batch replaces its own output (idempotent, no duplicates).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        view = M.storage_view(M.decode(batch))
+        view = batch if "is_valid" in batch.columns else M.storage_view(M.decode(batch))
         view = view.persist()
         try:
             (view.where("is_valid").select(*READING_COLUMNS)
@@ -103,12 +118,58 @@ def storage_batches(good_path: str, bad_path: str):
     return write
 
 
+def observed_storage(messages: DataFrame) -> DataFrame:
+    """Attach live storage counters (received / stored / errors) to a message stream.
+
+    The values of each micro-batch appear in
+    ``query.lastProgress["observedMetrics"]["storage_counters"]``.
+    """
+    view = M.storage_view(M.decode(messages))
+    return view.observe(
+        STORAGE_METRICS,
+        F.count(F.lit(1)).alias("received"),
+        F.count_if(F.col("is_valid")).alias("stored"),
+        F.count_if(~F.col("is_valid")).alias("errors"))
+
+
+def storage_progress(q: StreamingQuery) -> dict[str, int]:
+    """Counters summed over the query's recent micro-batches."""
+    out = {"received": 0, "stored": 0, "errors": 0}
+    for p in q.recentProgress:
+        m = (p.get("observedMetrics") or {}).get(STORAGE_METRICS) or {}
+        m = m.asDict() if hasattr(m, "asDict") else dict(m)
+        for k in out:
+            out[k] += int(m.get(k) or 0)
+    return out
+
+
 def run_storage(messages: DataFrame, good_path: str, bad_path: str, checkpoint: str,
                 available_now: bool = True) -> StreamingQuery:
-    w = (messages.writeStream.foreachBatch(storage_batches(good_path, bad_path))
+    w = (observed_storage(messages).writeStream.foreachBatch(storage_batches(good_path, bad_path))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     q = w.start()
     if available_now:
         q.awaitTermination()
     return q
+
+
+def analytics_streams(messages: DataFrame, alert_at=None, size: str = f"{WINDOW_SECONDS} seconds",
+                      threshold: float = WINDOW_ALERT_THRESHOLD, instant: bool = False,
+                      instant_threshold: float = INSTANT_ALERT_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The analytics consumer as two streams over one decoded source.
+
+    Returns (window statistics, alert records).  Windows follow the arrival
+    time of each message (watermark 0: on arrival time nothing is late);
+    alert records are the instant alerts when ``instant`` is on, plus one
+    record per window whose mean exceeds ``threshold``.
+    """
+    view = M.analytics_view(M.decode(messages)).where("temperature_ok").select(
+        "arrival_ts", F.col("a_device_id").alias("device_id"), F.col("a_temperature").alias("temperature"),
+        F.col("a_published_at").alias("published_at"))
+    stats = window_stats_stream(view, size, threshold)
+    at = F.current_timestamp().cast("timestamp_ntz") if alert_at is None else alert_at
+    inst = AL.alert_records_instant(AL.instant_alerts(view, instant, instant_threshold if instant else None,
+                                                      alert_at=at))
+    return stats, inst
+
