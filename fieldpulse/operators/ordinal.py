@@ -18,13 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return int(n)
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _ranged_blocks(df: DataFrame, keys: list[str], group_cols: list[str], n: int):
+def _ranged_blocks(df: DataFrame, keys: list[str], group_cols: list[str], n: int | None):
     """Range-partition + sort, pin positions by a checkpoint, and summarise blocks.
 
     Returns (rows, blocks): ``rows`` carries ``_pid``/``_pos``; ``blocks`` has one
@@ -32,7 +26,11 @@ def _ranged_blocks(df: DataFrame, keys: list[str], group_cols: list[str], n: int
     the number of rows of the group in earlier partitions ``_before`` and the
     group total ``_total``.
     """
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Without an explicit count the range exchange starts from
+    # spark.sql.shuffle.partitions and AQE merges small neighbouring ranges;
+    # merged ranges stay in key order, so partition ids still follow it.
+    parted = df.repartitionByRange(int(n), *keys) if n else df.repartitionByRange(*keys)
+    ranged = (parted.sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()))
     ranged = ranged.checkpoint(eager=True)
@@ -57,7 +55,7 @@ def with_global_ordinal(df: DataFrame, order_cols: Sequence[str], group_cols: Se
     columns you need first: the checkpoint materialises what it is given.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
-    ranged, blocks = _ranged_blocks(df, group_cols + order_cols, group_cols, _partitions(df, num_partitions))
+    ranged, blocks = _ranged_blocks(df, group_cols + order_cols, group_cols, num_partitions)
     blocks = blocks.drop("_n")
     if not with_total:
         blocks = blocks.drop("_total")
@@ -88,7 +86,7 @@ def floor_rank_pick(df: DataFrame, value_col: str, group_cols: Sequence[str] = (
     group_cols = list(group_cols)
     alias = alias or f"p{int(round(q * 100))}"
     vals = df.select(*group_cols, value_col).where(F.col(value_col).isNotNull())
-    ranged, blocks = _ranged_blocks(vals, group_cols + [value_col], group_cols, _partitions(df, num_partitions))
+    ranged, blocks = _ranged_blocks(vals, group_cols + [value_col], group_cols, num_partitions)
     k = floor_rank_index(F.col("_total"), q) + F.lit(1)          # 1-based target rank
     targets = (blocks.where((F.col("_before") < k) & (k <= F.col("_before") + F.col("_n")))
                .select("_pid", *group_cols, (F.col("_first") + (k - F.col("_before") - F.lit(1))).alias("_pos")))

@@ -183,6 +183,11 @@ def q_p95_floor_rank(spark, sf):
     return L.p95_floor_rank(_latencies(spark, sf), "latency_ms", ["run"])
 
 
+def q_sort_values(spark, sf):
+    """Full ascending sort of the latency list: each value with its 1-based position."""
+    return with_global_ordinal(_latencies(spark, sf).select("latency_ms"), ["latency_ms"], name="position")
+
+
 def q_latency_summary(spark, sf):
     return L.latency_summary(_latencies(spark, sf), "latency_ms", ["run"])
 
@@ -525,6 +530,7 @@ QUERIES: dict[str, Query] = {
     "peak_backlog": q_peak_backlog,
     # ordered computations
     "p95_floor_rank": q_p95_floor_rank,
+    "sort_values": q_sort_values,
     "drain_stable": q_drain_stable,
     "recovery_streak": q_recovery_streak,
     "first_recovery": q_first_recovery,

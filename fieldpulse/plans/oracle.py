@@ -262,6 +262,7 @@ ORACLE: dict[str, str] = {
                      f"AS BIGINT) AS peak_backlog FROM ({HOURLY}) GROUP BY run"),
     # ------------------------------------------------------------ ordered computations
     "p95_floor_rank": P95,
+    "sort_values": f"SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) AS position FROM ({LATENCIES})",
     "drain_stable": (
         "WITH i AS (SELECT run, sample_ts, value, row_number() OVER w - 1 AS idx, "
         "CASE WHEN value = lag(value) OVER w THEN 0 ELSE 1 END AS chg "

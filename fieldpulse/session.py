@@ -62,6 +62,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def local_path(path: str) -> str:
+    """A ``file:`` URI as a plain path, for driver-side file calls (local runs only)."""
+    if path.startswith("file://"):
+        return path[len("file://"):]
+    if path.startswith("file:"):
+        return path[len("file:"):]
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     base = checkpoint_dir(spark).rstrip("/")
