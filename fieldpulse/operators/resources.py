@@ -55,11 +55,17 @@ def resource_by_container(samples: DataFrame, services: Sequence[str] = BENCHMAR
     return p.groupBy("container").agg(*aggs).select("container", *REPORT_FIELDS)
 
 
-def pair_format(report: DataFrame, prefix: str) -> DataFrame:
-    """``avg/peak`` text of one metric per container (``N/A`` for a missing side)."""
+def pair_format(report: DataFrame, prefixes: str | Sequence[str]) -> DataFrame:
+    """``avg/peak`` text per container for each metric prefix (``N/A`` for a missing side).
+
+    One projection over the report, one ``<prefix>_pair`` column per prefix.
+    """
+    prefixes = [prefixes] if isinstance(prefixes, str) else list(prefixes)
+
     def side(c: str) -> Column:
         return F.coalesce(py_repr2(F.col(c)), F.lit("N/A")) if c in report.columns else F.lit("N/A")
-    return report.select("container", F.concat_ws("/", side(f"avg_{prefix}"), side(f"peak_{prefix}")).alias(f"{prefix}_pair"))
+    return report.select("container", *[F.concat_ws("/", side(f"avg_{p}"), side(f"peak_{p}")).alias(f"{p}_pair")
+                                        for p in prefixes])
 
 
 def report_field_lookup(report: DataFrame, containers: DataFrame, field: str) -> DataFrame:

@@ -146,6 +146,14 @@ def q_stored_count(spark, sf):
     return C.stored_count(_storage(spark, sf).where("is_valid"))
 
 
+def q_received_vs_parsed(spark, sf):
+    """Storage counts a message before parsing; analytics after the JSON parse."""
+    msgs = A.messages(_ev(spark, sf))
+    v = M.analytics_view(M.decode(msgs))
+    return v.agg(F.count(F.lit(1)).alias("storage_received"), F.count_if("is_json").alias("analytics_received"),
+                 F.count_if("temperature_ok").alias("analytics_windowed"))
+
+
 def q_progress_every_n(spark, sf):
     msgs = A.messages(_ev(spark, sf)).select("event_id", "arrival_ts")
     return C.progress_every_n(msgs, ORDER).select("event_id", "received_so_far")
@@ -277,9 +285,7 @@ def q_resource_by_container(spark, sf):
 
 
 def q_pair_format(spark, sf):
-    rep = _report(spark, sf)
-    return (RS.pair_format(rep, "cpu").join(RS.pair_format(rep, "ram_mb"), "container")
-            .join(RS.pair_format(rep, "net_mb"), "container"))
+    return RS.pair_format(_report(spark, sf), ["cpu", "ram_mb", "net_mb"])
 
 
 def q_report_field_lookup(spark, sf):
@@ -540,4 +546,5 @@ QUERIES: dict[str, Query] = {
     "tumbling_arrival_window": q_tumbling_arrival_window,
     "instant_alert_stream": q_instant_alert_stream,
     "window_alert_stream": q_window_alert_stream,
+    "received_vs_parsed": q_received_vs_parsed,
 }

@@ -294,4 +294,6 @@ ORACLE: dict[str, str] = {
     "tumbling_arrival_window": f"SELECT * FROM ({a1('1 hour')}) WHERE window_end <= (SELECT max(ts) FROM events)",
     "instant_alert_stream": INSTANT_RECORDS,
     "window_alert_stream": window_records("1 hour", 3600, closed_only=True),
+    "received_vs_parsed": (f"SELECT count(*) AS storage_received, count(*) FILTER (WHERE {GOOD}) AS analytics_received, "
+                           f"count(*) FILTER (WHERE {GOOD} AND {FINITE}) AS analytics_windowed FROM events"),
 }

@@ -64,8 +64,15 @@ def with_event_clock(readings: DataFrame, time_col: str = "arrival_ts", delay: s
     return readings.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay)
 
 
-def window_stats_stream(readings: DataFrame, size: str, threshold: float, delay: str = "0 seconds") -> DataFrame:
-    stats = W.window_global_stats(with_event_clock(readings, delay=delay), size, threshold)
+def window_stats_stream(readings: DataFrame, size: str, threshold: float, delay: str = "0 seconds",
+                        time_col: str = "arrival_ts") -> DataFrame:
+    """Windowed statistics in ``append`` mode.
+
+    ``time_col`` is the arrival time by default (nothing is late).  With an
+    event-time column and a ``delay``, rows older than the watermark are
+    dropped as late data.
+    """
+    stats = W.window_global_stats(with_event_clock(readings, time_col, delay), size, threshold, time_col=time_col)
     return stats.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
                 .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 

@@ -86,3 +86,43 @@ def test_analytics_streams(spark, scratch):
     assert got.where("e2e_latency_ms IS NULL").count() == 0
     # arrival = ingest time: the whole file arrives in one window, closed only by later data
     assert spark.read.parquet(os.path.join(scratch, "stats")).count() >= 0
+
+
+def _stream_rows(spark, folder, batches):
+    """Write each batch as its own file (one micro-batch each with maxFilesPerTrigger=1)."""
+    import time as _t
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "t string, device_id string, temperature double")
+        df.coalesce(1).write.json(os.path.join(folder, f"b{i}"))
+        _t.sleep(1.1)      # distinct modification times keep the file order
+
+
+def _json_stream(spark, folder):
+    r = (spark.readStream.schema("t string, device_id string, temperature double")
+         .option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(folder))
+    return r.select(F.col("t").cast("timestamp").alias("event_ts"), "device_id", "temperature")
+
+
+def test_event_time_late_rows_dropped_and_empty_windows(spark, scratch):
+    # A row is late when its window was already closed by the previous batch's
+    # watermark; such rows are dropped and never reopen an emitted window.
+    src = os.path.join(scratch, "ev")
+    _stream_rows(spark, src, [
+        [("2024-01-01 00:00:01", "a", 10.0), ("2024-01-01 00:00:12", "a", 20.0)],
+        [("2024-01-01 00:00:45", "a", 30.0)],                     # watermark 00:00:40 after this batch
+        [("2024-01-01 00:00:55", "a", 40.0)],                     # [0,10) and [10,20) are emitted here
+        [("2024-01-01 00:00:03", "b", 99.0), ("2024-01-01 00:01:30", "a", 50.0)],   # 00:00:03 is late
+    ])
+    stats = S.window_stats_stream(_json_stream(spark, src), "10 seconds", 50.0, delay="5 seconds", time_col="event_ts")
+    out, ck = os.path.join(scratch, "out"), os.path.join(scratch, "ck")
+    q = S.run_to_parquet(stats, out, ck, mode="append")
+    rows = spark.read.parquet(out).collect()
+    got = {str(r.window_start): r for r in rows}
+    assert len(rows) == len(got)                             # every window emitted once
+    assert got["2024-01-01 00:00:00"]["count"] == 1          # the late 99.0 never joined the window
+    assert got["2024-01-01 00:00:00"].max_temperature == 10.0
+    assert "2024-01-01 00:00:20" not in got                  # empty windows are not emitted
+    assert set(got) == {"2024-01-01 00:00:00", "2024-01-01 00:00:10", "2024-01-01 00:00:40",
+                        "2024-01-01 00:00:50"}               # [01:30,01:40) stays open (append)
+    dropped = sum(s.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for s in p["stateOperators"])
+    assert dropped == 1
