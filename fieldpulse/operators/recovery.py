@@ -1,18 +1,20 @@
 """Harness analytics over sampled series: lag, backlog, drain and recovery.
 
-Samples are small, pre-aggregated series (one row per run and sampling
-instant), so the window functions here sort one run's samples at a time;
-their size grows with the sampled time span, not with the message volume.
+Samples are pre-aggregated series (one row per run and sampling instant).
+The ordered rules (drain, recovery streak) are fixed-size frames over each
+run's sequence; they are evaluated with distributed positions and a hash
+aggregate per frame, so no task has to hold a whole run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldpulse.functions.numeric import clamped_backlog, loss_pct, loss_pct_text
+from fieldpulse.operators.ordinal import with_global_ordinal
 
 
 def group_lag(offsets: DataFrame) -> DataFrame:
@@ -28,45 +30,59 @@ def group_lag(offsets: DataFrame) -> DataFrame:
                     F.coalesce("_lag", F.lit(0)).cast("long").alias("lag"))
 
 
-def _indexed(samples: DataFrame, group_cols: Sequence[str], ts_col: str):
-    w = Window.partitionBy(*group_cols).orderBy(ts_col)
-    return samples.withColumn("idx", (F.row_number().over(w) - 1).cast("long")), w
+def _frames(samples: DataFrame, group_cols: list[str], ts_col: str, width: int) -> DataFrame:
+    """Every sample sent to each of the ``width`` frames it belongs to.
+
+    Samples get a 0-based position per group from the distributed ordinal
+    (no single-task window, even for a group holding most samples); a
+    sample at position p joins the frames ending at p, p+1, ..., p+width-1.
+    Grouping by (group, frame end) is then an ordinary hash aggregate.
+    """
+    o = with_global_ordinal(samples, [ts_col], group_cols, name="_seq")
+    shifts = F.array(*[F.lit(k) for k in range(int(width))])
+    return o.select("*", F.explode(shifts).alias("_k")).select(
+        *group_cols, (F.col("_seq") - 1 + F.col("_k")).alias("frame_end"), "_k",
+        *[c for c in samples.columns if c not in group_cols])
 
 
 def drain_stable(samples: DataFrame, group_cols: Sequence[str] = ("run",), ts_col: str = "sample_ts",
                  value_col: str = "value", stable_needed: int = 3) -> DataFrame:
     """First sample equal to its predecessor ``stable_needed`` times in a row.
 
-    Gaps-and-islands: a change starts a new island; the position inside the
-    island counts the repeats.  ``drained_index`` is null when it never happens.
+    That is the first index i whose frame of ``stable_needed + 1`` samples
+    ending at i holds one value; ``drained_index`` is null when it never happens.
     """
     group_cols = list(group_cols)
-    s, w = _indexed(samples, group_cols, ts_col)
-    changed = F.coalesce(F.col(value_col) != F.lag(value_col).over(w), F.lit(True))
-    s = s.withColumn("_island", F.sum(changed.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wi = Window.partitionBy(*group_cols, "_island").orderBy(ts_col)
-    s = s.withColumn("_repeats", F.row_number().over(wi) - 1)
-    hit = F.col("_repeats") >= F.lit(int(stable_needed))
-    first = F.min_by(F.struct(F.col("idx"), F.col(value_col).alias("v")), F.when(hit, F.col("idx")))
-    g = s.groupBy(*group_cols).agg(first.alias("_d"))
-    return g.select(*group_cols, F.col("_d.idx").alias("drained_index"), F.col("_d.v").alias("drained_value"))
+    width = int(stable_needed) + 1
+    f = _frames(samples.select(*group_cols, ts_col, value_col), group_cols, ts_col, width)
+    v = F.col(value_col)
+    frames = f.groupBy(*group_cols, "frame_end").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"),
+        F.max(F.when(F.col("_k") == 0, v)).alias("_last"))
+    hit = (F.col("_n") == width) & (F.col("_lo") == F.col("_hi"))
+    first = F.min_by(F.struct(F.col("frame_end").alias("idx"), F.col("_last").alias("v")),
+                     F.when(hit, F.col("frame_end")))
+    g = samples.select(*group_cols).distinct().join(
+        frames.groupBy(*group_cols).agg(first.alias("_d")), group_cols, "left")
+    return g.select(*group_cols, F.col("_d.idx").cast("long").alias("drained_index"),
+                    F.col("_d.v").alias("drained_value"))
 
 
 def recovery_streak(samples: DataFrame, group_cols: Sequence[str] = ("run",), ts_col: str = "sample_ts",
                     value_col: str = "value", limit: int = 5, needed: int = 10, horizon: int = 180) -> DataFrame:
     """First sample at which ``value <= limit`` has held ``needed`` samples in a row.
 
-    ``recovery_s`` is index + 1 when reached within ``horizon`` samples,
-    otherwise ``"<horizon>+"``; ``recovery_index`` is the raw index (null if never).
+    That is the first index whose frame of ``needed`` samples is all within
+    the limit.  ``recovery_s`` is index + 1 when reached within ``horizon``
+    samples, otherwise ``"<horizon>+"``; ``recovery_index`` is the raw index.
     """
     group_cols = list(group_cols)
-    s, w = _indexed(samples, group_cols, ts_col)
-    ok = F.col(value_col) <= F.lit(limit)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_brk", F.sum((~ok).cast("int")).over(running))
-    wi = Window.partitionBy(*group_cols, "_brk").orderBy(ts_col).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_streak", F.sum(ok.cast("int")).over(wi))
-    g = s.groupBy(*group_cols).agg(F.min(F.when(F.col("_streak") >= F.lit(needed), F.col("idx"))).alias("recovery_index"))
+    f = _frames(samples.select(*group_cols, ts_col, value_col), group_cols, ts_col, int(needed))
+    frames = f.groupBy(*group_cols, "frame_end").agg(
+        F.count_if(F.col(value_col) <= F.lit(limit)).alias("_ok"))
+    firsts = frames.groupBy(*group_cols).agg(
+        F.min(F.when(F.col("_ok") == F.lit(int(needed)), F.col("frame_end"))).cast("long").alias("recovery_index"))
+    g = samples.select(*group_cols).distinct().join(firsts, group_cols, "left")
     text = F.when(F.col("recovery_index") < F.lit(horizon), (F.col("recovery_index") + 1).cast("string")) \
         .otherwise(F.lit(f"{horizon}+"))
     return g.select(*group_cols, "recovery_index", text.alias("recovery_s"))

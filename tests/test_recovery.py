@@ -68,3 +68,41 @@ def test_snapshots(spark):
     o = R.outage_messages(snap, ["run"]).first()
     assert (o.db_delta, o.metrics_delta, o.messages_during) == (2, 3, 3)
     assert R.received_max(snap, ["run"]).first().received == 3
+
+
+def _loop_drain(values, needed=3):
+    stable, last = 0, -1
+    for i, c in enumerate(values):
+        if c == last:
+            stable += 1
+            if stable >= needed:
+                return i
+        else:
+            stable, last = 0, c
+    return None
+
+
+def _loop_streak(values, limit=5, needed=10):
+    stable = 0
+    for i, q in enumerate(values):
+        if q <= limit:
+            stable += 1
+            if stable >= needed:
+                return i
+        else:
+            stable = 0
+    return None
+
+
+def test_frames_match_sequential_loops_with_a_hot_run(spark):
+    import random
+    rnd = random.Random(11)
+    series = {"hot": [rnd.choice([1, 1, 2, 6, 7]) for _ in range(3000)]}
+    for r in range(12):
+        series[f"r{r}"] = [rnd.choice([2, 2, 3, 9]) for _ in range(rnd.randint(1, 150))]
+    rows = [(run, i, v) for run, vals in series.items() for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "run string, sample_ts long, value long").repartition(4)
+    drains = {r.run: r.drained_index for r in R.drain_stable(df).collect()}
+    streaks = {r.run: r.recovery_index for r in R.recovery_streak(df, limit=5, needed=10).collect()}
+    assert drains == {run: _loop_drain(v) for run, v in series.items()}
+    assert streaks == {run: _loop_streak(v) for run, v in series.items()}
