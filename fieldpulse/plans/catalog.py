@@ -407,7 +407,7 @@ def _run_storage_stream(spark, sf):
     src = S.parquet_stream(spark, sf, A.events(spark, sf).schema, file_glob="events.parquet")
     msgs = A.messages(src)
     good, bad, ck = (scratch_path(spark, n) for n in ("stored", "quarantine", "storage-ckpt"))
-    q = S.run_storage(msgs, good, bad, ck)
+    q = S.run_storage(msgs, good, bad, ck, decode_parallelism=spark.sparkContext.defaultParallelism)
     return q, good, bad
 
 

@@ -62,6 +62,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def spread(df, *keys: str):
+    """Raise a small batch input to the cluster's parallelism before CPU-heavy work.
+
+    A table stored as one row group scans as one task, and every per-message
+    JSON encode/decode would then run on one core.  When the input already
+    has at least ``defaultParallelism`` partitions (any large input) the frame
+    is returned unchanged: no shuffle is added at scale.  The hash keys keep
+    the repartition deterministic on retry.
+    """
+    if df.isStreaming:
+        return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
 def local_path(path: str) -> str:
     """A ``file:`` URI as a plain path, for driver-side file calls (local runs only)."""
     if path.startswith("file://"):

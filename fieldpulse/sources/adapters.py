@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldpulse.functions.timefmt import add_millis
+from fieldpulse.session import spread
 
 # Fixed adapter rules (see FIXTURES.md §2).
 BAD_EVERY = 97                      # a message is malformed when event_id % 97 = 0
@@ -67,7 +68,7 @@ def messages(ev: DataFrame) -> DataFrame:
     A reading becomes a JSON object; every 97th message is corrupted on the
     wire (its text is cut inside the object), so parsers must set it aside.
     """
-    r = timed_readings(ev)
+    r = timed_readings(spread(ev, "event_id"))
     body = F.to_json(F.struct(
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
         F.col("device_id"),

@@ -151,7 +151,15 @@ def storage_progress(q: StreamingQuery) -> dict[str, int]:
 
 
 def run_storage(messages: DataFrame, good_path: str, bad_path: str, checkpoint: str,
-                available_now: bool = True) -> StreamingQuery:
+                available_now: bool = True, decode_parallelism: int | None = None) -> StreamingQuery:
+    """Storage consumer: decode, check, write valid rows and quarantine.
+
+    ``decode_parallelism`` spreads each micro-batch over that many tasks
+    before decoding, for sources with fewer partitions than cores (a topic
+    with one partition); leave it unset when the source is already wide.
+    """
+    if decode_parallelism:
+        messages = messages.repartition(int(decode_parallelism))
     w = (observed_storage(messages).writeStream.foreachBatch(storage_batches(good_path, bad_path))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
