@@ -188,3 +188,22 @@ def analytics_streams(messages: DataFrame, alert_at=None, size: str = f"{WINDOW_
                                                       alert_at=at))
     return stats, inst
 
+
+
+def analytics_counter_stream(messages: DataFrame, instant: bool = True,
+                             instant_threshold: float = INSTANT_ALERT_THRESHOLD) -> DataFrame:
+    """Live analytics counters as a streaming aggregation (``complete``/``update`` mode).
+
+    The state is one partial aggregate (counts and the ``max_by`` candidate),
+    not the messages.  Alert time and arrival are the micro-batch clock.
+    """
+    from fieldpulse.functions.parsing import parse_published_at
+    from fieldpulse.functions.timefmt import e2e_latency_ms, latency_default
+    from fieldpulse.operators.counters import analytics_counters
+
+    v = M.analytics_view(M.decode(messages))
+    at = F.col("arrival_ts").cast("timestamp_ntz")
+    alert = F.col("temperature_ok") & AL.instant_alert_flag(F.col("a_temperature"), instant, instant_threshold)
+    lat = latency_default(e2e_latency_ms(parse_published_at(F.col("a_published_at")), at))
+    v = v.select("*", alert.alias("is_alert"), at.alias("alert_at_ts"), lat.alias("e2e_latency_ms"))
+    return analytics_counters(v, "is_alert", ["arrival_ts"])

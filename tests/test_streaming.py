@@ -126,3 +126,20 @@ def test_event_time_late_rows_dropped_and_empty_windows(spark, scratch):
                         "2024-01-01 00:00:50"}               # [01:30,01:40) stays open (append)
     dropped = sum(s.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for s in p["stateOperators"])
     assert dropped == 1
+
+
+def test_analytics_counter_stream(spark, scratch):
+    ev = A.events(spark, SF)
+    src = os.path.join(scratch, "msgs")
+    A.messages(ev).select("value").repartition(3).write.text(src)
+    agg = S.analytics_counter_stream(S.file_messages(spark, src, max_files_per_trigger=1))
+    seen = []
+    q = (agg.writeStream.outputMode("complete").foreachBatch(lambda b, i: seen.append(b.collect()))
+         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    last = seen[-1][0]
+    good = ev.where(F.col("event_id") % 97 != 0)
+    assert len(seen) == 3
+    assert last.received == good.count()
+    assert last.alerts_triggered == good.where("value > 40").count()
+    assert last.last_published_at is not None and last.last_e2e_latency_ms > 0
