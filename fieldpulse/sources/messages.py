@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldpulse.functions.numeric import safe_gt  # noqa: F401  (re-export convenience)
 from fieldpulse.functions.parsing import parse_published_at
 from fieldpulse.schema import (
     LENGTH_LIMITS, MESSAGE_FIELDS, NOT_NULL_COLUMNS, READING_FIELDS,
