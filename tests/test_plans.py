@@ -1,6 +1,8 @@
 """Physical-plan properties: pruning and pushdown reach the scan, aggregates
 combine map-side, and no registered query leaves the JVM for Python."""
 
+import contextlib
+import io
 import re
 
 import __spark_entry__ as E
@@ -11,7 +13,10 @@ PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapI
 
 
 def _plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
 
 
 def test_window_stats_scan_is_pruned_and_filtered(spark):
