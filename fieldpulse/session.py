@@ -25,6 +25,9 @@ def build_session(master: str | None = None, app: str = "fieldpulse",
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
          .config("spark.driver.memory", "8g")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # streaming window state off the JVM heap, snapshotted with the checkpoint
+         .config("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
          # checkpoints written to cut lineage are deleted once nothing refers to them
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in (extra or {}).items():
