@@ -64,3 +64,31 @@ def test_latency_match(spark):
     got = {r.run: r for r in L.latency_match(alerts, sent, ["run"], ["o"]).collect()}
     assert got["r"].matched and got["r"].accepted_latency_ms == 10.0
     assert not got["s"].matched and got["s"].accepted_latency_ms is None
+
+
+def test_ordinal_under_aqe_coalescing(spark):
+    # many tiny range partitions that AQE merges into a few uneven ones
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2kb",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        rnd = random.Random(5)
+        rows = [(i, rnd.randint(0, 9), float(rnd.randint(0, 300))) for i in range(5000)]
+        df = spark.createDataFrame(rows, "id long, g long, v double").repartition(7)
+        o = with_global_ordinal(df, ["v", "id"], ["g"], name="rn")
+        got = {r.id: r.rn for r in o.collect()}
+        expect = {}
+        for g in range(10):
+            members = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
+            expect.update({r[0]: i + 1 for i, r in enumerate(members)})
+        assert got == expect
+        p = {r.g: r.p95 for r in floor_rank_pick(df, "v", ["g"], alias="p95").collect()}
+        assert p == {g: _brute_p95([r[2] for r in rows if r[1] == g]) for g in range(10)}
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
