@@ -148,8 +148,15 @@ ORACLE: dict[str, str] = {
     "latency_scan": f"SELECT latency_ms FROM ({LATENCIES})",
     "offset_table_scan": f"SELECT partition, current_offset, log_end_offset, lag FROM ({OFFSETS})",
     "stored_count": f"SELECT count(*) AS stored_count FROM events WHERE {GOOD}",
-    "counter_snapshot_read": ("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0) "
-                              "AS k, coalesce(json_extract_string(props, '$.missing'), '') AS missing FROM events"),
+    "counter_snapshot_read": ("SELECT event_id, coalesce(CAST(CASE json_type(props, '$.k') "
+                              "WHEN 'UBIGINT' THEN TRY_CAST(json_extract(props, '$.k') AS BIGINT) "
+                              "WHEN 'BIGINT' THEN TRY_CAST(json_extract(props, '$.k') AS BIGINT) "
+                              "WHEN 'DOUBLE' THEN TRY_CAST(trunc(CAST(json_extract(props, '$.k') AS DOUBLE)) AS BIGINT) "
+                              "WHEN 'BOOLEAN' THEN CASE WHEN json_extract_string(props, '$.k') = 'true' THEN 1 ELSE 0 END "
+                              "WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match(trim(json_extract_string(props, '$.k')), "
+                              "'[+-]?[0-9]+') THEN TRY_CAST(trim(json_extract_string(props, '$.k')) AS BIGINT) END "
+                              "END AS BIGINT), 0) AS k, coalesce(json_extract_string(props, '$.missing'), '') AS missing "
+                              "FROM events"),
     # ------------------------------------------------------------ sinks
     "publish_json": ("SELECT CAST(event_id AS VARCHAR) AS key, "
                      "to_json(struct_pack(timestamp := strftime(ts, '%Y-%m-%d %H:%M:%S'), "

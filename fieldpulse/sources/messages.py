@@ -113,14 +113,27 @@ def not_null_and_length_flags(df: DataFrame) -> DataFrame:
 
 
 def counter_field(doc, field: str, missing_as_empty: bool = False) -> Column:
-    """One integer field of a JSON document: 0 when absent or unparsable.
+    """One integer field of a JSON counter document, as ``int(value)`` reads it.
 
-    ``missing_as_empty`` gives the text variant (``""`` when absent).
+    A JSON number is truncated toward zero, a boolean counts 0/1, a string
+    counts only when it is an integer literal; anything else (absent, null,
+    other text, unparsable document) gives 0.  Typed ``from_json`` fields
+    tell numbers and booleans from quoted text, which ``get_json_object``
+    cannot.  ``missing_as_empty`` gives the text variant (``""`` when absent).
     """
-    raw = F.get_json_object(doc if isinstance(doc, Column) else F.col(doc), f"$.{field}")
+    d = doc if isinstance(doc, Column) else F.col(doc)
+    raw = F.get_json_object(d, f"$.{field}")
     if missing_as_empty:
         return F.coalesce(raw, F.lit(""))
-    return F.coalesce(raw.try_cast("int"), F.lit(0))
+    quoted = f"`{field}`"
+    number = F.from_json(d, f"{quoted} double")[field]
+    flag = F.from_json(d, f"{quoted} boolean")[field]
+    text = F.trim(raw)
+    return F.coalesce(
+        number.try_cast("long"),
+        F.when(flag.isNotNull(), flag.cast("long")),
+        F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("long")),
+        F.lit(0).cast("long"))
 
 
 def published_instant(col_name: str = "a_published_at") -> Column:

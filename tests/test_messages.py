@@ -62,8 +62,11 @@ def test_projection_types(spark):
 
 
 def test_counter_field(spark):
-    df = spark.createDataFrame([('{"stored": 12}',), ('{"stored": "x"}',), ("{}",), ("garbage",)], "j string")
+    docs = ['{"stored": 12}', '{"stored": "x"}', "{}", "garbage", '{"stored": 12.7}', '{"stored": -3.9}',
+            '{"stored": "12"}', '{"stored": "12.5"}', '{"stored": true}', '{"stored": null}', '{"stored": NaN}']
+    df = spark.createDataFrame([(d,) for d in docs], "j string")
     got = [r[0] for r in df.select(M.counter_field("j", "stored")).collect()]
-    assert got == [12, 0, 0, 0]
+    assert got == [12, 0, 0, 0, 12, -3, 12, 0, 1, 0, 0]
+    df = spark.createDataFrame([(d,) for d in docs[:4]], "j string")
     got = [r[0] for r in df.select(M.counter_field("j", "stored", missing_as_empty=True)).collect()]
     assert got == ["12", "x", "", ""]
