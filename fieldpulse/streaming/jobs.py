@@ -175,9 +175,9 @@ def analytics_streams(messages: DataFrame, alert_at=None, size: str = f"{WINDOW_
     """The analytics consumer as two streams over one decoded source.
 
     Returns (window statistics, alert records).  Windows follow the arrival
-    time of each message (watermark 0: on arrival time nothing is late);
-    alert records are the instant alerts when ``instant`` is on, plus one
-    record per window whose mean exceeds ``threshold``.
+    time of each message (watermark 0: on arrival time nothing is late).
+    Alert records hold the instant alerts when ``instant`` is on, and one
+    record per closed window whose mean exceeds ``threshold``.
     """
     view = M.analytics_view(M.decode(messages)).where("temperature_ok").select(
         "arrival_ts", F.col("a_device_id").alias("device_id"), F.col("a_temperature").alias("temperature"),
@@ -186,9 +186,16 @@ def analytics_streams(messages: DataFrame, alert_at=None, size: str = f"{WINDOW_
     at = F.current_timestamp().cast("timestamp_ntz") if alert_at is None else alert_at
     inst = AL.alert_records_instant(AL.instant_alerts(view, instant, instant_threshold if instant else None,
                                                       alert_at=at))
-    return stats, inst
+    seconds = _interval_seconds(size)
+    win = AL.alert_records_window(W.window_alerts(stats), seconds)
+    return stats, AL.alert_sink(inst, win)
 
 
+def _interval_seconds(size: str) -> int:
+    n, unit = size.split()[:2]
+    per = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+    return int(float(n) * per[unit.rstrip("s").lower()])
+
 
 def analytics_counter_stream(messages: DataFrame, instant: bool = True,
                              instant_threshold: float = INSTANT_ALERT_THRESHOLD) -> DataFrame:

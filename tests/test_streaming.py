@@ -143,3 +143,20 @@ def test_analytics_counter_stream(spark, scratch):
     assert last.received == good.count()
     assert last.alerts_triggered == good.where("value > 40").count()
     assert last.last_published_at is not None and last.last_e2e_latency_ms > 0
+
+
+def test_analytics_streams_window_alert_records(spark, scratch):
+    ev = A.events(spark, SF)
+    src = S.parquet_stream(spark, SF, ev.schema, file_glob="events.parquet")
+    stats, alerts = S.analytics_streams(A.messages(src), alert_at=F.col("arrival_ts"), size="1 hour",
+                                        threshold=50.0, instant=False)
+    S.run_to_parquet(alerts, os.path.join(scratch, "alerts"), os.path.join(scratch, "ck"))
+    got = spark.read.parquet(os.path.join(scratch, "alerts"))
+    assert got.where("kind = 'instant'").count() == 0            # instant alerts are off
+    good = A.readings(ev.where(F.col("event_id") % 97 != 0))
+    batch = W.window_global_stats(good, "1 hour", 50.0)
+    max_ts = ev.agg(F.max("ts")).first()[0]
+    expect = batch.where("alert_triggered").where(F.col("window_end") <= F.lit(max_ts)).count()
+    win = got.where("kind = 'window'")
+    assert expect > 0 and win.count() == expect
+    assert win.where("window_size_s = 3600 AND temperature > 50").count() == expect
