@@ -65,14 +65,16 @@ def with_event_clock(readings: DataFrame, time_col: str = "arrival_ts", delay: s
 
 
 def window_stats_stream(readings: DataFrame, size: str, threshold: float, delay: str = "0 seconds",
-                        time_col: str = "arrival_ts") -> DataFrame:
+                        time_col: str = "arrival_ts", start: str | None = None) -> DataFrame:
     """Windowed statistics in ``append`` mode.
 
     ``time_col`` is the arrival time by default (nothing is late).  With an
     event-time column and a ``delay``, rows older than the watermark are
-    dropped as late data.
+    dropped as late data.  ``start`` shifts the window grid (windows are
+    epoch-aligned by default).
     """
-    stats = W.window_global_stats(with_event_clock(readings, time_col, delay), size, threshold, time_col=time_col)
+    stats = W.window_global_stats(with_event_clock(readings, time_col, delay), size, threshold, time_col=time_col,
+                                  start=start)
     return stats.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
                 .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 

@@ -56,3 +56,10 @@ def test_latest_window(spark):
     assert len(last) == 1 and str(last[0].window_start) == "2024-01-01 00:00:30" and last[0].avg_temperature == 15.0
     empty = W.latest_window(W.window_global_stats(r.where("1 = 0"), "10 seconds")).collect()
     assert empty == []
+
+
+def test_window_start_offset(spark):
+    rows = [("2024-01-01 00:00:03", "a", 1.0), ("2024-01-01 00:00:07", "a", 2.0)]
+    s = W.window_global_stats(_readings(spark, rows), "10 seconds", 50.0, start="5 seconds").orderBy("window_start")
+    got = [(str(r.window_start), r["count"]) for r in s.collect()]
+    assert got == [("2023-12-31 23:59:55", 1), ("2024-01-01 00:00:05", 1)]
