@@ -74,15 +74,15 @@ def cmd_storage(spark, a) -> int:
 
 def cmd_analytics(spark, a) -> int:
     msgs = S.file_messages(spark, a.source_dir, max_files_per_trigger=a.max_files_per_trigger)
-    stats, alerts = S.analytics_streams(msgs, size=f"{a.window_seconds} seconds", threshold=a.threshold,
-                                        instant=a.instant, instant_threshold=a.instant_threshold)
+    stats, instant, window = S.analytics_streams(msgs, size=f"{a.window_seconds} seconds", threshold=a.threshold,
+                                                 instant=a.instant, instant_threshold=a.instant_threshold)
     base = a.checkpoint or scratch_path(spark, "analytics-checkpoint")
     out = a.out_dir.rstrip("/")
-    q1 = S.run_to_parquet(stats, f"{out}/window_stats", f"{base}/windows", available_now=not a.continuous)
-    q2 = S.run_to_parquet(alerts, f"{out}/alerts", f"{base}/alerts", available_now=not a.continuous)
+    queries = [S.run_to_parquet(df, f"{out}/{name}", f"{base}/{name}", available_now=not a.continuous)
+               for name, df in (("window_stats", stats), ("instant_alerts", instant), ("window_alerts", window))]
     if a.continuous:  # pragma: no cover - runs until stopped
-        q1.awaitTermination()
-        q2.awaitTermination()
+        for q in queries:
+            q.awaitTermination()
     return 0
 
 

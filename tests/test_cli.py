@@ -51,4 +51,5 @@ def test_replay_storage_analytics(spark, scratch, capsys):
     out = os.path.join(scratch, "analytics")
     assert cli.main(["analytics", msgs, out, "--instant", "--checkpoint", os.path.join(scratch, "ck2")],
                     spark=spark) == 0
-    assert spark.read.parquet(os.path.join(out, "alerts")).count() == ev.where("value > 40").count()
+    assert spark.read.parquet(os.path.join(out, "instant_alerts")).count() == ev.where("value > 40").count()
+    assert spark.read.parquet(os.path.join(out, "window_stats")).count() >= 0

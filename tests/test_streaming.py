@@ -76,8 +76,8 @@ def test_analytics_streams(spark, scratch):
     ev = A.events(spark, SF)
     src = os.path.join(scratch, "msgs")
     A.messages(ev).select("value").write.text(src)
-    stats, alerts = S.analytics_streams(S.file_messages(spark, src), size="1 hour", threshold=50.0,
-                                        instant=True, instant_threshold=40.0)
+    stats, alerts, _ = S.analytics_streams(S.file_messages(spark, src), size="1 hour", threshold=50.0,
+                                           instant=True, instant_threshold=40.0)
     S.run_to_parquet(alerts, os.path.join(scratch, "alerts"), os.path.join(scratch, "ck-a"))
     S.run_to_parquet(stats, os.path.join(scratch, "stats"), os.path.join(scratch, "ck-s"))
     got = spark.read.parquet(os.path.join(scratch, "alerts"))
@@ -148,10 +148,11 @@ def test_analytics_counter_stream(spark, scratch):
 def test_analytics_streams_window_alert_records(spark, scratch):
     ev = A.events(spark, SF)
     src = S.parquet_stream(spark, SF, ev.schema, file_glob="events.parquet")
-    stats, alerts = S.analytics_streams(A.messages(src), alert_at=F.col("arrival_ts"), size="1 hour",
-                                        threshold=50.0, instant=False)
-    S.run_to_parquet(alerts, os.path.join(scratch, "alerts"), os.path.join(scratch, "ck"))
-    got = spark.read.parquet(os.path.join(scratch, "alerts"))
+    _, inst, win = S.analytics_streams(A.messages(src), alert_at=F.col("arrival_ts"), size="1 hour",
+                                       threshold=50.0, instant=False)
+    S.run_to_parquet(inst, os.path.join(scratch, "inst"), os.path.join(scratch, "ck-i"))
+    S.run_to_parquet(win, os.path.join(scratch, "win"), os.path.join(scratch, "ck-w"))
+    got = spark.read.parquet(os.path.join(scratch, "inst")).unionByName(spark.read.parquet(os.path.join(scratch, "win")))
     assert got.where("kind = 'instant'").count() == 0            # instant alerts are off
     good = A.readings(ev.where(F.col("event_id") % 97 != 0))
     batch = W.window_global_stats(good, "1 hour", 50.0)
