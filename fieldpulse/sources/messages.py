@@ -38,7 +38,8 @@ def decode(msgs: DataFrame, value_col: str = "value") -> DataFrame:
     is_object = v.isNotNull() & F.trim(v).startswith("{") & m.isNotNull() & m[CORRUPT].isNull()
     # any JSON text (object, array, scalar): wrapped into an object it still parses
     any_json = F.when(is_object, F.lit(True)).otherwise(
-        F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v").isNotNull())
+        F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v").isNotNull()
+        | (F.trim(v) == F.lit("null")))
     row = F.struct(m.alias("m"), is_object.alias("is_object"), F.coalesce(any_json, F.lit(False)).alias("is_json"))
     return parsed.select(*[F.col(c) for c in msgs.columns], F.inline(F.array(row)))
 

@@ -15,6 +15,7 @@ CASES = [
     (4, '{"temperature": null}'), (5, '{"temperature": "abc"}'), (6, '{"temperature": NaN}'),
     (7, "{bad"), (8, "[1,2]"), (9, ALERT), (10, FULL),
     (11, '{"timestamp":"2024-01-01 00:00:00","device_id":"' + "x" * 51 + '","temperature":1.0}'),
+    (12, "null"), (13, "5"), (14, ""),
 ]
 
 
@@ -35,6 +36,7 @@ def test_analytics_side(spark):
     assert not rows[7].is_json                  # not received
     assert rows[8].is_json and not rows[8].temperature_ok
     assert rows[9].temperature_ok and rows[9].a_temperature == 55.0
+    assert rows[12].is_json and rows[13].is_json and not rows[14].is_json   # JSON scalars are received
 
 
 def test_storage_side(spark):
@@ -49,9 +51,10 @@ def test_storage_side(spark):
     assert rows[9].reject_reason == "null_required"         # alert payload has no timestamp
     assert rows[11].reject_reason == "too_long"
     c = C.storage_counters(v, 1).first()
-    assert (c.received, c.stored, c.errors, c.buffered, c.batches_flushed) == (11, 3, 8, 0, 0)
+    assert (c.received, c.stored, c.errors, c.buffered, c.batches_flushed) == (14, 3, 11, 0, 0)
     c2 = C.storage_counters(v, 2).first()
     assert (c2.stored, c2.buffered, c2.batches_flushed) == (2, 1, 1)
+    assert rows[12].reject_reason == "not_json_object"
 
 
 def test_projection_types(spark):
