@@ -50,7 +50,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get(_CHECKPOINT_KEY, "") or ""
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -78,8 +81,12 @@ def spread(df, *keys: str):
     """
     if df.isStreaming:
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session): leave as is
+        return df
+    if current >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
@@ -95,5 +102,7 @@ def local_path(path: str) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
-    base = checkpoint_dir(spark).rstrip("/")
+    base = (checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir", "")).rstrip("/")
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
