@@ -63,3 +63,34 @@ def test_window_start_offset(spark):
     s = W.window_global_stats(_readings(spark, rows), "10 seconds", 50.0, start="5 seconds").orderBy("window_start")
     got = [(str(r.window_start), r["count"]) for r in s.collect()]
     assert got == [("2023-12-31 23:59:55", 1), ("2024-01-01 00:00:05", 1)]
+
+
+def test_flat_stats_with_hot_device_and_hot_window(spark):
+    import datetime as dt
+    import random
+    from decimal import Decimal
+
+    rnd = random.Random(21)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(6000):
+        hot = i % 3 == 0
+        device = "hot" if hot else f"d{rnd.randint(0, 40)}"
+        second = rnd.randint(0, 9) if hot else rnd.randint(0, 299)       # the hot device sits in one window
+        rows.append(((base + dt.timedelta(seconds=second)).strftime("%Y-%m-%d %H:%M:%S"), device,
+                     round(rnd.uniform(0, 90), 2)))
+    df = _readings(spark, rows).repartition(6)
+    got = {(str(r.window_start), r.device_id): r for r in W.window_stats_flat(df, "10 seconds", 50.0).collect()}
+    per_window, per_device = {}, {}
+    for t, d, v in rows:
+        w = t[:-1] + "0"
+        per_window.setdefault(w, []).append(v)
+        per_device.setdefault((w, d), []).append(v)
+    assert len(got) == len(per_device)
+    for (w, d), vals in per_device.items():
+        r = got[(w, d)]
+        wvals = per_window[w]
+        mean = float(sum(Decimal(str(x)) for x in wvals) / len(wvals))
+        assert r["count"] == len(wvals) and r.device_count == len(vals)
+        assert abs(r.avg_temperature - mean) < 1e-9 and r.alert_triggered == (mean > 50.0)
+        assert r.device_min == min(vals) and r.device_max == max(vals)
