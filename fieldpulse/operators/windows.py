@@ -139,3 +139,18 @@ def latest_window(stats: DataFrame) -> DataFrame:
 def window_alerts(stats: DataFrame) -> DataFrame:
     """Closed windows whose mean exceeded the threshold."""
     return stats.where(F.col("alert_triggered"))
+
+
+def latest_stats_document(nested: DataFrame) -> DataFrame:
+    """The newest window of :func:`window_stats_nested` as one JSON document
+    (mean/min/max rounded to 2 decimals, per-device breakdown included), the
+    shape a stats endpoint serves.  One row, or none when there is no window.
+    """
+    doc = F.struct(
+        F.col("window_start"), F.col("window_end"), F.col("count"),
+        round2(F.col("avg_temperature")).alias("avg_temperature"),
+        round2(F.col("min_temperature")).alias("min_temperature"),
+        round2(F.col("max_temperature")).alias("max_temperature"),
+        F.col("per_device"), F.col("alert_triggered"), F.col("threshold"))
+    top = nested.agg(F.max_by(doc, F.col("window_end")).alias("d"))
+    return top.where(F.col("d").isNotNull()).select(F.to_json("d").alias("stats"))

@@ -94,3 +94,14 @@ def test_flat_stats_with_hot_device_and_hot_window(spark):
         assert r["count"] == len(wvals) and r.device_count == len(vals)
         assert abs(r.avg_temperature - mean) < 1e-9 and r.alert_triggered == (mean > 50.0)
         assert r.device_min == min(vals) and r.device_max == max(vals)
+
+
+def test_latest_stats_document(spark):
+    import json
+    doc = W.latest_stats_document(W.window_stats_nested(_readings(spark, ROWS), "10 seconds", 50.0)).collect()
+    assert len(doc) == 1
+    d = json.loads(doc[0].stats)
+    assert d["count"] == 2 and d["avg_temperature"] == 15.0 and d["threshold"] == 50.0
+    assert d["per_device"] == {"a": {"count": 1, "avg": 10.0, "min": 10.0, "max": 10.0},
+                               "b": {"count": 1, "avg": 20.0, "min": 20.0, "max": 20.0}}
+    assert d["window_start"].startswith("2024-01-01T00:00:30")
