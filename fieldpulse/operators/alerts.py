@@ -31,8 +31,8 @@ def instant_alert_flag(temp: Column, instant: bool = True, threshold: float | No
 
 
 def instant_alerts(view: DataFrame, instant: bool = True, threshold: float | None = None,
-                   alert_at: Column | None = None, device_col: str = "device_id",
-                   temp_col: str = "temperature", published_col: str = "published_at") -> DataFrame:
+                   alert_at: Column | None = None, temp_col: str = "temperature",
+                   published_col: str = "published_at") -> DataFrame:
     """Stateless per-message alerts: ``temperature > threshold`` while the flag is on.
 
     ``alert_at`` is the processing instant (``current_timestamp()`` in a live
