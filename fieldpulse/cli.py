@@ -58,7 +58,8 @@ def cmd_group_lag(spark, a) -> int:
 
 def cmd_storage(spark, a) -> int:
     if a.kafka_servers:
-        msgs = S.kafka_messages(spark, a.kafka_servers, a.topic, max_offsets_per_trigger=a.batch_size)
+        msgs = S.kafka_messages(spark, a.kafka_servers, a.topic, max_offsets_per_trigger=a.batch_size,
+                                min_partitions=a.min_partitions)
     else:
         msgs = S.file_messages(spark, a.source_dir, max_files_per_trigger=a.max_files_per_trigger)
     quarantine = a.quarantine_dir or f"{a.table_dir.rstrip('/')}_quarantine"
@@ -126,6 +127,7 @@ def build_parser() -> argparse.ArgumentParser:
     st.add_argument("--batch-size", type=int, default=500)
     st.add_argument("--max-files-per-trigger", type=int)
     st.add_argument("--decode-parallelism", type=int)
+    st.add_argument("--min-partitions", type=int, help="Kafka: tasks per micro-batch without a shuffle")
     st.add_argument("--continuous", action="store_true")
     st.set_defaults(fn=cmd_storage)
 

@@ -27,13 +27,22 @@ STORAGE_METRICS = "storage_counters"
 
 
 def kafka_messages(spark: SparkSession, bootstrap_servers: str, topic: str,
-                   starting_offsets: str = "earliest", max_offsets_per_trigger: int | None = None
+                   starting_offsets: str = "earliest", max_offsets_per_trigger: int | None = None,
+                   min_partitions: int | None = None
                    ) -> DataFrame:  # pragma: no cover - needs the Kafka connector and a broker
-    """Topic scan: value as text, arrival = broker timestamp."""
+    """Topic scan: value as text, arrival = broker timestamp.
+
+    ``max_offsets_per_trigger`` sizes (and paces) micro-batches;
+    ``min_partitions`` splits the offset range of a topic partition into
+    several tasks without a shuffle (a topic with one partition would
+    otherwise decode on one core).
+    """
     r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers)
          .option("subscribe", topic).option("startingOffsets", starting_offsets))
     if max_offsets_per_trigger:
         r = r.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
+    if min_partitions:
+        r = r.option("minPartitions", str(min_partitions))
     return r.load().select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrival_ts"),
                            "partition", "offset")
 
@@ -157,8 +166,9 @@ def run_storage(messages: DataFrame, good_path: str, bad_path: str, checkpoint:
     """Storage consumer: decode, check, write valid rows and quarantine.
 
     ``decode_parallelism`` spreads each micro-batch over that many tasks
-    before decoding, for sources with fewer partitions than cores (a topic
-    with one partition); leave it unset when the source is already wide.
+    before decoding, for sources with fewer partitions than cores; leave it
+    unset when the source is already wide (for Kafka prefer the source's
+    ``min_partitions``, which splits without a shuffle).
     """
     if decode_parallelism:
         messages = messages.repartition(int(decode_parallelism))
