@@ -404,8 +404,7 @@ def q_publish_json(spark, sf):
 
 def _run_storage_stream(spark, sf):
     prepare(spark)
-    src = S.parquet_stream(spark, sf, A.events(spark, sf).schema, file_glob="events.parquet")
-    msgs = A.messages(src)
+    msgs = A.messages(S.table_stream(spark, sf, "events"))
     good, bad, ck = (scratch_path(spark, n) for n in ("stored", "quarantine", "storage-ckpt"))
     q = S.run_storage(msgs, good, bad, ck, decode_parallelism=spark.sparkContext.defaultParallelism)
     return q, good, bad
@@ -452,7 +451,7 @@ def q_result_pairs(spark, sf):
 # ---------------------------------------------------------------- streaming
 def _events_stream(spark, sf) -> DataFrame:
     prepare(spark)
-    return S.parquet_stream(spark, sf, A.events(spark, sf).schema, file_glob="events.parquet")
+    return S.table_stream(spark, sf, "events")
 
 
 def q_tumbling_arrival_window(spark, sf):

@@ -65,6 +65,27 @@ def parquet_stream(spark: SparkSession, folder: str, schema, file_glob: str | No
     return r.load(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream the parquet table ``<folder>/<name>.parquet``.
+
+    A table stored as a directory of part files (the layout at scale) is a
+    stream source as it is; a table stored as one file streams from its
+    folder with a file-name filter.  The layout comes from the table's own
+    file listing, so this works on any file system the session can read.
+    """
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    static = spark.read.parquet(path)
+    files = static.inputFiles()
+    single = len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}.parquet")
+    if single:
+        return parquet_stream(spark, folder, static.schema, file_glob=f"{name}.parquet",
+                              max_files_per_trigger=max_files_per_trigger)
+    r = spark.readStream.schema(static.schema).format("parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return r.load(path)
+
+
 def with_event_clock(readings: DataFrame, time_col: str = "arrival_ts", delay: str = "0 seconds") -> DataFrame:
     """Arrival time as a zoned timestamp with a watermark so ``append`` closes windows.
 

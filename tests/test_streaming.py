@@ -147,7 +147,7 @@ def test_analytics_counter_stream(spark, scratch):
 
 def test_analytics_streams_window_alert_records(spark, scratch):
     ev = A.events(spark, SF)
-    src = S.parquet_stream(spark, SF, ev.schema, file_glob="events.parquet")
+    src = S.table_stream(spark, SF, "events")
     _, inst, win = S.analytics_streams(A.messages(src), alert_at=F.col("arrival_ts"), size="1 hour",
                                        threshold=50.0, instant=False)
     S.run_to_parquet(inst, os.path.join(scratch, "inst"), os.path.join(scratch, "ck-i"))
