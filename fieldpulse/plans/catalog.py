@@ -364,9 +364,11 @@ def q_offset_table_scan(spark, sf):
     dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     rows = offs.select(F.concat_ws("   ", "group", "topic", F.col("partition").cast("string"), dash("current_offset"),
                                    dash("log_end_offset"), dash("lag"), F.lit("-"), F.lit("-"), F.lit("-")).alias("value"))
-    head = spark.createDataFrame(
-        [("Consumer group 'data-storage-group' has no active members.",),
-         ("GROUP   TOPIC   PARTITION  CURRENT-OFFSET  LOG-END-OFFSET  LAG   CONSUMER-ID  HOST  CLIENT-ID",)], "value string")
+    # the listing's banner and header lines, emitted once per listing (group)
+    head = offs.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).select(F.explode(F.array(
+        F.concat(F.lit("Consumer group '"), F.col("group"), F.lit("' has no active members.")),
+        F.lit("GROUP   TOPIC   PARTITION  CURRENT-OFFSET  LOG-END-OFFSET  LAG   CONSUMER-ID  HOST  CLIENT-ID"),
+    )).alias("value"))
     lines = head.unionByName(rows).withColumn("source", F.lit("listing"))
     return FS.parse_offset_listing(lines).drop("source")
 
