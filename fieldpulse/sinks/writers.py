@@ -18,9 +18,10 @@ def publish_json(readings: DataFrame, columns: Sequence[str] = READING_COLUMNS,
     return readings.select(k.alias("key"), F.to_json(F.struct(*present)).alias("value"))
 
 
-def kafka_options(bootstrap_servers: str, topic: str) -> dict[str, str]:
-    """Producer options: wait for all in-sync replicas."""
-    return {"kafka.bootstrap.servers": bootstrap_servers, "topic": topic, "kafka.acks": "all"}
+def kafka_options(bootstrap_servers: str, topic: str, retry_backoff_ms: int = 3000) -> dict[str, str]:
+    """Producer options: wait for all in-sync replicas, retry every 3 s (fixed value)."""
+    return {"kafka.bootstrap.servers": bootstrap_servers, "topic": topic, "kafka.acks": "all",
+            "kafka.retry.backoff.ms": str(retry_backoff_ms)}
 
 
 def write_kafka(messages: DataFrame, bootstrap_servers: str, topic: str) -> None:  # pragma: no cover - needs a broker
