@@ -46,11 +46,13 @@ def _frames(samples: DataFrame, group_cols: list[str], ts_col: str, width: int)
 
 
 def drain_stable(samples: DataFrame, group_cols: Sequence[str] = ("run",), ts_col: str = "sample_ts",
-                 value_col: str = "value", stable_needed: int = 3) -> DataFrame:
+                 value_col: str = "value", stable_needed: int = 3, timeout: int | None = None) -> DataFrame:
     """First sample equal to its predecessor ``stable_needed`` times in a row.
 
     That is the first index i whose frame of ``stable_needed + 1`` samples
-    ending at i holds one value; ``drained_index`` is null when it never happens.
+    ending at i holds one value; ``drained_index`` is null when it never
+    happens.  ``timed_out`` is true when there is no such sample within the
+    first ``timeout`` samples (anywhere, without a timeout).
     """
     group_cols = list(group_cols)
     width = int(stable_needed) + 1
@@ -64,8 +66,10 @@ def drain_stable(samples: DataFrame, group_cols: Sequence[str] = ("run",), ts_co
                      F.when(hit, F.col("frame_end")))
     g = samples.select(*group_cols).distinct().join(
         frames.groupBy(*group_cols).agg(first.alias("_d")), group_cols, "left")
-    return g.select(*group_cols, F.col("_d.idx").cast("long").alias("drained_index"),
-                    F.col("_d.v").alias("drained_value"))
+    idx = F.col("_d.idx").cast("long")
+    timed_out = idx.isNull() if timeout is None else (idx.isNull() | (idx >= F.lit(int(timeout))))
+    return g.select(*group_cols, idx.alias("drained_index"), F.col("_d.v").alias("drained_value"),
+                    timed_out.alias("timed_out"))
 
 
 def recovery_streak(samples: DataFrame, group_cols: Sequence[str] = ("run",), ts_col: str = "sample_ts",

@@ -277,7 +277,8 @@ ORACLE: dict[str, str] = {
         "j AS (SELECT *, sum(chg) OVER (PARTITION BY run ORDER BY sample_ts ROWS UNBOUNDED PRECEDING) AS island FROM i), "
         "k AS (SELECT *, row_number() OVER (PARTITION BY run, island ORDER BY sample_ts) - 1 AS reps FROM j) "
         "SELECT run, min(idx) FILTER (WHERE reps >= 3) AS drained_index, "
-        "arg_min(value, idx) FILTER (WHERE reps >= 3) AS drained_value FROM k GROUP BY run"),
+        "arg_min(value, idx) FILTER (WHERE reps >= 3) AS drained_value, "
+        "min(idx) FILTER (WHERE reps >= 3) IS NULL AS timed_out FROM k GROUP BY run"),
     "recovery_streak": (
         "WITH i AS (SELECT run, sample_ts, value, row_number() OVER (PARTITION BY run ORDER BY sample_ts) - 1 AS idx, "
         "sum(CASE WHEN value <= 5 THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY sample_ts "

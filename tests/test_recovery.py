@@ -19,7 +19,10 @@ def test_recovery_streak(spark):
 def test_drain_stable(spark):
     d = R.drain_stable(_series(spark, [1, 2, 2, 2, 2])).first()
     assert d.drained_index == 4 and d.drained_value == 2
-    assert R.drain_stable(_series(spark, [1, 2, 3])).first().drained_index is None
+    never = R.drain_stable(_series(spark, [1, 2, 3])).first()
+    assert never.drained_index is None and never.timed_out
+    assert not d.timed_out
+    assert R.drain_stable(_series(spark, [1, 2, 2, 2, 2]), timeout=4).first().timed_out   # index 4 is too late
 
 
 def test_peak_and_first_recovery(spark):
