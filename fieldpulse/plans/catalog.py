@@ -26,7 +26,7 @@ from fieldpulse.operators import resources as RS
 from fieldpulse.operators import windows as W
 from fieldpulse.operators.ordinal import with_global_ordinal
 from fieldpulse.schema import READING_COLUMNS, STORAGE_BATCH_SIZE
-from fieldpulse.session import prepare, scratch_path
+from fieldpulse.session import parallelism_floor, prepare, scratch_path
 from fieldpulse.sinks import writers as K
 from fieldpulse.sources import adapters as A
 from fieldpulse.sources import files as FS
@@ -408,7 +408,9 @@ def _run_storage_stream(spark, sf):
     prepare(spark)
     msgs = A.messages(S.table_stream(spark, sf, "events"))
     good, bad, ck = (scratch_path(spark, n) for n in ("stored", "quarantine", "storage-ckpt"))
-    q = S.run_storage(msgs, good, bad, ck, decode_parallelism=spark.sparkContext.defaultParallelism)
+    # spread micro-batches only when the table itself is narrower than the cluster
+    floor = parallelism_floor(A.events(spark, sf))
+    q = S.run_storage(msgs, good, bad, ck, decode_parallelism=floor)
     return q, good, bad
 
 

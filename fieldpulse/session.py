@@ -70,6 +70,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def parallelism_floor(df) -> int | None:
+    """The task count to spread ``df`` to, or None when it is already wide enough."""
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session)
+        return None
+    return target if current < target else None
+
+
 def spread(df, *keys: str):
     """Raise a small batch input to the cluster's parallelism before CPU-heavy work.
 
@@ -81,12 +91,8 @@ def spread(df, *keys: str):
     """
     if df.isStreaming:
         return df
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session): leave as is
-        return df
-    if current >= target:
+    target = parallelism_floor(df)
+    if target is None:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
