@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldpulse.functions.numeric import round2
-from fieldpulse.operators.ordinal import floor_rank_pick
+from fieldpulse.operators.ordinal import floor_rank_pick, summary_with_floor_rank
 
 
 def p95_floor_rank(latencies: DataFrame, value_col: str = "latency_ms",
@@ -21,24 +21,17 @@ def latency_summary(latencies: DataFrame, value_col: str = "latency_ms",
     """avg, min, max and floor-rank p95 of each group, rounded to 2 decimals.
 
     ``summary`` is the ``avg,min,max,p95`` line with two decimals.  Without
-    groups an empty input gives one row of zeros.
+    groups an empty input gives one row of zeros.  All figures come from one
+    range-partitioned pass over the values (see ``ordinal``).
     """
     group_cols = list(group_cols)
-    v = F.col(value_col)
-    base = latencies.where(v.isNotNull())
-    stats = (base.groupBy(*group_cols) if group_cols else base.groupBy()).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(v).alias("_avg"), F.min(v).alias("_min"), F.max(v).alias("_max"))
-    p95 = p95_floor_rank(base, value_col, group_cols, q)
-    if group_cols:
-        joined = stats.join(p95, group_cols, "left")
-    else:
-        # single global group: both sides hold one row; attach on a constant key
-        joined = (stats.withColumn("_k", F.lit(1))
-                  .join(p95.withColumn("_k", F.lit(1)), "_k", "left").drop("_k"))
+    s = summary_with_floor_rank(latencies, value_col, group_cols, q)
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
+    avg = F.when(n > 0, F.col("sum") / n.cast("double"))
     cols = []
-    for src, dst in (("_avg", "avg_ms"), ("_min", "min_ms"), ("_max", "max_ms"), ("p95_ms", "p95_ms")):
-        cols.append(round2(F.coalesce(F.col(src), F.lit(0.0))).alias(dst))
-    out = joined.select(*group_cols, "n", *cols)
+    for src, dst in ((avg, "avg_ms"), (F.col("min"), "min_ms"), (F.col("max"), "max_ms"), (F.col("pick"), "p95_ms")):
+        cols.append(round2(F.coalesce(src, F.lit(0.0))).alias(dst))
+    out = s.select(*group_cols, n.alias("n"), *cols)
     text = F.concat_ws(",", *[F.format_string("%.2f", F.col(c)) for c in ("avg_ms", "min_ms", "max_ms", "p95_ms")])
     return out.withColumn("summary", text)
 

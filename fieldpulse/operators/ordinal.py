@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranged_blocks(df: DataFrame, keys: list[str], group_cols: list[str], n: int | None):
+def _ranged_blocks(df: DataFrame, keys: list[str], group_cols: list[str], n: int | None,
+                   value_col: str | None = None):
     """Range-partition + sort, pin positions by a checkpoint, and summarise blocks.
 
     Returns (rows, blocks): ``rows`` carries ``_pid``/``_pos``; ``blocks`` has one
@@ -34,8 +35,11 @@ def _ranged_blocks(df: DataFrame, keys: list[str], group_cols: list[str], n: int
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()))
     ranged = ranged.checkpoint(eager=True)
+    extra = []
+    if value_col is not None:     # per-block partials, so summaries need no second scan
+        extra = [F.sum(value_col).alias("_sum"), F.min(value_col).alias("_min"), F.max(value_col).alias("_max")]
     blocks = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"),
-                                                     F.min("_pos").alias("_first"))
+                                                     F.min("_pos").alias("_first"), *extra)
     w = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")
     tw = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
     blocks = (blocks
@@ -91,3 +95,25 @@ def floor_rank_pick(df: DataFrame, value_col: str, group_cols: Sequence[str] = (
     targets = (blocks.where((F.col("_before") < k) & (k <= F.col("_before") + F.col("_n")))
                .select("_pid", *group_cols, (F.col("_first") + (k - F.col("_before") - F.lit(1))).alias("_pos")))
     return ranged.join(targets, ["_pid", "_pos", *group_cols]).select(*group_cols, F.col(value_col).alias(alias))
+
+
+def summary_with_floor_rank(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), q: float = 0.95,
+                            num_partitions: int | None = None) -> DataFrame:
+    """Per group: n, sum, min, max and the floor-rank pick, from one pass.
+
+    The block table carries per-block count/sum/min/max next to the
+    positions, so the summary and the percentile share the single
+    range-partitioned, checkpointed pass over the values.
+    """
+    group_cols = list(group_cols)
+    vals = df.select(*group_cols, value_col).where(F.col(value_col).isNotNull())
+    ranged, blocks = _ranged_blocks(vals, group_cols + [value_col], group_cols, num_partitions, value_col)
+    k = floor_rank_index(F.col("_total"), q) + F.lit(1)
+    targets = (blocks.where((F.col("_before") < k) & (k <= F.col("_before") + F.col("_n")))
+               .select("_pid", *group_cols, (F.col("_first") + (k - F.col("_before") - F.lit(1))).alias("_pos")))
+    pick = ranged.join(targets, ["_pid", "_pos", *group_cols]).select(*group_cols, F.col(value_col).alias("pick"))
+    stats = (blocks.groupBy(*group_cols) if group_cols else blocks.groupBy()).agg(
+        F.sum("_n").alias("n"), F.sum("_sum").alias("sum"), F.min("_min").alias("min"), F.max("_max").alias("max"))
+    if group_cols:
+        return stats.join(pick, group_cols, "left")
+    return stats.withColumn("_k", F.lit(1)).join(pick.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
