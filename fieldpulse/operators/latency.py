@@ -36,6 +36,25 @@ def latency_summary(latencies: DataFrame, value_col: str = "latency_ms",
     return out.withColumn("summary", text)
 
 
+def latency_match_flagged(view: DataFrame, alert_col: str, group_cols: Sequence[str], order_cols: Sequence[str],
+                          published_col: str = "published_at", latency_col: str = "e2e_latency_ms") -> DataFrame:
+    """:func:`latency_match` over one frame of sent messages with an alert flag.
+
+    One aggregation: the last message and the last alert (a ``max_by`` whose
+    key is null for non-alert rows) come from the same partial aggregate,
+    without a second scan or a join.
+    """
+    group_cols = list(group_cols)
+    key = F.struct(*order_cols)
+    g = view.groupBy(*group_cols).agg(
+        F.max_by(F.col(published_col), key).alias("sent_published_at"),
+        F.max_by(F.struct(F.col(published_col).alias("pa"), F.col(latency_col).alias("lat")),
+                 F.when(F.col(alert_col), key)).alias("a"))
+    match = F.coalesce(F.col("a.pa") == F.col("sent_published_at"), F.lit(False))
+    return g.select(*group_cols, "sent_published_at", F.col("a.pa").alias("alert_published_at"),
+                    match.alias("matched"), F.when(match, F.col("a.lat")).alias("accepted_latency_ms"))
+
+
 def latency_match(alerts: DataFrame, sent: DataFrame, group_cols: Sequence[str],
                   order_cols: Sequence[str], published_col: str = "published_at",
                   latency_col: str = "e2e_latency_ms") -> DataFrame:

@@ -202,8 +202,11 @@ def q_latency_summary(spark, sf):
 
 def q_latency_match(spark, sf):
     t = _timed(spark, sf).withColumnRenamed("crop_type", "run")
-    alerts = AL.instant_alerts(t, True, INSTANT_THR, alert_at=F.col("alert_at"))
-    return L.latency_match(alerts, t, ["run"], ORDER)
+    alert = AL.instant_alert_flag(F.col("temperature"), True, INSTANT_THR)
+    lat = TF.latency_default(TF.e2e_latency_ms(P.parse_published_at(F.col("published_at")), F.col("alert_at")))
+    view = t.select("run", "arrival_ts", "event_id", "published_at", alert.alias("is_alert"),
+                    lat.alias("e2e_latency_ms"))
+    return L.latency_match_flagged(view, "is_alert", ["run"], ORDER)
 
 
 def _instant_records(t: DataFrame) -> DataFrame:

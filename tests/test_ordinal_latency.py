@@ -92,3 +92,13 @@ def test_ordinal_under_aqe_coalescing(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_latency_match_flagged_equals_two_frame_form(spark):
+    rows = [("r", 1, "p1", True, 5.0), ("r", 2, "p2", True, 10.0), ("r", 3, "p3", False, None),
+            ("s", 1, "q1", True, 7.0), ("s", 2, "q2", True, 8.0), ("t", 1, "z1", False, None)]
+    v = spark.createDataFrame(rows, "run string, o int, published_at string, is_alert boolean, e2e_latency_ms double")
+    one = {r.run: r.asDict() for r in L.latency_match_flagged(v, "is_alert", ["run"], ["o"]).collect()}
+    two = {r.run: r.asDict() for r in L.latency_match(v.where("is_alert"), v, ["run"], ["o"]).collect()}
+    assert one == two
+    assert one["s"]["accepted_latency_ms"] == 8.0 and not one["r"]["matched"] and one["t"]["alert_published_at"] is None
