@@ -31,10 +31,6 @@ from fieldpulse.sources import files as FS
 from fieldpulse.streaming import jobs as S
 
 
-def _fmt(v) -> str:
-    return f"{v:.2f}"
-
-
 def cmd_resources(spark, a) -> int:
     report = RS.resource_by_container(FS.read_stats_samples(spark, a.stats_csv))
     if a.single_object:

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldpulse.functions.parsing import parse_published_at
 from fieldpulse.schema import (
     LENGTH_LIMITS, MESSAGE_FIELDS, NOT_NULL_COLUMNS, READING_FIELDS,
 )
@@ -135,7 +134,3 @@ def counter_field(doc, field: str, missing_as_empty: bool = False) -> Column:
         F.when(flag.isNotNull(), flag.cast("long")),
         F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("long")),
         F.lit(0).cast("long"))
-
-
-def published_instant(col_name: str = "a_published_at") -> Column:
-    return parse_published_at(F.col(col_name))

@@ -75,3 +75,12 @@ def test_summary_append_keeps_every_row(spark, scratch):
     K.append_summary(a.withColumn("n", F.lit(2)), p)
     back = spark.read.option("header", True).csv(p)
     assert sorted(int(r.n) for r in back.collect()) == [1, 2]
+
+
+def test_append_keeps_replayed_rows(spark, scratch):
+    # no de-duplication: a replayed message is stored again (the key is not unique)
+    p = os.path.join(scratch, "table")
+    rows = spark.createDataFrame([("d1", 1.0), ("d2", 2.0)], "device_id string, temperature double")
+    K.append_table(rows, p)
+    K.append_table(rows.limit(1), p)
+    assert spark.read.parquet(p).count() == 3
