@@ -9,6 +9,7 @@ operators; only one-line summaries are printed on the driver.
   storage    SOURCE_DIR TABLE_DIR     storage consumer: valid readings to the table, rest to quarantine
   analytics  SOURCE_DIR OUT_DIR       analytics consumer: window statistics and alert records
   replay     READINGS_CSV OUT_DIR     readings as JSON messages in file order with batch numbers
+  stats      READINGS_PATH            newest window statistics with the per-device breakdown (JSON)
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from fieldpulse.operators import latency as L
 from fieldpulse.operators import recovery as R
 from fieldpulse.operators import replay as RP
 from fieldpulse.operators import resources as RS
+from fieldpulse.operators import windows as W
 from fieldpulse.schema import (
     INSTANT_ALERT_THRESHOLD, READING_COLUMNS, REPLAY_BATCH_SIZE, WINDOW_ALERT_THRESHOLD, WINDOW_SECONDS,
 )
@@ -93,6 +95,18 @@ def cmd_replay(spark, a) -> int:
     return 0
 
 
+def cmd_stats(spark, a) -> int:
+    if a.format == "csv":
+        readings = FS.read_readings_csv(spark, a.readings)
+    else:
+        readings = spark.read.parquet(a.readings)
+    readings = readings.withColumn("arrival_ts", F.col(a.time_column))
+    nested = W.window_stats_nested(readings, f"{a.window_seconds} seconds", a.threshold)
+    row = W.latest_stats_document(nested).first()
+    print(row.stats if row else "null")
+    return 0
+
+
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="fieldpulse", description=__doc__,
                                 formatter_class=argparse.RawDescriptionHelpFormatter)
@@ -144,6 +158,14 @@ def build_parser() -> argparse.ArgumentParser:
     rp.add_argument("out_dir")
     rp.add_argument("--batch-size", type=int, default=REPLAY_BATCH_SIZE)
     rp.set_defaults(fn=cmd_replay)
+
+    sp = sub.add_parser("stats")
+    sp.add_argument("readings")
+    sp.add_argument("--format", choices=["parquet", "csv"], default="parquet")
+    sp.add_argument("--time-column", default="timestamp", help="column holding the arrival time")
+    sp.add_argument("--window-seconds", type=int, default=WINDOW_SECONDS)
+    sp.add_argument("--threshold", type=float, default=WINDOW_ALERT_THRESHOLD)
+    sp.set_defaults(fn=cmd_stats)
     return p
 
 

@@ -53,3 +53,14 @@ def test_replay_storage_analytics(spark, scratch, capsys):
                     spark=spark) == 0
     assert spark.read.parquet(os.path.join(out, "instant_alerts")).count() == ev.where("value > 40").count()
     assert spark.read.parquet(os.path.join(out, "window_stats")).count() >= 0
+
+
+def test_stats_document(spark, scratch, capsys):
+    rows = spark.createDataFrame([("2024-01-01 00:00:01", "a", 40.0), ("2024-01-01 00:00:12", "a", 61.0),
+                                  ("2024-01-01 00:00:13", "b", 52.5)], "timestamp string, device_id string, temperature double")
+    p = os.path.join(scratch, "readings")
+    rows.select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "device_id", "temperature").write.parquet(p)
+    assert cli.main(["stats", p], spark=spark) == 0
+    doc = json.loads(capsys.readouterr().out.strip())
+    assert doc["count"] == 2 and doc["alert_triggered"] and set(doc["per_device"]) == {"a", "b"}
+    assert doc["avg_temperature"] == 56.75
