@@ -38,6 +38,29 @@ def build_session(master: str | None = None, app: str = "fieldpulse",
     return spark
 
 
+def cluster_settings(input_bytes: int, partition_bytes: int = 256 << 20, max_file_split: int = 512 << 20
+                     ) -> dict[str, str]:
+    """Settings sized to the input, for a session on a cluster.
+
+    The initial shuffle partition count gives about ``partition_bytes`` of
+    input per task (AQE then merges small ones and splits skewed ones), and
+    file splits stay large enough to keep the task count manageable.  At
+    100 TB with 256 MiB this is about 400,000 initial partitions.
+    """
+    shuffle = max(200, -(-int(input_bytes) // int(partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(max_file_split),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on; applied before each query.
 

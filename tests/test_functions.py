@@ -75,3 +75,10 @@ def test_latency_and_formats(spark):
     assert row.st == "2026-07-11T22:11:58.000Z"
     assert row.bs == "20260711_221158"
     assert row.d == 0.0
+
+
+def test_cluster_settings():
+    from fieldpulse.session import cluster_settings
+    s = cluster_settings(100 * 2 ** 40)
+    assert int(s["spark.sql.shuffle.partitions"]) == 100 * 2 ** 40 // (256 << 20)
+    assert cluster_settings(1)["spark.sql.shuffle.partitions"] == "200"
