@@ -34,7 +34,19 @@ def test_aggregates_are_partial_before_shuffle(spark):
         assert "window" in m.group(1)
 
 
-def test_no_python_in_registered_queries(spark):
+def test_registered_queries_stay_jvm_side_and_match_oracle_schemas(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF}/events.parquet')")
+    type_map = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+    sqls = E.oracle_sql()
     for name, q in E.queries().items():
-        plan = _plan(q(spark, SF))
+        df = q(spark, SF)
+        plan = _plan(df)
         assert not any(n in plan for n in PY_NODES), name
+        rel = con.sql(sqls[name])
+        spark_types = {f.name: type_map.get(f.dataType.simpleString()) for f in df.schema.fields}
+        duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        assert spark_types == duck_types, name
