@@ -23,6 +23,15 @@ def _window(time_col: str, size: str, start: str | None) -> Column:
     return F.window(time_col, size, size, start) if start else F.window(time_col, size)
 
 
+EXACT_SCALE = 4   # temperatures are summed exactly at this many decimal places
+
+
+def exact_sum(c: Column, scale: int = EXACT_SCALE) -> Column:
+    """Sum as a decimal: the result does not depend on the order rows are added in
+    (partition layout, merge order), so means are reproducible to the last bit."""
+    return F.sum(c.cast(f"decimal(18,{scale})"))
+
+
 def usable(readings: DataFrame, temp_col: str = "temperature") -> DataFrame:
     """Readings that enter a window: a finite temperature."""
     return readings.where(_finite(F.col(temp_col)))
@@ -31,16 +40,20 @@ def usable(readings: DataFrame, temp_col: str = "temperature") -> DataFrame:
 def window_global_stats(readings: DataFrame, size: str = "10 seconds",
                         threshold: float = WINDOW_ALERT_THRESHOLD, time_col: str = "arrival_ts",
                         temp_col: str = "temperature", start: str | None = None) -> DataFrame:
-    """Per window: count, mean, min, max; alert when the unrounded mean > threshold."""
+    """Per window: count, mean, min, max; alert when the unrounded mean > threshold.
+
+    The mean is an exact decimal sum divided once by the count.
+    """
     t = F.col(temp_col)
     g = (usable(readings, temp_col)
          .groupBy(_window(time_col, size, start).alias("window"))
-         .agg(F.count(F.lit(1)).alias("count"), F.avg(t).alias("avg_temperature"),
+         .agg(F.count(F.lit(1)).alias("count"), exact_sum(t).alias("_sum"),
               F.min(t).alias("min_temperature"), F.max(t).alias("max_temperature")))
+    avg = _mean(F.col("_sum"), F.col("count"))
     return g.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-        "count", "avg_temperature", "min_temperature", "max_temperature",
-        safe_gt(F.col("avg_temperature"), threshold).alias("alert_triggered"),
+        "count", avg.alias("avg_temperature"), "min_temperature", "max_temperature",
+        safe_gt(avg, threshold).alias("alert_triggered"),
         F.lit(float(threshold)).alias("threshold"))
 
 
@@ -51,15 +64,16 @@ def window_device_stats(readings: DataFrame, size: str = "10 seconds", time_col:
     t = F.col(temp_col)
     g = (usable(readings, temp_col)
          .groupBy(_window(time_col, size, start).alias("window"), F.col(device_col).alias("device_id"))
-         .agg(F.count(F.lit(1)).alias("count"), F.avg(t).alias("avg_raw"),
+         .agg(F.count(F.lit(1)).alias("count"), exact_sum(t).alias("_sum"),
               F.min(t).alias("min"), F.max(t).alias("max")))
+    avg = round2(_mean(F.col("_sum"), F.col("count")))
     return g.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                    "device_id", "count", round2(F.col("avg_raw")).alias("avg"), "min", "max")
+                    "device_id", "count", avg.alias("avg"), "min", "max")
 
 
 def device_partials(readings: DataFrame, size: str, time_col: str = "arrival_ts",
                     temp_col: str = "temperature", device_col: str = "device_id",
-                    scale: int = 4, start: str | None = None) -> DataFrame:
+                    scale: int = EXACT_SCALE, start: str | None = None) -> DataFrame:
     """First level of the nested statistics: (window, device) partial sums.
 
     Sums are exact decimals so that the window mean built from device
@@ -69,7 +83,7 @@ def device_partials(readings: DataFrame, size: str, time_col: str = "arrival_ts"
     return (usable(readings, temp_col)
             .groupBy(_window(time_col, size, start).alias("window"), F.col(device_col).alias("device_id"))
             .agg(F.count(F.lit(1)).alias("d_count"),
-                 F.sum(t.cast(f"decimal(18,{scale})")).alias("d_sum"),
+                 exact_sum(t, scale).alias("d_sum"),
                  F.min(t).alias("d_min"), F.max(t).alias("d_max")))
 
 

@@ -28,11 +28,14 @@ def iso(x: str) -> str:
             f"ELSE strftime({x}, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00')")
 
 
+EXACT_MEAN = "(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / CAST(count(*) AS DOUBLE))"
+
+
 def a1(width: str) -> str:
     b = f"time_bucket(INTERVAL '{width}', ts)"
     return (f"SELECT {b} AS window_start, {b} + INTERVAL '{width}' AS window_end, count(*) AS \"count\", "
-            f"avg(value) AS avg_temperature, min(value) AS min_temperature, max(value) AS max_temperature, "
-            f"avg(value) > 50.0::DOUBLE AS alert_triggered, 50.0::DOUBLE AS threshold "
+            f"{EXACT_MEAN} AS avg_temperature, min(value) AS min_temperature, max(value) AS max_temperature, "
+            f"{EXACT_MEAN} > 50.0::DOUBLE AS alert_triggered, 50.0::DOUBLE AS threshold "
             f"FROM events WHERE {FINITE} GROUP BY ALL")
 
 
@@ -225,7 +228,7 @@ ORACLE: dict[str, str] = {
     "window_device_stats": (
         "SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, "
         "time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS window_end, CAST(user_id AS VARCHAR) AS device_id, "
-        f"count(*) AS \"count\", {r2('avg(value)')} AS \"avg\", min(value) AS \"min\", max(value) AS \"max\" "
+        f"count(*) AS \"count\", {r2(EXACT_MEAN)} AS \"avg\", min(value) AS \"min\", max(value) AS \"max\" "
         f"FROM events WHERE {FINITE} GROUP BY ALL"),
     "window_stats_nested": (
         "WITH d AS (SELECT time_bucket(INTERVAL '1 day', ts) AS ws, CAST(user_id AS VARCHAR) AS device_id, "
