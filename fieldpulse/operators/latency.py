@@ -27,7 +27,7 @@ def latency_summary(latencies: DataFrame, value_col: str = "latency_ms",
     group_cols = list(group_cols)
     s = summary_with_floor_rank(latencies, value_col, group_cols, q)
     n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
-    avg = F.when(n > 0, F.col("sum") / n.cast("double"))
+    avg = F.when(n > 0, F.col("sum").cast("double") / n.cast("double"))
     cols = []
     for src, dst in ((avg, "avg_ms"), (F.col("min"), "min_ms"), (F.col("max"), "max_ms"), (F.col("pick"), "p95_ms")):
         cols.append(round2(F.coalesce(src, F.lit(0.0))).alias(dst))

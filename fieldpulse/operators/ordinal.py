@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 
 def _ranged_blocks(df: DataFrame, keys: list[str], group_cols: list[str], n: int | None,
-                   value_col: str | None = None):
+                   value_col: str | None = None, sum_scale: int = 4):
     """Range-partition + sort, pin positions by a checkpoint, and summarise blocks.
 
     Returns (rows, blocks): ``rows`` carries ``_pid``/``_pos``; ``blocks`` has one
@@ -37,7 +37,9 @@ def _ranged_blocks(df: DataFrame, keys: list[str], group_cols: list[str], n: int
     ranged = ranged.checkpoint(eager=True)
     extra = []
     if value_col is not None:     # per-block partials, so summaries need no second scan
-        extra = [F.sum(value_col).alias("_sum"), F.min(value_col).alias("_min"), F.max(value_col).alias("_max")]
+        # exact decimal sum: the mean does not depend on block layout or merge order
+        extra = [F.sum(F.col(value_col).cast(f"decimal(18,{sum_scale})")).alias("_sum"),
+                 F.min(value_col).alias("_min"), F.max(value_col).alias("_max")]
     blocks = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"),
                                                      F.min("_pos").alias("_first"), *extra)
     w = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")

@@ -258,7 +258,8 @@ ORACLE: dict[str, str] = {
         f"SELECT s.run, s.n, {r2('s.a')} AS avg_ms, {r2('s.mn')} AS min_ms, {r2('s.mx')} AS max_ms, "
         f"{r2('p.p95_ms')} AS p95_ms, printf('%.2f', {r2('s.a')}) || ',' || printf('%.2f', {r2('s.mn')}) || ',' || "
         f"printf('%.2f', {r2('s.mx')}) || ',' || printf('%.2f', {r2('p.p95_ms')}) AS summary FROM "
-        f"(SELECT run, count(*) AS n, avg(latency_ms) AS a, min(latency_ms) AS mn, max(latency_ms) AS mx "
+        f"(SELECT run, count(*) AS n, CAST(sum(CAST(latency_ms AS DECIMAL(18,4))) AS DOUBLE) / CAST(count(*) AS DOUBLE) "
+        f"AS a, min(latency_ms) AS mn, max(latency_ms) AS mx "
         f"FROM ({LATENCIES}) GROUP BY run) s LEFT JOIN ({P95}) p ON s.run = p.run"),
     "group_lag": ("SELECT CAST(coalesce(sum(current_offset), sum(log_end_offset), 0) AS BIGINT) AS \"offset\", "
                   "CAST(coalesce(sum(log_end_offset), 0) AS BIGINT) AS log_end_offset, "
