@@ -50,3 +50,15 @@ def test_registered_queries_stay_jvm_side_and_match_oracle_schemas(spark):
         spark_types = {f.name: type_map.get(f.dataType.simpleString()) for f in df.schema.fields}
         duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
         assert spark_types == duck_types, name
+
+
+def test_parallelism_floor_only_for_narrow_inputs(spark):
+    from fieldpulse.session import parallelism_floor, spread
+
+    par = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 10000, numPartitions=par * 2)
+    assert parallelism_floor(wide) is None and spread(wide, "id") is wide         # no shuffle added
+    narrow = spark.range(0, 10000, numPartitions=1)
+    spread_df = spread(narrow, "id")
+    assert spread_df.rdd.getNumPartitions() == par
+    assert "Exchange" in _plan(spread_df) and "Exchange" not in _plan(spread(wide, "id"))
