@@ -113,8 +113,10 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids binary, raw binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``decode``'s rows."""
+def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``decode``'s rows, and their ids if wished."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
+
     def run(batches):
         import hashlib
         for b in batches:
@@ -125,8 +127,8 @@ def digests(decoded: DataFrame) -> DataFrame:
                 ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
             raw = [hashlib.sha256(x).hexdigest() for x in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()),
-                                   pa.array(raw, pa.string())],
-                                  names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                                   pa.array(raw, pa.string()), *([b.column(1)] if keep_ids else [])], names=names)
 
     kind = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return decoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                                   + ", ids binary" * keep_ids)

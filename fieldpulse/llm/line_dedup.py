@@ -24,7 +24,8 @@ Hot lines: keys are counted within a task before they are shuffled (one row
 for each key and task at most), so a line found in every document is one small
 row from each task.
 
-Defined results: a null or empty text is one empty line, which stays; one row
+Defined results: a null or empty text is one empty line, which stays (a null
+text stays null); one row
 out for one in, repeated rows counted as documents of their own, null ids
 allowed; the output keeps all input columns (clashing names of its own columns
 are the caller's to choose).  Whole texts are read; memory is bounded by one
@@ -327,7 +328,8 @@ def _rewrite(batches, text: str, hot):
                 total.append(len(keys))
                 gone.append(n)
             columns = list(part.columns)
-            new = pa.array(kept, pa.binary()).cast(pa.string())
+            null = np.asarray(part.column(at_text).is_null())
+            new = pa.array(kept, pa.binary(), mask=null).cast(pa.string())
             columns[at_text] = new.cast(part.schema.field(at_text).type)
             yield pa.record_batch([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
                                   names=[*part.schema.names, "_n_lines", "_n_dropped"])

@@ -10,10 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
-from . import byte_bpe, license_scan, line_dedup, quality_bands
+from ..session import prepare, scratch_path
+from . import (byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality_bands, token_files,
+               toxicity_cnn, url_filter)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 #: bytes of rows that Spark hands to a Python worker at once (rows may be very long)
@@ -29,6 +31,60 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
 
 
+def _fold(modulus: int):
+    """crc32 of the id as text, mod ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    path = scratch_path(spark, "token-files")
+    token_files.write(docs, path, TOKENIZER, end_id=0)
+    return token_files.read(spark, path, ids_crc32=F.crc32("ids"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = language_id.train(docs.filter(_fold(3) != 1))
+    return language_id.predict(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def _md5_number(x):
+    return F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("int")
+
+
+def _list_log(pages: DataFrame) -> DataFrame:
+    """A dated list log over the hosts, parent domains and first path segments of all pages."""
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    places = pages.select(host.alias("host"), F.split(path, "/").alias("parts")).filter("host is not null")
+    first = F.coalesce(F.get("parts", F.lit(1)), F.lit(""))
+
+    def key(in_list: str, kind: str, value):
+        return F.struct(F.lit(in_list).alias("list"), F.lit(kind).alias("kind"), value.alias("key"))
+
+    def entry(action: str, day):
+        return F.struct(F.lit(action).alias("action"), day.alias("listed_at"))
+
+    keys = places.select(F.explode(F.array(
+        key("block", "host", F.col("host")),
+        key("block", "domain", F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1)),
+        key("allow", "prefix", F.when(first != "", F.lower(F.concat_ws("/", "host", first))).otherwise("")))).alias("k"))
+    h = _md5_number(F.concat_ws("|", "list", "kind", "key"))
+    listed = (keys.select("k.*").filter("key <> ''").distinct().withColumn("h", h).filter("h % 4 = 0")
+              .withColumn("d", F.expr("date_add(DATE '2024-01-01', cast(floor(h / 4) % 200 as int))"))
+              .withColumn("gone", F.expr("date_add(d, cast(30 + floor(h / 1000) % 100 as int))")))
+    entries = F.array(entry("add", F.col("d")), F.when(F.col("h") % 8 == 0, entry("remove", F.col("gone"))),
+                      F.when(F.col("h") % 16 == 0, entry("add", F.date_add("gone", 15))))
+    return (listed.select("list", "kind", "key", F.explode(entries).alias("e")).filter("e is not null")
+            .select("list", "kind", "key", "e.action", "e.listed_at"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (_md5_number(F.col("page_id").cast("string")) % 365))
+    return url_filter.evaluate(pages.withColumn("fetched_at", day), _list_log(pages))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     index = line_dedup.LineIndex(spark, min_docs=10).insert(docs)
@@ -41,18 +97,42 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(encoded, RANKS, public_tokenizers.PATTERN))
 
 
+def _toxicity_model(docs: DataFrame, labels: DataFrame) -> bytes:
+    return toxicity_cnn.train(docs, labels.filter(_fold(4) != 2))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = _toxicity_model(docs, _table(spark, sf_dir, "labels"))
+    return toxicity_cnn.score(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir)).drop("spans")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_documents(spark, sf_dir), width=5, percent=80)
+
+
 def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.score(_documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_language_id": op2_language_id,
+    "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_toxicity": op6_toxicity,
+    "op7_decontaminate": op7_decontaminate,
     "op8_license_scan": op8_license_scan,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_bands": op10_quality_bands,
 }
 
@@ -73,3 +153,61 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r
 """
+
+ORACLE["op3_url_filter"] = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 7))::INT % 365 AS INT) AS fetched_at,
+         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1) AS path
+  FROM pages),
+keys AS (
+  SELECT 'block' AS list, 'host' AS kind, host AS key FROM p WHERE host IS NOT NULL
+  UNION SELECT 'block', 'domain', regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) FROM p WHERE host IS NOT NULL
+  UNION SELECT 'allow', 'prefix', lower(host || '/' || split_part(path, '/', 2)) FROM p
+        WHERE host IS NOT NULL AND split_part(path, '/', 2) <> ''),
+listed AS (
+  SELECT *, d + CAST(30 + (h // 1000) % 100 AS INT) AS gone FROM (
+    SELECT *, DATE '2024-01-01' + CAST((h // 4) % 200 AS INT) AS d FROM (
+      SELECT *, ('0x' || substr(md5(list || '|' || kind || '|' || key), 1, 7))::INT AS h FROM keys WHERE key <> '')
+    WHERE h % 4 = 0)),
+log AS (
+  SELECT list, kind, key, 'add' AS action, d AS at FROM listed
+  UNION ALL SELECT list, kind, key, 'remove', gone FROM listed WHERE h % 8 = 0
+  UNION ALL SELECT list, kind, key, 'add', gone + 15 FROM listed WHERE h % 16 = 0),
+spans AS (
+  SELECT * FROM (SELECT *, lead(at) OVER (PARTITION BY list, kind, key ORDER BY at) AS until FROM log) WHERE action = 'add'),
+labels_of AS (SELECT page_id, host, fetched_at, string_split(host, '.') AS l,
+                     list_filter(string_split(path, '/'), x -> x <> '')[1:4] AS seg FROM p WHERE host IS NOT NULL),
+tried AS (
+  SELECT page_id, fetched_at, 'domain' AS kind, array_to_string(l[len(l) - i + 1:], '.') AS key, i AS rank
+    FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM labels_of)
+  UNION ALL SELECT page_id, fetched_at, 'host', host, 1001 FROM labels_of
+  UNION ALL SELECT page_id, fetched_at, 'prefix', lower(host || '/' || array_to_string(seg[1:i], '/')), i + 1001
+    FROM (SELECT *, unnest(range(1, len(seg) + 1)) AS i FROM labels_of)),
+active AS (
+  SELECT t.*, s.list, s.at FROM tried t JOIN spans s ON t.kind = s.kind AND t.key = s.key
+   AND s.at <= t.fetched_at AND (s.until IS NULL OR t.fetched_at < s.until)),
+best AS (
+  SELECT *, count(*) OVER (PARTITION BY page_id) AS n,
+         row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, list = 'block' DESC, kind DESC, key DESC, at DESC) AS r
+  FROM active)
+SELECT p.page_id, p.host, p.fetched_at,
+       CASE WHEN p.host IS NULL THEN 'no_host' WHEN b.list IS NULL THEN 'unlisted'
+            WHEN b.list = 'block' THEN 'blocked' ELSE 'allowed' END AS verdict,
+       CASE WHEN b.kind IS NULL THEN '' ELSE b.kind || ':' || b.key END AS listed_by,
+       b.at AS active_since, CAST(coalesce(b.n, 0) AS BIGINT) AS n_active
+FROM p LEFT JOIN best b ON p.page_id = b.page_id AND b.r = 1
+"""
+
+ORACLE["op7_decontaminate"] = r"""
+WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
+b AS (SELECT item_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT id AS doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s
+       FROM (SELECT id, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS i FROM d WHERE len(w) > 0)),
+bs AS (SELECT DISTINCT id AS item_id, array_to_string(w[i + 1:i + 5], ' ') AS s
+       FROM (SELECT id, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS i FROM b WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
+"""
