@@ -171,13 +171,13 @@ listed AS (
       SELECT *, ('0x' || substr(md5(list || '|' || kind || '|' || key), 1, 7))::INT AS h FROM keys WHERE key <> '')
     WHERE h % 4 = 0)),
 log AS (
-  SELECT list, kind, key, 'add' AS action, d AS at FROM listed
+  SELECT list, kind, key, 'add' AS action, d AS day FROM listed
   UNION ALL SELECT list, kind, key, 'remove', gone FROM listed WHERE h % 8 = 0
   UNION ALL SELECT list, kind, key, 'add', gone + 15 FROM listed WHERE h % 16 = 0),
 spans AS (
-  SELECT * FROM (SELECT *, lead(at) OVER (PARTITION BY list, kind, key ORDER BY at) AS until FROM log) WHERE action = 'add'),
+  SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY list, kind, key ORDER BY day) AS until FROM log) WHERE action = 'add'),
 labels_of AS (SELECT page_id, host, fetched_at, string_split(host, '.') AS l,
-                     list_filter(string_split(path, '/'), x -> x <> '')[1:4] AS seg FROM p WHERE host IS NOT NULL),
+                     list_filter(string_split(path, '/'), lambda x: x <> '')[1:4] AS seg FROM p WHERE host IS NOT NULL),
 tried AS (
   SELECT page_id, fetched_at, 'domain' AS kind, array_to_string(l[len(l) - i + 1:], '.') AS key, i AS rank
     FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM labels_of)
@@ -185,23 +185,23 @@ tried AS (
   UNION ALL SELECT page_id, fetched_at, 'prefix', lower(host || '/' || array_to_string(seg[1:i], '/')), i + 1001
     FROM (SELECT *, unnest(range(1, len(seg) + 1)) AS i FROM labels_of)),
 active AS (
-  SELECT t.*, s.list, s.at FROM tried t JOIN spans s ON t.kind = s.kind AND t.key = s.key
-   AND s.at <= t.fetched_at AND (s.until IS NULL OR t.fetched_at < s.until)),
+  SELECT t.*, s.list, s.day FROM tried t JOIN spans s ON t.kind = s.kind AND t.key = s.key
+   AND s.day <= t.fetched_at AND (s.until IS NULL OR t.fetched_at < s.until)),
 best AS (
   SELECT *, count(*) OVER (PARTITION BY page_id) AS n,
-         row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, list = 'block' DESC, kind DESC, key DESC, at DESC) AS r
+         row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, list = 'block' DESC, kind DESC, key DESC, day DESC) AS r
   FROM active)
 SELECT p.page_id, p.host, p.fetched_at,
        CASE WHEN p.host IS NULL THEN 'no_host' WHEN b.list IS NULL THEN 'unlisted'
             WHEN b.list = 'block' THEN 'blocked' ELSE 'allowed' END AS verdict,
        CASE WHEN b.kind IS NULL THEN '' ELSE b.kind || ':' || b.key END AS listed_by,
-       b.at AS active_since, CAST(coalesce(b.n, 0) AS BIGINT) AS n_active
+       b.day AS active_since, CAST(coalesce(b.n, 0) AS BIGINT) AS n_active
 FROM p LEFT JOIN best b ON p.page_id = b.page_id AND b.r = 1
 """
 
 ORACLE["op7_decontaminate"] = r"""
-WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
-b AS (SELECT item_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
+WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 ds AS (SELECT DISTINCT id AS doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s
        FROM (SELECT id, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS i FROM d WHERE len(w) > 0)),
 bs AS (SELECT DISTINCT id AS item_id, array_to_string(w[i + 1:i + 5], ' ') AS s
