@@ -6,7 +6,7 @@ operators; only one-line summaries are printed on the driver.
   resources  STATS_CSV OUT_DIR        per-container avg/peak report (JSON lines, or one object)
   latency    LATENCY_FILE             "avg,min,max,p95" of a latency list
   group-lag  LISTING_FILE             "offset<TAB>log_end<TAB>lag" of a consumer-group listing
-  storage    SOURCE_DIR TABLE_DIR     storage consumer: valid readings to the table, rest to quarantine
+  storage    SOURCE_DIR TABLE_DIR     storage consumer: TABLE_DIR/rows (accepted and rejected) and TABLE_DIR/counts
   analytics  SOURCE_DIR OUT_DIR       analytics consumer: window statistics and alert records
   replay     READINGS_CSV OUT_DIR     readings as JSON messages in file order with batch numbers
   stats      READINGS_PATH            newest window statistics with the per-device breakdown (JSON)
@@ -15,6 +15,7 @@ operators; only one-line summaries are printed on the driver.
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import sys
 
 from pyspark.sql import functions as F
@@ -25,9 +26,10 @@ from fieldpulse.operators import replay as RP
 from fieldpulse.operators import resources as RS
 from fieldpulse.operators import windows as W
 from fieldpulse.schema import (
-    INSTANT_ALERT_THRESHOLD, READING_COLUMNS, REPLAY_BATCH_SIZE, WINDOW_ALERT_THRESHOLD, WINDOW_SECONDS,
+    INSTANT_ALERT_THRESHOLD, READING_COLUMNS, REPLAY_BATCH_SIZE, STORAGE_BATCH_SIZE,
+    WINDOW_ALERT_THRESHOLD, WINDOW_SECONDS,
 )
-from fieldpulse.session import build_session, scratch_path
+from fieldpulse.session import build_session, cluster_settings, scratch_path
 from fieldpulse.sinks import writers as K
 from fieldpulse.sources import files as FS
 from fieldpulse.streaming import jobs as S
@@ -54,44 +56,50 @@ def cmd_group_lag(spark, a) -> int:
     return 0
 
 
-def cmd_storage(spark, a) -> int:
-    if a.kafka_servers:
-        msgs = S.kafka_messages(spark, a.kafka_servers, a.topic, max_offsets_per_trigger=a.batch_size,
+def _messages(spark, a):
+    if a.kafka_servers:  # pragma: no cover - needs the Kafka connector and a broker
+        return S.kafka_messages(spark, a.kafka_servers, a.topic, max_offsets_per_trigger=a.max_offsets_per_trigger,
                                 min_partitions=a.min_partitions)
-    else:
-        msgs = S.file_messages(spark, a.source_dir, max_files_per_trigger=a.max_files_per_trigger)
-    quarantine = a.quarantine_dir or f"{a.table_dir.rstrip('/')}_quarantine"
+    return S.file_messages(spark, a.source_dir, max_files_per_trigger=a.max_files_per_trigger)
+
+
+def cmd_storage(spark, a) -> int:
     checkpoint = a.checkpoint or scratch_path(spark, "storage-checkpoint")
-    q = S.run_storage(msgs, a.table_dir, quarantine, checkpoint, available_now=not a.continuous,
-                      decode_parallelism=a.decode_parallelism)
+    also = S.jdbc_rows(a.jdbc_url, a.jdbc_table, {}, a.batch_size) if a.jdbc_url else None
+    q = S.run_storage(_messages(spark, a), a.table_dir, checkpoint, available_now=not a.continuous,
+                      decode_parallelism=a.decode_parallelism, also=also)
     if a.continuous:  # pragma: no cover - runs until stopped
         q.awaitTermination()
-    c = S.storage_progress(q)
-    print(f"received={c['received']} stored={c['stored']} errors={c['errors']}")
+    c = S.storage_counts(spark, a.table_dir).first()
+    print(f"received={c.received} stored={c.stored} errors={c.errors}")
     return 0
 
 
 def cmd_analytics(spark, a) -> int:
-    msgs = S.file_messages(spark, a.source_dir, max_files_per_trigger=a.max_files_per_trigger)
-    stats, instant, window = S.analytics_streams(msgs, size=f"{a.window_seconds} seconds", threshold=a.threshold,
-                                                 instant=a.instant, instant_threshold=a.instant_threshold)
     base = a.checkpoint or scratch_path(spark, "analytics-checkpoint")
-    out = a.out_dir.rstrip("/")
-    queries = [S.run_to_parquet(df, f"{out}/{name}", f"{base}/{name}", available_now=not a.continuous)
-               for name, df in (("window_stats", stats), ("instant_alerts", instant), ("window_alerts", window))]
-    if a.continuous:  # pragma: no cover - runs until stopped
-        for q in queries:
-            q.awaitTermination()
+    out, size = a.out_dir.rstrip("/"), f"{a.window_seconds} seconds"
+    view = S.analytics_view(_messages(spark, a))
+    alerts = S.instant_alert_stream(view, instant=a.instant, threshold=a.instant_threshold)
+    S.run_to_parquet(alerts, f"{out}/instant_alerts", f"{base}/instant_alerts", available_now=not a.continuous)
+    q = S.run_windows(view, f"{out}/window_partials", f"{base}/windows", size, available_now=not a.continuous)
+
+    def flush(closed_before=None):
+        S.emit_closed(spark, f"{out}/window_partials", f"{out}/window_stats", a.threshold, closed_before)
+
+    while a.continuous and not q.awaitTermination(a.window_seconds):  # pragma: no cover - runs until stopped
+        flush(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))    # by the clock: idle windows close too
+    flush()
+    stats = spark.read.parquet(f"{out}/window_stats")
+    S.window_alert_rows(stats, size).write.mode("overwrite").parquet(f"{out}/window_alerts")
     return 0
 
 
 def cmd_replay(spark, a) -> int:
     readings = FS.read_readings_csv(spark, a.readings_csv).withColumn("_file_pos", F.monotonically_increasing_id())
     batches = RP.replay_batches(readings, ["_file_pos"], batch_size=a.batch_size)
-    out = batches.select("batch_no", F.to_json(F.struct(*READING_COLUMNS)).alias("value"))
-    # one folder per release batch; a file stream with maxFilesPerTrigger and a
-    # 5 s processing-time trigger releases them at the original pace
-    out.write.mode("overwrite").partitionBy("batch_no").text(a.out_dir)
+    # few large files; batch_no and its release time tell when a message is due
+    (batches.select("batch_no", "release_offset_s", F.to_json(F.struct(*READING_COLUMNS)).alias("value"))
+     .write.mode("overwrite").parquet(a.out_dir))
     return 0
 
 
@@ -111,6 +119,7 @@ def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="fieldpulse", description=__doc__,
                                 formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("--master", default=None, help="Spark master (default local[$BENCH_CPUS or 8])")
+    p.add_argument("--input-gb", type=float, help="size of the input: sets shuffle partitions and file splits for it")
     sub = p.add_subparsers(dest="command", required=True)
 
     r = sub.add_parser("resources")
@@ -127,30 +136,32 @@ def build_parser() -> argparse.ArgumentParser:
     g.add_argument("listing_file")
     g.set_defaults(fn=cmd_group_lag)
 
+    def source(parser) -> None:
+        parser.add_argument("--kafka-servers", help="read a topic instead of SOURCE_DIR")
+        parser.add_argument("--topic", default="field-readings")
+        parser.add_argument("--max-offsets-per-trigger", type=int, help="Kafka: messages in a micro-batch")
+        parser.add_argument("--min-partitions", type=int, help="Kafka: tasks per micro-batch without a shuffle")
+        parser.add_argument("--max-files-per-trigger", type=int)
+        parser.add_argument("--checkpoint")
+        parser.add_argument("--continuous", action="store_true")
+
     st = sub.add_parser("storage")
     st.add_argument("source_dir", nargs="?")
     st.add_argument("table_dir")
-    st.add_argument("--quarantine-dir")
-    st.add_argument("--checkpoint")
-    st.add_argument("--kafka-servers")
-    st.add_argument("--topic", default="iot-agriculture-sensors")
-    st.add_argument("--batch-size", type=int, default=500)
-    st.add_argument("--max-files-per-trigger", type=int)
+    source(st)
+    st.add_argument("--batch-size", type=int, default=STORAGE_BATCH_SIZE, help="rows of an insert into a database")
+    st.add_argument("--jdbc-url", help="also insert accepted readings into this database")
+    st.add_argument("--jdbc-table", default="readings")
     st.add_argument("--decode-parallelism", type=int)
-    st.add_argument("--min-partitions", type=int, help="Kafka: tasks per micro-batch without a shuffle")
-    st.add_argument("--continuous", action="store_true")
     st.set_defaults(fn=cmd_storage)
-
     an = sub.add_parser("analytics")
-    an.add_argument("source_dir")
+    an.add_argument("source_dir", nargs="?")
     an.add_argument("out_dir")
-    an.add_argument("--checkpoint")
+    source(an)
     an.add_argument("--window-seconds", type=int, default=WINDOW_SECONDS)
     an.add_argument("--threshold", type=float, default=WINDOW_ALERT_THRESHOLD)
     an.add_argument("--instant", action="store_true")
     an.add_argument("--instant-threshold", type=float, default=INSTANT_ALERT_THRESHOLD)
-    an.add_argument("--max-files-per-trigger", type=int)
-    an.add_argument("--continuous", action="store_true")
     an.set_defaults(fn=cmd_analytics)
 
     rp = sub.add_parser("replay")
@@ -171,7 +182,8 @@ def build_parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     a = build_parser().parse_args(argv)
-    spark = spark or build_session(master=a.master)
+    if spark is None:
+        spark = build_session(master=a.master, extra=cluster_settings(int(a.input_gb * 1e9)) if a.input_gb else None)
     return a.fn(spark, a)
 
 

@@ -44,17 +44,16 @@ def analytics_counters(view: DataFrame, alert_col: str, order_cols: Sequence[str
                     iso_format(F.col("_last.at")).alias("last_alert_at"))
 
 
-def storage_counters(view: DataFrame, batch_size: int, group_cols: Sequence[str] = ()) -> DataFrame:
-    """received, stored (flushed rows), errors, buffered, batches_flushed.
+def storage_counters(counts: DataFrame, batch_size: int, group_cols: Sequence[str] = ()) -> DataFrame:
+    """received, stored (flushed rows), errors, buffered, batches_flushed, from the
+    counts that the storage consumer keeps of each micro-batch.
 
     Every message counts as received before parsing.  With batches (size > 1)
     rows are stored when a full batch is flushed; the rest stays buffered.
     A rejected message counts one error and does not take its batch along.
     """
-    g = _grouped(view, group_cols).agg(
-        F.count(F.lit(1)).alias("received"),
-        F.count_if(F.col("is_valid")).alias("_ok"),
-        F.count_if(~F.col("is_valid")).alias("errors"))
+    g = _grouped(counts, group_cols).agg(
+        F.sum("received").alias("received"), F.sum("stored").alias("_ok"), F.sum("errors").alias("errors"))
     ok = F.col("_ok")
     if batch_size > 1:
         b = F.lit(int(batch_size))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.numeric import round2
+from fieldpulse.functions.numeric import round2, text2
 from fieldpulse.operators.ordinal import floor_rank_pick, summary_with_floor_rank
 
 
@@ -27,20 +27,22 @@ def latency_summary(latencies: DataFrame, value_col: str = "latency_ms",
     group_cols = list(group_cols)
     s = summary_with_floor_rank(latencies, value_col, group_cols, q)
     n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
-    avg = F.when(n > 0, F.col("sum").cast("double") / n.cast("double"))
+    avg = F.when(n > 0, F.col("mean"))
     cols = []
     for src, dst in ((avg, "avg_ms"), (F.col("min"), "min_ms"), (F.col("max"), "max_ms"), (F.col("pick"), "p95_ms")):
         cols.append(round2(F.coalesce(src, F.lit(0.0))).alias(dst))
     out = s.select(*group_cols, n.alias("n"), *cols)
-    text = F.concat_ws(",", *[F.format_string("%.2f", F.col(c)) for c in ("avg_ms", "min_ms", "max_ms", "p95_ms")])
+    text = F.concat_ws(",", *[text2(c) for c in ("avg_ms", "min_ms", "max_ms", "p95_ms")])
     return out.withColumn("summary", text)
 
 
-def latency_match_flagged(view: DataFrame, alert_col: str, group_cols: Sequence[str], order_cols: Sequence[str],
-                          published_col: str = "published_at", latency_col: str = "e2e_latency_ms") -> DataFrame:
-    """:func:`latency_match` over one frame of sent messages with an alert flag.
+def latency_match(view: DataFrame, alert_col: str, group_cols: Sequence[str], order_cols: Sequence[str],
+                  published_col: str = "published_at", latency_col: str = "e2e_latency_ms") -> DataFrame:
+    """Accept a run's last alert latency only when it belongs to the last message sent.
 
-    One aggregation: the last message and the last alert (a ``max_by`` whose
+    ``view`` holds the sent messages with an alert flag; ``accepted_latency_ms``
+    is the last alert's latency when its ``published_at`` is that of the last
+    message by ``order_cols``, else null.  One aggregation: the last message and the last alert (a ``max_by`` whose
     key is null for non-alert rows) come from the same partial aggregate,
     without a second scan or a join.
     """
@@ -53,23 +55,3 @@ def latency_match_flagged(view: DataFrame, alert_col: str, group_cols: Sequence[
     match = F.coalesce(F.col("a.pa") == F.col("sent_published_at"), F.lit(False))
     return g.select(*group_cols, "sent_published_at", F.col("a.pa").alias("alert_published_at"),
                     match.alias("matched"), F.when(match, F.col("a.lat")).alias("accepted_latency_ms"))
-
-
-def latency_match(alerts: DataFrame, sent: DataFrame, group_cols: Sequence[str],
-                  order_cols: Sequence[str], published_col: str = "published_at",
-                  latency_col: str = "e2e_latency_ms") -> DataFrame:
-    """Accept a run's last alert latency only when it belongs to the last message sent.
-
-    Per group: the last alert and the last sent message by ``order_cols``;
-    ``accepted_latency_ms`` is the latency when their ``published_at`` match,
-    else null.  Both sides are partial ``max_by`` aggregates.
-    """
-    group_cols = list(group_cols)
-    key = F.struct(*order_cols)
-    last_alert = alerts.groupBy(*group_cols).agg(
-        F.max_by(F.struct(F.col(published_col).alias("pa"), F.col(latency_col).alias("lat")), key).alias("a"))
-    last_sent = sent.groupBy(*group_cols).agg(F.max_by(F.col(published_col), key).alias("sent_published_at"))
-    j = last_sent.join(last_alert, group_cols, "left")
-    match = F.coalesce(F.col("a.pa") == F.col("sent_published_at"), F.lit(False))
-    return j.select(*group_cols, "sent_published_at", F.col("a.pa").alias("alert_published_at"),
-                    match.alias("matched"), F.when(match, F.col("a.lat")).alias("accepted_latency_ms"))

@@ -64,8 +64,7 @@ def drain_stable(samples: DataFrame, group_cols: Sequence[str] = ("run",), ts_co
     hit = (F.col("_n") == width) & (F.col("_lo") == F.col("_hi"))
     first = F.min_by(F.struct(F.col("frame_end").alias("idx"), F.col("_last").alias("v")),
                      F.when(hit, F.col("frame_end")))
-    g = samples.select(*group_cols).distinct().join(
-        frames.groupBy(*group_cols).agg(first.alias("_d")), group_cols, "left")
+    g = frames.groupBy(*group_cols).agg(first.alias("_d"))       # every run has frames
     idx = F.col("_d.idx").cast("long")
     timed_out = idx.isNull() if timeout is None else (idx.isNull() | (idx >= F.lit(int(timeout))))
     return g.select(*group_cols, idx.alias("drained_index"), F.col("_d.v").alias("drained_value"),
@@ -84,9 +83,8 @@ def recovery_streak(samples: DataFrame, group_cols: Sequence[str] = ("run",), ts
     f = _frames(samples.select(*group_cols, ts_col, value_col), group_cols, ts_col, int(needed))
     frames = f.groupBy(*group_cols, "frame_end").agg(
         F.count_if(F.col(value_col) <= F.lit(limit)).alias("_ok"))
-    firsts = frames.groupBy(*group_cols).agg(
+    g = frames.groupBy(*group_cols).agg(
         F.min(F.when(F.col("_ok") == F.lit(int(needed)), F.col("frame_end"))).cast("long").alias("recovery_index"))
-    g = samples.select(*group_cols).distinct().join(firsts, group_cols, "left")
     text = F.when(F.col("recovery_index") < F.lit(horizon), (F.col("recovery_index") + 1).cast("string")) \
         .otherwise(F.lit(f"{horizon}+"))
     return g.select(*group_cols, "recovery_index", text.alias("recovery_s"))

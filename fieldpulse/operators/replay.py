@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldpulse.operators.ordinal import with_global_ordinal
 from fieldpulse.schema import REPLAY_BATCH_SIZE, REPLAY_INTERVAL_S
 
 
+PAGE_ROWS = 100_000          # rows that a top-k may hold in one task
+
+
 def replay_batches(readings: DataFrame, order_cols: Sequence[str] = ("arrival_ts", "event_id"),
                    batch_size: int = REPLAY_BATCH_SIZE, interval_s: int = REPLAY_INTERVAL_S) -> DataFrame:
     """Batch number ``floor((row - 1) / size) + 1`` in file order and the release
@@ -23,6 +26,16 @@ def replay_batches(readings: DataFrame, order_cols: Sequence[str] = ("arrival_ts
 
 def batch_slice(readings: DataFrame, skip: int, take: int,
                 order_cols: Sequence[str] = ("arrival_ts", "event_id")) -> DataFrame:
-    """``Skip(skip).Take(take)`` in file order."""
-    o = with_global_ordinal(readings, order_cols, name="row_no")
-    return o.where((F.col("row_no") > F.lit(int(skip))) & (F.col("row_no") <= F.lit(int(skip + take))))
+    """``Skip(skip).Take(take)`` in file order.
+
+    The first ``skip + take`` rows are taken as a top-k (each task keeps that
+    many); a slice that far into the table (``PAGE_ROWS``) is cut from the
+    distributed ordinal instead.
+    """
+    lo, hi = int(skip), int(skip + take)
+    if hi <= PAGE_ROWS:
+        order = Window.partitionBy(F.lit(0)).orderBy(*order_cols)       # of hi rows
+        o = readings.orderBy(*order_cols).limit(hi).withColumn("row_no", F.row_number().over(order).cast("long"))
+    else:
+        o = with_global_ordinal(readings, order_cols, name="row_no")
+    return o.where((F.col("row_no") > F.lit(lo)) & (F.col("row_no") <= F.lit(hi)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldpulse.functions.numeric import py_repr2, round2
 from fieldpulse.functions.parsing import parse_cpu, parse_mem_mb, parse_net_mb
-from fieldpulse.schema import BENCHMARK_SERVICES
+from fieldpulse.schema import BENCHMARK_SERVICES, SAMPLE_DEFAULTS
 
 REPORT_FIELDS = ("avg_cpu", "peak_cpu", "avg_ram_mb", "peak_ram_mb", "avg_net_mb", "peak_net_mb")
 
@@ -35,14 +35,15 @@ def service_filter(samples: DataFrame, services: Sequence[str] = BENCHMARK_SERVI
 def parsed_samples(samples: DataFrame) -> DataFrame:
     cols = set(samples.columns)
 
-    def col_or(name: str, default: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(default)) if name in cols else F.lit(default)
+    def col_or(name: str) -> Column:
+        default = F.lit(SAMPLE_DEFAULTS[name])
+        return F.coalesce(F.col(name), default) if name in cols else default
 
     return samples.select(
         "*",
-        parse_cpu(col_or("cpu_percent", "0")).alias("cpu"),
-        parse_mem_mb(col_or("mem_used", "0")).alias("ram_mb"),
-        parse_net_mb(col_or("net_io", "0 / 0")).alias("net_mb"))
+        parse_cpu(col_or("cpu_percent")).alias("cpu"),
+        parse_mem_mb(col_or("mem_used")).alias("ram_mb"),
+        parse_net_mb(col_or("net_io")).alias("net_mb"))
 
 
 def resource_by_container(samples: DataFrame, services: Sequence[str] = BENCHMARK_SERVICES) -> DataFrame:

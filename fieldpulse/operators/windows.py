@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.numeric import round2, safe_gt
+from fieldpulse.functions.numeric import mean_of, mean_parts, merged_parts, round2, safe_gt
 from fieldpulse.schema import WINDOW_ALERT_THRESHOLD
 
 
@@ -23,72 +23,71 @@ def _window(time_col: str, size: str, start: str | None) -> Column:
     return F.window(time_col, size, size, start) if start else F.window(time_col, size)
 
 
-EXACT_SCALE = 4   # temperatures are summed exactly at this many decimal places
-
-
-def exact_sum(c: Column, scale: int = EXACT_SCALE) -> Column:
-    """Sum as a decimal: the result does not depend on the order rows are added in
-    (partition layout, merge order), so means are reproducible to the last bit."""
-    return F.sum(c.cast(f"decimal(18,{scale})"))
-
-
 def usable(readings: DataFrame, temp_col: str = "temperature") -> DataFrame:
     """Readings that enter a window: a finite temperature."""
     return readings.where(_finite(F.col(temp_col)))
 
 
-def window_global_stats(readings: DataFrame, size: str = "10 seconds",
-                        threshold: float = WINDOW_ALERT_THRESHOLD, time_col: str = "arrival_ts",
-                        temp_col: str = "temperature", start: str | None = None) -> DataFrame:
-    """Per window: count, mean, min, max; alert when the unrounded mean > threshold.
-
-    The mean is an exact decimal sum divided once by the count.
-    """
+def window_partials(readings: DataFrame, size: str = "10 seconds", time_col: str = "arrival_ts",
+                    temp_col: str = "temperature", start: str | None = None) -> DataFrame:
+    """Per window the mergeable aggregates: count, sums, min, max."""
     t = F.col(temp_col)
-    g = (usable(readings, temp_col)
-         .groupBy(_window(time_col, size, start).alias("window"))
-         .agg(F.count(F.lit(1)).alias("count"), exact_sum(t).alias("_sum"),
-              F.min(t).alias("min_temperature"), F.max(t).alias("max_temperature")))
-    avg = _mean(F.col("_sum"), F.col("count"))
-    return g.select(
+    return (usable(readings, temp_col)
+            .groupBy(_window(time_col, size, start).alias("window"))
+            .agg(F.count(F.lit(1)).alias("count"), *mean_parts(t),
+                 F.min(t).alias("min_temperature"), F.max(t).alias("max_temperature")))
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Partials of the same windows (micro-batches, late rows) as one row per window."""
+    return partials.groupBy("window").agg(
+        F.sum("count").alias("count"), *merged_parts(),
+        F.min("min_temperature").alias("min_temperature"), F.max("max_temperature").alias("max_temperature"))
+
+
+def stats_of(partials: DataFrame, threshold: float = WINDOW_ALERT_THRESHOLD) -> DataFrame:
+    """Window statistics from one row of aggregates per window."""
+    avg = mean_of("count")
+    return partials.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
         "count", avg.alias("avg_temperature"), "min_temperature", "max_temperature",
         safe_gt(avg, threshold).alias("alert_triggered"),
         F.lit(float(threshold)).alias("threshold"))
 
 
+def window_global_stats(readings: DataFrame, size: str = "10 seconds",
+                        threshold: float = WINDOW_ALERT_THRESHOLD, time_col: str = "arrival_ts",
+                        temp_col: str = "temperature", start: str | None = None) -> DataFrame:
+    """Per window: count, mean, min, max; alert when the unrounded mean > threshold."""
+    return stats_of(window_partials(readings, size, time_col, temp_col, start), threshold)
+
+
 def window_device_stats(readings: DataFrame, size: str = "10 seconds", time_col: str = "arrival_ts",
                         temp_col: str = "temperature", device_col: str = "device_id",
                         start: str | None = None) -> DataFrame:
     """Per window and device: count, mean rounded to 2 decimals, min, max."""
-    t = F.col(temp_col)
-    g = (usable(readings, temp_col)
-         .groupBy(_window(time_col, size, start).alias("window"), F.col(device_col).alias("device_id"))
-         .agg(F.count(F.lit(1)).alias("count"), exact_sum(t).alias("_sum"),
-              F.min(t).alias("min"), F.max(t).alias("max")))
-    avg = round2(_mean(F.col("_sum"), F.col("count")))
-    return g.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                    "device_id", "count", avg.alias("avg"), "min", "max")
+    d = device_partials(readings, size, time_col, temp_col, device_col, start)
+    return d.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                    "device_id", F.col("d_count").alias("count"), round2(mean_of("d_count", "d")).alias("avg"),
+                    F.col("d_min").alias("min"), F.col("d_max").alias("max"))
 
 
 def device_partials(readings: DataFrame, size: str, time_col: str = "arrival_ts",
                     temp_col: str = "temperature", device_col: str = "device_id",
-                    scale: int = EXACT_SCALE, start: str | None = None) -> DataFrame:
-    """First level of the nested statistics: (window, device) partial sums.
-
-    Sums are exact decimals so that the window mean built from device
-    partials does not depend on the order partials are merged in.
-    """
+                    start: str | None = None) -> DataFrame:
+    """First level of the nested statistics: (window, device) partial sums."""
     t = F.col(temp_col)
     return (usable(readings, temp_col)
             .groupBy(_window(time_col, size, start).alias("window"), F.col(device_col).alias("device_id"))
-            .agg(F.count(F.lit(1)).alias("d_count"),
-                 exact_sum(t, scale).alias("d_sum"),
+            .agg(F.count(F.lit(1)).alias("d_count"), *mean_parts(t, "d"),
                  F.min(t).alias("d_min"), F.max(t).alias("d_max")))
 
 
-def _mean(sum_col: Column, count_col: Column) -> Column:
-    return sum_col.cast("double") / count_col.cast("double")
+def _window_totals(d: DataFrame, *more: Column) -> DataFrame:
+    """Second level: window totals from the device partials."""
+    return d.groupBy("window").agg(
+        F.sum("d_count").alias("count"), *merged_parts("d"),
+        F.min("d_min").alias("min_temperature"), F.max("d_max").alias("max_temperature"), *more)
 
 
 def window_stats_nested(readings: DataFrame, size: str = "10 seconds",
@@ -97,40 +96,43 @@ def window_stats_nested(readings: DataFrame, size: str = "10 seconds",
 
     Two chained aggregations (device partials, then windows); in streaming
     this runs in ``append`` mode.  The map holds one entry per device seen in
-    the window, which is the shape of the original output.
+    the window, which is the shape of the original output; with very many
+    devices in a window use :func:`window_stats_flat`.
     """
     d = device_partials(readings, size, **kw)
-    dev = F.struct(F.col("d_count").alias("count"), round2(_mean(F.col("d_sum"), F.col("d_count"))).alias("avg"),
+    dev = F.struct(F.col("d_count").alias("count"), round2(mean_of("d_count", "d")).alias("avg"),
                    F.col("d_min").alias("min"), F.col("d_max").alias("max"))
-    g = (d.groupBy("window")
-         .agg(F.sum("d_count").alias("count"), F.sum("d_sum").alias("w_sum"),
-              F.min("d_min").alias("min_temperature"), F.max("d_max").alias("max_temperature"),
-              F.map_from_entries(F.collect_list(F.struct(F.col("device_id"), dev))).alias("per_device")))
-    avg = _mean(F.col("w_sum"), F.col("count"))
+    g = _window_totals(d, F.map_from_entries(F.collect_list(F.struct(F.col("device_id"), dev))).alias("per_device"))
+    avg = mean_of("count", "d")
     return g.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                     "count", avg.alias("avg_temperature"), "min_temperature", "max_temperature", "per_device",
                     safe_gt(avg, threshold).alias("alert_triggered"), F.lit(float(threshold)).alias("threshold"))
 
 
+def exploded(nested: DataFrame) -> DataFrame:
+    """:func:`window_stats_nested` with its map as rows, one per (window, device)."""
+    rest = [c for c in nested.columns if c != "per_device"]
+    return nested.select(*rest, F.explode("per_device").alias("device_id", "_d")).select(
+        *rest, "device_id", F.col("_d.count").alias("device_count"), F.col("_d.avg").alias("device_avg"),
+        F.col("_d.min").alias("device_min"), F.col("_d.max").alias("device_max"))
+
+
 def window_stats_flat(readings: DataFrame, size: str = "10 seconds",
                       threshold: float = WINDOW_ALERT_THRESHOLD, **kw) -> DataFrame:
-    """The nested statistics with the map exploded: one row per (window, device).
+    """The rows of :func:`exploded` without building the maps.
 
     Window totals come from the device partials (a second partial/final
     aggregate) and are joined back on the window; AQE splits a window that
     holds a very large number of devices.
     """
     d = device_partials(readings, size, **kw)
-    w = (d.groupBy("window")
-         .agg(F.sum("d_count").alias("count"), F.sum("d_sum").alias("w_sum"),
-              F.min("d_min").alias("min_temperature"), F.max("d_max").alias("max_temperature")))
-    avg = _mean(F.col("w_sum"), F.col("count"))
+    avg = mean_of("count", "d")
+    w = _window_totals(d).select("window", "count", avg.alias("avg_temperature"), "min_temperature", "max_temperature")
     return d.join(w, "window").select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-        "count", avg.alias("avg_temperature"), "min_temperature", "max_temperature",
-        safe_gt(avg, threshold).alias("alert_triggered"), F.lit(float(threshold)).alias("threshold"),
-        "device_id", F.col("d_count").alias("device_count"),
-        round2(_mean(F.col("d_sum"), F.col("d_count"))).alias("device_avg"),
+        "count", "avg_temperature", "min_temperature", "max_temperature",
+        safe_gt(F.col("avg_temperature"), threshold).alias("alert_triggered"), F.lit(float(threshold)).alias("threshold"),
+        "device_id", F.col("d_count").alias("device_count"), round2(mean_of("d_count", "d")).alias("device_avg"),
         F.col("d_min").alias("device_min"), F.col("d_max").alias("device_max"))
 
 

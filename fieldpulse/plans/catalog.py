@@ -26,7 +26,7 @@ from fieldpulse.operators import resources as RS
 from fieldpulse.operators import windows as W
 from fieldpulse.operators.ordinal import with_global_ordinal
 from fieldpulse.schema import READING_COLUMNS, STORAGE_BATCH_SIZE
-from fieldpulse.session import parallelism_floor, prepare, scratch_path
+from fieldpulse.session import prepare, scratch_path
 from fieldpulse.sinks import writers as K
 from fieldpulse.sources import adapters as A
 from fieldpulse.sources import files as FS
@@ -44,6 +44,8 @@ INSTANT_THR = 40.0
 ORDER = ["arrival_ts", "event_id"]
 RECOVERY_CLOCK = "2024-01-10 00:00:00"
 RECOVERY_BASELINE = 3
+LAG_RECOVERY_LIMIT_S = 120 * 60      # the rule is 120 samples; here samples are hours apart
+MICRO_BATCHES = 6
 BURST_PHASE_START = "2024-01-15 00:00:00"
 SLICE_SKIP, SLICE_TAKE = 100, 20
 
@@ -67,6 +69,10 @@ def q_window_device_stats(spark, sf):
 
 
 def q_window_stats_nested(spark, sf):
+    return W.exploded(W.window_stats_nested(A.readings(_ev(spark, sf)), DAY, WIN_THR))
+
+
+def q_window_stats_flat(spark, sf):
     return W.window_stats_flat(A.readings(_ev(spark, sf)), DAY, WIN_THR)
 
 
@@ -81,7 +87,7 @@ def q_window_alert_predicate(spark, sf):
 # ---------------------------------------------------------------- messages
 def _analytics(spark, sf) -> DataFrame:
     msgs = A.messages(_ev(spark, sf))
-    return M.analytics_view(M.decode(msgs))
+    return M.analytics_view(M.decode(msgs, fields=M.ANALYTICS_FIELDS))
 
 
 def _storage(spark, sf) -> DataFrame:
@@ -110,10 +116,17 @@ def q_valid_reading_filter(spark, sf):
 
 
 def q_not_null_and_length_check(spark, sf):
-    v = M.not_null_and_length_flags(_storage(spark, sf))
+    v = M.not_null_and_length_flags(M.storage_view(M.decode(A.mixed_messages(_ev(spark, sf)))))
     return v.select("event_id", "timestamp_missing", "device_id_missing", "too_long")
 
 
+def q_message_reject_reasons(spark, sf):
+    """Every kind of accepted and rejected message, as both consumers see it."""
+    d = M.analytics_view(M.decode(A.mixed_messages(_ev(spark, sf))))
+    v = M.storage_view(d)
+    return v.select("event_id", "is_json", "is_object", "temperature_ok", "is_valid", "reject_reason", "irrigation_needed")
+
+
 def q_instant_alert_filter(spark, sf):
     v = _analytics(spark, sf).where("temperature_ok")
     return (v.where(AL.instant_alert_flag(F.col("a_temperature"), True, INSTANT_THR))
@@ -139,17 +152,16 @@ def q_analytics_counters(spark, sf):
 
 
 def q_storage_counters(spark, sf):
-    return C.storage_counters(_storage(spark, sf), STORAGE_BATCH_SIZE)
+    return C.storage_counters(S.storage_counts(spark, _stored(spark, sf)), STORAGE_BATCH_SIZE)
 
 
 def q_stored_count(spark, sf):
-    return C.stored_count(_storage(spark, sf).where("is_valid"))
+    return C.stored_count(S.stored_readings(spark, _stored(spark, sf)))
 
 
 def q_received_vs_parsed(spark, sf):
     """Storage counts a message before parsing; analytics after the JSON parse."""
-    msgs = A.messages(_ev(spark, sf))
-    v = M.analytics_view(M.decode(msgs))
+    v = _analytics(spark, sf)
     return v.agg(F.count(F.lit(1)).alias("storage_received"), F.count_if("is_json").alias("analytics_received"),
                  F.count_if("temperature_ok").alias("analytics_windowed"))
 
@@ -167,7 +179,7 @@ def _timed(spark, sf) -> DataFrame:
 def _latencies(spark, sf) -> DataFrame:
     t = _timed(spark, sf)
     a = AL.instant_alerts(t, True, INSTANT_THR, alert_at=F.col("alert_at"))
-    return a.select(F.col("crop_type").alias("run"), F.col("e2e_latency_ms").alias("latency_ms"))
+    return a.select("event_id", F.col("crop_type").alias("run"), F.col("e2e_latency_ms").alias("latency_ms"))
 
 
 def q_e2e_latency_ms(spark, sf):
@@ -193,7 +205,8 @@ def q_p95_floor_rank(spark, sf):
 
 def q_sort_values(spark, sf):
     """Full ascending sort of the latency list: each value with its 1-based position."""
-    return with_global_ordinal(_latencies(spark, sf).select("latency_ms"), ["latency_ms"], name="position")
+    values = _latencies(spark, sf).select("latency_ms", "event_id")
+    return with_global_ordinal(values, ["latency_ms", "event_id"], name="position").drop("event_id")
 
 
 def q_latency_summary(spark, sf):
@@ -206,7 +219,7 @@ def q_latency_match(spark, sf):
     lat = TF.latency_default(TF.e2e_latency_ms(P.parse_published_at(F.col("published_at")), F.col("alert_at")))
     view = t.select("run", "arrival_ts", "event_id", "published_at", alert.alias("is_alert"),
                     lat.alias("e2e_latency_ms"))
-    return L.latency_match_flagged(view, "is_alert", ["run"], ORDER)
+    return L.latency_match(view, "is_alert", ["run"], ORDER)
 
 
 def _instant_records(t: DataFrame) -> DataFrame:
@@ -218,7 +231,9 @@ def q_alert_sink(spark, sf):
     ev = _ev(spark, sf)
     inst = _instant_records(A.timed_readings(ev))
     win = AL.alert_records_window(W.window_alerts(W.window_global_stats(A.readings(ev), HOUR, WIN_THR)), 3600)
-    return AL.alert_sink(inst, win)
+    path = scratch_path(spark, "alerts")
+    K.append_table(AL.alert_sink(inst, win), path)
+    return spark.read.parquet(path)
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -311,6 +326,17 @@ def q_recovery_streak(spark, sf):
     return R.recovery_streak(_samples_hourly(spark, sf), limit=5, needed=10, horizon=180)
 
 
+def q_recovery_streak_long(spark, sf):
+    """The stricter rule of the log-based broker: 30 samples in a row."""
+    return R.recovery_streak(_samples_hourly(spark, sf), limit=5, needed=30, horizon=180)
+
+
+def q_lag_recovery(spark, sf):
+    """First sample with a lag of at most 5 after the clock starts, within the time limit."""
+    s = _samples_hourly(spark, sf)
+    return R.first_recovery(s, _ts(RECOVERY_CLOCK), F.col("value") <= F.lit(5), horizon_s=LAG_RECOVERY_LIMIT_S)
+
+
 def q_first_recovery(spark, sf):
     s = _samples_hourly(spark, sf)
     return R.first_recovery(s, _ts(RECOVERY_CLOCK), F.col("value") > F.lit(RECOVERY_BASELINE))
@@ -336,13 +362,13 @@ def q_outage_messages(spark, sf):
 
 # ---------------------------------------------------------------- sources
 def q_topic_scan_analytics(spark, sf):
-    d = M.decode(A.counter_documents(_ev(spark, sf)))
+    d = M.decode(A.counter_documents(_ev(spark, sf)), fields=("k",))
     k = F.from_json(F.col("value"), "k int").getField("k")
     return d.where("is_json").select(F.col("event_id").alias("offset"), "value", k.alias("k"))
 
 
 def q_topic_scan_storage(spark, sf):
-    d = M.decode(A.counter_documents(_ev(spark, sf)))
+    d = M.decode(A.mixed_messages(_ev(spark, sf)))
     return d.select(F.col("event_id").alias("offset"), (~F.col("is_object")).alias("is_error"))
 
 
@@ -389,7 +415,10 @@ def q_csv_reading_scan(spark, sf):
 
 def q_stats_sample_scan(spark, sf):
     path = scratch_path(spark, "stats-csv")
-    _samples(spark, sf).drop("event_id").write.option("header", True).csv(path)
+    absent = F.col("event_id") % 11 == 0                  # such samples lack their measurements
+    s = _samples(spark, sf)
+    cols = [F.when(~absent, F.col(c)).alias(c) for c in ("cpu_percent", "mem_used", "net_io")]
+    s.select("timestamp", F.col("container").alias("name"), *cols).write.option("header", True).csv(path)
     return FS.read_stats_samples(spark, path)
 
 
@@ -404,35 +433,45 @@ def q_publish_json(spark, sf):
     r = A.readings(_ev(spark, sf)).select(
         "event_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
         "device_id", "crop_type", "temperature")
-    return K.publish_json(r, ["timestamp", "device_id", "crop_type", "temperature"], key="event_id")
+    path = scratch_path(spark, "published")
+    K.append_table(K.publish_json(r, ["timestamp", "device_id", "crop_type", "temperature"], key="event_id"), path)
+    return spark.read.parquet(path)
+
 
+_STORED: dict[tuple[str, str], str] = {}
 
-def _run_storage_stream(spark, sf):
+
+def _stored(spark, sf) -> str:
+    """Where the storage consumer has put the table's messages (run once per session and table)."""
     prepare(spark)
-    msgs = A.messages(S.table_stream(spark, sf, "events"))
-    good, bad, ck = (scratch_path(spark, n) for n in ("stored", "quarantine", "storage-ckpt"))
-    # spread micro-batches only when the table itself is narrower than the cluster
-    floor = parallelism_floor(A.events(spark, sf))
-    q = S.run_storage(msgs, good, bad, ck, decode_parallelism=floor)
-    return q, good, bad
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        msgs = A.messages(S.dealt_stream(A.events(spark, sf), "event_id", MICRO_BATCHES))
+        path = scratch_path(spark, "storage")
+        S.run_storage(msgs, path, scratch_path(spark, "storage-ckpt"))
+        _STORED[key] = path
+    return _STORED[key]
 
 
 def q_append_reading(spark, sf):
-    _, good, _ = _run_storage_stream(spark, sf)
-    return spark.read.parquet(good).select(*READING_COLUMNS)
+    return S.stored_readings(spark, _stored(spark, sf)).select(*READING_COLUMNS)
 
 
 def q_drain(spark, sf):
-    q, _, _ = _run_storage_stream(spark, sf)
-    return spark.createDataFrame([(S.processed_rows(q),)], "flushed long")
+    return S.storage_counts(spark, _stored(spark, sf)).select(F.col("received").alias("flushed"))
 
 
 def q_append_batch(spark, sf):
-    v = _storage(spark, sf).where("is_valid").select("event_id", "arrival_ts")
-    o = with_global_ordinal(v, ORDER, name="row_no")
-    b = (F.floor((F.col("row_no") - 1) / F.lit(STORAGE_BATCH_SIZE))).cast("long")
-    g = o.groupBy(b.alias("batch_id")).agg(F.count(F.lit(1)).alias("rows"))
-    return g.select("batch_id", "rows", (F.col("rows") == F.lit(STORAGE_BATCH_SIZE)).alias("flushed"))
+    """Accepted readings appended in full batches in arrival order; the rest stays in the buffer."""
+    v = _storage(spark, sf).where("is_valid").select("event_id", "arrival_ts", "device_id", "temperature")
+    o = with_global_ordinal(v, ORDER, name="row_no", with_total=True)
+    batch = F.floor((F.col("row_no") - 1) / F.lit(STORAGE_BATCH_SIZE)).cast("long")
+    full = (batch + 1) * STORAGE_BATCH_SIZE <= F.col("row_no_total")
+    path = scratch_path(spark, "batches")
+    K.append_table(o.select("event_id", "arrival_ts", "device_id", "temperature", batch.alias("batch_id"),
+                            full.alias("flushed")), path)
+    return (spark.read.parquet(path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"),
+                                                             F.bool_and("flushed").alias("flushed")))
 
 
 def q_write_resource_report(spark, sf):
@@ -457,30 +496,23 @@ def q_result_pairs(spark, sf):
 
 # ---------------------------------------------------------------- streaming
 def _events_stream(spark, sf) -> DataFrame:
-    """The events table as a stream source, taken in one micro-batch.
-
-    Arrival time here comes from the data, and the table's files carry no
-    arrival order; split into several micro-batches, rows of an earlier
-    window could arrive after the watermark passed it and be dropped as
-    late.  A live source (topic, landing folder) arrives in order.
-    """
+    """The events table in micro-batches that each hold rows of all times."""
     prepare(spark)
-    return S.table_stream(spark, sf, "events")
+    return S.dealt_stream(A.events(spark, sf), "event_id", MICRO_BATCHES)
+
+
+def _streamed_windows(spark, sf) -> DataFrame:
+    path = scratch_path(spark, "windows")
+    S.run_windows(A.readings(_events_stream(spark, sf)), path, scratch_path(spark, "window-ckpt"), HOUR)
+    return S.window_results(spark, path, WIN_THR)
 
 
 def q_tumbling_arrival_window(spark, sf):
-    stats = S.window_stats_stream(A.readings(_events_stream(spark, sf)), HOUR, WIN_THR)
-    out, ck = scratch_path(spark, "window-stats"), scratch_path(spark, "window-ckpt")
-    S.run_to_parquet(stats, out, ck, mode="append")
-    return spark.read.parquet(out)
+    return _streamed_windows(spark, sf)
 
 
 def q_window_alert_stream(spark, sf):
-    stats = S.window_stats_stream(A.readings(_events_stream(spark, sf)), HOUR, WIN_THR)
-    rec = AL.alert_records_window(W.window_alerts(stats), 3600)
-    out, ck = scratch_path(spark, "window-alerts"), scratch_path(spark, "window-alerts-ckpt")
-    S.run_to_parquet(rec, out, ck, mode="append")
-    return spark.read.parquet(out)
+    return S.window_alert_rows(_streamed_windows(spark, sf), HOUR)
 
 
 def q_instant_alert_stream(spark, sf):
@@ -518,6 +550,7 @@ QUERIES: dict[str, Query] = {
     "window_alert_predicate": q_window_alert_predicate,
     "service_filter": q_service_filter,
     "valid_reading_filter": q_valid_reading_filter,
+    "message_reject_reasons": q_message_reject_reasons,
     "not_null_and_length_check": q_not_null_and_length_check,
     "latency_match": q_latency_match,
     "report_field_lookup": q_report_field_lookup,
@@ -538,6 +571,7 @@ QUERIES: dict[str, Query] = {
     "window_global_stats": q_window_global_stats,
     "window_device_stats": q_window_device_stats,
     "window_stats_nested": q_window_stats_nested,
+    "window_stats_flat": q_window_stats_flat,
     "latest_window": q_latest_window,
     "analytics_counters": q_analytics_counters,
     "storage_counters": q_storage_counters,
@@ -552,6 +586,8 @@ QUERIES: dict[str, Query] = {
     "sort_values": q_sort_values,
     "drain_stable": q_drain_stable,
     "recovery_streak": q_recovery_streak,
+    "recovery_streak_long": q_recovery_streak_long,
+    "lag_recovery": q_lag_recovery,
     "first_recovery": q_first_recovery,
     "progress_every_n": q_progress_every_n,
     "batch_slice": q_batch_slice,

@@ -15,12 +15,17 @@ ALERT_AT = "(ts + to_milliseconds(event_id % 3000))"
 LAT = "CAST(event_id % 3000 AS DOUBLE)"
 
 
+def uuid_of(x: str) -> str:
+    h = f"md5(CAST({x} AS VARCHAR))"
+    return " || '-' || ".join(f"substr({h}, {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+
+
 def r2(x: str) -> str:
-    return f"(floor(({x}) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE)"
+    return f"CAST(printf('%.2f', {x}) AS DOUBLE)"
 
 
 def repr2(x: str) -> str:
-    return f"regexp_replace(printf('%.2f', {r2(x)}), '0$', '')"
+    return f"regexp_replace(printf('%.2f', {x}), '0$', '')"
 
 
 def iso(x: str) -> str:
@@ -28,7 +33,12 @@ def iso(x: str) -> str:
             f"ELSE strftime({x}, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00')")
 
 
-EXACT_MEAN = "(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / CAST(count(*) AS DOUBLE))"
+def exact_sum(x: str) -> str:
+    """The sum of the values' decimal texts, as the nearest double."""
+    return f"CAST(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE)"
+
+
+EXACT_MEAN = f"({exact_sum('value')} / CAST(count(*) AS DOUBLE))"
 
 
 def a1(width: str) -> str:
@@ -101,7 +111,7 @@ P95 = (f"SELECT run, latency_ms AS p95_ms FROM (SELECT run, latency_ms, "
 LOSS = (f"SELECT run, sent, stored, CASE WHEN sent <= 0 THEN 0.0::DOUBLE "
         f"ELSE CAST(sent - stored AS DOUBLE) * 100.0::DOUBLE / CAST(sent AS DOUBLE) END AS loss_pct FROM ("
         f"SELECT event_type AS run, count(*) AS sent, count(*) FILTER (WHERE {GOOD}) AS stored FROM events GROUP BY ALL)")
-LOSS_FULL = f"SELECT run, sent, stored, loss_pct, printf('%.2f', {r2('loss_pct')}) AS loss_text FROM ({LOSS})"
+LOSS_FULL = f"SELECT run, sent, stored, loss_pct, printf('%.2f', loss_pct) AS loss_text FROM ({LOSS})"
 
 SNAP = (
     "SELECT run, db_before, db_after, received_before, received_after, "
@@ -124,12 +134,24 @@ INSTANT_RECORDS = (
     f"{LAT} AS e2e_latency_ms FROM events WHERE {FINITE} AND value > 40.0::DOUBLE")
 
 
-def window_records(width: str, size_s: int, closed_only: bool = False) -> str:
-    cond = " AND window_end <= (SELECT max(ts) FROM events)" if closed_only else ""
+def window_records(width: str, size_s: int) -> str:
     return (f"SELECT 'window' AS kind, NULL::VARCHAR AS device_id, avg_temperature AS temperature, threshold, "
             f"CAST({size_s} AS BIGINT) AS window_size_s, \"count\", NULL::VARCHAR AS published_at, "
             f"window_end AS alert_at, NULL::DOUBLE AS e2e_latency_ms FROM ({a1(width)}) "
-            f"WHERE alert_triggered{cond}")
+            f"WHERE alert_triggered")
+
+
+def streak(limit: int, needed: int) -> str:
+    """First sample index at which ``value <= limit`` has held ``needed`` samples in a row."""
+    return (
+        "WITH i AS (SELECT run, sample_ts, value, row_number() OVER (PARTITION BY run ORDER BY sample_ts) - 1 AS idx, "
+        f"sum(CASE WHEN value <= {limit} THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY sample_ts "
+        f"ROWS UNBOUNDED PRECEDING) AS brk FROM ({HOURLY})), "
+        f"j AS (SELECT *, sum(CASE WHEN value <= {limit} THEN 1 ELSE 0 END) OVER (PARTITION BY run, brk ORDER BY sample_ts "
+        "ROWS UNBOUNDED PRECEDING) AS streak FROM i), "
+        f"g AS (SELECT run, min(idx) FILTER (WHERE streak >= {needed}) AS recovery_index FROM j GROUP BY run) "
+        "SELECT run, recovery_index, CASE WHEN recovery_index < 180 THEN CAST(recovery_index + 1 AS VARCHAR) "
+        "ELSE '180+' END AS recovery_s FROM g")
 
 
 def _last(where: str, expr: str) -> str:
@@ -138,16 +160,25 @@ def _last(where: str, expr: str) -> str:
 
 ALERT_ROWS = f"{GOOD} AND {FINITE} AND value > 40.0::DOUBLE"
 
+NESTED = (
+    "WITH d AS (SELECT time_bucket(INTERVAL '1 day', ts) AS ws, CAST(user_id AS VARCHAR) AS device_id, "
+    f"count(*) AS dc, {r2(EXACT_MEAN)} AS da, min(value) AS dmin, max(value) AS dmax "
+    f"FROM events WHERE {FINITE} GROUP BY ALL) "
+    "SELECT w.*, d.device_id, d.dc AS device_count, d.da AS device_avg, d.dmin AS device_min, "
+    f"d.dmax AS device_max FROM d JOIN ({a1('1 day')}) w ON d.ws = w.window_start")
+
 ORACLE: dict[str, str] = {
     # ------------------------------------------------------------ sources
     "csv_reading_scan": f"SELECT {READING17} FROM events",
     "topic_scan_analytics": "SELECT event_id AS offset, props AS value, "
                             "TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
-    "topic_scan_storage": "SELECT event_id AS offset, false AS is_error FROM events",
+    "topic_scan_storage": "SELECT event_id AS offset, event_id % 16 <= 6 AS is_error FROM events",
     "replay_batches": ("SELECT event_id, row_no, (row_no - 1) // 20 + 1 AS batch_no, ((row_no - 1) // 20) * 5 "
                        "AS release_offset_s FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS row_no "
                        "FROM events)"),
-    "stats_sample_scan": f"SELECT timestamp, container, cpu_percent, mem_used, net_io FROM ({SAMPLES})",
+    "stats_sample_scan": (f"SELECT timestamp, container, CASE WHEN event_id % 11 = 0 THEN '0' ELSE cpu_percent END "
+                          f"AS cpu_percent, CASE WHEN event_id % 11 = 0 THEN '0' ELSE mem_used END AS mem_used, "
+                          f"CASE WHEN event_id % 11 = 0 THEN '0 / 0' ELSE net_io END AS net_io FROM ({SAMPLES})"),
     "latency_scan": f"SELECT latency_ms FROM ({LATENCIES})",
     "offset_table_scan": f"SELECT partition, current_offset, log_end_offset, lag FROM ({OFFSETS})",
     "stored_count": f"SELECT count(*) AS stored_count FROM events WHERE {GOOD}",
@@ -161,7 +192,7 @@ ORACLE: dict[str, str] = {
                               "END AS BIGINT), 0) AS k, coalesce(json_extract_string(props, '$.missing'), '') AS missing "
                               "FROM events"),
     # ------------------------------------------------------------ sinks
-    "publish_json": ("SELECT CAST(event_id AS VARCHAR) AS key, "
+    "publish_json": (f"SELECT {uuid_of('event_id')} AS key, "
                      "to_json(struct_pack(timestamp := strftime(ts, '%Y-%m-%d %H:%M:%S'), "
                      "device_id := CAST(user_id AS VARCHAR), crop_type := event_type, temperature := value))::VARCHAR "
                      "AS value FROM events"),
@@ -189,10 +220,15 @@ ORACLE: dict[str, str] = {
     "service_filter": f"SELECT event_id, container FROM ({SAMPLES}) WHERE container <> '' AND {SERVICE}",
     "valid_reading_filter": ("SELECT event_id, event_id % 97 <> 0 AS is_valid, "
                              "CASE WHEN event_id % 97 = 0 THEN 'not_json_object' END AS reject_reason FROM events"),
-    "not_null_and_length_check": ("SELECT event_id, event_id % 97 = 0 AS timestamp_missing, "
-                                  "event_id % 97 = 0 AS device_id_missing, "
-                                  "coalesce(length(CAST(user_id AS VARCHAR)) > 50 OR length(event_type) > 50, false) "
-                                  "AND event_id % 97 <> 0 AS too_long FROM events"),
+    "message_reject_reasons": (
+        "SELECT event_id, k >= 5 AS is_json, k >= 7 AS is_object, "
+        f"k = 8 OR (k >= 7 AND k <> 9 AND {FINITE}) AS temperature_ok, k = 10 OR k >= 12 AS is_valid, "
+        "CASE WHEN k <= 6 THEN 'not_json_object' WHEN k IN (9, 11) THEN 'bad_value' WHEN k = 8 THEN 'null_required' "
+        "WHEN k = 7 THEN 'too_long' END AS reject_reason, CASE WHEN k = 10 THEN 1 END AS irrigation_needed "
+        "FROM (SELECT *, event_id % 16 AS k FROM events)"),
+    "not_null_and_length_check": ("SELECT event_id, event_id % 16 <= 6 AS timestamp_missing, "
+                                  "event_id % 16 <= 6 OR event_id % 16 = 8 AS device_id_missing, "
+                                  "event_id % 16 = 7 AS too_long FROM events"),
     "latency_match": (
         f"WITH ls AS (SELECT run, pa AS sent_published_at FROM (SELECT event_type AS run, {PUB} AS pa, "
         f"row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1), "
@@ -230,17 +266,8 @@ ORACLE: dict[str, str] = {
         "time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS window_end, CAST(user_id AS VARCHAR) AS device_id, "
         f"count(*) AS \"count\", {r2(EXACT_MEAN)} AS \"avg\", min(value) AS \"min\", max(value) AS \"max\" "
         f"FROM events WHERE {FINITE} GROUP BY ALL"),
-    "window_stats_nested": (
-        "WITH d AS (SELECT time_bucket(INTERVAL '1 day', ts) AS ws, CAST(user_id AS VARCHAR) AS device_id, "
-        "count(*) AS dc, sum(CAST(value AS DECIMAL(18,4))) AS ds, min(value) AS dmin, max(value) AS dmax "
-        f"FROM events WHERE {FINITE} GROUP BY ALL), "
-        "w AS (SELECT ws, CAST(sum(dc) AS BIGINT) AS c, sum(ds) AS s, min(dmin) AS mn, max(dmax) AS mx FROM d GROUP BY ws) "
-        "SELECT d.ws AS window_start, d.ws + INTERVAL '1 day' AS window_end, w.c AS \"count\", "
-        "CAST(w.s AS DOUBLE) / CAST(w.c AS DOUBLE) AS avg_temperature, w.mn AS min_temperature, "
-        "w.mx AS max_temperature, CAST(w.s AS DOUBLE) / CAST(w.c AS DOUBLE) > 50.0::DOUBLE AS alert_triggered, "
-        "50.0::DOUBLE AS threshold, d.device_id, d.dc AS device_count, "
-        f"{r2('CAST(d.ds AS DOUBLE) / CAST(d.dc AS DOUBLE)')} AS device_avg, d.dmin AS device_min, "
-        "d.dmax AS device_max FROM d JOIN w ON d.ws = w.ws"),
+    "window_stats_nested": NESTED,
+    "window_stats_flat": NESTED,
     "latest_window": (f"SELECT window_start, window_end, \"count\", {r2('avg_temperature')} AS avg_temperature, "
                       f"{r2('min_temperature')} AS min_temperature, {r2('max_temperature')} AS max_temperature, "
                       f"alert_triggered, threshold FROM ({a1('1 hour')}) ORDER BY window_end DESC LIMIT 1"),
@@ -256,10 +283,9 @@ ORACLE: dict[str, str] = {
     "resource_by_container": REPORT,
     "latency_summary": (
         f"SELECT s.run, s.n, {r2('s.a')} AS avg_ms, {r2('s.mn')} AS min_ms, {r2('s.mx')} AS max_ms, "
-        f"{r2('p.p95_ms')} AS p95_ms, printf('%.2f', {r2('s.a')}) || ',' || printf('%.2f', {r2('s.mn')}) || ',' || "
-        f"printf('%.2f', {r2('s.mx')}) || ',' || printf('%.2f', {r2('p.p95_ms')}) AS summary FROM "
-        f"(SELECT run, count(*) AS n, CAST(sum(CAST(latency_ms AS DECIMAL(18,4))) AS DOUBLE) / CAST(count(*) AS DOUBLE) "
-        f"AS a, min(latency_ms) AS mn, max(latency_ms) AS mx "
+        f"{r2('p.p95_ms')} AS p95_ms, printf('%.2f', s.a) || ',' || printf('%.2f', s.mn) || ',' || "
+        f"printf('%.2f', s.mx) || ',' || printf('%.2f', p.p95_ms) AS summary FROM "
+        f"(SELECT run, count(*) AS n, {exact_sum('latency_ms')} / CAST(count(*) AS DOUBLE) AS a, min(latency_ms) AS mn, max(latency_ms) AS mx "
         f"FROM ({LATENCIES}) GROUP BY run) s LEFT JOIN ({P95}) p ON s.run = p.run"),
     "group_lag": ("SELECT CAST(coalesce(sum(current_offset), sum(log_end_offset), 0) AS BIGINT) AS \"offset\", "
                   "CAST(coalesce(sum(log_end_offset), 0) AS BIGINT) AS log_end_offset, "
@@ -283,15 +309,14 @@ ORACLE: dict[str, str] = {
         "SELECT run, min(idx) FILTER (WHERE reps >= 3) AS drained_index, "
         "arg_min(value, idx) FILTER (WHERE reps >= 3) AS drained_value, "
         "min(idx) FILTER (WHERE reps >= 3) IS NULL AS timed_out FROM k GROUP BY run"),
-    "recovery_streak": (
-        "WITH i AS (SELECT run, sample_ts, value, row_number() OVER (PARTITION BY run ORDER BY sample_ts) - 1 AS idx, "
-        "sum(CASE WHEN value <= 5 THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY sample_ts "
-        f"ROWS UNBOUNDED PRECEDING) AS brk FROM ({HOURLY})), "
-        "j AS (SELECT *, sum(CASE WHEN value <= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY run, brk ORDER BY sample_ts "
-        "ROWS UNBOUNDED PRECEDING) AS streak FROM i), "
-        "g AS (SELECT run, min(idx) FILTER (WHERE streak >= 10) AS recovery_index FROM j GROUP BY run) "
-        "SELECT run, recovery_index, CASE WHEN recovery_index < 180 THEN CAST(recovery_index + 1 AS VARCHAR) "
-        "ELSE '180+' END AS recovery_s FROM g"),
+    "recovery_streak": streak(5, 10),
+    "recovery_streak_long": streak(5, 30),
+    "lag_recovery": (
+        "WITH g AS (SELECT run, min(sample_ts) FILTER (WHERE sample_ts >= TIMESTAMP '2024-01-10 00:00:00' AND value <= 5) "
+        f"AS f FROM ({HOURLY}) GROUP BY run), "
+        "s AS (SELECT run, CAST(epoch(f) - epoch(TIMESTAMP '2024-01-10 00:00:00') AS BIGINT) AS t FROM g) "
+        "SELECT run, CASE WHEN t <= 7200 THEN t END AS recovery_seconds, "
+        "CASE WHEN t <= 7200 THEN CAST(t AS VARCHAR) ELSE '120+' END AS recovery_s FROM s"),
     "first_recovery": (
         "WITH g AS (SELECT run, min(sample_ts) FILTER (WHERE sample_ts >= TIMESTAMP '2024-01-10 00:00:00' AND value > 3) "
         f"AS f FROM ({HOURLY}) GROUP BY run) "
@@ -302,10 +327,10 @@ ORACLE: dict[str, str] = {
                          "AS received_so_far FROM events) WHERE received_so_far % 1000 = 0"),
     "batch_slice": ("SELECT event_id, row_no FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS row_no "
                     "FROM events) WHERE row_no > 100 AND row_no <= 120"),
-    # ------------------------------------------------------------ streaming (closed windows only)
-    "tumbling_arrival_window": f"SELECT * FROM ({a1('1 hour')}) WHERE window_end <= (SELECT max(ts) FROM events)",
+    # ------------------------------------------------------------ streaming
+    "tumbling_arrival_window": a1("1 hour"),
     "instant_alert_stream": INSTANT_RECORDS,
-    "window_alert_stream": window_records("1 hour", 3600, closed_only=True),
+    "window_alert_stream": window_records("1 hour", 3600),
     "received_vs_parsed": (f"SELECT count(*) AS storage_received, count(*) FILTER (WHERE {GOOD}) AS analytics_received, "
                            f"count(*) FILTER (WHERE {GOOD} AND {FINITE}) AS analytics_windowed FROM events"),
 }

@@ -61,28 +61,9 @@ READING_FIELDS: list[tuple[str, T.DataType]] = [
 READING_COLUMNS = [n for n, _ in READING_FIELDS]
 READING = T.StructType([T.StructField(n, t, True) for n, t in READING_FIELDS])
 
-# Wire schema of a message: every field is read as text so that quoted
-# numbers survive and malformed values can be cast with try_cast.
+# Fields of a message; every one is read as text so that quoted numbers
+# survive and malformed values can be cast with try_cast.
 MESSAGE_FIELDS = READING_COLUMNS + ["message_id", "published_at"]
-MESSAGE_WIRE = T.StructType([T.StructField(n, T.StringType(), True) for n in MESSAGE_FIELDS])
 
-DEVICE_STATS = T.StructType([
-    T.StructField("count", T.LongType()),
-    T.StructField("avg", T.DoubleType()),
-    T.StructField("min", T.DoubleType()),
-    T.StructField("max", T.DoubleType()),
-])
-
-WINDOW_STATS = T.StructType([
-    T.StructField("window_start", T.TimestampType()),
-    T.StructField("window_end", T.TimestampType()),
-    T.StructField("count", T.LongType()),
-    T.StructField("avg_temperature", T.DoubleType()),
-    T.StructField("min_temperature", T.DoubleType()),
-    T.StructField("max_temperature", T.DoubleType()),
-    T.StructField("per_device", T.MapType(T.StringType(), DEVICE_STATS)),
-    T.StructField("alert_triggered", T.BooleanType()),
-    T.StructField("threshold", T.DoubleType()),
-])
-
-SAMPLE_COLUMNS = ("timestamp", "container", "cpu_percent", "mem_used", "net_io")
+# Texts that stand for an absent measurement of a container sample (fixed values).
+SAMPLE_DEFAULTS = {"cpu_percent": "0", "mem_used": "0", "net_io": "0 / 0"}

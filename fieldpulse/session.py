@@ -22,7 +22,6 @@ def build_session(master: str | None = None, app: str = "fieldpulse",
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
          .config("spark.driver.memory", "8g")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          # streaming window state off the JVM heap, snapshotted with the checkpoint
@@ -30,6 +29,8 @@ def build_session(master: str | None = None, app: str = "fieldpulse",
                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
          # checkpoints written to cut lineage are deleted once nothing refers to them
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
+    if shuffle_partitions or master.startswith("local"):       # a cluster keeps its own setting
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -87,37 +88,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             configured = None
     if not configured:
-        # local/test sessions only: a cluster names a shared folder itself
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="fieldpulse-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def parallelism_floor(df) -> int | None:
-    """The task count to spread ``df`` to, or None when it is already wide enough."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session)
-        return None
-    return target if current < target else None
+#: tasks to spread a narrow batch input over before CPU-heavy work; unset: none, and no shuffle
+DECODE_TASKS_KEY = "fieldpulse.decode.tasks"
 
 
 def spread(df, *keys: str):
-    """Raise a small batch input to the cluster's parallelism before CPU-heavy work.
+    """Spread a batch input over ``fieldpulse.decode.tasks`` tasks, if the session sets it.
 
     A table stored as one row group scans as one task, and every per-message
-    JSON encode/decode would then run on one core.  When the input already
-    has at least ``defaultParallelism`` partitions (any large input) the frame
-    is returned unchanged: no shuffle is added at scale.  The hash keys keep
-    the repartition deterministic on retry.
+    JSON encode/decode then runs on one core.  A wide table needs no setting
+    (and gets no shuffle).  The hash keys keep the rows' places the same on a
+    retry.
     """
-    if df.isStreaming:
-        return df
-    target = parallelism_floor(df)
-    if target is None:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    tasks = df.sparkSession.conf.get(DECODE_TASKS_KEY, None)
+    return df if df.isStreaming or not tasks else df.repartition(int(tasks), *keys)
 
 
 def local_path(path: str) -> str:
@@ -131,7 +122,7 @@ def local_path(path: str) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
-    base = (checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir", "")).rstrip("/")
+    base = checkpoint_dir(spark).rstrip("/")
     if not base:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"

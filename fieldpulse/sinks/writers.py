@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldpulse.schema import READING_COLUMNS
 
 
+def uuid_of(value: Column) -> Column:
+    """A UUID text made from a value's MD5."""
+    h = F.md5(value.cast("string"))
+    return F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def publish_json(readings: DataFrame, columns: Sequence[str] = READING_COLUMNS, key: str | None = None) -> DataFrame:
-    """(key, value) messages: a random key (or a given column) and the reading as
-    a JSON object; null fields are left out of the object."""
+    """(key, value) messages: a random UUID (or one made from a column, which is
+    the same on every retry) and the reading as a JSON object; null fields are
+    left out of the object."""
     present = [c for c in columns if c in readings.columns]
-    k = F.uuid() if key is None else F.col(key).cast("string")
+    k = F.uuid() if key is None else uuid_of(F.col(key))
     return readings.select(k.alias("key"), F.to_json(F.struct(*present)).alias("value"))
 
 
@@ -47,7 +54,3 @@ def result_pairs(runs: DataFrame, id_cols: Sequence[str], keys: Sequence[str]) -
     """``key: value`` result lines as a long table (run id, key, value text)."""
     wide = runs.select(*id_cols, *[F.col(k).cast("string").alias(k) for k in keys])
     return wide.unpivot(list(id_cols), list(keys), "key", "value")
-
-
-def result_lines(pairs: DataFrame) -> DataFrame:
-    return pairs.select("*", F.concat_ws(": ", F.col("key"), F.coalesce(F.col("value"), F.lit(""))).alias("line"))

@@ -81,6 +81,34 @@ def messages(ev: DataFrame) -> DataFrame:
     return r.select("event_id", "arrival_ts", F.col("crop_type").alias("run"), value.alias("value"))
 
 
+# Texts of the mixed messages, chosen by event_id % 16 (kinds 12 to 15 are whole messages).
+def mixed_messages(ev: DataFrame) -> DataFrame:
+    """(event_id, arrival_ts, value): messages of every accepted and rejected kind."""
+    eid = F.col("event_id")
+    whole = F.to_json(F.struct(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
+        F.col("user_id").cast("string").alias("device_id"), F.col("value").alias("temperature")))
+    rest = F.substring(whole, 2, 1_000_000)
+    kinds = [
+        F.concat(F.lit('{"device_id": "'), F.col("user_id").cast("string"), F.lit('", temp')),   # cut
+        F.concat(whole, F.lit(" garbage")),
+        F.concat(whole, F.lit('{"a":1}')),
+        F.lit("5} x"),
+        F.lit('1,"w":2'),
+        F.lit("7"),
+        F.lit("[1,2]"),
+        F.concat(F.lit('{"location":"'), F.lit("y" * 101), F.lit('",'), rest),
+        F.lit('{"timestamp":"2024-01-01 00:00:00","temperature":1.5}'),
+        F.lit('{"timestamp":"2024-01-01 00:00:00","device_id":"d","temperature":"warm"}'),
+        F.concat(F.lit('{"irrigation_needed":1.0,'), rest),
+        F.concat(F.lit('{"irrigation_needed":1.5,'), rest),
+    ]
+    value = whole
+    for k, text in enumerate(kinds):
+        value = F.when(eid % 16 == k, text).otherwise(value)
+    return ev.select("event_id", F.col("ts").alias("arrival_ts"), value.alias("value"))
+
+
 def counter_documents(ev: DataFrame) -> DataFrame:
     """Counter documents: ``props`` is a JSON object with integer field ``k``."""
     return ev.select("event_id", F.col("ts").alias("arrival_ts"), F.col("props").alias("value"))
@@ -109,8 +137,8 @@ def partition_offsets(ev: DataFrame) -> DataFrame:
               F.count_if(before).alias("committed")))
     current = F.when(F.col("partition") != OFFSET_UNCOMMITTED_PARTITION, F.col("committed"))
     return g.select(
-        F.lit("data-storage-group").alias("group"),
-        F.lit("iot-agriculture-sensors").alias("topic"),
+        F.lit("field-storage").alias("group"),
+        F.lit("field-readings").alias("topic"),
         "partition",
         current.alias("current_offset"),
         "log_end_offset",

@@ -1,8 +1,10 @@
 """File readers: readings CSV, container samples CSV, latency lists, group listings.
 
 CSV files are read as text with their header and columns are picked by
-name: a user schema would bind columns by position and silently swap them
-when the header order differs.
+name.  Spark binds the columns of every file of a folder by the first file's
+header; a file with another header would have its columns swapped silently,
+so every file's header is checked and a different one fails the read: read
+the files of each header on their own and unite the frames by name.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from fieldpulse.schema import READING_FIELDS
+from fieldpulse.schema import READING_FIELDS, SAMPLE_DEFAULTS
 
 OFFSET_HEADER = ("PARTITION", "CURRENT-OFFSET", "LOG-END-OFFSET", "LAG")
 # Fixed banner prefixes of a consumer-group listing.
@@ -26,28 +28,50 @@ def _typed_reading(col: str, dtype: T.DataType):
     return F.col(col).cast(dtype)
 
 
-def read_readings_csv(spark: SparkSession, path: str) -> DataFrame:
+def _csv_with_one_header(spark: SparkSession, path) -> DataFrame:
+    """The CSV files under ``path`` (or a list of paths) as text columns; all must have the same header."""
+    names = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+    return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+
+
+def read_readings_csv(spark: SparkSession, path) -> DataFrame:
     """Readings from a header CSV, matched by column name.
 
     Missing columns become null, extra columns are ignored, numbers use the
     invariant ``.`` decimal point; an unconvertible value fails the job.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = _csv_with_one_header(spark, path)
     present = set(raw.columns)
     cols = [(_typed_reading(n, t) if n in present else F.lit(None).cast(t)).alias(n) for n, t in READING_FIELDS]
     return raw.select(*cols)
 
 
 def read_stats_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Container samples CSV (``timestamp,container,cpu_percent,mem_used,net_io``) as text."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """Container samples CSV as text: timestamp, container, cpu_percent, mem_used, net_io.
+
+    Without a ``container`` column the ``name`` column stands for it; names are
+    trimmed; an absent or empty measurement has its default text.
+    """
+    raw = _csv_with_one_header(spark, path)
+    present = set(raw.columns)
+
+    def text(name: str, default: str | None = None):
+        c = F.col(name) if name in present else F.lit(None).cast("string")
+        return (c if default is None else F.coalesce(c, F.lit(default))).alias(name)
+
+    container = F.col("container") if "container" in present else F.col("name") if "name" in present else F.lit("")
+    return raw.select(text("timestamp"), F.trim(F.coalesce(container, F.lit(""))).alias("container"),
+                      *[text(n, d) for n, d in SAMPLE_DEFAULTS.items()])
 
 
 def read_latencies(spark: SparkSession, path: str) -> DataFrame:
     """One latency per line; blank lines dropped; a missing file gives no rows."""
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "latency_ms double")
     v = F.trim(F.col("value"))
     return lines.where(v != "").select(v.cast("double").alias("latency_ms"))

@@ -1,17 +1,24 @@
 """Streaming consumers built from the same operators as the batch queries.
 
-* analytics: messages -> decode -> window statistics (append, watermark on
-  arrival time) and instant alerts (stateless);
+* analytics: messages -> decode -> window statistics and instant alerts;
 * storage: messages -> decode -> constraint check -> readings table, with
-  rejected messages in a quarantine table.
+  rejected messages beside it.
 
 Each consumer is its own ``StreamingQuery`` with its own checkpoint (the
 checkpoint plays the consumer group), so two consumers read one topic
 independently and both resume from their checkpoint after a failure.
+
+Window statistics come in two forms.  ``run_windows`` keeps, for each
+micro-batch, the mergeable aggregates of its windows in a table; windows are
+closed by the clock (``emit_closed``), also when the flow stops, and a row that
+comes late adds to its window instead of being lost.  ``window_stats_stream``
+keeps the state in Spark with a watermark, which bounds it; rows later than
+the stated delay are dropped there and counted in the query's progress.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,18 +26,22 @@ from pyspark.sql.streaming import StreamingQuery
 from fieldpulse.operators import alerts as AL
 from fieldpulse.operators import windows as W
 from fieldpulse.schema import (
-    INSTANT_ALERT_THRESHOLD, READING_COLUMNS, STORAGE_BATCH_SIZE, WINDOW_ALERT_THRESHOLD, WINDOW_SECONDS,
+    INSTANT_ALERT_THRESHOLD, READING_COLUMNS, STORAGE_BATCH_SIZE, WINDOW_SECONDS,
 )
+from fieldpulse.session import scratch_path
 from fieldpulse.sources import messages as M
 
-STORAGE_METRICS = "storage_counters"
+TRIGGER = "5 seconds"
 
 
 def kafka_messages(spark: SparkSession, bootstrap_servers: str, topic: str,
                    starting_offsets: str = "earliest", max_offsets_per_trigger: int | None = None,
                    min_partitions: int | None = None
                    ) -> DataFrame:  # pragma: no cover - needs the Kafka connector and a broker
-    """Topic scan: value as text, arrival = broker timestamp.
+    """Topic scan: value as text, arrival = the time of the micro-batch.
+
+    The record's own timestamp is the producer's by default and may lie
+    anywhere; it is kept as ``sent_ts``.
 
     ``max_offsets_per_trigger`` sizes (and paces) micro-batches;
     ``min_partitions`` splits the offset range of a topic partition into
@@ -43,8 +54,8 @@ def kafka_messages(spark: SparkSession, bootstrap_servers: str, topic: str,
         r = r.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
     if min_partitions:
         r = r.option("minPartitions", str(min_partitions))
-    return r.load().select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrival_ts"),
-                           "partition", "offset")
+    return r.load().select(F.col("value").cast("string").alias("value"), F.current_timestamp().alias("arrival_ts"),
+                           F.col("timestamp").alias("sent_ts"), "partition", "offset")
 
 
 def file_messages(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -55,60 +66,88 @@ def file_messages(spark: SparkSession, path: str, max_files_per_trigger: int | N
     return r.load(path).withColumn("arrival_ts", F.current_timestamp())
 
 
-def parquet_stream(spark: SparkSession, folder: str, schema, file_glob: str | None = None,
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema).format("parquet")
-    if file_glob:
-        r = r.option("pathGlobFilter", file_glob)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.load(folder)
+def dealt_stream(table: DataFrame, key: str, batches: int) -> DataFrame:
+    """A table as a stream of ``batches`` micro-batches, its rows dealt by a hash of ``key``.
 
-
-def table_stream(spark: SparkSession, folder: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream the parquet table ``<folder>/<name>.parquet``.
-
-    A table stored as a directory of part files (the layout at scale) is a
-    stream source as it is; a table stored as one file streams from its
-    folder with a file-name filter.  The layout comes from the table's own
-    file listing, so this works on any file system the session can read.
+    The table is written once into the scratch folder.  Every micro-batch holds
+    rows of all times, so nothing arrives in order.
     """
-    path = f"{folder.rstrip('/')}/{name}.parquet"
-    static = spark.read.parquet(path)
-    files = static.inputFiles()
-    single = len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}.parquet")
-    if single:
-        return parquet_stream(spark, folder, static.schema, file_glob=f"{name}.parquet",
-                              max_files_per_trigger=max_files_per_trigger)
-    r = spark.readStream.schema(static.schema).format("parquet")
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.load(path)
-
+    spark = table.sparkSession
+    files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = scratch_path(spark, "stream-source")
+    table.repartition(files, key).write.parquet(path)
+    return (spark.readStream.schema(table.schema).format("parquet")
+            .option("maxFilesPerTrigger", str(-(-files // batches))).load(path))
 
-def with_event_clock(readings: DataFrame, time_col: str = "arrival_ts", delay: str = "0 seconds") -> DataFrame:
-    """Arrival time as a zoned timestamp with a watermark so ``append`` closes windows.
 
-    On arrival time nothing is late, so a zero delay loses nothing.
-    """
+def with_event_clock(readings: DataFrame, delay: str, time_col: str = "arrival_ts") -> DataFrame:
+    """The time as a zoned timestamp with a watermark, so that ``append`` closes windows."""
     return readings.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay)
 
 
-def window_stats_stream(readings: DataFrame, size: str, threshold: float, delay: str = "0 seconds",
+def window_stats_stream(readings: DataFrame, size: str, threshold: float, delay: str,
                         time_col: str = "arrival_ts", start: str | None = None) -> DataFrame:
-    """Windowed statistics in ``append`` mode.
+    """Windowed statistics in ``append`` mode with the state in Spark.
 
-    ``time_col`` is the arrival time by default (nothing is late).  With an
-    event-time column and a ``delay``, rows older than the watermark are
-    dropped as late data.  ``start`` shifts the window grid (windows are
-    epoch-aligned by default).
+    A window is emitted once the watermark (the newest time less ``delay``)
+    passed its end; rows later than that are dropped as late data and counted
+    as ``numRowsDroppedByWatermark`` in the query's progress.  ``start`` shifts
+    the window grid (windows are epoch-aligned by default).
     """
-    stats = W.window_global_stats(with_event_clock(readings, time_col, delay), size, threshold, time_col=time_col,
+    stats = W.window_global_stats(with_event_clock(readings, delay, time_col), size, threshold, time_col=time_col,
                                   start=start)
     return stats.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
                 .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
+def _started(writer, available_now: bool) -> StreamingQuery:
+    """Start a writer; with ``available_now`` wait until everything available is processed."""
+    q = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=TRIGGER)).start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
+def run_windows(readings: DataFrame, path: str, checkpoint: str, size: str, available_now: bool = True,
+                time_col: str = "arrival_ts", start: str | None = None) -> StreamingQuery:
+    """Keep the window aggregates of each micro-batch under ``path``.
+
+    A micro-batch writes its own folder and replaces it when it is run again.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        part = W.window_partials(batch, size, time_col, start=start)
+        bounds = F.struct(F.col("window.start").cast("timestamp_ntz").alias("start"),
+                          F.col("window.end").cast("timestamp_ntz").alias("end"))
+        part.withColumn("window", bounds).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _started(readings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
+
+
+def window_results(spark: SparkSession, path: str, threshold: float, closed_before=None) -> DataFrame:
+    """Statistics of all windows kept under ``path``, or of those that ended by ``closed_before``."""
+    partials = spark.read.parquet(path).drop("batch_id")
+    if closed_before is not None:
+        partials = partials.where(F.col("window.end") <= F.lit(closed_before))
+    return W.stats_of(W.merge_partials(partials), threshold)
+
+
+def emit_closed(spark: SparkSession, path: str, out: str, threshold: float, closed_before=None) -> None:
+    """Append the statistics of closed windows to ``out``, each once.
+
+    Called by a timer, it closes windows whether messages come or not.  A
+    window that late rows reached after it was emitted is emitted again, with
+    its larger count.
+    """
+    stats = window_results(spark, path, threshold, closed_before)
+    try:
+        known = spark.read.parquet(out).select("window_start", "count")
+        stats = stats.join(known, ["window_start", "count"], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    stats.write.mode("append").parquet(out)
+
+
 def run_to_parquet(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
                    available_now: bool = True, partition_cols: list[str] | None = None) -> StreamingQuery:
     """Start a query into a parquet folder (exactly-once file sink) and, with
@@ -116,75 +155,71 @@ def run_to_parquet(df: DataFrame, out_path: str, checkpoint: str, mode: str = "a
     w = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
     if partition_cols:
         w = w.partitionBy(*partition_cols)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
-    q = w.start(out_path)
-    if available_now:
-        q.awaitTermination()
-    return q
+    return _started(w.option("path", out_path), available_now)
 
 
-def processed_rows(q: StreamingQuery) -> int:
-    """Rows taken from the source over the query's recent progress (the drain count)."""
-    return int(sum(p.get("numInputRows", 0) for p in q.recentProgress))
+def jdbc_rows(url: str, table: str, properties: dict[str, str], batch_size: int = STORAGE_BATCH_SIZE):
+    """Writer of accepted readings into a relational table (multi-row inserts of ``batch_size``).
 
-
-def jdbc_batches(url: str, table: str, properties: dict[str, str], batch_size: int = STORAGE_BATCH_SIZE):
-    """``foreachBatch`` writer into a relational readings table (multi-row inserts
-    of ``batch_size``).  Not exercised here: it needs a database server."""
-    def write(batch: DataFrame, batch_id: int) -> None:  # pragma: no cover
-        view = M.storage_view(M.decode(batch)).where("is_valid").select(*READING_COLUMNS)
-        (view.write.mode("append").option("batchsize", str(batch_size))
+    At least once: a micro-batch that is run again inserts its rows again.
+    Not exercised here: it needs a database server.
+    """
+    def write(rows: DataFrame) -> None:  # pragma: no cover
+        (rows.select(*READING_COLUMNS).write.mode("append").option("batchsize", str(batch_size))
          .jdbc(url, table, properties=properties))
     return write
 
 
-def storage_batches(good_path: str, bad_path: str):
-    """``foreachBatch`` writer: valid readings to the table, the rest to quarantine.
+def storage_batches(path: str, also=None):
+    """``foreachBatch`` writer of decoded and checked messages.
 
-    Each micro-batch writes to its own ``batch_id=`` folder with overwrite,
-    so a retried batch replaces its own output (idempotent, no duplicates).
+    One write: ``<path>/rows/is_valid=true`` is the readings table, with the
+    time of the micro-batch as ``received_at``, and ``is_valid=false`` holds the
+    rejected messages with their reasons.  A micro-batch that is run again
+    replaces its own partitions.  Then its counts are taken from what was
+    written and kept in ``<path>/counts``.  ``also`` gets the accepted rows.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         view = batch if "is_valid" in batch.columns else M.storage_view(M.decode(batch))
-        view = view.persist()
-        try:
-            (view.where("is_valid").select(*READING_COLUMNS)
-             .write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}"))
-            (view.where("NOT is_valid").select("value", "reject_reason")
-             .write.mode("overwrite").parquet(f"{bad_path}/batch_id={batch_id}"))
-        finally:
-            view.unpersist()
+        spark = batch.sparkSession
+        out = f"{path}/rows"
+        (view.select(*READING_COLUMNS, F.current_timestamp().cast("timestamp_ntz").alias("received_at"),
+                     F.when(~F.col("is_valid"), F.col("value")).alias("value"), "reject_reason",
+                     "is_valid", F.lit(batch_id).cast("long").alias("batch_id"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("is_valid", "batch_id").parquet(out))
+        rows = _rows(spark, path).where(F.col("batch_id") == batch_id)
+        (rows.agg(F.count(F.lit(1)).alias("received"), F.count_if("is_valid").alias("stored"),
+                  F.count_if(~F.col("is_valid")).alias("errors"))
+         .coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}"))
+        if also is not None:
+            also(rows.where("is_valid"))
     return write
 
 
-def observed_storage(messages: DataFrame) -> DataFrame:
-    """Attach live storage counters (received / stored / errors) to a message stream.
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    # a partition value is read back as text
+    return spark.read.parquet(f"{path}/rows").withColumn("is_valid", F.col("is_valid").cast("boolean"))
+
+
+def stored_readings(spark: SparkSession, path: str) -> DataFrame:
+    """The readings table: the reading columns and ``received_at``."""
+    return _rows(spark, path).where("is_valid").select(*READING_COLUMNS, "received_at")
 
-    The values of each micro-batch appear in
-    ``query.lastProgress["observedMetrics"]["storage_counters"]``.
-    """
-    view = M.storage_view(M.decode(messages))
-    return view.observe(
-        STORAGE_METRICS,
-        F.count(F.lit(1)).alias("received"),
-        F.count_if(F.col("is_valid")).alias("stored"),
-        F.count_if(~F.col("is_valid")).alias("errors"))
 
+def rejected_messages(spark: SparkSession, path: str) -> DataFrame:
+    return _rows(spark, path).where("NOT is_valid").select("value", "reject_reason", "received_at")
 
-def storage_progress(q: StreamingQuery) -> dict[str, int]:
-    """Counters summed over the query's recent micro-batches."""
-    out = {"received": 0, "stored": 0, "errors": 0}
-    for p in q.recentProgress:
-        m = (p.get("observedMetrics") or {}).get(STORAGE_METRICS) or {}
-        m = m.asDict() if hasattr(m, "asDict") else dict(m)
-        for k in out:
-            out[k] += int(m.get(k) or 0)
-    return out
 
+def storage_counts(spark: SparkSession, path: str) -> DataFrame:
+    """received, stored and errors over all micro-batches (one row)."""
+    c = spark.read.parquet(f"{path}/counts")
+    return c.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in ("received", "stored", "errors")])
 
-def run_storage(messages: DataFrame, good_path: str, bad_path: str, checkpoint: str,
-                available_now: bool = True, decode_parallelism: int | None = None) -> StreamingQuery:
-    """Storage consumer: decode, check, write valid rows and quarantine.
+
+def run_storage(messages: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+                decode_parallelism: int | None = None, also=None) -> StreamingQuery:
+    """Storage consumer: decode, check, write accepted and rejected rows and their counts.
 
     ``decode_parallelism`` spreads each micro-batch over that many tasks
     before decoding, for sources with fewer partitions than cores; leave it
@@ -193,58 +228,31 @@ def run_storage(messages: DataFrame, good_path: str, bad_path: str, checkpoint:
     """
     if decode_parallelism:
         messages = messages.repartition(int(decode_parallelism))
-    w = (observed_storage(messages).writeStream.foreachBatch(storage_batches(good_path, bad_path))
-         .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
-    q = w.start()
-    if available_now:
-        q.awaitTermination()
-    return q
-
+    view = M.storage_view(M.decode(messages))
+    return _started(view.writeStream.foreachBatch(storage_batches(path, also))
+                    .option("checkpointLocation", checkpoint), available_now)
 
-def analytics_streams(messages: DataFrame, alert_at=None, size: str = f"{WINDOW_SECONDS} seconds",
-                      threshold: float = WINDOW_ALERT_THRESHOLD, instant: bool = False,
-                      instant_threshold: float = INSTANT_ALERT_THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The analytics consumer as three streams over one decoded source.
 
-    Returns (window statistics, instant alert records, window alert records).
-    Run them as separate queries: instant alerts are stateless and should
-    not wait for the window state of the same micro-batch.  Windows follow
-    the arrival time of each message (watermark 0: on arrival time nothing
-    is late); a window alert is one record per closed window whose mean
-    exceeds ``threshold``.
-    """
-    view = M.analytics_view(M.decode(messages)).where("temperature_ok").select(
+def analytics_view(messages: DataFrame) -> DataFrame:
+    """Usable readings of the analytics consumer (only the fields it needs are parsed)."""
+    return M.analytics_view(M.decode(messages, fields=M.ANALYTICS_FIELDS)).where("temperature_ok").select(
         "arrival_ts", F.col("a_device_id").alias("device_id"), F.col("a_temperature").alias("temperature"),
         F.col("a_published_at").alias("published_at"))
-    stats = window_stats_stream(view, size, threshold)
+
+
+def instant_alert_stream(view: DataFrame, alert_at=None, instant: bool = False,
+                         threshold: float = INSTANT_ALERT_THRESHOLD) -> DataFrame:
+    """Alert records per message: stateless, so they never wait for a window."""
     at = F.current_timestamp().cast("timestamp_ntz") if alert_at is None else alert_at
-    inst = AL.alert_records_instant(AL.instant_alerts(view, instant, instant_threshold if instant else None,
-                                                      alert_at=at))
-    win = AL.alert_records_window(W.window_alerts(stats), _interval_seconds(size))
-    return stats, inst, win
+    return AL.alert_records_instant(AL.instant_alerts(view, instant, threshold if instant else None, alert_at=at))
+
+
+def window_alert_rows(stats: DataFrame, size: str = f"{WINDOW_SECONDS} seconds") -> DataFrame:
+    """One alert record per window whose mean exceeded the threshold."""
+    return AL.alert_records_window(W.window_alerts(stats), _interval_seconds(size))
 
 
 def _interval_seconds(size: str) -> int:
     n, unit = size.split()[:2]
     per = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
     return int(float(n) * per[unit.rstrip("s").lower()])
-
-
-def analytics_counter_stream(messages: DataFrame, instant: bool = True,
-                             instant_threshold: float = INSTANT_ALERT_THRESHOLD) -> DataFrame:
-    """Live analytics counters as a streaming aggregation (``complete``/``update`` mode).
-
-    The state is one partial aggregate (counts and the ``max_by`` candidate),
-    not the messages.  Alert time and arrival are the micro-batch clock.
-    """
-    from fieldpulse.functions.parsing import parse_published_at
-    from fieldpulse.functions.timefmt import e2e_latency_ms, latency_default
-    from fieldpulse.operators.counters import analytics_counters
-
-    v = M.analytics_view(M.decode(messages))
-    at = F.col("arrival_ts").cast("timestamp_ntz")
-    alert = F.col("temperature_ok") & AL.instant_alert_flag(F.col("a_temperature"), instant, instant_threshold)
-    lat = latency_default(e2e_latency_ms(parse_published_at(F.col("a_published_at")), at))
-    v = v.select("*", alert.alias("is_alert"), at.alias("alert_at_ts"), lat.alias("e2e_latency_ms"))
-    return analytics_counters(v, "is_alert", ["arrival_ts"])

@@ -44,7 +44,11 @@ def test_replay_storage_analytics(spark, scratch, capsys):
         .write.option("header", True).csv(csv)
     msgs = os.path.join(scratch, "msgs")
     assert cli.main(["replay", csv, msgs, "--batch-size", "100"], spark=spark) == 0
-    assert len([d for d in os.listdir(msgs) if d.startswith("batch_no=")]) == -(-ev.count() // 100)
+    sent = spark.read.parquet(msgs)
+    assert sent.count() == ev.count() and sent.agg(F.max("batch_no")).first()[0] == -(-ev.count() // 100)
+    lines = os.path.join(scratch, "lines")
+    sent.select("value").write.text(lines)
+    msgs = lines
     table = os.path.join(scratch, "table")
     assert cli.main(["storage", msgs, table, "--checkpoint", os.path.join(scratch, "ck")], spark=spark) == 0
     assert capsys.readouterr().out.strip() == f"received={ev.count()} stored={ev.count()} errors=0"
@@ -52,7 +56,10 @@ def test_replay_storage_analytics(spark, scratch, capsys):
     assert cli.main(["analytics", msgs, out, "--instant", "--checkpoint", os.path.join(scratch, "ck2")],
                     spark=spark) == 0
     assert spark.read.parquet(os.path.join(out, "instant_alerts")).count() == ev.where("value > 40").count()
-    assert spark.read.parquet(os.path.join(out, "window_stats")).count() >= 0
+    stats = spark.read.parquet(os.path.join(out, "window_stats"))
+    assert stats.agg(F.sum("count")).first()[0] == ev.count()          # the last window is emitted too
+    alerts = spark.read.parquet(os.path.join(out, "window_alerts")).count()
+    assert alerts == stats.where("avg_temperature > 50").count()
 
 
 def test_stats_document(spark, scratch, capsys):

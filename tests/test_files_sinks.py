@@ -64,8 +64,10 @@ def test_publish_and_pairs(spark):
     assert json.loads(m.value) == {"device_id": "d1", "temperature": 23.16}   # nulls left out
     assert len(m.key) == 36
     runs = spark.createDataFrame([("A", 10, "0.00")], "run string, sent long, lost string")
-    lines = [r.line for r in K.result_lines(K.result_pairs(runs, ["run"], ["sent", "lost"])).collect()]
-    assert sorted(lines) == ["lost: 0.00", "sent: 10"]
+    pairs = [(r.key, r.value) for r in K.result_pairs(runs, ["run"], ["sent", "lost"]).collect()]
+    assert sorted(pairs) == [("lost", "0.00"), ("sent", "10")]
+    one = K.publish_json(df, ["device_id"], key="device_id")
+    assert one.first().key == one.first().key and len(one.first().key) == 36      # the same on every retry
 
 
 def test_summary_append_keeps_every_row(spark, scratch):
@@ -84,3 +86,25 @@ def test_append_keeps_replayed_rows(spark, scratch):
     K.append_table(rows, p)
     K.append_table(rows.limit(1), p)
     assert spark.read.parquet(p).count() == 3
+
+
+def test_csv_files_of_different_headers_are_refused(spark, scratch):
+    p = os.path.join(scratch, "two")
+    os.makedirs(p)
+    with open(os.path.join(p, "a.csv"), "w") as f:
+        f.write("timestamp,device_id,location\n2024-01-01 00:00:00,dev1,loc1\n")
+    with open(os.path.join(p, "b.csv"), "w") as f:
+        f.write("timestamp,location,device_id\n2024-01-01 00:00:00,loc2,dev2\n")
+    with pytest.raises(Exception):
+        FS.read_readings_csv(spark, p).collect()
+    each = [FS.read_readings_csv(spark, os.path.join(p, n)) for n in ("a.csv", "b.csv")]
+    rows = each[0].unionByName(each[1]).collect()
+    assert sorted((r.device_id, r.location) for r in rows) == [("dev1", "loc1"), ("dev2", "loc2")]
+
+
+def test_samples_have_defaults_and_the_name_fallback(spark, scratch):
+    p = os.path.join(scratch, "s.csv")
+    with open(p, "w") as f:
+        f.write("timestamp,name,cpu_percent,mem_used\nt, x-kafka-1 ,,\n")
+    r = FS.read_stats_samples(spark, p).first()
+    assert tuple(r) == ("t", "x-kafka-1", "0", "0", "0 / 0")

@@ -57,15 +57,6 @@ def test_global_ordinal_matches_row_number(spark):
     assert g.groupBy("k").agg(F.max("rn").alias("m"), F.count("*").alias("n")).where("m <> n").count() == 0
 
 
-def test_latency_match(spark):
-    sent = spark.createDataFrame([("r", 1, "p1"), ("r", 2, "p2"), ("s", 1, "q1")], "run string, o int, published_at string")
-    alerts = spark.createDataFrame([("r", 2, "p2", 10.0), ("s", 1, "q0", 5.0)],
-                                   "run string, o int, published_at string, e2e_latency_ms double")
-    got = {r.run: r for r in L.latency_match(alerts, sent, ["run"], ["o"]).collect()}
-    assert got["r"].matched and got["r"].accepted_latency_ms == 10.0
-    assert not got["s"].matched and got["s"].accepted_latency_ms is None
-
-
 def test_ordinal_under_aqe_coalescing(spark):
     # many tiny range partitions that AQE merges into a few uneven ones
     keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2kb",
@@ -94,11 +85,29 @@ def test_ordinal_under_aqe_coalescing(spark):
                 spark.conf.set(k, v)
 
 
-def test_latency_match_flagged_equals_two_frame_form(spark):
+def test_latency_match(spark):
     rows = [("r", 1, "p1", True, 5.0), ("r", 2, "p2", True, 10.0), ("r", 3, "p3", False, None),
             ("s", 1, "q1", True, 7.0), ("s", 2, "q2", True, 8.0), ("t", 1, "z1", False, None)]
     v = spark.createDataFrame(rows, "run string, o int, published_at string, is_alert boolean, e2e_latency_ms double")
-    one = {r.run: r.asDict() for r in L.latency_match_flagged(v, "is_alert", ["run"], ["o"]).collect()}
-    two = {r.run: r.asDict() for r in L.latency_match(v.where("is_alert"), v, ["run"], ["o"]).collect()}
-    assert one == two
-    assert one["s"]["accepted_latency_ms"] == 8.0 and not one["r"]["matched"] and one["t"]["alert_published_at"] is None
+    got = {r.run: (r.matched, r.alert_published_at, r.accepted_latency_ms)
+           for r in L.latency_match(v, "is_alert", ["run"], ["o"]).collect()}
+    assert got == {"r": (False, "p2", None), "s": (True, "q2", 8.0), "t": (False, None, None)}
+
+
+def test_many_ties_meet_before_the_shuffle(spark):
+    # nine tenths of the values are equal: they are one row of the histogram
+    rows = [(i % 3, 0.0 if i % 10 else float(i)) for i in range(30000)]
+    df = spark.createDataFrame(rows, "g long, v double").repartition(8)
+    got = {r.g: r.p95 for r in floor_rank_pick(df, "v", ["g"], alias="p95").collect()}
+    assert got == {g: _brute_p95([v for k, v in rows if k == g]) for g in range(3)}
+    # the order keys of a sort are total, so equal values are spread as well
+    o = with_global_ordinal(spark.range(20000).selectExpr("id", "0.0D AS v").repartition(8), ["v", "id"], name="rn",
+                            num_partitions=16)
+    sizes = [r["count"] for r in o.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * 20000 / 16 and o.where("rn = id + 1").count() == 20000
+
+
+def test_summary_mean_is_not_cut(spark):
+    df = spark.createDataFrame([(1e15,), (1e-7,), (0.00004,)], "latency_ms double")
+    s = L.latency_summary(df).first()
+    assert s.n == 3 and s.max_ms == 1e15 and s.avg_ms == round((1e15 + 1e-7 + 0.00004) / 3, 2)

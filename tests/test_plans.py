@@ -6,6 +6,7 @@ import io
 import re
 
 import __spark_entry__ as E
+from fieldpulse.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF",
@@ -42,7 +43,7 @@ def test_registered_queries_stay_jvm_side_and_match_oracle_schemas(spark):
     type_map = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
     sqls = E.oracle_sql()
-    for name, q in E.queries().items():
+    for name, q in QUERIES.items():
         df = q(spark, SF)
         plan = _plan(df)
         assert not any(n in plan for n in PY_NODES), name
@@ -52,13 +53,12 @@ def test_registered_queries_stay_jvm_side_and_match_oracle_schemas(spark):
         assert spark_types == duck_types, name
 
 
-def test_parallelism_floor_only_for_narrow_inputs(spark):
-    from fieldpulse.session import parallelism_floor, spread
-
-    par = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 10000, numPartitions=par * 2)
-    assert parallelism_floor(wide) is None and spread(wide, "id") is wide         # no shuffle added
-    narrow = spark.range(0, 10000, numPartitions=1)
-    spread_df = spread(narrow, "id")
-    assert spread_df.rdd.getNumPartitions() == par
-    assert "Exchange" in _plan(spread_df) and "Exchange" not in _plan(spread(wide, "id"))
+def test_spread_only_when_the_session_asks_for_it(spark):
+    from fieldpulse.session import DECODE_TASKS_KEY, spread
+    df = spark.range(0, 10000, numPartitions=1)
+    assert spread(df, "id") is df                                  # no shuffle added
+    spark.conf.set(DECODE_TASKS_KEY, "5")
+    try:
+        assert spread(df, "id").rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset(DECODE_TASKS_KEY)

@@ -39,12 +39,12 @@ def test_peak_and_first_recovery(spark):
 
 
 LISTING = """
-Consumer group 'data-storage-group' has no active members.
+Consumer group 'field-storage' has no active members.
 
 GROUP              TOPIC                   PARTITION  CURRENT-OFFSET  LOG-END-OFFSET  LAG   CONSUMER-ID  HOST  CLIENT-ID
-data-storage-group iot-agriculture-sensors 0          10              15              5     -            -     -
-data-storage-group iot-agriculture-sensors 1          -               7               -     -            -     -
-data-storage-group iot-agriculture-sensors x          3               3               0     -            -     -
+field-storage field-readings 0          10              15              5     -            -     -
+field-storage field-readings 1          -               7               -     -            -     -
+field-storage field-readings x          3               3               0     -            -     -
 """
 
 
@@ -73,31 +73,13 @@ def test_snapshots(spark):
     assert R.received_max(snap, ["run"]).first().received == 3
 
 
-def _loop_drain(values, needed=3):
-    stable, last = 0, -1
-    for i, c in enumerate(values):
-        if c == last:
-            stable += 1
-            if stable >= needed:
-                return i
-        else:
-            stable, last = 0, c
-    return None
+def _first_slice(values, width, holds):
+    """The last index of the first slice of ``width`` values that satisfies ``holds``."""
+    ends = [e for e in range(width, len(values) + 1) if holds(values[e - width:e])]
+    return ends[0] - 1 if ends else None
 
 
-def _loop_streak(values, limit=5, needed=10):
-    stable = 0
-    for i, q in enumerate(values):
-        if q <= limit:
-            stable += 1
-            if stable >= needed:
-                return i
-        else:
-            stable = 0
-    return None
-
-
-def test_frames_match_sequential_loops_with_a_hot_run(spark):
+def test_frames_match_the_definition_with_a_hot_run(spark):
     import random
     rnd = random.Random(11)
     series = {"hot": [rnd.choice([1, 1, 2, 6, 7]) for _ in range(3000)]}
@@ -107,5 +89,5 @@ def test_frames_match_sequential_loops_with_a_hot_run(spark):
     df = spark.createDataFrame(rows, "run string, sample_ts long, value long").repartition(4)
     drains = {r.run: r.drained_index for r in R.drain_stable(df).collect()}
     streaks = {r.run: r.recovery_index for r in R.recovery_streak(df, limit=5, needed=10).collect()}
-    assert drains == {run: _loop_drain(v) for run, v in series.items()}
-    assert streaks == {run: _loop_streak(v) for run, v in series.items()}
+    assert drains == {run: _first_slice(v, 4, lambda s: len(set(s)) == 1) for run, v in series.items()}
+    assert streaks == {run: _first_slice(v, 10, lambda s: max(s) <= 5) for run, v in series.items()}

@@ -27,7 +27,7 @@ def test_window_stream_twin_and_restart(spark, scratch):
 
     def run():
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
-        stats = S.window_stats_stream(A.readings(stream), "1 day", 50.0)
+        stats = S.window_stats_stream(A.readings(stream), "1 day", 50.0, delay="0 seconds")
         return S.run_to_parquet(stats, out, ck, mode="append")
 
     run()
@@ -49,43 +49,79 @@ def test_fan_out_two_consumers(spark, scratch):
     src = os.path.join(scratch, "msgs")
     A.messages(ev).select("value").write.text(src)
     stream = S.file_messages(spark, src)
-    good, bad = os.path.join(scratch, "good"), os.path.join(scratch, "bad")
-    q1 = S.run_storage(stream, good, bad, os.path.join(scratch, "ck-storage"))
+    one, two = os.path.join(scratch, "one"), os.path.join(scratch, "two")
+    S.run_storage(stream, one, os.path.join(scratch, "ck-storage"))
     # a second, independent consumer of the same folder with its own checkpoint
-    q2 = S.run_storage(stream, good + "2", bad + "2", os.path.join(scratch, "ck-storage-2"))
-    n_good, n_bad = spark.read.parquet(good).count(), spark.read.parquet(bad).count()
-    assert n_good + n_bad == ev.count()
-    assert n_bad == ev.where(F.col("event_id") % 97 == 0).count()
-    assert spark.read.parquet(good + "2").count() == n_good
-    assert S.processed_rows(q1) == S.processed_rows(q2) == ev.count()
+    S.run_storage(stream, two, os.path.join(scratch, "ck-storage-2"))
+    bad = ev.where(F.col("event_id") % 97 == 0).count()
+    for path in (one, two):
+        assert S.rejected_messages(spark, path).count() == bad
+        got = S.stored_readings(spark, path)
+        assert got.count() == ev.count() - bad and got.where("received_at IS NULL").count() == 0
 
 
-def test_observed_storage_counters(spark, scratch):
-    ev = A.events(spark, SF)
+def test_counts_of_more_batches_than_progress_keeps(spark, scratch):
     src = os.path.join(scratch, "msgs")
-    A.messages(ev).select("value").repartition(3).write.text(src)
-    q = S.run_storage(S.file_messages(spark, src, max_files_per_trigger=1), os.path.join(scratch, "g"),
-                      os.path.join(scratch, "b"), os.path.join(scratch, "ck"))
-    c = S.storage_progress(q)
-    bad = ev.where(F.col("event_id") % 97 == 0).count()
-    assert len(q.recentProgress) >= 3
-    assert c == {"received": ev.count(), "stored": ev.count() - bad, "errors": bad}
+    rows = [('{"timestamp":"2024-01-01 00:00:00","device_id":"d%d"}' % i,) for i in range(115)] + [("nope",)]
+    spark.createDataFrame(rows, "value string").repartition(116, "value").write.text(src)
+    files = len([f for f in os.listdir(src) if f.endswith(".txt")])
+    path = os.path.join(scratch, "table")
+    q = S.run_storage(S.file_messages(spark, src, max_files_per_trigger=1).where("value <> ''"), path,
+                      os.path.join(scratch, "ck"))
+    # one file each; more micro-batches than the progress list may hold
+    assert S.storage_counts(spark, path).first().asDict() == {"received": 116, "stored": 115, "errors": 1}
+    assert q.lastProgress["batchId"] + 1 >= files // 2
+
+
+def test_a_batch_that_runs_again_replaces_its_output(spark, scratch):
+    path = os.path.join(scratch, "table")
+    batch = spark.createDataFrame([('{"timestamp":"2024-01-01 00:00:00","device_id":"d"}',), ("x",)], "value string")
+    write = S.storage_batches(path)
+    write(batch, 0)
+    write(batch, 0)
+    write(batch, 1)
+    assert S.storage_counts(spark, path).first().asDict() == {"received": 4, "stored": 2, "errors": 2}
+    assert S.stored_readings(spark, path).count() == 2
 
 
 def test_analytics_streams(spark, scratch):
     ev = A.events(spark, SF)
     src = os.path.join(scratch, "msgs")
-    A.messages(ev).select("value").write.text(src)
-    stats, alerts, _ = S.analytics_streams(S.file_messages(spark, src), size="1 hour", threshold=50.0,
-                                           instant=True, instant_threshold=40.0)
+    A.messages(ev).select("value").repartition(5).write.text(src)
+    view = S.analytics_view(S.file_messages(spark, src, max_files_per_trigger=1))
+    alerts = S.instant_alert_stream(view, instant=True, threshold=40.0)
     S.run_to_parquet(alerts, os.path.join(scratch, "alerts"), os.path.join(scratch, "ck-a"))
-    S.run_to_parquet(stats, os.path.join(scratch, "stats"), os.path.join(scratch, "ck-s"))
     got = spark.read.parquet(os.path.join(scratch, "alerts"))
-    expect = ev.where((F.col("event_id") % 97 != 0) & (F.col("value") > 40)).count()
-    assert got.count() == expect
+    good = ev.where(F.col("event_id") % 97 != 0)
+    assert got.count() == good.where(F.col("value") > 40).count()
     assert got.where("e2e_latency_ms IS NULL").count() == 0
-    # arrival = ingest time: the whole file arrives in one window, closed only by later data
-    assert spark.read.parquet(os.path.join(scratch, "stats")).count() >= 0
+    # on arrival time every usable message is in some window, the last one included
+    path, out = os.path.join(scratch, "parts"), os.path.join(scratch, "stats")
+    S.run_windows(view, path, os.path.join(scratch, "ck-s"), "1 hour")
+    S.emit_closed(spark, path, out, 50.0)
+    S.emit_closed(spark, path, out, 50.0)                       # each window once
+    assert spark.read.parquet(out).agg(F.sum("count")).first()[0] == good.count()
+
+
+def test_windows_take_late_rows_and_close_by_the_clock(spark, scratch):
+    src = os.path.join(scratch, "ev")
+    hours = [5, 6, 1, 9, 12]                                    # the micro-batches' order
+    for i, h in enumerate(hours):
+        rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", "a", float(m)) for m in range(11)]
+        spark.createDataFrame(rows, "t string, device_id string, temperature double").coalesce(1) \
+            .write.json(os.path.join(src, f"b{i}"))
+    stream = (spark.readStream.schema("t string, device_id string, temperature double").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").json(src)
+              .select(F.col("t").cast("timestamp_ntz").alias("arrival_ts"), "device_id", "temperature"))
+    path, out = os.path.join(scratch, "parts"), os.path.join(scratch, "out")
+    q = S.run_windows(stream, path, os.path.join(scratch, "ck"), "1 hour")
+    assert q.lastProgress["batchId"] >= 4
+    import datetime as dt
+    S.emit_closed(spark, path, out, 50.0, dt.datetime(2024, 1, 1, 10))
+    closed = {r.window_start.hour: r["count"] for r in spark.read.parquet(out).collect()}
+    assert closed == {1: 11, 5: 11, 6: 11, 9: 11}               # 12h is still open
+    S.emit_closed(spark, path, out, 50.0)                       # the final flush
+    assert {r.window_start.hour for r in spark.read.parquet(out).collect()} == set(hours)
 
 
 def _stream_rows(spark, folder, batches):
@@ -128,36 +164,13 @@ def test_event_time_late_rows_dropped_and_empty_windows(spark, scratch):
     assert dropped == 1
 
 
-def test_analytics_counter_stream(spark, scratch):
+def test_window_alert_rows_equal_the_batch(spark, scratch):
     ev = A.events(spark, SF)
-    src = os.path.join(scratch, "msgs")
-    A.messages(ev).select("value").repartition(3).write.text(src)
-    agg = S.analytics_counter_stream(S.file_messages(spark, src, max_files_per_trigger=1))
-    seen = []
-    q = (agg.writeStream.outputMode("complete").foreachBatch(lambda b, i: seen.append(b.collect()))
-         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    last = seen[-1][0]
-    good = ev.where(F.col("event_id") % 97 != 0)
-    assert len(seen) == 3
-    assert last.received == good.count()
-    assert last.alerts_triggered == good.where("value > 40").count()
-    assert last.last_published_at is not None and last.last_e2e_latency_ms > 0
-
-
-def test_analytics_streams_window_alert_records(spark, scratch):
-    ev = A.events(spark, SF)
-    src = S.table_stream(spark, SF, "events")
-    _, inst, win = S.analytics_streams(A.messages(src), alert_at=F.col("arrival_ts"), size="1 hour",
-                                       threshold=50.0, instant=False)
-    S.run_to_parquet(inst, os.path.join(scratch, "inst"), os.path.join(scratch, "ck-i"))
-    S.run_to_parquet(win, os.path.join(scratch, "win"), os.path.join(scratch, "ck-w"))
-    got = spark.read.parquet(os.path.join(scratch, "inst")).unionByName(spark.read.parquet(os.path.join(scratch, "win")))
-    assert got.where("kind = 'instant'").count() == 0            # instant alerts are off
-    good = A.readings(ev.where(F.col("event_id") % 97 != 0))
-    batch = W.window_global_stats(good, "1 hour", 50.0)
-    max_ts = ev.agg(F.max("ts")).first()[0]
-    expect = batch.where("alert_triggered").where(F.col("window_end") <= F.lit(max_ts)).count()
-    win = got.where("kind = 'window'")
-    assert expect > 0 and win.count() == expect
-    assert win.where("window_size_s = 3600 AND temperature > 50").count() == expect
+    path = os.path.join(scratch, "parts")
+    S.run_windows(A.readings(S.dealt_stream(ev, "event_id", 5)), path, os.path.join(scratch, "ck"), "1 hour")
+    got = S.window_results(spark, path, 50.0)
+    batch = W.window_global_stats(A.readings(ev), "1 hour", 50.0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+    rows = S.window_alert_rows(got, "1 hour")
+    assert rows.count() == batch.where("alert_triggered").count() > 0
+    assert rows.where("window_size_s = 3600 AND temperature > 50").count() == rows.count()

@@ -107,3 +107,22 @@ def test_latest_stats_document(spark):
     assert d["per_device"] == {"a": {"count": 1, "avg": 10.0, "min": 10.0, "max": 10.0},
                                "b": {"count": 1, "avg": 20.0, "min": 20.0, "max": 20.0}}
     assert d["window_start"].startswith("2024-01-01T00:00:30")
+
+
+def test_the_mean_is_not_cut(spark):
+    def stats(*values):
+        rows = spark.createDataFrame([("2024-01-01 00:00:01", "d", v) for v in values], "t string, device_id string, temperature double")
+        rows = rows.select(F.col("t").cast("timestamp_ntz").alias("arrival_ts"), "device_id", "temperature")
+        return (W.window_global_stats(rows).first(), W.window_stats_nested(rows).first(), W.window_device_stats(rows).first())
+
+    for r in stats(50.00004)[:2]:
+        assert r.avg_temperature == 50.00004 and r.alert_triggered
+    for r in stats(50.0)[:2]:
+        assert r.avg_temperature == 50.0 and not r.alert_triggered
+    a, b, d = stats(1e15, 1e-7)
+    assert a.avg_temperature == b.avg_temperature == (1e15 + 1e-7) / 2 and d["count"] == 2
+    a, b, _ = stats(1e300, 1e300)                    # beyond every decimal: the plain mean
+    assert a.avg_temperature == b.avg_temperature == 1e300
+    a, b, _ = stats(1e-30, 3e-30)
+    assert abs(a.avg_temperature - 2e-30) < 1e-40 and abs(b.avg_temperature - 2e-30) < 1e-40
+    assert stats(*[0.1] * 10)[0].avg_temperature == 0.1     # exact, whatever the order
