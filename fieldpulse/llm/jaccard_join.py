@@ -15,15 +15,19 @@ groups that qualify are opened.
    equal tokens before; a shard tells which tokens stand in two groups or more.
    A document with too few such tokens qualifies for no group and is done.
    That leaves near copies and little else.
-2. Groups grow: documents are compared with the first and the last member of
-   their min-hash buckets, and linked documents become one group.
-3. ``cross`` tokens are those that now stand in two groups or more.  A document
-   whose cross tokens are too few qualifies for no foreign group: a group of
-   thousands of copies is closed as a whole, without comparing its members.
-   Step 2 is repeated on the open rest with other hash functions.
-4. What is still open takes the exact way: its rarest tokens find foreign
-   groups, the full overlap with each group's union is counted, and the members
-   of the groups that qualify are compared one by one.
+2. Groups grow: each document is compared with one member of each of its
+   min-hash buckets, the one that shares most of its tokens with others (an
+   original among its copies), and linked documents become one group.
+3. ``crossing``: the matrix again, now with these groups.  A document with too
+   few tokens that stand in two groups or more qualifies for no foreign group:
+   a group of thousands of copies is closed as a whole, without comparing its
+   members.
+4. What is still open: documents with the same crossing tokens form a class.
+   Within a class, and between two classes, the overlap of all pairs is the
+   same number, so sizes alone decide which documents link, and links with the
+   smallest member keep all that the pairs would connect.  Classes meet through
+   their rarest tokens (an upper bound of the overlap from the matrix's rows),
+   and only those that qualify are intersected.
 
 No link between different texts is lost: steps 1, 3 and 4 use necessary
 conditions only, and step 2 only adds links that are checked.  Tokens are the
@@ -39,10 +43,9 @@ matrix (give more shards for more data: eight for each shuffle partition).
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,9 +55,12 @@ from . import _text as T
 from .components import smallest_reachable
 
 CHUNK_TOKENS = 1 << 20
-MATRIX_IN_MEMORY = 1 << 20           # cross tokens (8 bytes each) that may be sent to every task
+PROBES = 8                           # rare tokens that a class is tried with beyond those it needs
+SEEDS = (1, 2, 3, 4)                 # min-hash functions of step 2
 _SINGLE, _SHARED, _KNOWN, _META = range(4)
+_NAMES = ["shard", "chunk", "kind", "a", "b", "c"]
 _PIECE = "shard int, chunk long, kind int, a binary, b binary, c binary"
+_REPLY = "chunk long, kind int, a binary, b binary, c binary"
 
 
 def _shards(spark: SparkSession) -> int:
@@ -77,22 +83,56 @@ def _joined(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(data.tobytes(), dtype), np.diff(offsets) // np.dtype(dtype).itemsize
 
 
-class _Chunk:
+def _pieces(number: int, shards: int, tokens: np.ndarray, owner: np.ndarray, group: np.ndarray | None, meta: list):
+    """A chunk's rows for the shards and for itself.
+
+    ``tokens`` are sorted; ``group`` is each entry's group, or None when every
+    document (``owner``) is one.  Tokens that two groups of the chunk hold are
+    known to be shared: a shard gets each of them once, without its documents.
+    """
+    start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
+    length = np.diff(np.concatenate([start, [len(tokens)]]))
+    own = owner if group is None else group
+    several = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start) if len(start) else np.zeros(0, bool)
+    shared = np.repeat(several, length)
+    low, shard = tokens.astype(np.uint32), (tokens >> np.uint64(32)).astype(np.int64)
+
+    def rows(kind, at, with_owner):
+        bounds = np.searchsorted(shard[at], np.arange(shards + 1))
+        full = np.flatnonzero(np.diff(bounds))
+        cuts = np.concatenate([bounds[full], bounds[-1:]])
+        none = pa.nulls(len(full), pa.binary())
+        return pa.record_batch([
+            pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number, np.int64)),
+            pa.array(np.full(len(full), kind, np.int32)), _packed(low[at], cuts),
+            _packed(owner[at], cuts) if with_owner else none,
+            _packed(group[at], cuts) if with_owner and group is not None else none], names=_NAMES)
+
+    yield rows(_SINGLE, np.flatnonzero(~shared), True)
+    yield rows(_SHARED, start[several], False)
+    home = number * 2654435761 % shards
+    yield pa.record_batch([
+        pa.array([home, home], pa.int32()), pa.array([number, number], pa.int64()), pa.array([_KNOWN, _META], pa.int32()),
+        pa.array([tokens[shared].tobytes(), meta[0]], pa.binary()),
+        pa.array([owner[shared].tobytes(), meta[1]], pa.binary()), pa.array([None, meta[2]], pa.binary())], names=_NAMES)
+
+
+class _Texts:
     """Documents of a task, collected until they hold enough tokens."""
 
     def __init__(self, width: int):
         self.width, self.tokens, self.owner, self.ids, self.n = width, [], [], [], 0
 
     def add(self, part, data: np.ndarray, offsets: np.ndarray) -> None:
-        starts, ends, first = T.spans(T.LOWER[data], offsets, ~T.SPACE)
-        tokens, owner = T.shingles(T.word_hashes(T.LOWER[data], starts, ends), first, self.width)
+        lower = T.LOWER[data]
+        starts, ends, first = T.spans(lower, offsets, ~T.SPACE)
+        tokens, owner = T.shingles(T.word_hashes(lower, starts, ends), first, self.width)
         self.tokens.append(tokens)
         self.owner.append(owner + len(self.ids))
         self.ids.extend(part.column(0).to_pylist())
         self.n += len(tokens)
 
     def pieces(self, number: int, shards: int):
-        """Rows for the shards and for the chunk itself."""
         tokens, owner = np.concatenate(self.tokens), np.concatenate(self.owner).astype(np.uint16)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
@@ -103,71 +143,68 @@ class _Chunk:
         marks = np.zeros((2, len(self.ids)), np.uint64)          # an order-free digest of each set
         for row, seed in zip(marks, (0xA5A5, 0x5A5A)):
             np.add.at(row, owner, T.mix64(tokens ^ np.uint64(seed)))
-        bits = 32 + shards.bit_length() - 1
-        tokens = tokens >> np.uint64(64 - bits)
-        same = tokens[1:] == tokens[:-1]
-        shared = np.zeros(len(tokens), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        low, shard = tokens.astype(np.uint32), (tokens >> np.uint64(32)).astype(np.int64)
-
-        def rows(kind, select, with_owner):
-            at = np.searchsorted(shard[select], np.arange(shards + 1))
-            full = np.flatnonzero(np.diff(at))
-            cuts = np.concatenate([at[full], at[-1:]])
-            none = pa.nulls(len(full), pa.binary())
-            return pa.record_batch([
-                pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number, np.int64)),
-                pa.array(np.full(len(full), kind, np.int32)), _packed(low[select], cuts),
-                _packed(owner[select], cuts) if with_owner else none, none], names=["shard", "chunk", "kind", "a", "b", "c"])
-
-        yield rows(_SINGLE, ~shared, True)
-        first = shared.copy()
-        first[1:] &= ~same
-        yield rows(_SHARED, first, False)
-        home = number * 2654435761 % shards
-        meta = [(0 if i is None else i, i is not None) for i in self.ids]
-        ids = np.array([m[0] for m in meta], np.int64).tobytes() + bytes(m[1] for m in meta)
-        yield pa.record_batch([
-            pa.array([home, home], pa.int32()), pa.array([number, number], pa.int64()), pa.array([_KNOWN, _META], pa.int32()),
-            pa.array([tokens[shared].tobytes(), ids], pa.binary()),
-            pa.array([owner[shared].tobytes(), sizes.astype(np.int64).tobytes()], pa.binary()),
-            pa.array([None, marks.tobytes()], pa.binary())], names=["shard", "chunk", "kind", "a", "b", "c"])
+        ids = np.array([0 if i is None else i for i in self.ids], np.int64).tobytes() + bytes(i is not None for i in self.ids)
+        tokens = tokens >> np.uint64(32 - (shards.bit_length() - 1))
+        yield from _pieces(number, shards, tokens, owner, None, [ids, sizes.astype(np.int64).tobytes(), marks.tobytes()])
 
 
 def _deal(width: int, shards: int):
     def run(batches):
         task, seq = TaskContext.get().partitionId(), 0
-        chunk = _Chunk(width)
+        chunk = _Texts(width)
         for part, data, offsets in T.doc_batches(batches):
             for lo in range(0, part.num_rows, 32768):            # a chunk numbers its documents with 16 bits
                 rows = part.slice(lo, 32768)
                 hi = lo + rows.num_rows
                 if chunk.ids and (chunk.n >= CHUNK_TOKENS or len(chunk.ids) + rows.num_rows > 65535):
                     yield from chunk.pieces(task << 20 | seq, shards)
-                    chunk, seq = _Chunk(width), seq + 1
+                    chunk, seq = _Texts(width), seq + 1
                 chunk.add(rows, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
         if chunk.ids:
             yield from chunk.pieces(task << 20 | seq, shards)
     return run
 
 
+def _deal_sets(shards: int):
+    """The same for (uid, comp, n, tokens): the groups are given."""
+    def run(batches):
+        task, seq = TaskContext.get().partitionId(), 0
+        for b in batches:
+            held = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(b.column(3))))])
+            lo = 0
+            while lo < b.num_rows:
+                hi = min(max(lo + 1, int(np.searchsorted(held, held[lo] + CHUNK_TOKENS, "right")) - 1), lo + 65535, b.num_rows)
+                part = b.slice(lo, hi - lo)
+                uid, comp, n = (np.asarray(part.column(k), np.int64) for k in range(3))
+                tokens = np.asarray(part.column(3).flatten()).astype(np.uint64)
+                owner = np.repeat(np.arange(hi - lo), np.diff(held[lo:hi + 1])).astype(np.uint16)
+                order = np.argsort(tokens, kind="stable")
+                yield from _pieces(task << 20 | seq, shards, tokens[order], owner[order], comp[owner[order]],
+                                   [uid.tobytes(), n.tobytes(), comp.tobytes()])
+                lo, seq = hi, seq + 1
+    return run
+
+
 def _match(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
-    """A shard: of the single tokens, those that another chunk holds too; the rest goes on to its chunk."""
+    """A shard: of the single tokens, those that another group holds too; the rest goes on to its chunk."""
     shard = key[0].as_py()
     kind = pieces["kind"].to_numpy()
     single, marked = pieces.filter(pa.array(kind == _SINGLE)), pieces.filter(pa.array(kind == _SHARED))
     tokens, count = _joined(single["a"], "<u4")
     owner, _ = _joined(single["b"], "<u2")
+    group, _ = _joined(single["c"], "<i8")
+    if not len(group):                                           # every row's tokens are of documents of its own
+        group = np.repeat(np.arange(len(count)), count)
     others, _ = _joined(marked["a"], "<u4")
-    both = np.concatenate([tokens, others])
-    order = np.argsort(both, kind="stable")
-    ranked = both[order]
-    again = np.zeros(len(both), bool)
-    same = ranked[1:] == ranked[:-1]
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    again = again[:len(tokens)]
+    order = np.argsort(tokens, kind="stable")
+    ranked, group = tokens[order], group[order]
+    start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, int)
+    several = np.zeros(0, bool)
+    if len(start):
+        several = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
+        several |= np.isin(ranked[start], others)
+    again = np.zeros(len(tokens), bool)
+    again[order] = np.repeat(several, np.diff(np.concatenate([start, [len(ranked)]])))
     row = np.repeat(np.arange(len(count)), count)[again]
     at = np.searchsorted(row, np.arange(len(count) + 1))
     full = np.flatnonzero(np.diff(at))
@@ -177,22 +214,27 @@ def _match(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
     out = pa.table({"chunk": pa.array(chunks[full] if len(full) else np.zeros(0, np.int64)),
                     "kind": pa.array(np.full(len(full), _KNOWN, np.int32)),
                     "a": _packed(found, cuts), "b": _packed(owner[again], cuts), "c": pa.nulls(len(full), pa.binary())})
-    rest = pieces.filter(pa.array(kind >= _KNOWN)).select(["chunk", "kind", "a", "b", "c"])
+    rest = pieces.filter(pa.array(kind >= _KNOWN)).select(_NAMES[1:])
     return pa.concat_tables([out, rest.cast(out.schema)])
 
 
+def _chunk_tokens(pieces: pa.Table) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(meta row, shared tokens, their documents), sorted by document and token."""
+    kind = pieces["kind"].to_numpy()
+    meta = pieces.filter(pa.array(kind == _META)).to_pylist()[0]
+    known = pieces.filter(pa.array(kind == _KNOWN))
+    tokens, owner = _joined(known["a"], "<u8")[0], _joined(known["b"], "<u2")[0]
+    order = np.lexsort((tokens, owner))
+    return meta, tokens[order], owner[order]
+
+
 def _gather(percent: int):
     def run(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
         """A chunk: its documents with their shared tokens, if they hold enough of them."""
-        kind = pieces["kind"].to_numpy()
-        meta = pieces.filter(pa.array(kind == _META)).to_pylist()[0]
-        known = pieces.filter(pa.array(kind == _KNOWN))
-        tokens, owner = _joined(known["a"], "<u8")[0], _joined(known["b"], "<u2")[0]
+        meta, tokens, owner = _chunk_tokens(pieces)
         sizes, marks = np.frombuffer(meta["b"], np.int64), np.frombuffer(meta["c"], np.uint64).reshape(2, -1)
         n = len(sizes)
         ids, there = np.frombuffer(meta["a"][:8 * n], np.int64), np.frombuffer(meta["a"][8 * n:], bool)
-        order = np.lexsort((tokens, owner))
-        tokens, owner = tokens[order], owner[order]
         at = np.searchsorted(owner, np.arange(n + 1))
         held = np.diff(at)
         uid = key[0].as_py() * 65536 + np.arange(n)
@@ -205,45 +247,59 @@ def _gather(percent: int):
         alive = (sizes > 0) & (100 * held >= percent * sizes)
         lists = [tokens[at[i]:at[i + 1]].astype(np.int64) if alive[i] and rep[i] == uid[i] else None for i in range(n)]
         return pa.table({"uid": pa.array(uid), "doc_id": pa.array(ids, mask=~there), "n": pa.array(sizes),
-                         "rep": pa.array(np.where(alive, rep, uid)), "alive": pa.array(alive),
+                         "rep": pa.array(np.where(alive, rep, uid)), "tokens": pa.array(lists, pa.list_(pa.int64()))})
+    return run
+
+
+def _gather_sets(percent: int):
+    def run(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
+        """A chunk of sets: those that hold enough crossing tokens, with these."""
+        meta, tokens, owner = _chunk_tokens(pieces)
+        uid, n, comp = (np.frombuffer(meta[k], np.int64) for k in "abc")
+        at = np.searchsorted(owner, np.arange(len(n) + 1))
+        keep = np.flatnonzero(100 * np.diff(at) >= percent * n)
+        lists = [tokens[at[i]:at[i + 1]].astype(np.int64) for i in keep]
+        return pa.table({"uid": pa.array(uid[keep]), "comp": pa.array(comp[keep]), "n": pa.array(n[keep]),
                          "tokens": pa.array(lists, pa.list_(pa.int64()))})
     return run
 
 
 def sets(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(uid, doc_id, n, rep, alive, tokens): a row per document; tokens only of those that may link, once per chunk."""
+    """(uid, doc_id, n, rep, tokens): a row per document; tokens only of those that may link, once per chunk."""
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     dealt = src.mapInArrow(_deal(width, _shards(docs.sparkSession)), _PIECE)
-    matched = dealt.groupBy("shard").applyInArrow(_match, "chunk long, kind int, a binary, b binary, c binary")
-    return matched.groupBy("chunk").applyInArrow(
-        _gather(percent), "uid long, doc_id long, n long, rep long, alive boolean, tokens array<long>")
+    return dealt.groupBy("shard").applyInArrow(_match, _REPLY).groupBy("chunk").applyInArrow(
+        _gather(percent), "uid long, doc_id long, n long, rep long, tokens array<long>")
+
+
+def crossing(verts: DataFrame, percent: int) -> DataFrame:
+    """Of (uid, comp, n, tokens) those that hold enough tokens of foreign groups; tokens: the crossing ones."""
+    dealt = verts.select("uid", "comp", "n", "tokens").mapInArrow(_deal_sets(_shards(verts.sparkSession)), _PIECE)
+    return dealt.groupBy("shard").applyInArrow(_match, _REPLY).groupBy("chunk").applyInArrow(
+        _gather_sets(percent), "uid long, comp long, n long, tokens array<long>")
 
 
-def _bucket_links(verts: DataFrame, seeds: list[int], percent: int) -> DataFrame:
-    """Checked links of each vertex (uid, n, tokens) with the first and the last one of its min-hash buckets."""
+def _bucket_links(verts: DataFrame, percent: int) -> DataFrame:
+    """Checked links of each vertex (uid, n, tokens) with the most typical member of its min-hash buckets."""
     def keys(batches):
         for b in batches:
-            uid, tokens = b.column(0), b.column(1)
+            uid, n, tokens = b.column(0), np.asarray(b.column(1), np.int64), b.column(2)
             flat = np.asarray(tokens.flatten()).view(np.uint64)
-            at = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(tokens)))])
-            full = np.flatnonzero(np.diff(at))
-            for s in seeds:
-                low = np.minimum.reduceat(T.mix64(flat ^ np.uint64(s * 0x9E3779B97F4A7C15 & (2**64 - 1))), at[full]) \
-                    if len(full) else np.zeros(0, np.uint64)
-                yield pa.record_batch([uid.take(pa.array(full)), pa.array((low ^ np.uint64(s)).view(np.int64))],
-                                      names=["uid", "bucket"])
-
-    import pyarrow.compute  # noqa: F401 - the closure uses pa.compute
-    dealt = verts.select("uid", "tokens").mapInArrow(keys, "uid long, bucket long")
-    ends = dealt.groupBy("bucket").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).filter("first < last")
-    pairs = (dealt.join(ends, "bucket").select("uid", F.explode(F.array("first", "last")).alias("other"))
+            held = np.asarray(pc.list_value_length(tokens))
+            at = np.concatenate([[0], np.cumsum(held)])
+            full = np.flatnonzero(held)
+            if not len(full):
+                continue
+            for seed in SEEDS:
+                low = np.minimum.reduceat(T.mix64(flat ^ T.mix64(np.array([seed], np.uint64))), at[full])
+                yield pa.record_batch([uid.take(pa.array(full)), pa.array((low ^ np.uint64(seed)).view(np.int64)),
+                                       pa.array(held[full] / n[full])], names=["uid", "bucket", "share"])
+
+    dealt = verts.select("uid", "n", "tokens").mapInArrow(keys, "uid long, bucket long, share double")
+    typical = dealt.groupBy("bucket").agg(F.max(F.struct("share", "uid")).alias("m"), F.count("*").alias("rows"))
+    pairs = (dealt.join(typical.filter("rows > 1"), "bucket").select("uid", F.col("m.uid").alias("other"))
              .filter("uid <> other")
              .select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct())
-    return _checked(pairs, verts, percent)
-
-
-def _checked(pairs: DataFrame, verts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets (uid, n, tokens) reach the threshold."""
     one = verts.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = verts.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     met = pairs.join(one, "a").join(two, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
@@ -251,70 +307,78 @@ def _checked(pairs: DataFrame, verts: DataFrame, percent: int) -> DataFrame:
             .filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b"))
 
 
-def _open(verts: DataFrame, percent: int, path: str) -> DataFrame:
-    """Of (uid, comp, n, tokens) those that hold enough tokens of foreign groups; tokens: their cross tokens."""
-    spark = verts.sparkSession
-    one = verts.select("uid", "comp", "n", F.explode("tokens").alias("token"))
-    (one.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
-     .write.parquet(f"{path}/cross"))
-    cross = spark.read.parquet(f"{path}/cross")
-    few = cross.count() <= MATRIX_IN_MEMORY
-    (one.join(F.broadcast(cross) if few else cross, "token")
-     .groupBy("uid").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
-     .filter(f"100 * size(tokens) >= {percent} * n").write.parquet(f"{path}/open"))
-    return spark.read.parquet(f"{path}/open")
-
-
-def _opened_links(rest: DataFrame, percent: int) -> DataFrame:
-    """Links between the open vertices of different groups, through the token-group matrix."""
+def _class_links(rest: DataFrame, percent: int, path: str) -> DataFrame:
+    """All links that connect the open documents (uid, comp, n, tokens), through classes of equal crossing tokens."""
+    spark = rest.sparkSession
     one = rest.select("uid", "comp", "n", F.explode("tokens").alias("token"))
-    matrix = one.select("token", F.col("comp").alias("group")).distinct()
-    spread = matrix.groupBy("token").agg(F.count("*").alias("groups"))
-    # any group that qualifies holds one of a document's (held - needed + 1) rarest tokens
-    needed = f"cast(ceil({percent} * n / 100) as int)"
-    prefix = (one.join(spread, "token").groupBy("uid", "comp", "n")
-              .agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("ranked"))
-              .select("uid", "comp", "n", F.explode(F.expr(f"slice(ranked, 1, size(ranked) - {needed} + 1)")).alias("r"))
-              .select("uid", "comp", "n", F.col("r.token").alias("token")))
-    found = prefix.join(matrix, "token").filter("group > comp").select("uid", "group", "n").distinct()
-    bound = (found.join(one.select("uid", "token"), "uid").join(matrix, ["token", "group"])
-             .groupBy("uid", "group", "n").agg(F.count("*").alias("held")).filter(f"100 * held >= {percent} * n"))
-    members = rest.select(F.col("comp").alias("group"), F.col("uid").alias("b"))
-    pairs = bound.select(F.col("uid").alias("a"), "group").join(members, "group").select("a", "b")
-    return _checked(pairs, rest, percent)
-
-
-def components(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text",
-               regroup: int = 3) -> DataFrame:
+    # crossing among the open ones only, and how often: rare tokens come first
+    spread = (one.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("df"))
+              .filter("x < y").select("token", "df"))
+    (one.join(spread, "token").groupBy("uid")
+     .agg(F.first("comp").alias("comp"), F.first("n").alias("n"),
+          F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+     .filter(f"100 * size(ranked) >= {percent} * n")
+     .select("uid", "comp", "n", F.col("ranked.token").alias("tokens"))
+     .withColumn("class", F.unhex(F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>")))))
+     .write.parquet(f"{path}/open"))
+    docs = spark.read.parquet(f"{path}/open")
+    # the smallest member stands for its class: whatever links with the class links with it
+    (docs.groupBy("class").agg(F.min(F.struct("n", "uid")).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"),
+                               F.count("*").alias("members"))
+     .select("class", F.col("m.uid").alias("least"), F.col("m.n").alias("small"), "x", "y", "members")
+     .write.parquet(f"{path}/classes"))
+    classes = spark.read.parquet(f"{path}/classes")
+    # 100 * o >= percent * (n + m - o): with an overlap o, sizes n + m up to o * (100 + percent) / percent link
+    room = f"({{}} * (100 + {percent})) div {percent}"
+    inside = (docs.join(classes.filter("members > 1"), "class")
+              .filter(f"uid <> least and n + small <= {room.format('size(tokens)')}").select(F.col("least").alias("a"), F.col("uid").alias("b")))
+
+    need = f"cast(({percent} * n + 99) div 100 as int)"
+    heads = (classes.join(docs.select(F.col("uid").alias("least"), "n", "tokens"), "least")
+             .withColumn("need", F.expr(need)).withColumn("held", F.size("tokens"))
+             .withColumn("tried", F.expr(f"least(held, held - need + 1 + {PROBES})")))
+    probe = heads.select("class", "least", "n", "x", "y", F.expr("need - (held - tried)").alias("hits"),
+                         F.explode(F.expr("slice(tokens, 1, tried)")).alias("token"))
+    other = probe.select("token", *[F.col(c).alias(f"{c}2") for c in ("class", "least", "n", "x", "y", "hits")])
+    met = (probe.join(other, "token")
+           .filter(f"least < least2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and not (x = y and x = x2 and x2 = y2)")
+           .groupBy("least", "least2").agg(F.count("*").alias("found"), F.first("hits").alias("h1"), F.first("hits2").alias("h2"))
+           # of the tokens tried at most held - tried are missing: fewer hits than this bound the overlap below the need
+           .filter("found >= least(h1, h2)").select("least", "least2"))
+    sides = heads.select("least", "class", "n", "tokens")
+    theirs = sides.select(*[F.col(c).alias(f"{c}2") for c in sides.columns])
+    (met.join(sides, "least").join(theirs, "least2")
+     .withColumn("room", F.expr(room.format("size(array_intersect(tokens, tokens2))")))
+     .filter("n + n2 <= room").select("least", "class", "n", "least2", "class2", "n2", "room")
+     .write.parquet(f"{path}/pairs"))
+    pairs = spark.read.parquet(f"{path}/pairs")
+    both = pairs.select("class", F.col("least2").alias("to"), (F.col("room") - F.col("n2")).alias("slack")).unionByName(
+        pairs.select(F.col("class2").alias("class"), F.col("least").alias("to"), (F.col("room") - F.col("n")).alias("slack")))
+    # a member that links with any other class links with the one that leaves most room
+    widest = both.groupBy("class").agg(F.max(F.struct("slack", "to")).alias("w"))
+    outside = (docs.select("uid", "n", "class").join(widest, "class").filter("n <= w.slack")
+               .select(F.col("uid").alias("a"), F.col("w.to").alias("b")))
+    return inside.unionByName(outside).unionByName(pairs.select(F.col("least").alias("a"), F.col("least2").alias("b")))
+
+
+def components(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): a row per document."""
     spark = docs.sparkSession
     path = scratch_path(spark, "jaccard")
     sets(docs, width, percent, doc_id, text).write.parquet(f"{path}/sets")
     all_docs = spark.read.parquet(f"{path}/sets")
     verts = all_docs.filter("tokens is not null").select("uid", "n", "tokens")
-
-    def grouped(links: list[DataFrame], k: int) -> DataFrame:
-        """(v, root) of all links so far."""
-        return smallest_reachable(spark, reduce(DataFrame.unionByName, links))
-
-    links, left, roots = [], verts, None
-    for k in range(regroup + 1):
-        seeds = [100 * k + s for s in range(1, 5)]
-        _bucket_links(left, seeds, percent).write.parquet(f"{path}/links{k}")
-        links.append(spark.read.parquet(f"{path}/links{k}"))
-        if k and not links[-1].limit(1).count():
-            break
-        roots = grouped(links, k)
-        at = left.select("uid", "n", "tokens").join(roots, F.col("uid") == F.col("v"), "left")
-        left = _open(at.select("uid", F.coalesce("root", "uid").alias("comp"), "n", "tokens"), percent, f"{path}/open{k}")
-        if not left.limit(1).count():
-            break
-    if left.limit(1).count():
-        _opened_links(left, percent).write.parquet(f"{path}/exact")
-        links.append(spark.read.parquet(f"{path}/exact"))
-        if links[-1].limit(1).count():
-            roots = grouped(links, -1)
-
+    _bucket_links(verts, percent).write.parquet(f"{path}/links")
+    links = spark.read.parquet(f"{path}/links")
+    roots = smallest_reachable(spark, links)
+    grouped = verts.join(roots, F.col("uid") == F.col("v"), "left").select(
+        "uid", F.coalesce("root", "uid").alias("comp"), "n", "tokens")
+    crossing(grouped, percent).write.parquet(f"{path}/crossing")
+    rest = spark.read.parquet(f"{path}/crossing")
+    _class_links(rest, percent, path).write.parquet(f"{path}/more")
+    more = spark.read.parquet(f"{path}/more")
+    if more.limit(1).count():
+        roots = smallest_reachable(spark, links.unionByName(more))
     placed = (all_docs.select("doc_id", "n", "rep").join(roots, F.col("rep") == F.col("v"), "left")
               .select("doc_id", "n", F.coalesce("root", "rep").alias("comp")))
     lowest = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
