@@ -29,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 SKETCH_ROWS = 1 << 20
 _SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -81,7 +83,11 @@ def find(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, d
     sketch = sketches(tests, width, percent)
     few = sketch.count() <= SKETCH_ROWS
     tried = _with_words(source).select(F.col("id").alias("doc_id"), F.explode(_hashes(width)).alias("hash"))
-    candidates = tried.join(F.broadcast(sketch) if few else sketch, "hash").select("doc_id", "item_id").distinct()
+    # used twice: written, or every document would be tried twice
+    path = scratch_path(docs.sparkSession, "suspects")
+    (tried.join(F.broadcast(sketch) if few else sketch, "hash").select("doc_id", "item_id").distinct()
+     .write.parquet(path))
+    candidates = docs.sparkSession.read.parquet(path)
 
     exact = _with_words(tests).select(F.col("id").alias("item_id"), F.explode(_shingles(width)).alias("shingle")).distinct()
     sizes = exact.groupBy("item_id").agg(F.count("*").alias("n_item"))
