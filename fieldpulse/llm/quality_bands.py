@@ -38,13 +38,13 @@ class Bands:
     """(bytes from, lowest ratio, highest ratio) by length class, ascending; the chunk rules."""
     whole: tuple[tuple[int, float, float], ...] = (
         (0, 0.0, float("inf")),
-        (256, 1.02, 6.0),
-        (1024, 1.15, 7.0),
-        (8192, 1.25, 9.0),
-        (65536, 1.3, 12.0),
+        (256, 1.05, 3.5),
+        (1024, 1.15, 4.0),
+        (8192, 1.25, 4.5),
+        (65536, 1.3, 6.0),
     )
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (1.15, 9.0)
+    chunk: tuple[float, float] = (1.15, 4.5)
     bad_chunk_share: float = 0.5
     level: int = 1
 
