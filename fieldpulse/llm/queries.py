@@ -82,7 +82,8 @@ def _list_log(pages: DataFrame) -> DataFrame:
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (_md5_number(F.col("page_id").cast("string")) % 365))
-    return url_filter.evaluate(pages.withColumn("fetched_at", day), _list_log(pages))
+    got = url_filter.evaluate(pages.withColumn("fetched_at", day), _list_log(pages))
+    return got.withColumns({c: F.col(c).cast("string") for c in ("fetched_at", "active_since")})
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,11 +192,11 @@ best AS (
   SELECT *, count(*) OVER (PARTITION BY page_id) AS n,
          row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, list = 'block' DESC, kind DESC, key DESC, day DESC) AS r
   FROM active)
-SELECT p.page_id, p.host, p.fetched_at,
+SELECT p.page_id, p.host, CAST(p.fetched_at AS VARCHAR) AS fetched_at,
        CASE WHEN p.host IS NULL THEN 'no_host' WHEN b.list IS NULL THEN 'unlisted'
             WHEN b.list = 'block' THEN 'blocked' ELSE 'allowed' END AS verdict,
        CASE WHEN b.kind IS NULL THEN '' ELSE b.kind || ':' || b.key END AS listed_by,
-       b.day AS active_since, CAST(coalesce(b.n, 0) AS BIGINT) AS n_active
+       CAST(b.day AS VARCHAR) AS active_since, CAST(coalesce(b.n, 0) AS BIGINT) AS n_active
 FROM p LEFT JOIN best b ON p.page_id = b.page_id AND b.r = 1
 """
 
