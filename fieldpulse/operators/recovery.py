@@ -1,16 +1,16 @@
 """Harness analytics over sampled series: lag, backlog, drain and recovery.
 
 Samples are pre-aggregated series (one row per run and sampling instant).
-The ordered rules (drain, recovery streak) are fixed-size frames over each
-run's sequence; they are evaluated with distributed positions and a hash
-aggregate per frame, so no task has to hold a whole run.
+The ordered rules (drain, recovery streak) count the samples since the last
+break of each run's sequence; they are evaluated with distributed positions
+over blocks, so no task has to hold a whole run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldpulse.functions.numeric import clamped_backlog, loss_pct, loss_pct_text
@@ -30,41 +30,51 @@ def group_lag(offsets: DataFrame) -> DataFrame:
                     F.coalesce("_lag", F.lit(0)).cast("long").alias("lag"))
 
 
-def _frames(samples: DataFrame, group_cols: list[str], ts_col: str, width: int) -> DataFrame:
-    """Every sample sent to each of the ``width`` frames it belongs to.
+BLOCK_ROWS = 10_000         # samples of a run that one task looks at together
 
-    Samples get a 0-based position per group from the distributed ordinal
-    (no single-task window, even for a group holding most samples); a
-    sample at position p joins the frames ending at p, p+1, ..., p+width-1.
-    Grouping by (group, frame end) is then an ordinary hash aggregate.
+
+def _since_break(samples: DataFrame, group_cols: list[str], ts_col: str, value_col: str, breaks) -> DataFrame:
+    """Each sample with its 0-based position ``idx`` in its run and ``held``: how many
+    samples up to it, itself included, have passed since the last break.
+
+    ``breaks(value, previous)`` tells whether a sample breaks the sequence
+    (``previous`` is null at a run's first one).  Positions come from the
+    distributed ordinal; a run is cut into blocks of ``BLOCK_ROWS`` positions,
+    and a block gets the previous value and the last break from the blocks
+    before it.  Rows are never copied, and no task holds a whole run.
     """
     o = with_global_ordinal(samples, [ts_col], group_cols, name="_seq")
-    shifts = F.array(*[F.lit(k) for k in range(int(width))])
-    return o.select("*", F.explode(shifts).alias("_k")).select(
-        *group_cols, (F.col("_seq") - 1 + F.col("_k")).alias("frame_end"), "_k",
-        *[c for c in samples.columns if c not in group_cols])
+    o = o.withColumn("_block", F.floor((F.col("_seq") - 1) / F.lit(BLOCK_ROWS)))
+    keys = [*group_cols, "_block"]
+    inside, over = Window.partitionBy(*keys).orderBy("_seq"), Window.partitionBy(*group_cols).orderBy("_block")
+    ends = (o.groupBy(*keys).agg(F.max_by(value_col, "_seq").alias("_end"))
+            .withColumn("_carried", F.lag("_end").over(over)).drop("_end"))
+    o = o.join(ends, keys)
+    first = F.col("_seq") == F.col("_block") * BLOCK_ROWS + 1
+    previous = F.when(first, F.col("_carried")).otherwise(F.lag(value_col).over(inside))
+    o = o.withColumn("_previous", previous)
+    o = o.withColumn("_break", F.when(F.coalesce(breaks(F.col(value_col), F.col("_previous")), F.lit(True)), F.col("_seq")))
+    lasts = (o.groupBy(*keys).agg(F.max("_break").alias("_last"))
+             .withColumn("_before", F.max("_last").over(over.rowsBetween(Window.unboundedPreceding, -1))).drop("_last"))
+    here = F.max("_break").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return (o.withColumn("_here", here).join(lasts, keys)
+            .select(*group_cols, (F.col("_seq") - 1).alias("idx"), F.col(value_col).alias("value"),
+                    (F.col("_seq") - F.coalesce("_here", "_before", F.lit(0))).alias("held")))
 
 
 def drain_stable(samples: DataFrame, group_cols: Sequence[str] = ("run",), ts_col: str = "sample_ts",
                  value_col: str = "value", stable_needed: int = 3, timeout: int | None = None) -> DataFrame:
     """First sample equal to its predecessor ``stable_needed`` times in a row.
 
-    That is the first index i whose frame of ``stable_needed + 1`` samples
-    ending at i holds one value; ``drained_index`` is null when it never
-    happens.  ``timed_out`` is true when there is no such sample within the
-    first ``timeout`` samples (anywhere, without a timeout).
+    A change of the value is the break; ``drained_index`` is null when the
+    value never holds that long.  ``timed_out`` is true when there is no such
+    sample within the first ``timeout`` samples (anywhere, without a timeout).
     """
     group_cols = list(group_cols)
-    width = int(stable_needed) + 1
-    f = _frames(samples.select(*group_cols, ts_col, value_col), group_cols, ts_col, width)
-    v = F.col(value_col)
-    frames = f.groupBy(*group_cols, "frame_end").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"),
-        F.max(F.when(F.col("_k") == 0, v)).alias("_last"))
-    hit = (F.col("_n") == width) & (F.col("_lo") == F.col("_hi"))
-    first = F.min_by(F.struct(F.col("frame_end").alias("idx"), F.col("_last").alias("v")),
-                     F.when(hit, F.col("frame_end")))
-    g = frames.groupBy(*group_cols).agg(first.alias("_d"))       # every run has frames
+    f = _since_break(samples.select(*group_cols, ts_col, value_col), group_cols, ts_col, value_col,
+                     lambda value, previous: value != previous)
+    first = F.min_by(F.struct("idx", F.col("value").alias("v")), F.when(F.col("held") >= int(stable_needed), F.col("idx")))
+    g = f.groupBy(*group_cols).agg(first.alias("_d"))
     idx = F.col("_d.idx").cast("long")
     timed_out = idx.isNull() if timeout is None else (idx.isNull() | (idx >= F.lit(int(timeout))))
     return g.select(*group_cols, idx.alias("drained_index"), F.col("_d.v").alias("drained_value"),
@@ -75,16 +85,15 @@ def recovery_streak(samples: DataFrame, group_cols: Sequence[str] = ("run",), ts
                     value_col: str = "value", limit: int = 5, needed: int = 10, horizon: int = 180) -> DataFrame:
     """First sample at which ``value <= limit`` has held ``needed`` samples in a row.
 
-    That is the first index whose frame of ``needed`` samples is all within
-    the limit.  ``recovery_s`` is index + 1 when reached within ``horizon``
-    samples, otherwise ``"<horizon>+"``; ``recovery_index`` is the raw index.
+    A value above the limit is the break.  ``recovery_s`` is index + 1 when
+    reached within ``horizon`` samples, otherwise ``"<horizon>+"``;
+    ``recovery_index`` is the raw index.
     """
     group_cols = list(group_cols)
-    f = _frames(samples.select(*group_cols, ts_col, value_col), group_cols, ts_col, int(needed))
-    frames = f.groupBy(*group_cols, "frame_end").agg(
-        F.count_if(F.col(value_col) <= F.lit(limit)).alias("_ok"))
-    g = frames.groupBy(*group_cols).agg(
-        F.min(F.when(F.col("_ok") == F.lit(int(needed)), F.col("frame_end"))).cast("long").alias("recovery_index"))
+    f = _since_break(samples.select(*group_cols, ts_col, value_col), group_cols, ts_col, value_col,
+                     lambda value, previous: value > F.lit(limit))
+    reached = F.when(F.col("held") >= int(needed), F.col("idx"))
+    g = f.groupBy(*group_cols).agg(F.min(reached).cast("long").alias("recovery_index"))
     text = F.when(F.col("recovery_index") < F.lit(horizon), (F.col("recovery_index") + 1).cast("string")) \
         .otherwise(F.lit(f"{horizon}+"))
     return g.select(*group_cols, "recovery_index", text.alias("recovery_s"))

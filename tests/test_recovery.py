@@ -79,8 +79,9 @@ def _first_slice(values, width, holds):
     return ends[0] - 1 if ends else None
 
 
-def test_frames_match_the_definition_with_a_hot_run(spark):
+def test_streaks_match_the_definition_with_a_hot_run(spark, monkeypatch):
     import random
+    monkeypatch.setattr(R, "BLOCK_ROWS", 100)                # the hot run spans many blocks
     rnd = random.Random(11)
     series = {"hot": [rnd.choice([1, 1, 2, 6, 7]) for _ in range(3000)]}
     for r in range(12):
