@@ -26,70 +26,81 @@ import numpy as np
 BLOCK = 2048                          # ids in a block
 LANES = 2048                          # blocks that advance together
 _FIRST = 64                           # ids after which order 0 is renewed first
-_N1, _N2 = 1024, 4096                 # contexts of order 1 and 2 (hashed)
+_N1, _N2 = 1024, 2048                 # contexts of order 1 and 2 (hashed)
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _U16, _U48 = np.uint64(16), np.uint64(48)
 _KEEP, _SHARE = 0.97, 0.01            # weights: what stays, and what each order gets back
 
 
 class _Mixer:
-    """The predictors of all lanes."""
+    """The predictors of all lanes.
+
+    Tables are flat and read with ``take``; a row of four holds what a context
+    has seen of the four outcomes.
+    """
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
+        self.lane4 = np.arange(lanes) * 4
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.id1, self.sure1 = np.zeros(lanes * _N1, np.uint16), np.zeros(lanes * _N1, np.int8)
-        self.id2, self.sure2 = np.zeros(lanes * _N2, np.uint16), np.zeros(lanes * _N2, np.int8)
-        self.base1, self.base2 = self.lane * _N1, self.lane * _N2
-        first = np.array([0.4, 0.4, 0.8, 0.4])[:, None]
-        self.n0, self.t0 = np.tile(first, lanes), np.full(lanes, 2.0)
-        self.n1, self.t1 = np.tile(first, lanes * 8), np.full(lanes * 8, 2.0)
-        self.n2, self.t2 = np.tile(first, lanes * 4), np.full(lanes * 4, 2.0)
+        # id << 2 | confidence (0: nothing seen)
+        self.seen1, self.seen2 = np.zeros(lanes * _N1, np.uint32), np.zeros(lanes * _N2, np.uint32)
+        self.base1 = np.arange(lanes, dtype=np.uint32) * np.uint32(_N1)
+        self.base2 = np.arange(lanes, dtype=np.uint32) * np.uint32(_N2)
+        self.lane8 = np.arange(lanes) * 8
+        first = np.array([0.4, 0.4, 0.8, 0.4])
+        self.n0, self.n1, self.n2 = (np.tile(first, (lanes * k, 1)) for k in (1, 8, 4))
+        self.t0, self.t1, self.t2 = (np.full(lanes * k, 2.0) for k in (1, 8, 4))
         self.w0, self.w1, self.w2 = np.full(lanes, 0.2), np.full(lanes, 0.3), np.full(lanes, 0.5)
+        self.cuts = np.zeros((lanes, 5), np.uint64)
+        self.cuts[:, 4] = 65536
 
     def predict(self) -> np.ndarray:
-        """[5, lanes]: where each outcome's interval of 2^16 begins, and its end."""
+        """[lanes, 5]: where each outcome's interval of 2^16 begins, and its end."""
         h = self.last * np.uint32(2654435761)
-        self.at1 = self.base1 + (h >> np.uint32(22))
+        self.at1 = (h >> np.uint32(22)) + self.base1
         h ^= self.before * np.uint32(0x85EBCA6B)
         h *= np.uint32(0xC2B2AE35)
-        self.at2 = self.base2 + (h >> np.uint32(20))
-        self.c1, self.k1 = self.id1[self.at1], self.sure1[self.at1]
-        self.c2, self.k2 = self.id2[self.at2], self.sure2[self.at2]
-        self.s1 = self.lane * 8 + self.k1 * 2 + (self.c1 == self.c2)
-        self.s2 = self.lane * 4 + self.k2
-        self.p0 = self.n0 * (self.w0 / self.t0)
-        self.p1 = self.n1[:, self.s1] * (self.w1 / self.t1[self.s1])
-        self.p2 = self.n2[:, self.s2] * (self.w2 / self.t2[self.s2])
-        self.p = self.p2 + self.p1 + self.p0
-        cuts = np.empty((5, len(self.lane)), np.uint64)
-        cuts[0] = 0
-        share = (self.p[:3] * 65528.0).astype(np.uint64) + np.uint64(1)
-        cuts[1] = share[0]
-        np.add(cuts[1], share[1], out=cuts[2])
-        np.add(cuts[2], share[2], out=cuts[3])
-        cuts[4] = 65536
+        self.at2 = (h >> np.uint32(21)) + self.base2
+        s1, s2 = self.seen1.take(self.at1), self.seen2.take(self.at2)
+        self.k1, self.k2 = s1 & np.uint32(3), s2 & np.uint32(3)
+        self.c1, self.c2 = s1 >> np.uint32(2), s2 >> np.uint32(2)
+        self.s1 = self.lane8 + self.k1 * np.uint32(2)
+        self.s1 += self.c1 == self.c2
+        self.s2 = self.lane4 + self.k2
+        self.p0 = self.n0 * (self.w0 / self.t0)[:, None]
+        self.p1 = self.n1.take(self.s1, axis=0)
+        self.p1 *= (self.w1 / self.t1.take(self.s1))[:, None]
+        self.p2 = self.n2.take(self.s2, axis=0)
+        self.p2 *= (self.w2 / self.t2.take(self.s2))[:, None]
+        self.p = self.p2 + self.p1
+        self.p += self.p0
+        share = (self.p[:, :3] * 65528.0).astype(np.uint64)
+        share += np.uint64(1)
+        cuts = self.cuts
+        cuts[:, 1] = share[:, 0]
+        np.add(cuts[:, 1], share[:, 1], out=cuts[:, 2])
+        np.add(cuts[:, 2], share[:, 2], out=cuts[:, 3])
         return cuts
 
     def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        lane = self.lane
-        scale = _KEEP / self.p[outcome, lane]
-        self.w0 = self.p0[outcome, lane] * scale + _SHARE
-        self.w1 = self.p1[outcome, lane] * scale + _SHARE
-        self.w2 = self.p2[outcome, lane] * scale + _SHARE
-        self.n0[outcome, lane] += 1
+        spot = self.lane4 + outcome
+        scale = _KEEP / self.p.ravel().take(spot)
+        self.w0 = self.p0.ravel().take(spot) * scale + _SHARE
+        self.w1 = self.p1.ravel().take(spot) * scale + _SHARE
+        self.w2 = self.p2.ravel().take(spot) * scale + _SHARE
+        self.n0.ravel()[spot] += 1
         self.t0 += 1
-        self.n1[outcome, self.s1] += 1
+        self.n1.ravel()[self.s1 * 4 + outcome] += 1
         self.t1[self.s1] += 1
-        self.n2[outcome, self.s2] += 1
+        self.n2.ravel()[self.s2 * 4 + outcome] += 1
         self.t2[self.s2] += 1
-        for held, sure, at, c, k in ((self.id1, self.sure1, self.at1, self.c1, self.k1),
-                                     (self.id2, self.sure2, self.at2, self.c2, self.k2)):
+        fresh = (ids << np.uint32(2)) | np.uint32(1)
+        for seen, at, c, k in ((self.seen1, self.at1, self.c1, self.k1), (self.seen2, self.at2, self.c2, self.k2)):
             hit = c == ids
-            renew = ~hit & (k <= 1)
-            held[at] = np.where(renew, ids, c)
-            sure[at] = np.where(hit, np.minimum(k + 1, 3), np.where(renew, 1, k - 1))
-        self.before, self.last = self.last, ids.astype(np.uint32)
+            sure = np.minimum(k + np.uint32(1), np.uint32(3))
+            kept = (c << np.uint32(2)) | np.where(hit, sure, k - np.uint32(1))
+            seen[at] = np.where(~hit & (k <= 1), fresh, kept)
+        self.before, self.last = self.last, ids
 
 
 def _epochs():
@@ -139,46 +150,61 @@ def encode(ids: np.ndarray) -> list[bytes]:
     return [b for lo in range(0, len(ids), LANES) for b in _encode(ids[lo:lo + LANES])]
 
 
+def _renormalise(low: np.ndarray, span: np.ndarray, move) -> None:
+    """Shift out the settled upper 16 bits of each lane; ``move(lanes, low)`` writes or reads a word for each."""
+    need = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
+    while len(need):
+        lo, sp = low.take(need), span.take(need)
+        narrow = np.flatnonzero((lo ^ (lo + sp)) >= _TOP)
+        if len(narrow):
+            sp[narrow] = (~lo[narrow] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
+        move(need, lo)
+        lo <<= _U16
+        sp <<= _U16
+        low[need], span[need] = lo, sp
+        need = need[((lo ^ (lo + sp)) < _TOP) | (sp < _BOTTOM)]
+
+
 def _encode(ids: np.ndarray) -> list[bytes]:
     n = len(ids)
-    model, lane = _Mixer(n), np.arange(n)
+    model, lane5 = _Mixer(n), np.arange(n) * 5
     low, span = np.zeros(n, np.uint64), np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    out, pos = np.zeros((n, 3 * BLOCK + 16), "<u2"), np.zeros(n, np.int64)
-    flat, row = out.reshape(-1), lane * out.shape[1]
+    out = np.zeros((n, 3 * BLOCK + 16), "<u2")
+    flat, pos = out.reshape(-1), np.arange(n) * out.shape[1]
+    begin = pos.copy()
+
+    def write(need, lo):
+        at = pos.take(need)
+        flat[at] = lo >> _U48
+        pos[need] = at + 1
+
+    columns = np.ascontiguousarray(ids.T).astype(np.uint32)
     for at, to, known in _epochs():
-        first, length = _lookup(ids, at, to, known)
-        first, length = np.ascontiguousarray(first.T), np.ascontiguousarray(length.T)
+        first, length = (np.ascontiguousarray(x.T) for x in _lookup(ids, at, to, known))
         shift = np.array([0, 0, _shift(known), 16], np.uint64)
         for t in range(at, to):
-            x = np.ascontiguousarray(ids[:, t])
-            cuts = model.predict()
+            x = columns[t]
+            cuts = model.predict().ravel()
             s, m = first[t - at], length[t - at]
-            outcome = np.where((model.c2 == x) & (model.k2 > 0), 0, np.where(
-                (model.c1 == x) & (model.k1 > 0), 1, np.where(m > 0, 2, 3)))
+            outcome = np.where(m > 0, 2, 3)
+            outcome[(model.c1 == x) & (model.k1 > 0)] = 1
+            outcome[(model.c2 == x) & (model.k2 > 0)] = 0
             # the outcome's interval, and within it the id's
-            a, unit = cuts[outcome, lane], span >> _U16
+            spot = lane5 + outcome
+            a, unit = cuts.take(spot), span >> _U16
             low += a * unit
-            span = (cuts[outcome + 1, lane] - a) * unit
-            unit = span >> shift[outcome]
-            low += np.where(outcome == 2, s, np.where(outcome == 3, x, 0)).astype(np.uint64) * unit
-            span = np.where(outcome == 2, m, 1).astype(np.uint64) * unit
-            need = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
-            while len(need):
-                lo, sp = low[need], span[need]
-                narrow = (lo ^ (lo + sp)) >= _TOP
-                sp[narrow] = (~lo[narrow] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-                flat[row[need] + pos[need]] = lo >> _U48
-                pos[need] += 1
-                lo <<= _U16
-                sp <<= _U16
-                low[need], span[need] = lo, sp
-                need = need[((lo ^ (lo + sp)) < _TOP) | (sp < _BOTTOM)]
+            span = (cuts.take(spot + 1) - a) * unit
+            unit = span >> shift.take(outcome)
+            known_id, plain = outcome == 2, outcome == 3
+            low += np.where(known_id, s, x * plain).astype(np.uint64) * unit
+            span = np.where(known_id, m, 1).astype(np.uint64) * unit
+            _renormalise(low, span, write)
             model.update(x, outcome)
     for _ in range(4):
-        flat[row + pos] = low >> _U48
+        flat[pos] = low >> _U48
         pos += 1
         low <<= _U16
-    return [out[i, :pos[i]].tobytes() for i in range(n)]
+    return [flat[a:b].tobytes() for a, b in zip(begin.tolist(), pos.tolist())]
 
 
 def decode(blocks: list[bytes]) -> np.ndarray:
@@ -189,48 +215,55 @@ def decode(blocks: list[bytes]) -> np.ndarray:
 
 def _decode(blocks: list[bytes]) -> np.ndarray:
     n = len(blocks)
-    size = max(map(len, blocks)) // 2 + 4
-    words = np.zeros((n, size), np.uint64)
+    size = max(map(len, blocks)) // 2 + 8
+    words = np.zeros((n, size), "<u2")
     for i, b in enumerate(blocks):
         words[i, :len(b) // 2] = np.frombuffer(b, "<u2")
-    flat, row = words.reshape(-1), np.arange(n) * size
+    flat, pos = words.reshape(-1), np.arange(n) * size
+    end = pos + size - 1
     ids = np.zeros((n, BLOCK), np.uint16)
-    model, lane = _Mixer(n), np.arange(n)
+    model, lane5, lane = _Mixer(n), np.arange(n) * 5, np.arange(n)
     low, span = np.zeros(n, np.uint64), np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    code, pos = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    code = np.zeros(n, np.uint64)
     for _ in range(4):
-        code = (code << _U16) | flat[row + pos]
+        code = (code << _U16) | flat[pos]
         pos += 1
+
+    def read(need, _):
+        at = pos.take(need)
+        code[need] = (code.take(need) << _U16) | flat.take(at)
+        pos[need] = np.minimum(at + 1, end.take(need))
+
     for at, to, known in _epochs():
         table, start, run = _order0(ids, known)
+        width = table.shape[1]
+        row = lane * width
+        table, start, run = table.ravel(), start.ravel(), run.ravel()
         shift = np.array([0, 0, _shift(known), 16], np.uint64)
         for t in range(at, to):
-            cuts = model.predict()
+            cuts2 = model.predict()
+            cuts = cuts2.ravel()
             unit = span >> _U16
             v = np.minimum((code - low) // unit, np.uint64(65535))
-            outcome = (v >= cuts[1]).astype(np.int64) + (v >= cuts[2]) + (v >= cuts[3])
-            a = cuts[outcome, lane]
+            outcome = (v[:, None] >= cuts2[:, 1:4]).sum(1)
+            spot = lane5 + outcome
+            a = cuts.take(spot)
             low += a * unit
-            span = (cuts[outcome + 1, lane] - a) * unit
-            unit = span >> shift[outcome]
-            v = ((code - low) // unit).astype(np.int64)
-            plain = outcome == 3
-            spot = np.where(outcome == 2, np.minimum(v, table.shape[1] - 1), 0)
-            x = np.where(outcome == 0, model.c2, np.where(outcome == 1, model.c1, np.where(
-                plain, np.minimum(v, 65535), table[lane, spot]))).astype(np.uint16)
-            low += np.where(outcome == 2, start[lane, spot], np.where(plain, x, 0)).astype(np.uint64) * unit
-            span = np.where(outcome == 2, run[lane, spot], 1).astype(np.uint64) * unit
+            span = (cuts.take(spot + 1) - a) * unit
+            unit = span >> shift.take(outcome)
+            known_id, plain = outcome == 2, outcome == 3
+            x = np.where(outcome == 0, model.c2, model.c1)
+            s, m = np.zeros(n, np.uint64), np.ones(n, np.uint64)
+            some = np.flatnonzero(known_id)
+            inner = (code - low) // unit
+            place = row.take(some) + np.minimum(inner.take(some).astype(np.int64), width - 1)
+            x[some], s[some], m[some] = table.take(place), start.take(place), run.take(place)
+            rest = np.flatnonzero(plain)
+            x[rest] = np.minimum(inner.take(rest), np.uint64(65535))
+            s[rest] = x[rest]
+            low += s * unit
+            span = m * unit
             ids[:, t] = x
-            need = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
-            while len(need):
-                lo, sp = low[need], span[need]
-                narrow = (lo ^ (lo + sp)) >= _TOP
-                sp[narrow] = (~lo[narrow] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-                code[need] = (code[need] << _U16) | flat[row[need] + np.minimum(pos[need], size - 1)]
-                pos[need] += 1
-                lo <<= _U16
-                sp <<= _U16
-                low[need], span[need] = lo, sp
-                need = need[((lo ^ (lo + sp)) < _TOP) | (sp < _BOTTOM)]
+            _renormalise(low, span, read)
             model.update(x, outcome)
     return ids

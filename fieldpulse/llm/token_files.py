@@ -20,9 +20,9 @@ each partition; the numbers before a document come from the segments' counts
 so nothing is numbered by a single task.  A task that is run again writes the
 same segments; Spark commits each output once.
 
-Texts are cut at places where the tokenizer's pre-tokenization cuts as well
-(before a space or newline that follows another character), and pieces already
-encoded are looked up: the ids are those of the whole text.
+Texts are cut at places where the tokenizer's pre-tokenization always cuts as
+well (see ``cuts``), and pieces already encoded are looked up by a 64-bit hash:
+the ids are those of the whole text.
 
 Defined results: a null text counts as empty (the end id alone); null ids come
 first; rows that share an id are ordered by their text; other columns are not
@@ -33,10 +33,10 @@ read.  An empty table gives no segments.  A worker holds one segment (about
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,37 +44,89 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import _text as T
 from . import context_coder as C
 
 MAGIC, VERSION = b"IDSG", 1
 SEGMENT_IDS = 2048 * C.BLOCK
-CACHE = 400_000
-_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+CACHE = 3_000_000
+_SOLID, _LETTER, _PUNCT = (np.zeros(256, bool) for _ in range(3))
+_SOLID[0x21:0x7F] = True
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_PUNCT[0x21:0x7F] = ~_LETTER[0x21:0x7F]
+_PUNCT[0x30:0x3A] = False
+_PUNCT[0x09] = True
 _HEAD = struct.Struct("<4sHHIQI")
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin (bytes of UTF-8): at documents, and at places that end a pre-token whatever stands around.
+
+    * before a space or newline that follows a character which surely isn't white space;
+    * between a letter and a tab or ASCII punctuation;
+    * between a single newline, after such a character, and a letter.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    one, two = np.zeros_like(data), np.zeros_like(data)
+    one[1:], two[2:] = data[:-1], data[:-2]
+    latin = (two == 0xC3) & (one >= 0x80)                       # U+00C0 to U+00FF
+    solid = _SOLID[one] | latin
+    letter = _LETTER[one] | (latin & (one != 0x97) & (one != 0xB7))
+    before_solid = np.zeros(len(data), bool)
+    before_solid[1:] = _SOLID[two[1:]]
+    at = (solid & ((data == 0x20) | (data == 0x0A))) | (letter & _PUNCT[data])
+    at |= (one == 0x0A) & before_solid & _LETTER[data]
+    at[offsets[:-1][offsets[:-1] < len(data)]] = True
+    return np.flatnonzero(at)
+
+
 class Encoder:
-    """The tokenizers library, with the pieces encoded so far."""
+    """The tokenizers library, with the pieces encoded so far in flat arrays (about 20 bytes and its ids each)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # one core for each task
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True        # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [_CUT.split(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Encode new pieces and merge them into the sorted arrays."""
+        got = [e.ids for lo in range(0, len(pieces), 4096)
+               for e in self.tokenizer.encode_batch(pieces[lo:lo + 4096], add_special_tokens=False)]
+        n = np.fromiter(map(len, got), np.int32, len(got))
+        at = len(self.ids) + np.cumsum(n) - n
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))])
+        both = np.concatenate([self.keys, keys])
+        order = np.argsort(both, kind="stable")
+        self.keys, self.at, self.n = both[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, where each document's begin and the last one's end)."""
+        starts = cuts(data, offsets)
+        ends = np.concatenate([starts[1:], [len(data)]]).astype(np.int64) if len(starts) else starts
+        found, first, inverse = np.unique(T.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE:
+            self._forget()
+        spot = np.searchsorted(self.keys, found)
+        new = np.ones(len(found), bool)
+        inside = spot < len(self.keys)
+        new[inside] = self.keys[spot[inside]] != found[inside]
+        if new.any():
+            raw = data.tobytes()
+            k = first[new]
+            self._learn(found[new], [raw[a:b].decode() for a, b in zip(starts[k].tolist(), ends[k].tolist())])
+            spot = np.searchsorted(self.keys, found)
+        which = spot[inverse]
+        n = self.n[which].astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.at[which] - upto[:-1], n)]
+        return ids, upto[np.searchsorted(starts, offsets)]
 
 
 @lru_cache(maxsize=2)
@@ -130,7 +182,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
     """Write the segments of all documents under ``path``."""
     def run(batches):
         enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         names, ids, held = [], [], 0
 
         def segment():
@@ -139,17 +191,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
                 pa.array([held], pa.int64()), pa.array([pack(names, ids)], pa.binary())],
                 names=["part", "seq", "n_docs", "n_ids", "segment"])
 
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                rows = b.slice(lo, 256)
-                for d, raw in zip(rows.column(0).to_pylist(), enc.encode(rows.column(1).to_pylist())):
-                    x = np.frombuffer(raw + end, "<u4")
-                    names.append(d)
-                    ids.append(x)
-                    held += len(x)
-                    if held >= SEGMENT_IDS:
-                        yield segment()
-                        names, ids, held, seq = [], [], 0, seq + 1
+        for rows, data, offsets in T.doc_batches(batches):
+            flat, at = enc.encode(data, offsets)
+            for d, lo, hi in zip(rows.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                x = np.concatenate([flat[lo:hi], end])
+                names.append(d)
+                ids.append(x)
+                held += len(x)
+                if held >= SEGMENT_IDS:
+                    yield segment()
+                    names, ids, held, seq = [], [], 0, seq + 1
         if ids:
             yield segment()
 

@@ -6,10 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from fieldpulse.llm import byte_bpe, context_coder, queries, token_files
+from fieldpulse.llm._text import buffers
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +33,19 @@ def test_safe_boundaries_give_the_same_ids(whole, monkeypatch):
         assert ids == whole.encode_ordinary(t) and codec.decode(ids) == t.encode()
 
 
+def test_cached_pieces_give_the_same_ids(whole):
+    encoder = token_files.encoder(queries.TOKENIZER)
+    rnd = random.Random(2)
+    parts = ["word", "'s", "'", " ", "  ", "\n", "\n\n", "\t", "é", "œ", "Ж", "12", "!!", ".", "　", "\x1c", "²", "×", "A"]
+    texts = ["".join(rnd.choice(parts) for _ in range(40)) for _ in range(400)] + ["", " ", "\n", "<|endoftext|>"]
+    data, offsets = buffers(pa.array(texts))
+    for _ in range(2):                                       # the second time every piece is known
+        ids, at = encoder.encode(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [whole.encode_ordinary(t) for t in texts]
+    ids, at = encoder.encode(*buffers(pa.array(["", ""])))
+    assert len(ids) == 0 and at.tolist() == [0, 0, 0]
+
+
 def test_runs_that_overflow_the_library(whole):
     codec = byte_bpe.codec(queries.RANKS, P.PATTERN)
     for t in (" " * 2_000_000, " \n" * 600_000 + "x", "a" * 300_000 + " b"):
