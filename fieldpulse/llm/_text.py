@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 _POWERS = 4096                       # byte positions in a word that have a multiplier of their own
 
 SPACE = np.zeros(256, bool)

@@ -38,7 +38,9 @@ links with nothing; fewer words than the shingle width are one shingle; copies
 and repeated rows share a component; rows with a null id take part and get the
 component's smallest id (null if there is none); other columns are not read.
 Memory: a task holds about ``CHUNK_TOKENS`` tokens, a shard its part of the
-matrix (give more shards for more data: eight for each shuffle partition).
+matrix.  There are two shards for each shuffle partition (256 at least), and a
+chunk sends each shard one row: with many terabytes raise both the partitions
+and ``CHUNK_TOKENS``, so that a row still holds some hundred tokens.
 """
 
 from __future__ import annotations
@@ -57,14 +59,14 @@ from .components import smallest_reachable
 CHUNK_TOKENS = 1 << 20
 PROBES = 8                           # rare tokens that a class is tried with beyond those it needs
 SEEDS = (1, 2, 3, 4)                 # min-hash functions of step 2
-_SINGLE, _SHARED, _KNOWN, _META = range(4)
+_SINGLE, _SHARED, _KNOWN, _META, _TIMES = range(5)
 _NAMES = ["shard", "chunk", "kind", "a", "b", "c"]
 _PIECE = "shard int, chunk long, kind int, a binary, b binary, c binary"
 _REPLY = "chunk long, kind int, a binary, b binary, c binary"
 
 
 def _shards(spark: SparkSession) -> int:
-    n = max(256, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     return 1 << (n - 1).bit_length()
 
 
@@ -88,7 +90,8 @@ def _pieces(number: int, shards: int, tokens: np.ndarray, owner: np.ndarray, gro
 
     ``tokens`` are sorted; ``group`` is each entry's group, or None when every
     document (``owner``) is one.  Tokens that two groups of the chunk hold are
-    known to be shared: a shard gets each of them once, without its documents.
+    known to be shared: a shard gets each of them once, with the number of its
+    documents instead of these.
     """
     start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
     length = np.diff(np.concatenate([start, [len(tokens)]]))
@@ -97,19 +100,18 @@ def _pieces(number: int, shards: int, tokens: np.ndarray, owner: np.ndarray, gro
     shared = np.repeat(several, length)
     low, shard = tokens.astype(np.uint32), (tokens >> np.uint64(32)).astype(np.int64)
 
-    def rows(kind, at, with_owner):
+    def rows(kind, at, b, c):
         bounds = np.searchsorted(shard[at], np.arange(shards + 1))
         full = np.flatnonzero(np.diff(bounds))
         cuts = np.concatenate([bounds[full], bounds[-1:]])
-        none = pa.nulls(len(full), pa.binary())
+        blobs = [pa.nulls(len(full), pa.binary()) if x is None else _packed(x, cuts) for x in (low[at], b, c)]
         return pa.record_batch([
             pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number, np.int64)),
-            pa.array(np.full(len(full), kind, np.int32)), _packed(low[at], cuts),
-            _packed(owner[at], cuts) if with_owner else none,
-            _packed(group[at], cuts) if with_owner and group is not None else none], names=_NAMES)
+            pa.array(np.full(len(full), kind, np.int32)), *blobs], names=_NAMES)
 
-    yield rows(_SINGLE, np.flatnonzero(~shared), True)
-    yield rows(_SHARED, start[several], False)
+    at = np.flatnonzero(~shared)
+    yield rows(_SINGLE, at, owner[at], None if group is None else group[at])
+    yield rows(_SHARED, start[several], None if group is None else length[several].astype(np.uint32), None)
     home = number * 2654435761 % shards
     yield pa.record_batch([
         pa.array([home, home], pa.int32()), pa.array([number, number], pa.int64()), pa.array([_KNOWN, _META], pa.int32()),
@@ -186,45 +188,76 @@ def _deal_sets(shards: int):
 
 
 def _match(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
-    """A shard: of the single tokens, those that another group holds too; the rest goes on to its chunk."""
-    shard = key[0].as_py()
+    """A shard: of the single tokens, those that another group holds too; the rest goes on to its chunk.
+
+    With given groups the replies say how many documents hold a token.
+    """
+    top = np.uint64(key[0].as_py() << 32)
     kind = pieces["kind"].to_numpy()
     single, marked = pieces.filter(pa.array(kind == _SINGLE)), pieces.filter(pa.array(kind == _SHARED))
     tokens, count = _joined(single["a"], "<u4")
     owner, _ = _joined(single["b"], "<u2")
     group, _ = _joined(single["c"], "<i8")
+    others, marks = _joined(marked["a"], "<u4")
+    times, _ = _joined(marked["b"], "<u4")
     if not len(group):                                           # every row's tokens are of documents of its own
         group = np.repeat(np.arange(len(count)), count)
-    others, _ = _joined(marked["a"], "<u4")
     order = np.argsort(tokens, kind="stable")
     ranked, group = tokens[order], group[order]
     start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, int)
-    several = np.zeros(0, bool)
+    length = np.diff(np.concatenate([start, [len(ranked)]]))
+    several, known = np.zeros(len(start), bool), ranked[start]
+    held = length.astype(np.int64)
     if len(start):
-        several = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
-        several |= np.isin(ranked[start], others)
-    again = np.zeros(len(tokens), bool)
-    again[order] = np.repeat(several, np.diff(np.concatenate([start, [len(ranked)]])))
+        several = (np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)) | np.isin(known, others)
+    # documents of each marked token, in all chunks that marked it and in single ones
+    distinct, inverse = np.unique(others, return_inverse=True)
+    total = np.bincount(inverse, times, len(distinct)).astype(np.int64) if len(times) else np.zeros(len(distinct), np.int64)
+    spot = np.searchsorted(known, distinct)
+    both = (spot < len(known)) & (known[np.minimum(spot, max(0, len(known) - 1))] == distinct) if len(known) else np.zeros(len(distinct), bool)
+    total[both] += held[spot[both]]
+    held[spot[both]] = total[both]
+
+    again, df = np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+    again[order], df[order] = np.repeat(several, length), np.repeat(held, length)
     row = np.repeat(np.arange(len(count)), count)[again]
     at = np.searchsorted(row, np.arange(len(count) + 1))
     full = np.flatnonzero(np.diff(at))
     cuts = np.concatenate([at[full], at[-1:]])
-    found = tokens[again].astype(np.uint64) | np.uint64(shard << 32)
     chunks = single["chunk"].to_numpy()
-    out = pa.table({"chunk": pa.array(chunks[full] if len(full) else np.zeros(0, np.int64)),
-                    "kind": pa.array(np.full(len(full), _KNOWN, np.int32)),
-                    "a": _packed(found, cuts), "b": _packed(owner[again], cuts), "c": pa.nulls(len(full), pa.binary())})
+    out = [_reply(chunks[full] if len(full) else np.zeros(0, np.int64), _KNOWN, tokens[again].astype(np.uint64) | top,
+                  owner[again], df[again].astype(np.uint32), cuts)]
+    if len(times):
+        out.append(_reply(marked["chunk"].to_numpy(), _TIMES, others.astype(np.uint64) | top, None,
+                          total[inverse].astype(np.uint32), np.concatenate([[0], np.cumsum(marks)])))
     rest = pieces.filter(pa.array(kind >= _KNOWN)).select(_NAMES[1:])
-    return pa.concat_tables([out, rest.cast(out.schema)])
+    return pa.concat_tables([*out, rest.cast(out[0].schema)])
+
 
+def _reply(chunks: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray | None, c: np.ndarray, cuts: np.ndarray) -> pa.Table:
+    n = len(chunks)
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "kind": pa.array(np.full(n, kind, np.int32)),
+                     "a": _packed(a, cuts), "b": pa.nulls(n, pa.binary()) if b is None else _packed(b, cuts),
+                     "c": _packed(c, cuts)})
 
-def _chunk_tokens(pieces: pa.Table) -> tuple[dict, np.ndarray, np.ndarray]:
-    """(meta row, shared tokens, their documents), sorted by document and token."""
+
+def _chunk_tokens(pieces: pa.Table, ranked: bool = False) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(meta row, shared tokens, their documents), sorted by document and token, or by document, rarity and token."""
     kind = pieces["kind"].to_numpy()
     meta = pieces.filter(pa.array(kind == _META)).to_pylist()[0]
     known = pieces.filter(pa.array(kind == _KNOWN))
-    tokens, owner = _joined(known["a"], "<u8")[0], _joined(known["b"], "<u2")[0]
-    order = np.lexsort((tokens, owner))
+    tokens, count = _joined(known["a"], "<u8")
+    owner = _joined(known["b"], "<u2")[0]
+    if not ranked:
+        order = np.lexsort((tokens, owner))
+        return meta, tokens[order], owner[order]
+    told, df = np.repeat(known["c"].is_valid().to_numpy(), count), np.zeros(len(tokens), np.int64)
+    df[told] = _joined(known["c"], "<u4")[0]
+    times = pieces.filter(pa.array(kind == _TIMES))
+    names, total = _joined(times["a"], "<u8")[0], _joined(times["c"], "<u4")[0]
+    by = np.argsort(names)
+    df[~told] = total[by[np.searchsorted(names, tokens[~told], sorter=by)]]
+    order = np.lexsort((tokens, df, owner))
     return meta, tokens[order], owner[order]
 
 
@@ -253,8 +286,8 @@ def _gather(percent: int):
 
 def _gather_sets(percent: int):
     def run(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
-        """A chunk of sets: those that hold enough crossing tokens, with these."""
-        meta, tokens, owner = _chunk_tokens(pieces)
+        """A chunk of sets: those that hold enough crossing tokens, with these, rare ones first."""
+        meta, tokens, owner = _chunk_tokens(pieces, True)
         uid, n, comp = (np.frombuffer(meta[k], np.int64) for k in "abc")
         at = np.searchsorted(owner, np.arange(len(n) + 1))
         keep = np.flatnonzero(100 * np.diff(at) >= percent * n)
@@ -273,7 +306,7 @@ def sets(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> D
 
 
 def crossing(verts: DataFrame, percent: int) -> DataFrame:
-    """Of (uid, comp, n, tokens) those that hold enough tokens of foreign groups; tokens: the crossing ones."""
+    """Of (uid, comp, n, tokens) those that hold enough tokens of foreign groups; tokens: the crossing ones, rare first."""
     dealt = verts.select("uid", "comp", "n", "tokens").mapInArrow(_deal_sets(_shards(verts.sparkSession)), _PIECE)
     return dealt.groupBy("shard").applyInArrow(_match, _REPLY).groupBy("chunk").applyInArrow(
         _gather_sets(percent), "uid long, comp long, n long, tokens array<long>")
@@ -310,15 +343,8 @@ def _bucket_links(verts: DataFrame, percent: int) -> DataFrame:
 def _class_links(rest: DataFrame, percent: int, path: str) -> DataFrame:
     """All links that connect the open documents (uid, comp, n, tokens), through classes of equal crossing tokens."""
     spark = rest.sparkSession
-    one = rest.select("uid", "comp", "n", F.explode("tokens").alias("token"))
-    # crossing among the open ones only, and how often: rare tokens come first
-    spread = (one.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("df"))
-              .filter("x < y").select("token", "df"))
-    (one.join(spread, "token").groupBy("uid")
-     .agg(F.first("comp").alias("comp"), F.first("n").alias("n"),
-          F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-     .filter(f"100 * size(ranked) >= {percent} * n")
-     .select("uid", "comp", "n", F.col("ranked.token").alias("tokens"))
+    # crossing among the open ones only
+    (crossing(rest, percent)
      .withColumn("class", F.unhex(F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>")))))
      .write.parquet(f"{path}/open"))
     docs = spark.read.parquet(f"{path}/open")
@@ -336,15 +362,35 @@ def _class_links(rest: DataFrame, percent: int, path: str) -> DataFrame:
     need = f"cast(({percent} * n + 99) div 100 as int)"
     heads = (classes.join(docs.select(F.col("uid").alias("least"), "n", "tokens"), "least")
              .withColumn("need", F.expr(need)).withColumn("held", F.size("tokens"))
-             .withColumn("tried", F.expr(f"least(held, held - need + 1 + {PROBES})")))
-    probe = heads.select("class", "least", "n", "x", "y", F.expr("need - (held - tried)").alias("hits"),
-                         F.explode(F.expr("slice(tokens, 1, tried)")).alias("token"))
-    other = probe.select("token", *[F.col(c).alias(f"{c}2") for c in ("class", "least", "n", "x", "y", "hits")])
-    met = (probe.join(other, "token")
-           .filter(f"least < least2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and not (x = y and x = x2 and x2 = y2)")
-           .groupBy("least", "least2").agg(F.count("*").alias("found"), F.first("hits").alias("h1"), F.first("hits2").alias("h2"))
-           # of the tokens tried at most held - tried are missing: fewer hits than this bound the overlap below the need
-           .filter("found >= least(h1, h2)").select("least", "least2"))
+             .withColumn("tried", F.expr(f"least(held, held - need + 1 + {PROBES})"))
+             .withColumn("hits", F.expr("need - (held - tried)"))
+             # classes whose documents are all of one group stay together; any other class is a group of its own
+             .withColumn("group", F.expr("if(x = y, x, - least - 1)")))
+    probe = heads.select("least", "group", "n", "held", "hits", F.explode(F.expr("slice(tokens, 1, tried)")).alias("token"))
+    # a class of n that holds too few crossing tokens for the smallest other one at a token has no use for it;
+    # a token that only one group is left with is no use to anyone
+    smallest = probe.groupBy("token").agg(F.min("n").alias("m"))
+    (probe.join(smallest, "token").filter(f"{percent} * (n + m) <= held * (100 + {percent})").drop("m")
+     .write.parquet(f"{path}/probe"))
+    probe = spark.read.parquet(f"{path}/probe")
+    several = (probe.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
+               .select("token"))
+    probe = probe.join(several, "token", "left_semi")
+    # the smaller group's classes look for the larger group: a group of thousands is one row of the matrix for each token
+    weights = heads.groupBy("group").agg(F.count("*").alias("weight"), F.min("hits").alias("fewest"))
+    probe = probe.join(weights, "group")
+    matrix = probe.select("token", *[F.col(c).alias(f"{c}2") for c in ("group", "weight", "fewest")]).distinct()
+    (probe.join(matrix, "token").filter("weight < weight2 or (weight = weight2 and group < group2)")
+     .groupBy("least", "group2").agg(F.count("*").alias("found"), F.first("hits").alias("hits"), F.first("fewest2").alias("fewest"))
+     # of the tokens tried at most held - tried are missing: fewer hits than this bound the overlap below the need
+     .filter("found >= least(hits, fewest)").select("least", F.col("group2").alias("group"))
+     .write.parquet(f"{path}/qualified"))
+    # only the groups that qualify are opened
+    one = heads.select("least", "n", "held")
+    two = heads.select("group", *[F.col(c).alias(f"{c}2") for c in ("least", "n", "held")])
+    met = (spark.read.parquet(f"{path}/qualified").join(one, "least").join(two, "group")
+           .filter(f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
+                   f" and {percent} * (n + n2) <= least(held, held2) * (100 + {percent})").select("least", "least2"))
     sides = heads.select("least", "class", "n", "tokens")
     theirs = sides.select(*[F.col(c).alias(f"{c}2") for c in sides.columns])
     (met.join(sides, "least").join(theirs, "least2")

@@ -14,7 +14,7 @@ characters other than ASCII white space.
 Defined results: a null text counts as empty (no words, base_failed); one row
 out for one in, repeated rows and null ids included; columns other than the id
 and text are neither read nor returned.  Whole texts are read; memory is
-bounded by one Arrow batch slice (about 4 MB of text, or one longer text).
+bounded by one Arrow batch slice (about 1 MB of text, or one longer text).
 """
 
 from __future__ import annotations
