@@ -26,7 +26,7 @@ import numpy as np
 BLOCK = 2048                          # ids in a block
 LANES = 2048                          # blocks that advance together
 _FIRST = 64                           # ids after which order 0 is renewed first
-_N1, _N2 = 1024, 2048                 # contexts of order 1 and 2 (hashed)
+_N1, _N2 = 512, 1024                 # contexts of order 1 and 2 (hashed)
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _U16, _U48 = np.uint64(16), np.uint64(48)
 _KEEP, _SHARE = 0.97, 0.01            # weights: what stays, and what each order gets back
@@ -57,10 +57,10 @@ class _Mixer:
     def predict(self) -> np.ndarray:
         """[lanes, 5]: where each outcome's interval of 2^16 begins, and its end."""
         h = self.last * np.uint32(2654435761)
-        self.at1 = (h >> np.uint32(22)) + self.base1
+        self.at1 = (h >> np.uint32(23)) + self.base1
         h ^= self.before * np.uint32(0x85EBCA6B)
         h *= np.uint32(0xC2B2AE35)
-        self.at2 = (h >> np.uint32(21)) + self.base2
+        self.at2 = (h >> np.uint32(22)) + self.base2
         s1, s2 = self.seen1.take(self.at1), self.seen2.take(self.at2)
         self.k1, self.k2 = s1 & np.uint32(3), s2 & np.uint32(3)
         self.c1, self.c2 = s1 >> np.uint32(2), s2 >> np.uint32(2)
@@ -127,17 +127,20 @@ def _order0(ids: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return table, start, end - start
 
 
-def _lookup(ids: np.ndarray, at: int, to: int, known: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length (0: unknown) of each id of steps at..to in order 0's table."""
-    first, length = np.zeros((len(ids), to - at), np.int32), np.zeros((len(ids), to - at), np.int32)
-    for lo in range(0, len(ids), 128):                    # a dense table of some lanes at a time
-        part = ids[lo:lo + 128]
-        table, start, run = _order0(part, known)
+def _lookup(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[BLOCK, lanes]: start and length (0: unknown) of each id in the table that order 0 has at its step."""
+    first, length = (np.zeros((BLOCK, len(ids)), np.int32) for _ in range(2))
+    rows = min(128, len(ids))
+    dense = np.zeros((rows, 65536), np.int32)             # of some lanes at a time; cleared where it was filled
+    for lo in range(0, len(ids), rows):
+        part = ids[lo:lo + rows]
         row = np.arange(len(part))[:, None]
-        dense = np.zeros((len(part), 65536), np.int32)
-        dense[row, table] = (start << 16) | run
-        found = dense[row, part[:, at:to]]
-        first[lo:lo + 128], length[lo:lo + 128] = found >> 16, found & 0xFFFF
+        for at, to, known in _epochs():
+            table, start, run = _order0(part, known)
+            dense[row, table] = (start << 16) | run
+            found = dense[row, part[:, at:to]].T
+            first[at:to, lo:lo + rows], length[at:to, lo:lo + rows] = found >> 16, found & 0xFFFF
+            dense[row, table] = 0
     return first, length
 
 
@@ -179,13 +182,13 @@ def _encode(ids: np.ndarray) -> list[bytes]:
         pos[need] = at + 1
 
     columns = np.ascontiguousarray(ids.T).astype(np.uint32)
+    first, length = _lookup(ids)
     for at, to, known in _epochs():
-        first, length = (np.ascontiguousarray(x.T) for x in _lookup(ids, at, to, known))
         shift = np.array([0, 0, _shift(known), 16], np.uint64)
         for t in range(at, to):
             x = columns[t]
             cuts = model.predict().ravel()
-            s, m = first[t - at], length[t - at]
+            s, m = first[t], length[t]
             outcome = np.where(m > 0, 2, 3)
             outcome[(model.c1 == x) & (model.k1 > 0)] = 1
             outcome[(model.c2 == x) & (model.k2 > 0)] = 0
