@@ -56,8 +56,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every document that is left."""
-    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, ranks, pattern), ranks, pattern), keep_ids=True)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keep_ids=True)
 
 
 STAGES = [

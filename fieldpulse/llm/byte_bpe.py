@@ -113,22 +113,34 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids binary, raw binary")
 
 
-def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``decode``'s rows, and their ids if wished."""
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
+               keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text encoded and decoded again, and its ids if wished.
+
+    One pass with one Python worker for each task: the digests of ``encode``'s
+    ids (decimal, joined by a space) and of ``decode``'s bytes.
+    """
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
 
     def run(batches):
         import hashlib
+        c = codec(rank_file, pattern)
         for b in batches:
-            n, ids_sha = [], []
-            for x in b.column(1).to_pylist():
-                ids = np.frombuffer(x or b"", "<u4").tolist()
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-            raw = [hashlib.sha256(x).hexdigest() for x in b.column(2).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()),
-                                   pa.array(raw, pa.string()), *([b.column(1)] if keep_ids else [])], names=names)
-
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-                                   + ", ids binary" * keep_ids)
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                n, ids_sha, raw_sha, packed = [], [], [], []
+                for t in part.column(1).to_pylist():
+                    ids = c.encode(t)
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    raw_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                    if keep_ids:
+                        packed.append(np.array(ids, "<u4").tobytes())
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()),
+                                       pa.array(raw_sha, pa.string()), *([pa.array(packed, pa.binary())] if keep_ids else [])],
+                                      names=names)
+
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                               + ", ids binary" * keep_ids)

@@ -57,7 +57,8 @@ from . import _text as T
 from .components import smallest_reachable
 
 CHUNK_TOKENS = 1 << 20
-PROBES = 8                           # rare tokens that a class is tried with beyond those it needs
+ODD_ROWS = 1 << 19                   # ids to leave out (9 bytes each) that may be sent to every task
+PROBES = 2                           # rare tokens that a class is tried with beyond those it needs
 SEEDS = (1, 2, 3, 4)                 # min-hash functions of step 2
 _SINGLE, _SHARED, _KNOWN, _META, _TIMES = range(5)
 _NAMES = ["shard", "chunk", "kind", "a", "b", "c"]
@@ -363,31 +364,47 @@ def _class_links(rest: DataFrame, percent: int, path: str) -> DataFrame:
     heads = (classes.join(docs.select(F.col("uid").alias("least"), "n", "tokens"), "least")
              .withColumn("need", F.expr(need)).withColumn("held", F.size("tokens"))
              .withColumn("tried", F.expr(f"least(held, held - need + 1 + {PROBES})"))
-             .withColumn("hits", F.expr("need - (held - tried)"))
              # classes whose documents are all of one group stay together; any other class is a group of its own
              .withColumn("group", F.expr("if(x = y, x, - least - 1)")))
-    probe = heads.select("least", "group", "n", "held", "hits", F.explode(F.expr("slice(tokens, 1, tried)")).alias("token"))
+    probe = heads.select("least", "group", "n", "held", "need",
+                         F.posexplode(F.expr("slice(tokens, 1, tried)")).alias("place", "token")).withColumn("m", F.col("n"))
     # a class of n that holds too few crossing tokens for the smallest other one at a token has no use for it;
-    # a token that only one group is left with is no use to anyone
-    smallest = probe.groupBy("token").agg(F.min("n").alias("m"))
-    (probe.join(smallest, "token").filter(f"{percent} * (n + m) <= held * (100 + {percent})").drop("m")
-     .write.parquet(f"{path}/probe"))
+    # a token that only one group is left with is no use to anyone (thrice: what went was the smallest at some tokens)
+    for _ in range(3):
+        smallest = probe.groupBy("token").agg(F.min("n").alias("m"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+        probe = (probe.drop("m").join(smallest.filter("lo < hi"), "token")
+                 .filter(f"{percent} * (n + m) <= held * (100 + {percent})").drop("lo", "hi"))
+    probe.write.parquet(f"{path}/probe")
     probe = spark.read.parquet(f"{path}/probe")
+    # none that a class can meet is smaller than these: it needs more than percent of its own size, and tries less
+    partner = probe.groupBy("least").agg(F.min("m").alias("partner"))
+    probe = (probe.join(partner, "least")
+             .withColumn("need", F.expr(f"greatest(need, cast(({percent} * (n + partner) + 99 + {percent}) div (100 + {percent}) as int))"))
+             .withColumn("tried", F.expr(f"least(held, held - need + 1 + {PROBES})"))
+             .filter("need <= held and place < tried").withColumn("hits", F.expr("need - (held - tried)")))
+    probe.select("least", "group", "n", "held", "hits", "token").write.parquet(f"{path}/tried")
+    probe = spark.read.parquet(f"{path}/tried")
+    heads_left = probe.select("least", "group", "n", "held", "hits").distinct()
     several = (probe.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
                .select("token"))
-    probe = probe.join(several, "token", "left_semi")
     # the smaller group's classes look for the larger group: a group of thousands is one row of the matrix for each token
-    weights = heads.groupBy("group").agg(F.count("*").alias("weight"), F.min("hits").alias("fewest"))
-    probe = probe.join(weights, "group")
-    matrix = probe.select("token", *[F.col(c).alias(f"{c}2") for c in ("group", "weight", "fewest")]).distinct()
-    (probe.join(matrix, "token").filter("weight < weight2 or (weight = weight2 and group < group2)")
+    # and it goes by its sizes: some member may be small enough, and hold enough, for the class
+    weights = heads_left.groupBy("group").agg(
+        F.count("*").alias("weight"), F.min("hits").alias("fewest"), F.min("n").alias("small"),
+        F.max("n").alias("large"), F.max("held").alias("most"))
+    probe = probe.join(several, "token", "left_semi").join(weights, "group")
+    matrix = probe.select("token", *[F.col(c).alias(f"{c}2") for c in weights.columns]).distinct()
+    (probe.join(matrix, "token")
+     .filter("(weight < weight2 or (weight = weight2 and group < group2))"
+             f" and {percent} * (n + small2) <= least(held, most2) * (100 + {percent})"
+             f" and 100 * n >= {percent} * small2 and 100 * large2 >= {percent} * n")
      .groupBy("least", "group2").agg(F.count("*").alias("found"), F.first("hits").alias("hits"), F.first("fewest2").alias("fewest"))
      # of the tokens tried at most held - tried are missing: fewer hits than this bound the overlap below the need
      .filter("found >= least(hits, fewest)").select("least", F.col("group2").alias("group"))
      .write.parquet(f"{path}/qualified"))
     # only the groups that qualify are opened
-    one = heads.select("least", "n", "held")
-    two = heads.select("group", *[F.col(c).alias(f"{c}2") for c in ("least", "n", "held")])
+    one = heads_left.select("least", "n", "held")
+    two = heads_left.select("group", *[F.col(c).alias(f"{c}2") for c in ("least", "n", "held")])
     met = (spark.read.parquet(f"{path}/qualified").join(one, "least").join(two, "group")
            .filter(f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
                    f" and {percent} * (n + n2) <= least(held, held2) * (100 + {percent})").select("least", "least2"))
@@ -445,6 +462,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     seen = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
     odd = seen.filter("component_id <> doc_id or rows > 1").select(
         F.col("doc_id").alias("_odd"), (F.col("component_id") == F.col("doc_id")).alias("_once"))
+    # its rows are counted first: the texts are shuffled only beyond the bound
+    odd = F.broadcast(odd) if odd.count() <= ODD_ROWS else odd
     marked = docs.join(odd, F.col(doc_id).cast("long") == F.col("_odd"), "left")
     kept = marked.filter("_odd is null").select(*docs.columns)
     if not odd.filter("_once").limit(1).count():

@@ -94,8 +94,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = byte_bpe.encode(_documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(encoded, RANKS, public_tokenizers.PATTERN))
+    return byte_bpe.round_trip(_documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
 def _toxicity_model(docs: DataFrame, labels: DataFrame) -> bytes:

@@ -58,7 +58,11 @@ def test_bpe_rows(spark, odd, empty, whole):
     want = sorted((r.doc_id is None, r.doc_id or 0, (r.text or "").encode(),
                    np.array(whole.encode_ordinary(r.text or ""), "<u4").tobytes()) for r in odd.collect())
     assert rows == want
-    assert byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(empty, queries.RANKS, P.PATTERN), queries.RANKS, P.PATTERN)).count() == 0
+    assert byte_bpe.decode(byte_bpe.encode(empty, queries.RANKS, P.PATTERN), queries.RANKS, P.PATTERN).count() == 0
+    trips = byte_bpe.round_trip(odd, queries.RANKS, P.PATTERN, keep_ids=True)
+    assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.ids), r.n_tokens) for r in trips.collect()) == sorted(
+        (a, b, ids, len(ids) // 4) for a, b, _, ids in want)
+    assert byte_bpe.round_trip(empty, queries.RANKS, P.PATTERN).count() == 0
 
 
 def test_bpe_query(spark, data_dir, whole):
