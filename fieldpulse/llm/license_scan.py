@@ -81,7 +81,7 @@ class _Texts:
         found, at, n = [], self.raw.find(word), len(word)
         while at >= 0:
             found.append(at)
-            at = self.raw.find(word, at + n)
+            at = self.raw.find(word, at + 1)              # a hit across a border may hide one that overlaps it
         if not found:
             return np.zeros(0, np.int64)
         at = np.array(found)

@@ -42,6 +42,16 @@ def test_licence_scan(spark, odd, empty):
     assert license_scan.scan(odd).count() == odd.count()
 
 
+def test_a_hit_across_documents_hides_no_licence(spark):
+    texts = ["some music", "CC BY licence", "music", "cc by sa", "x", "cc", "cc by"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    for k, t in enumerate(texts):
+        r = rows[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_of_licence(t), t
+    assert [rows[k].labels for k in range(len(texts))] == ["", "cc-by", "", "cc-by,cc-by-sa", "", "", "cc-by"]
+
+
 def test_licence_query(spark, data_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
     for r in queries.op8_license_scan(spark, data_dir).collect():
