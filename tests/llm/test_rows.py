@@ -96,6 +96,22 @@ def test_compression_bands():
     assert quality_bands._verdict(b"", bands, z)[2]
 
 
+def test_random_text_lies_below_the_bands():
+    import string
+
+    import zstandard
+    z, bands = zstandard.ZstdCompressor(level=1), quality_bands.Bands()
+    rnd = random.Random(14)
+    base64 = string.ascii_letters + string.digits + "+/"
+    for n in (260, 300, 511, 512, 700, 1023, 1024, 1500, 4096, 5000, 8191, 8192, 9000, 65535, 65536, 80000):
+        words = " ".join("".join(rnd.choices(base64, k=12)) for _ in range(n // 13 + 1))[:n]
+        printable = "".join(" " if rnd.random() < 0.1 else chr(rnd.randrange(33, 127)) for _ in range(n))
+        for text in (words, printable):
+            ratio, share, kept = quality_bands._verdict(text.encode(), bands, z)
+            assert not kept and len(text.split()) >= 20, (n, ratio)
+            assert share == 1 or n < bands.chunk_bytes, (n, share)
+
+
 def test_quality_query(spark, data_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
     for r in queries.op10_quality_bands(spark, data_dir).collect():
