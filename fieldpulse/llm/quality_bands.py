@@ -4,7 +4,9 @@ Repetitive text compresses too well and random text too little.  How well
 clean text compresses depends on its length, so each length class has its own
 band of ratios (bytes / compressed bytes).  A document is kept when its whole
 text lies in the band of its length, and no more than a share of its fixed
-chunks lies outside the chunk band.  Texts below the first length class carry
+chunks lies outside the chunk band.  The last chunk is the last bytes of the
+text, whether or not it overlaps the one before; a text shorter than a chunk is
+one chunk with the band of its length.  Texts below the first length class carry
 too little evidence and pass.
 
 Plain rules stand beside the bands (``base_failed``): too few words, or too
@@ -89,13 +91,17 @@ def _verdict(text: bytes, bands: Bands, compressor) -> tuple[float, float, bool]
         return 0.0, 0.0, True
     ratio = len(text) / len(compressor.compress(text))
     low, high = next((lo, hi) for size, lo, hi in reversed(bands.whole) if len(text) >= size)
-    size, bad, n = bands.chunk_bytes, 0, 0
-    for at in range(0, len(text) - size + 1, size):                 # whole chunks; a shorter rest has no say
+    inside, size = low <= ratio <= high, bands.chunk_bytes
+    if len(text) < size:                                            # its only chunk, by the limits of its length
+        return ratio, float(not inside), inside
+    bad, n = 0, 0
+    # whole chunks; a shorter rest is judged with the bytes before it, as the text's last ``size`` bytes
+    for at in [*range(0, len(text) - size + 1, size), *([len(text) - size] if len(text) % size else [])]:
         r = size / len(compressor.compress(text[at:at + size]))
         n += 1
         bad += not bands.chunk[0] <= r <= bands.chunk[1]
-    share = bad / n if n else 0.0
-    return ratio, share, low <= ratio <= high and share <= bands.bad_chunk_share
+    share = bad / n
+    return ratio, share, inside and share <= bands.bad_chunk_share
 
 
 def score(docs: DataFrame, bands: Bands = Bands(), min_words: int = 20, max_repeat_pct: int = 30,

@@ -112,6 +112,22 @@ def test_random_text_lies_below_the_bands():
             assert share == 1 or n < bands.chunk_bytes, (n, share)
 
 
+def test_the_end_of_a_text_is_a_chunk():
+    import zstandard
+    z, bands = zstandard.ZstdCompressor(level=1), quality_bands.Bands()
+    rnd = random.Random(15)
+    size = bands.chunk_bytes
+    clean, noise = prose(rnd, "en", 3000).encode(), rnd.randbytes(3 * size)
+    assert quality_bands._verdict(clean[:size] + noise[:size - 1], bands, z)[1] == 1 / 2
+    assert quality_bands._verdict(clean[:2 * size] + noise[:size - 1], bands, z)[1] == 1 / 3
+    assert quality_bands._verdict(clean[:2 * size], bands, z)[1:] == (0, True)
+    assert quality_bands._verdict(noise[:size - 1], bands, z)[1:] == (1, False)
+    assert quality_bands._verdict(clean[:size - 1], bands, z)[1:] == (0, True)
+    # one clean chunk and a rest of noise beside a chunk of it: two bad of three, whatever the whole text gives
+    wide = quality_bands.Bands(whole=((0, 0.0, float("inf")),))
+    assert not quality_bands._verdict(clean[:size] + noise[:2 * size - 1], wide, z)[2]
+
+
 def test_quality_query(spark, data_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
     for r in queries.op10_quality_bands(spark, data_dir).collect():
