@@ -19,9 +19,9 @@ Defined results: a null URL or one without a host has a null host and the
 verdict ``no_host``; a null fetch time is ``undated``; a host without active
 entries is ``unlisted``; an entry counts from its date on, a removal ends it at
 its date; entries with a null in list, kind, key, action or date are left out;
-of entries of one key at one date the removal comes last; captures are known by
-their id and rows that repeat an id share one verdict, from the smallest URL
-and the earliest time; a null id is an id of its own; other columns are not read.
+of entries of one key at one date the removal comes last; every row is a capture
+of its own, judged by its own URL at its own time, rows that repeat an id and
+null ids included; other columns are not read.
 """
 
 from __future__ import annotations
@@ -76,18 +76,20 @@ def evaluate(captures: DataFrame, log: DataFrame, capture_id: str = "page_id", u
     """(capture id, host, fetched_at, verdict, listed_by, active_since, n_active) of every capture."""
     rows = (captures.select(F.col(capture_id).alias("id"), F.col(url).cast("string").alias("url"),
                             F.col(fetched_at).alias("at"))
-            .groupBy("id").agg(F.min("url").alias("url"), F.min("at").alias("at"))
-            .select("id", "at", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
-    keyed = (rows.filter("host is not null and at is not null")
-             .select("id", "at", F.explode(_keys(F.col("host"), F.col("path"))).alias("k"))
-             .select("id", "at", "k.kind", "k.key", "k.rank", F.pmod(F.xxhash64("id"), F.lit(SALTS).cast("long")).alias("salt")))
+            .withColumn("host", host_of(F.col("url"))))
+    distinct = (rows.filter("host is not null and at is not null").select("id", "url", "at").distinct()
+                .select("id", "url", "at", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
+    salt = F.pmod(F.xxhash64("id", "url", "at"), F.lit(SALTS).cast("long"))
+    keyed = (distinct.select("id", "url", "at", F.explode(_keys(F.col("host"), F.col("path"))).alias("k"))
+             .select("id", "url", "at", "k.kind", "k.key", "k.rank", salt.alias("salt")))
     valid = intervals(log).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     active = (keyed.join(valid, ["kind", "key", "salt"])
               .filter("valid_from <= at and (valid_to is null or at < valid_to)"))
     # the most specific entry; a block entry before an allow entry
     best = F.max(F.struct("rank", (F.col("list") == "block").alias("blocks"), "kind", "key", "valid_from"))
-    verdicts = active.groupBy("id").agg(best.alias("best"), F.count("*").alias("n_active"))
-    return (rows.select("id", "host", "at").join(verdicts.withColumnRenamed("id", "vid"), F.expr("id <=> vid"), "left")
+    verdicts = (active.groupBy(F.col("id").alias("vid"), F.col("url").alias("vurl"), F.col("at").alias("vat"))
+                .agg(best.alias("best"), F.count("*").alias("n_active")))
+    return (rows.join(verdicts, F.expr("id <=> vid and url <=> vurl and at <=> vat"), "left")
             .select(F.col("id").alias(capture_id), "host", F.col("at").alias(fetched_at),
                     F.when(F.col("host").isNull(), "no_host").when(F.col("at").isNull(), "undated")
                     .when(F.col("best").isNull(), "unlisted").when(F.col("best.blocks"), "blocked")

@@ -239,6 +239,22 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.evaluate(cap, entries.limit(0)).collect()} == {"unlisted", "no_host", "undated"}
 
 
+def test_url_filter_judges_every_capture(spark):
+    import datetime as dt
+    day = lambda n: dt.date(2024, 1, n)
+    entries = spark.createDataFrame([("block", "host", "bad.org", "add", day(10)), ("allow", "host", "ok.net", "add", day(5))],
+                                    "list string, kind string, key string, action string, listed_at date")
+    pages = [(1, "http://bad.org/a", day(12), "blocked", 1), (1, "http://ok.net/", day(12), "allowed", 1),
+             (1, "http://bad.org/a", day(9), "unlisted", 0), (1, "http://bad.org/a", day(12), "blocked", 1),
+             (1, None, day(12), "no_host", 0), (1, "http://bad.org/a", None, "undated", 0),
+             (None, "http://bad.org/a", day(12), "blocked", 1), (None, "http://ok.net/", day(12), "allowed", 1),
+             (None, "http://ok.net/", day(12), "allowed", 1), (None, None, None, "no_host", 0)]
+    cap = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, fetched_at date").repartition(3)
+    got = url_filter.evaluate(cap, entries).select("page_id", "host", "fetched_at", "verdict", "n_active").collect()
+    want = [(i, u and u.split("/")[2], at, v, n) for i, u, at, v, n in pages]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE))
 def test_queries_equal_their_sql(spark, data_dir, name):
     con = duckdb.connect()
