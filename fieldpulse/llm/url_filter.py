@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
-PATH_DEPTH = 4                     # path segments that a prefix key may have
 
 
 def host_of(url: Column) -> Column:
@@ -56,14 +55,20 @@ def intervals(log: DataFrame) -> DataFrame:
             .filter("valid_to is null or valid_to > valid_from"))
 
 
-def _keys(host: Column, path: Column) -> Column:
+def prefix_depth(log: DataFrame) -> int:
+    """How many path segments the longest prefix entry has (0 without one)."""
+    segments = F.size(F.split("key", "/")) - 1
+    return log.filter("kind = 'prefix' and key is not null").agg(F.max(segments)).first()[0] or 0
+
+
+def _keys(host: Column, path: Column, depth: int) -> Column:
     """An array of (kind, key, rank) that a capture can be listed under; a higher rank is more specific."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
         F.lit("domain").alias("kind"), F.array_join(F.slice(labels, n - i + 1, i), ".").alias("key"),
         i.cast("int").alias("rank")))
-    parts = F.slice(F.array_remove(F.split(path, "/"), ""), 1, PATH_DEPTH)
+    parts = F.slice(F.array_remove(F.split(path, "/"), ""), 1, depth)
     prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(
         F.when(i == 0, "host").otherwise("prefix").alias("kind"),
         F.when(i == 0, host).otherwise(F.lower(F.concat_ws("/", host, F.array_join(F.slice(parts, 1, i), "/")))).alias("key"),
@@ -80,7 +85,7 @@ def evaluate(captures: DataFrame, log: DataFrame, capture_id: str = "page_id", u
     distinct = (rows.filter("host is not null and at is not null").select("id", "url", "at").distinct()
                 .select("id", "url", "at", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
     salt = F.pmod(F.xxhash64("id", "url", "at"), F.lit(SALTS).cast("long"))
-    keyed = (distinct.select("id", "url", "at", F.explode(_keys(F.col("host"), F.col("path"))).alias("k"))
+    keyed = (distinct.select("id", "url", "at", F.explode(_keys(F.col("host"), F.col("path"), prefix_depth(log))).alias("k"))
              .select("id", "url", "at", "k.kind", "k.key", "k.rank", salt.alias("salt")))
     valid = intervals(log).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     active = (keyed.join(valid, ["kind", "key", "salt"])

@@ -255,6 +255,22 @@ def test_url_filter_judges_every_capture(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_url_filter_tries_prefixes_of_any_depth(spark):
+    import datetime as dt
+    day = dt.date(2024, 1, 1)
+    entries = spark.createDataFrame(
+        [("allow", "host", "a.org", "add", day), ("block", "prefix", "a.org/1/2/3/4/5/6/7", "add", day),
+         ("allow", "prefix", "a.org/1/2/3/4/5/6/7/x", "add", day), ("block", "prefix", None, "add", day)],
+        "list string, kind string, key string, action string, listed_at date")
+    pages = [("http://a.org/1/2/3/4/5/6/7", "blocked", 2), ("http://a.org/1/2/3/4/5/6/7/y/z/", "blocked", 2),
+             ("http://a.org/1/2/3/4/5/6/7/X/8/9/10?q", "allowed", 3), ("http://a.org/1/2/3/4/5/6", "allowed", 1)]
+    cap = spark.createDataFrame([(k, u, day) for k, (u, _, _) in enumerate(pages)], "page_id long, url string, fetched_at date")
+    got = {r.page_id: (r.verdict, r.n_active) for r in url_filter.evaluate(cap, entries).collect()}
+    assert got == {k: (v, n) for k, (_, v, n) in enumerate(pages)}
+    few = {r.page_id: r.verdict for r in url_filter.evaluate(cap, entries.filter("kind = 'host'")).collect()}
+    assert set(few.values()) == {"allowed"}
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE))
 def test_queries_equal_their_sql(spark, data_dir, name):
     con = duckdb.connect()
