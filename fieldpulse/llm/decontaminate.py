@@ -16,8 +16,12 @@ on the words themselves.
 The sketches are broadcast when there are at most ``SKETCH_ROWS`` of them
 (counted first); beyond that Spark joins by shuffle.
 
-Defined results: a text with fewer words than the width is one shingle (it is
-contained in a document of the same words only); null texts and texts without
+An item with fewer words than the width is one shingle, its whole sequence of
+words; for each such length that occurs among the items, the documents' windows
+of that length are tried and verified as well.
+
+Defined results: a short item is contained where its words stand one after
+another, however long the document; null texts and texts without
 words hold nothing and are held by nothing; documents and items are known by
 their id, rows that repeat an id count as one (the union of their shingles);
 rows with a null id are not searched and stay in ``remove``; other columns are
@@ -26,6 +30,8 @@ not read, and all kept by ``remove``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,19 +50,34 @@ def _with_words(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(F.array(_words(F.col("text")))).alias("words"))
 
 
-def _windows(width: int, one) -> Column:
-    """An array of ``one(start)`` for each window of ``words`` (the whole sequence if it is shorter)."""
+def _windows(width: int, one, shorter: Sequence[int] = ()) -> Column:
+    """An array of ``one(start, width)`` for each window of ``words`` (the whole sequence if it is shorter).
+
+    With ``shorter``, also of the windows of these numbers of words.
+    """
     n = F.size("words")
-    last = F.greatest(n - width, F.lit(0))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), one))
+
+    def each(m: int, starts: Column) -> Column:
+        return F.transform(starts, lambda i: one(i, m))
+
+    whole = each(width, F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))))
+    also = [each(m, F.slice(F.sequence(F.lit(0), n), 1, F.greatest(n - m + 1, F.lit(0)))) for m in shorter]
+    return F.when(n > 0, F.concat(whole, *also) if also else whole)
+
+
+def _hashes(width: int, shorter: Sequence[int] = ()) -> Column:
+    # words beyond the end are null, which xxhash64 skips: a short item has the hash of its window in a document
+    return _windows(width, lambda i, m: F.xxhash64(*(F.get("words", i + j) for j in range(m))), shorter)
 
 
-def _hashes(width: int) -> Column:
-    return _windows(width, lambda i: F.xxhash64(*(F.get("words", i + j) for j in range(width))))
+def _shingles(width: int, shorter: Sequence[int] = ()) -> Column:
+    return _windows(width, lambda i, m: F.concat_ws(" ", F.slice("words", i + 1, F.lit(m))), shorter)
 
 
-def _shingles(width: int) -> Column:
-    return _windows(width, lambda i: F.concat_ws(" ", F.slice("words", i + 1, F.lit(width))))
+def _short_lengths(items: DataFrame, width: int) -> list[int]:
+    """Which numbers of words below the width items have (at most ``width`` - 1 rows)."""
+    lengths = _with_words(items).select(F.size("words").alias("n")).filter((F.col("n") > 0) & (F.col("n") < width))
+    return sorted(r["n"] for r in lengths.distinct().collect())
 
 
 def _source(rows: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -82,7 +103,8 @@ def find(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, d
     source, tests = _source(docs, doc_id, text), _source(items, item_id, item_text)
     sketch = sketches(tests, width, percent)
     few = sketch.count() <= SKETCH_ROWS
-    tried = _with_words(source).select(F.col("id").alias("doc_id"), F.explode(_hashes(width)).alias("hash"))
+    shorter = _short_lengths(tests, width)
+    tried = _with_words(source).select(F.col("id").alias("doc_id"), F.explode(_hashes(width, shorter)).alias("hash"))
     # used twice: written, or every document would be tried twice
     path = scratch_path(docs.sparkSession, "suspects")
     (tried.join(F.broadcast(sketch) if few else sketch, "hash").select("doc_id", "item_id").distinct()
@@ -93,7 +115,7 @@ def find(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, d
     sizes = exact.groupBy("item_id").agg(F.count("*").alias("n_item"))
     suspects = source.join(candidates.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     held = _with_words(suspects).select(F.col("id").alias("doc_id"),
-                                        F.explode(F.array_distinct(_shingles(width))).alias("shingle"))
+                                        F.explode(F.array_distinct(_shingles(width, shorter))).alias("shingle"))
     shared = (held.join(F.broadcast(exact) if few else exact, "shingle")
               .groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared")))
     return (shared.join(candidates, ["doc_id", "item_id"], "left_semi").join(sizes, "item_id")

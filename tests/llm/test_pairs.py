@@ -151,6 +151,37 @@ def test_decontamination(spark, odd, empty, rows, monkeypatch):
     assert decontaminate.find(empty, bench).count() == 0 and decontaminate.find(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [decontaminate.SKETCH_ROWS, 0])
+def test_short_items_are_found_inside_documents(spark, rows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SKETCH_ROWS", rows)
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items = [(0, "Paris"), (1, "forty two"), (2, "a blue whale"), (3, "what is the capital"), (4, "水は百度で沸騰する。"),
+             (5, "one two three four five"), (6, "one two three four five six seven"), (7, "..."), (8, None),
+             (9, "forty two"), (9, "alpha beta gamma delta epsilon"), (None, "Paris")]
+    filler = "some more words stand here so that this text is long "
+    docs = [(0, filler + "the answer is PARIS, " + filler), (1, filler + "forty-two " + filler), (2, "a blue whale"),
+            (3, filler + "two forty; a blue. Whale " + filler), (4, "What is the capital? " + filler),
+            (5, "お茶。水は百度で沸騰する。" + filler), (6, "one two three four five six seven eight"), (7, "comparison parisian"),
+            (8, ""), (9, None), (10, "whale"), (11, filler + "forty two " + "alpha beta gamma delta epsilon"),
+            (12, "forty"), (12, "two"), (None, "paris")]
+    asked, held = {}, {}
+    for i, t in items:
+        w = words(t)
+        if i is not None and w:
+            asked.setdefault(i, set()).update(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4)))
+    for d, t in docs:
+        if d is not None:
+            held.setdefault(d, set()).update(tuple(words(t)[k:k + n]) for n in range(1, 6) for k in range(len(words(t)) - n + 1))
+    want = sorted((d, i, len(s & q), len(q)) for d, s in held.items() for i, q in asked.items()
+                  if 100 * len(s & q) >= 80 * len(q))
+    assert {(0, 0), (1, 1), (3, 2), (4, 3), (5, 4), (11, 9)} <= {(d, i) for d, i, *_ in want}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(r)[:4] for r in decontaminate.find(df, bench).collect()) == want
+    left = sorted(str(r.doc_id) for r in decontaminate.remove(df, bench).collect())
+    assert left == sorted(str(d) for d, _ in docs if d not in {d for d, *_ in want})
+
+
 def test_native_operators_run_no_python(spark, data_dir):
     import contextlib
     import io
