@@ -39,7 +39,7 @@ def _fold(modulus: int):
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     path = scratch_path(spark, "token-files")
-    token_files.write(docs, path, TOKENIZER, end_id=0)
+    token_files.write(docs, path, TOKENIZER, end_id=0, added_tokens=True)
     return token_files.read(spark, path, ids_crc32=F.crc32("ids"))
 
 

@@ -22,7 +22,9 @@ same segments; Spark commits each output once.
 
 Texts are cut at places where the tokenizer's pre-tokenization always cuts as
 well (see ``cuts``), and pieces already encoded are looked up by a 64-bit hash:
-the ids are those of the whole text.
+the ids are those of the whole text.  With ``added_tokens`` the strings of the
+tokenizer's special tokens in a text become these tokens, as the library does
+by default, and pieces begin and end around each; without, they are ordinary text.
 
 Defined results: a null text counts as empty (the end id alone); null ids come
 first; rows that share an id are ordered by their text; other columns are not
@@ -33,6 +35,7 @@ read.  An empty table gives no segments.  A worker holds one segment (about
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -84,11 +87,17 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """The tokenizers library, with the pieces encoded so far in flat arrays (about 20 bytes and its ids each)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # one core for each task
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True        # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens
+        known = [t for t in self.tokenizer.get_added_tokens_decoder().values() if added_tokens or not t.special]
+        if any(t.lstrip or t.rstrip or t.single_word for t in known):
+            raise ValueError("added tokens that depend on what stands around them don't fit pieces")
+        # the longest of those that begin at one place, as in the library
+        strings = sorted({t.content.encode() for t in known}, key=lambda x: (-len(x), x))
+        self.added = re.compile(b"|".join(map(re.escape, strings))) if strings else None
         self._forget()
 
     def _forget(self) -> None:
@@ -106,9 +115,23 @@ class Encoder:
         order = np.argsort(both, kind="stable")
         self.keys, self.at, self.n = both[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
 
+    def _around(self, starts: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """``starts`` with pieces of their own for the added tokens of each document."""
+        raw = data.tobytes()
+        if self.added is None or not self.added.search(raw):
+            return starts
+        spans = [m.span() for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist())
+                 for m in self.added.finditer(raw, lo, hi)]
+        if not spans:
+            return starts
+        a, b = np.array(spans, np.int64).T
+        k = np.searchsorted(a, starts, "right") - 1
+        inside = (k >= 0) & (starts > a[k]) & (starts < b[k])
+        return np.unique(np.concatenate([starts[~inside], a, b[b < len(data)]]))
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each document's begin and the last one's end)."""
-        starts = cuts(data, offsets)
+        starts = self._around(cuts(data, offsets), data, offsets)
         ends = np.concatenate([starts[1:], [len(data)]]).astype(np.int64) if len(starts) else starts
         found, first, inverse = np.unique(T.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE:
@@ -130,9 +153,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
     """One encoder per worker process and file."""
-    return Encoder(path)
+    return Encoder(path, added_tokens)
 
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -178,10 +201,11 @@ def unpack(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [d if t else None for d, t in zip(doc_ids.tolist(), there.tolist())], lengths.astype(np.int64), ids
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text",
+          added_tokens: bool = False) -> None:
     """Write the segments of all documents under ``path``."""
     def run(batches):
-        enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, seq = encoder(tokenizer, added_tokens), TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.uint32)
         names, ids, held = [], [], 0
 

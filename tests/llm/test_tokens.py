@@ -46,6 +46,36 @@ def test_cached_pieces_give_the_same_ids(whole):
     assert len(ids) == 0 and at.tolist() == [0, 0, 0]
 
 
+def test_added_tokens_give_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(queries.TOKENIZER)
+    encoder = token_files.encoder(queries.TOKENIZER, True)
+    rnd = random.Random(8)
+    parts = ["word", "'s", " ", "  ", "\n", "\n\n", "\t", "é", "Ж", "12", "!!", ".", "<", "|>", "<|endof", "text|>"]
+    parts += ["<|endoftext|>"] * 4
+    texts = ["".join(rnd.choice(parts) for _ in range(30)) for _ in range(400)]
+    texts += ["a <|endoftext|> b", "<|endof", "text|>", "<|endoftext|", ">", "", "<|endoftext|>", "<|endoftext|><|endoftext|>x"]
+    data, offsets = buffers(pa.array(texts))
+    for _ in range(2):
+        ids, at = encoder.encode(data, offsets)
+        got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[400] == [64, 220, 50256, 275]
+
+
+def test_token_files_query_keeps_added_tokens(spark, scratch):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(queries.TOKENIZER)
+    texts = ["a <|endoftext|> b", "plain", None, "x<|endoftext|>\n<|endoftext|>", "after"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{scratch}/documents.parquet")
+    want, at = [], 0
+    for d, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in queries.op1_token_files(spark, scratch).collect()) == want
+
+
 def test_runs_that_overflow_the_library(whole):
     codec = byte_bpe.codec(queries.RANKS, P.PATTERN)
     for t in (" " * 2_000_000, " \n" * 600_000 + "x", "a" * 300_000 + " b"):
