@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, scratch_path
-from . import (byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality_bands, token_files,
-               toxicity_cnn, url_filter)
+from . import (byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, merkle_manifest, quality_bands,
+               token_files, toxicity_cnn, url_filter)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -123,6 +123,20 @@ def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.score(_documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root, proof and a check with some texts changed, for every document."""
+    docs = _documents(spark, sf_dir, "doc_id", "source", "lang", "n_chars", "text")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = F.when(_fold(5) == 0, merkle_manifest.leaf_of(*head, lowered))      # null: as it was
+    manifest = merkle_manifest.Manifest(docs, merkle_manifest.leaf_of(*head, F.col("text")), F.col("source"), F.col("doc_id"),
+                                        {"doc_id": F.col("doc_id"), "found": found})
+    proofs = manifest.proofs().withColumn("found", F.coalesce("found", "leaf"))
+    return merkle_manifest.verify(proofs, "found").select(
+        "doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root", "verified")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_language_id": op2_language_id,
@@ -134,6 +148,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_bands": op10_quality_bands,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {}
@@ -211,3 +226,58 @@ m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GRO
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 """
+
+ORACLE["op11_merkle_manifest"] = r"""
+WITH RECURSIVE
+f AS (
+  SELECT *, list_aggregate(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)],
+                           lambda x: coalesce(strlen(x) || ':' || x, '-')), 'string_agg', '') AS head
+  FROM documents),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, '') AS g,
+         sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS low_leaf,
+         xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+             lambda c, b: list_reduce(range(8), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END,
+                                      xor(c, b)), 4294967295)) % 5 = 0 AS hit
+  FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM f)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                  count(*) OVER (PARTITION BY g) AS n FROM d),
+tree AS (
+  SELECT g, 0 AS level, pos, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT g, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16
+  FROM tree WHERE n > 1 GROUP BY g, level, pos // 16),
+sub AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, subroot AS digest, n FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16
+  FROM top WHERE n > 1 GROUP BY level, pos // 16),
+beside AS (
+  SELECT g, level, pos, coalesce(string_agg(digest, '') OVER before, '') AS l, coalesce(string_agg(digest, '') OVER after, '') AS rt
+  FROM tree WHERE n > 1
+  WINDOW before AS (PARTITION BY g, level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (PARTITION BY g, level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+beside_top AS (
+  SELECT level, pos, coalesce(string_agg(digest, '') OVER before, '') AS l, coalesce(string_agg(digest, '') OVER after, '') AS rt
+  FROM top WHERE n > 1
+  WINDOW before AS (PARTITION BY level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (PARTITION BY level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+steps AS (
+  SELECT r, b.level AS step, b.l, b.rt FROM placed p JOIN beside b
+    ON p.g = b.g AND b.pos = p.pos // CAST(pow(16, b.level) AS BIGINT)
+  UNION ALL
+  SELECT r, 100 + b.level, b.l, b.rt FROM placed p JOIN sub s ON p.g = s.g JOIN beside_top b
+    ON b.pos = s.pos // CAST(pow(16, b.level) AS BIGINT)),
+paths AS (SELECT r, list(l ORDER BY step) AS ls, list(rt ORDER BY step) AS rs, string_agg(l || rt, '' ORDER BY step) AS beside
+          FROM steps GROUP BY r),
+folded AS (
+  SELECT p.r, 1 AS i, CASE WHEN hit THEN low_leaf ELSE leaf END AS acc, ls, rs FROM placed p LEFT JOIN paths USING (r)
+  UNION ALL
+  SELECT r, i + 1, sha256(ls[i] || acc || rs[i]), ls, rs FROM folded WHERE i <= len(ls))
+SELECT p.doc_id, p.leaf, s.subroot, t.digest AS root, sha256(coalesce(w.beside, '')) AS proof_sha256, f.acc AS folded_root,
+       f.acc = t.digest AS verified
+FROM placed p JOIN sub s ON p.g = s.g JOIN (SELECT digest FROM top WHERE n = 1) t ON true LEFT JOIN paths w ON p.r = w.r
+JOIN folded f ON f.r = p.r AND f.i = coalesce(len(f.ls), 0) + 1
+"""
