@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..session import prepare, scratch_path
 from . import (byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, merkle_manifest, quality_bands,
-               token_files, toxicity_cnn, url_filter)
+               token_alignment, token_files, toxicity_cnn, url_filter)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 #: bytes of rows that Spark hands to a Python worker at once (rows may be very long)
@@ -137,6 +138,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root", "verified")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of the two tokenizers line up in every document."""
+    return token_alignment.alignment(spark, _documents(spark, sf_dir), TOKENIZER, PIECES)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_language_id": op2_language_id,
@@ -149,6 +155,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_bands": op10_quality_bands,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE: dict[str, str] = {}
