@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, scratch_path
-from . import (byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, merkle_manifest, quality_bands,
-               token_alignment, token_files, toxicity_cnn, url_filter)
+from . import (byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, merkle_manifest, posting_lists,
+               quality_bands, token_alignment, token_files, toxicity_cnn, url_filter)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -138,6 +138,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root", "verified")
 
 
+def op12_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, by inner product."""
+    return posting_lists.nearest(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of the two tokenizers line up in every document."""
     return token_alignment.alignment(spark, _documents(spark, sf_dir), TOKENIZER, PIECES)
@@ -155,6 +160,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_bands": op10_quality_bands,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_posting_lists": op12_posting_lists,
     "op13_token_alignment": op13_token_alignment,
 }
 
