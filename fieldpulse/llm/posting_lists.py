@@ -324,8 +324,9 @@ class Index:
         tile = ["list", "page", "qblock"]
         found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(
             compare, "entry long, far array<double>, who array<long>")
-        # a query's k + 1 best of each tile; replicas have equal entries
-        hits = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("far", "who"))))), 1, k + 1)
+        # a query's k + 1 best of each tile; replicas have equal entries, so the first REPLICAS * (k + 1) hold k + 1 others
+        hits = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("far", "who"))))
+        hits = F.slice(F.array_distinct(F.slice(hits, 1, REPLICAS * (k + 1))), 1, k + 1)
         best = found.groupBy("entry").agg(hits.alias("hits"))
         out = asked.join(best, "entry").select("query_id", F.posexplode(F.slice(
             F.filter("hits", lambda h: h["who"] != F.col("query_id")), 1, k)).alias("place", "hit"))
