@@ -6,16 +6,19 @@ operators; only one-line summaries are printed on the driver.
   resources  STATS_CSV OUT_DIR        per-container avg/peak report (JSON lines, or one object)
   latency    LATENCY_FILE             "avg,min,max,p95" of a latency list
   group-lag  LISTING_FILE             "offset<TAB>log_end<TAB>lag" of a consumer-group listing
-  storage    SOURCE_DIR TABLE_DIR     storage consumer: TABLE_DIR/rows (accepted and rejected) and TABLE_DIR/counts
+  storage    SOURCE_DIR TABLE_DIR     storage consumer: TABLE_DIR/rows (accepted and rejected) and TABLE_DIR/counts,
+                                      with --batch-size above 1 TABLE_DIR/table in full batches
+  drain      TABLE_DIR                insert what waits in the buffer of a stopped consumer; prints how many rows
+  counters   TABLE_DIR                counters of a storage consumer, running or stopped
   analytics  SOURCE_DIR OUT_DIR       analytics consumer: window statistics and alert records
   replay     READINGS_CSV OUT_DIR     readings as JSON messages in file order with batch numbers
+  drained, recovery, peak-backlog  SAMPLES_CSV    the harness's rules over samples (run, sample_ts, value)
   stats      READINGS_PATH            newest window statistics with the per-device breakdown (JSON)
 """
 
 from __future__ import annotations
 
 import argparse
-import datetime as dt
 import sys
 
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ from fieldpulse.session import build_session, cluster_settings, scratch_path
 from fieldpulse.sinks import writers as K
 from fieldpulse.sources import files as FS
 from fieldpulse.streaming import jobs as S
+from fieldpulse.streaming.buffer import BufferedTable
+from fieldpulse.streaming.window_store import WindowStore
 
 
 def cmd_resources(spark, a) -> int:
@@ -63,15 +68,32 @@ def _messages(spark, a):
     return S.file_messages(spark, a.source_dir, max_files_per_trigger=a.max_files_per_trigger)
 
 
+def _buffer(spark, a) -> BufferedTable | None:
+    return BufferedTable(spark, f"{a.table_dir.rstrip('/')}/table", a.batch_size) if a.batch_size > 1 else None
+
+
+def _print_counters(row) -> None:
+    print(" ".join(f"{k}={v}" for k, v in row.asDict().items()))
+
+
 def cmd_storage(spark, a) -> int:
     checkpoint = a.checkpoint or scratch_path(spark, "storage-checkpoint")
-    also = S.jdbc_rows(a.jdbc_url, a.jdbc_table, {}, a.batch_size) if a.jdbc_url else None
+    also = S.jdbc_rows(a.jdbc_url, a.jdbc_table, {}, a.insert_size) if a.jdbc_url else None
     q = S.run_storage(_messages(spark, a), a.table_dir, checkpoint, available_now=not a.continuous,
-                      decode_parallelism=a.decode_parallelism, also=also)
+                      decode_parallelism=a.decode_parallelism, also=also, buffer=_buffer(spark, a))
     if a.continuous:  # pragma: no cover - runs until stopped
         q.awaitTermination()
-    c = S.storage_counts(spark, a.table_dir).first()
-    print(f"received={c.received} stored={c.stored} errors={c.errors}")
+    return cmd_counters(spark, a)
+
+
+def cmd_counters(spark, a) -> int:
+    buffer = _buffer(spark, a)
+    _print_counters((buffer.counters() if buffer else S.storage_counts(spark, a.table_dir)).first())
+    return 0
+
+
+def cmd_drain(spark, a) -> int:
+    print(_buffer(spark, a).drain())
     return 0
 
 
@@ -81,22 +103,39 @@ def cmd_analytics(spark, a) -> int:
     view = S.analytics_view(_messages(spark, a))
     alerts = S.instant_alert_stream(view, instant=a.instant, threshold=a.instant_threshold)
     S.run_to_parquet(alerts, f"{out}/instant_alerts", f"{base}/instant_alerts", available_now=not a.continuous)
-    q = S.run_windows(view, f"{out}/window_partials", f"{base}/windows", size, available_now=not a.continuous)
+    store = WindowStore(spark, f"{out}/windows", size, a.threshold)
+    timed = S.with_heartbeat(view) if a.continuous else view       # an idle source closes its windows too
+    q = S.run_windows(timed, store, f"{base}/windows", available_now=not a.continuous)
+    if a.continuous:  # pragma: no cover - runs until stopped; statistics and alerts are there as windows close
+        q.awaitTermination()
+    store.finish()
+    return 0
 
-    def flush(closed_before=None):
-        S.emit_closed(spark, f"{out}/window_partials", f"{out}/window_stats", a.threshold, closed_before)
 
-    while a.continuous and not q.awaitTermination(a.window_seconds):  # pragma: no cover - runs until stopped
-        flush(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))    # by the clock: idle windows close too
-    flush()
-    stats = spark.read.parquet(f"{out}/window_stats")
-    S.window_alert_rows(stats, size).write.mode("overwrite").parquet(f"{out}/window_alerts")
+def cmd_drained(spark, a) -> int:
+    print(_sampled(spark, a, R.drain_stable, stable_needed=a.stable, timeout=a.timeout))
     return 0
 
 
+def cmd_recovery(spark, a) -> int:
+    print(_sampled(spark, a, R.recovery_streak, limit=a.limit, needed=a.needed, horizon=a.horizon))
+    return 0
+
+
+def cmd_peak_backlog(spark, a) -> int:
+    print(_sampled(spark, a, R.peak_backlog))
+    return 0
+
+
+def _sampled(spark, a, rule, **parameters) -> str:
+    """A rule over a sample file: CSV with a header and columns run, sample_ts, value; one JSON line a run."""
+    samples = (spark.read.option("header", True).csv(a.samples_csv)
+               .select("run", F.col("sample_ts").cast("timestamp_ntz"), F.col("value").cast("long")))
+    return "\n".join(rule(samples, **parameters).orderBy("run").toJSON().collect())     # a row for each run
+
+
 def cmd_replay(spark, a) -> int:
-    readings = FS.read_readings_csv(spark, a.readings_csv).withColumn("_file_pos", F.monotonically_increasing_id())
-    batches = RP.replay_batches(readings, ["_file_pos"], batch_size=a.batch_size)
+    batches = RP.replay_files(FS.read_readings_csv(spark, a.readings_csv), batch_size=a.batch_size)
     # few large files; batch_no and its release time tell when a message is due
     (batches.select("batch_no", "release_offset_s", F.to_json(F.struct(*READING_COLUMNS)).alias("value"))
      .write.mode("overwrite").parquet(a.out_dir))
@@ -149,11 +188,28 @@ def build_parser() -> argparse.ArgumentParser:
     st.add_argument("source_dir", nargs="?")
     st.add_argument("table_dir")
     source(st)
-    st.add_argument("--batch-size", type=int, default=STORAGE_BATCH_SIZE, help="rows of an insert into a database")
+    st.add_argument("--batch-size", type=int, default=1,
+                    help="rows of an insert into the table; more than 1: the rest waits in a buffer")
+    st.add_argument("--insert-size", type=int, default=STORAGE_BATCH_SIZE, help="rows of an insert into a database")
     st.add_argument("--jdbc-url", help="also insert accepted readings into this database")
     st.add_argument("--jdbc-table", default="readings")
     st.add_argument("--decode-parallelism", type=int)
     st.set_defaults(fn=cmd_storage)
+    for name, fn, size in (("drain", cmd_drain, STORAGE_BATCH_SIZE), ("counters", cmd_counters, 1)):
+        dr = sub.add_parser(name)
+        dr.add_argument("table_dir")
+        dr.add_argument("--batch-size", type=int, default=size, help="as given to storage")
+        dr.set_defaults(fn=fn)
+    rules = {}
+    for name, fn in (("drained", cmd_drained), ("recovery", cmd_recovery), ("peak-backlog", cmd_peak_backlog)):
+        rules[name] = sub.add_parser(name)
+        rules[name].add_argument("samples_csv")
+        rules[name].set_defaults(fn=fn)
+    rules["drained"].add_argument("--stable", type=int, default=3, help="samples in a row that equal the one before")
+    rules["drained"].add_argument("--timeout", type=int, help="samples after which waiting ends")
+    rules["recovery"].add_argument("--limit", type=int, default=5)
+    rules["recovery"].add_argument("--needed", type=int, default=10, help="samples in a row within the limit")
+    rules["recovery"].add_argument("--horizon", type=int, default=180)
     an = sub.add_parser("analytics")
     an.add_argument("source_dir", nargs="?")
     an.add_argument("out_dir")

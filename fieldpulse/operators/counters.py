@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldpulse.functions.timefmt import iso_format
 from fieldpulse.operators.ordinal import with_global_ordinal
+from fieldpulse.operators.positions import with_file_position
 from fieldpulse.schema import PROGRESS_EVERY
 
 
@@ -74,3 +75,9 @@ def progress_every_n(received: DataFrame, order_cols: Sequence[str], every: int
     """One progress row per ``every`` received messages (running count, message id)."""
     o = with_global_ordinal(received, order_cols, name="received_so_far")
     return o.where(F.col("received_so_far") % F.lit(int(every)) == 0)
+
+
+def progress_of_files(received: DataFrame, every: int = PROGRESS_EVERY) -> DataFrame:
+    """:func:`progress_every_n` in the order of the files that ``received`` was read from; no row is moved."""
+    o = with_file_position(received, "received_so_far")
+    return o.where(F.col("received_so_far") % F.lit(int(every)) == 0)

@@ -38,6 +38,16 @@ def window_partials(readings: DataFrame, size: str = "10 seconds", time_col: str
                  F.min(t).alias("min_temperature"), F.max(t).alias("max_temperature")))
 
 
+def window_partials_and_clock(readings: DataFrame, size: str = "10 seconds", time_col: str = "arrival_ts",
+                              temp_col: str = "temperature", start: str | None = None) -> DataFrame:
+    """:func:`window_partials` with the newest time of each window, also of rows without a usable
+    temperature: one pass gives the aggregates and the clock.  Windows of such rows alone have count 0."""
+    t = F.when(_finite(F.col(temp_col)), F.col(temp_col))
+    return (readings.groupBy(_window(time_col, size, start).alias("window"))
+            .agg(F.count(t).alias("count"), *mean_parts(t), F.min(t).alias("min_temperature"),
+                 F.max(t).alias("max_temperature"), F.max(time_col).alias("newest")))
+
+
 def merge_partials(partials: DataFrame) -> DataFrame:
     """Partials of the same windows (micro-batches, late rows) as one row per window."""
     return partials.groupBy("window").agg(

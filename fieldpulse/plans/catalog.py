@@ -25,6 +25,7 @@ from fieldpulse.operators import replay as RP
 from fieldpulse.operators import resources as RS
 from fieldpulse.operators import windows as W
 from fieldpulse.operators.ordinal import with_global_ordinal
+from fieldpulse.operators.positions import file_slice
 from fieldpulse.schema import READING_COLUMNS, STORAGE_BATCH_SIZE
 from fieldpulse.session import prepare, scratch_path
 from fieldpulse.sinks import writers as K
@@ -32,6 +33,8 @@ from fieldpulse.sources import adapters as A
 from fieldpulse.sources import files as FS
 from fieldpulse.sources import messages as M
 from fieldpulse.streaming import jobs as S
+from fieldpulse.streaming.buffer import BufferedTable
+from fieldpulse.streaming.window_store import WindowStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -152,7 +155,7 @@ def q_analytics_counters(spark, sf):
 
 
 def q_storage_counters(spark, sf):
-    return C.storage_counters(S.storage_counts(spark, _stored(spark, sf)), STORAGE_BATCH_SIZE)
+    return _buffered(spark, sf).counters()
 
 
 def q_stored_count(spark, sf):
@@ -167,8 +170,8 @@ def q_received_vs_parsed(spark, sf):
 
 
 def q_progress_every_n(spark, sf):
-    msgs = A.messages(_ev(spark, sf)).select("event_id", "arrival_ts")
-    return C.progress_every_n(msgs, ORDER).select("event_id", "received_so_far")
+    """Progress of a consumer that takes the table in file order."""
+    return C.progress_of_files(_ev(spark, sf)).select("event_id", "received_so_far")
 
 
 # ---------------------------------------------------------------- alerts / latency
@@ -379,13 +382,11 @@ def q_counter_snapshot_read(spark, sf):
 
 
 def q_replay_batches(spark, sf):
-    r = RP.replay_batches(A.readings(_ev(spark, sf)).select("event_id", "arrival_ts"), ORDER)
-    return r.select("event_id", "row_no", "batch_no", "release_offset_s")
+    return RP.replay_files(_ev(spark, sf)).select("event_id", "row_no", "batch_no", "release_offset_s")
 
 
 def q_batch_slice(spark, sf):
-    r = A.readings(_ev(spark, sf)).select("event_id", "arrival_ts")
-    return RP.batch_slice(r, SLICE_SKIP, SLICE_TAKE, ORDER).select("event_id", "row_no")
+    return file_slice(_ev(spark, sf), SLICE_SKIP, SLICE_TAKE, name="row_no").select("event_id", "row_no")
 
 
 def q_offset_table_scan(spark, sf):
@@ -438,19 +439,33 @@ def q_publish_json(spark, sf):
     return spark.read.parquet(path)
 
 
-_STORED: dict[tuple[str, str], str] = {}
+def dealt_stream(table: DataFrame, key: str, batches: int) -> DataFrame:
+    """A table as a stream of ``batches`` micro-batches, its rows dealt by a hash of ``key``.
+
+    The table is written once into the scratch folder.  Every micro-batch holds
+    rows of all times, so nothing arrives in order.
+    """
+    spark = table.sparkSession
+    files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = scratch_path(spark, "stream-source")
+    table.repartition(files, key).write.parquet(path)
+    return (spark.readStream.schema(table.schema).format("parquet")
+            .option("maxFilesPerTrigger", str(-(-files // batches))).load(path))
 
 
 def _stored(spark, sf) -> str:
-    """Where the storage consumer has put the table's messages (run once per session and table)."""
-    prepare(spark)
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED:
-        msgs = A.messages(S.dealt_stream(A.events(spark, sf), "event_id", MICRO_BATCHES))
-        path = scratch_path(spark, "storage")
-        S.run_storage(msgs, path, scratch_path(spark, "storage-ckpt"))
-        _STORED[key] = path
-    return _STORED[key]
+    """Run the storage consumer over the table's messages; where it has put them."""
+    path = scratch_path(prepare(spark), "storage")
+    S.run_storage(A.messages(_events_stream(spark, sf)), path, scratch_path(spark, "storage-ckpt"))
+    return path
+
+
+def _buffered(spark, sf) -> BufferedTable:
+    """Run the storage consumer with a buffer between its micro-batches."""
+    path = scratch_path(prepare(spark), "buffered")
+    buffer = BufferedTable(spark, f"{path}/table", STORAGE_BATCH_SIZE)
+    S.run_storage(A.messages(_events_stream(spark, sf)), path, scratch_path(spark, "buffered-ckpt"), buffer=buffer)
+    return buffer
 
 
 def q_append_reading(spark, sf):
@@ -458,20 +473,21 @@ def q_append_reading(spark, sf):
 
 
 def q_drain(spark, sf):
-    return S.storage_counts(spark, _stored(spark, sf)).select(F.col("received").alias("flushed"))
+    """The number of rows that a drain inserts after the whole table has been consumed."""
+    flushed = _buffered(spark, sf).drain()
+    return spark.createDataFrame([(flushed,)], "flushed long")
 
 
 def q_append_batch(spark, sf):
-    """Accepted readings appended in full batches in arrival order; the rest stays in the buffer."""
-    v = _storage(spark, sf).where("is_valid").select("event_id", "arrival_ts", "device_id", "temperature")
-    o = with_global_ordinal(v, ORDER, name="row_no", with_total=True)
-    batch = F.floor((F.col("row_no") - 1) / F.lit(STORAGE_BATCH_SIZE)).cast("long")
-    full = (batch + 1) * STORAGE_BATCH_SIZE <= F.col("row_no_total")
-    path = scratch_path(spark, "batches")
-    K.append_table(o.select("event_id", "arrival_ts", "device_id", "temperature", batch.alias("batch_id"),
-                            full.alias("flushed")), path)
-    return (spark.read.parquet(path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"),
-                                                             F.bool_and("flushed").alias("flushed")))
+    """Inserts of the buffered consumer with their rows; the rows that still wait come as one that is not flushed."""
+    buffer = _buffered(spark, sf)
+
+    def inserts(rows, flushed):
+        return rows.groupBy(F.col("insert_no").alias("batch_id")).agg(
+            F.count(F.lit(1)).alias("rows"), F.lit(flushed).alias("flushed"))
+
+    parts = [inserts(rows, flushed) for rows, flushed in ((buffer.table(), True), (buffer.waiting(), False)) if rows is not None]
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
 
 
 def q_write_resource_report(spark, sf):
@@ -498,21 +514,23 @@ def q_result_pairs(spark, sf):
 def _events_stream(spark, sf) -> DataFrame:
     """The events table in micro-batches that each hold rows of all times."""
     prepare(spark)
-    return S.dealt_stream(A.events(spark, sf), "event_id", MICRO_BATCHES)
+    return dealt_stream(A.events(spark, sf), "event_id", MICRO_BATCHES)
 
 
-def _streamed_windows(spark, sf) -> DataFrame:
-    path = scratch_path(spark, "windows")
-    S.run_windows(A.readings(_events_stream(spark, sf)), path, scratch_path(spark, "window-ckpt"), HOUR)
-    return S.window_results(spark, path, WIN_THR)
+def _streamed_windows(spark, sf) -> WindowStore:
+    """Windows of the table's readings, which come in no order, after the stream has ended."""
+    store = WindowStore(spark, scratch_path(prepare(spark), "windows"), HOUR, WIN_THR, in_order=False)
+    S.run_windows(A.readings(_events_stream(spark, sf)), store, scratch_path(spark, "window-ckpt"))
+    store.finish()
+    return store
 
 
 def q_tumbling_arrival_window(spark, sf):
-    return _streamed_windows(spark, sf)
+    return _streamed_windows(spark, sf).stats()
 
 
 def q_window_alert_stream(spark, sf):
-    return S.window_alert_rows(_streamed_windows(spark, sf), HOUR)
+    return _streamed_windows(spark, sf).alerts()
 
 
 def q_instant_alert_stream(spark, sf):

@@ -200,7 +200,7 @@ ORACLE: dict[str, str] = {
     "append_batch": (f"SELECT batch_id, count(*) AS rows, count(*) = 500 AS flushed FROM ("
                      f"SELECT (row_number() OVER (ORDER BY ts, event_id) - 1) // 500 AS batch_id FROM events "
                      f"WHERE {GOOD}) GROUP BY batch_id"),
-    "drain": "SELECT count(*) AS flushed FROM events",
+    "drain": f"SELECT count(*) % 500 AS flushed FROM events WHERE {GOOD}",
     "write_resource_report": REPORT,
     "append_summary": (f"SELECT 'A' AS scenario, 'spark' AS broker, run, sent, stored, loss_text AS lost_pct "
                        f"FROM ({LOSS_FULL})"),

@@ -126,3 +126,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder of any store that Spark can write to; False if it is not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))

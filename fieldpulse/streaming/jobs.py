@@ -8,28 +8,28 @@ Each consumer is its own ``StreamingQuery`` with its own checkpoint (the
 checkpoint plays the consumer group), so two consumers read one topic
 independently and both resume from their checkpoint after a failure.
 
-Window statistics come in two forms.  ``run_windows`` keeps, for each
-micro-batch, the mergeable aggregates of its windows in a table; windows are
-closed by the clock (``emit_closed``), also when the flow stops, and a row that
-comes late adds to its window instead of being lost.  ``window_stats_stream``
-keeps the state in Spark with a watermark, which bounds it; rows later than
-the stated delay are dropped there and counted in the query's progress.
+Window statistics come in two forms.  ``run_windows`` folds micro-batches into
+a table of open windows and closes each window once, behind the frontier of
+committed micro-batches (``window_store``).  ``window_stats_stream`` keeps the
+state in Spark with a watermark; rows later than the stated delay are dropped
+there and counted in the query's progress.  ``with_heartbeat`` lets both close
+windows when the flow stops.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldpulse.operators import alerts as AL
 from fieldpulse.operators import windows as W
-from fieldpulse.schema import (
-    INSTANT_ALERT_THRESHOLD, READING_COLUMNS, STORAGE_BATCH_SIZE, WINDOW_SECONDS,
-)
-from fieldpulse.session import scratch_path
+from fieldpulse.schema import INSTANT_ALERT_THRESHOLD, READING_COLUMNS, STORAGE_BATCH_SIZE
+from fieldpulse.session import remove_path
 from fieldpulse.sources import messages as M
+from fieldpulse.streaming.buffer import BufferedTable
+from fieldpulse.streaming.window_store import WindowStore
 
 TRIGGER = "5 seconds"
 
@@ -66,23 +66,12 @@ def file_messages(spark: SparkSession, path: str, max_files_per_trigger: int | N
     return r.load(path).withColumn("arrival_ts", F.current_timestamp())
 
 
-def dealt_stream(table: DataFrame, key: str, batches: int) -> DataFrame:
-    """A table as a stream of ``batches`` micro-batches, its rows dealt by a hash of ``key``.
-
-    The table is written once into the scratch folder.  Every micro-batch holds
-    rows of all times, so nothing arrives in order.
-    """
-    spark = table.sparkSession
-    files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    path = scratch_path(spark, "stream-source")
-    table.repartition(files, key).write.parquet(path)
-    return (spark.readStream.schema(table.schema).format("parquet")
-            .option("maxFilesPerTrigger", str(-(-files // batches))).load(path))
-
-
 def with_event_clock(readings: DataFrame, delay: str, time_col: str = "arrival_ts") -> DataFrame:
     """The time as a zoned timestamp with a watermark, so that ``append`` closes windows."""
-    return readings.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay)
+    timed = readings.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay)
+    # a condition on the temperature must not move below the watermark: rows without one (heartbeats) still tell the time
+    dated = F.col(time_col) >= F.lit("0001-01-01").cast("timestamp")
+    return timed.withColumn("temperature", F.when(dated, F.col("temperature")))
 
 
 def window_stats_stream(readings: DataFrame, size: str, threshold: float, delay: str,
@@ -100,62 +89,44 @@ def window_stats_stream(readings: DataFrame, size: str, threshold: float, delay:
                 .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
-def _started(writer, available_now: bool) -> StreamingQuery:
+def _started(writer, available_now: bool, trigger: str = TRIGGER) -> StreamingQuery:
     """Start a writer; with ``available_now`` wait until everything available is processed."""
-    q = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=TRIGGER)).start()
+    q = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)).start()
     if available_now:
         q.awaitTermination()
     return q
 
 
-def run_windows(readings: DataFrame, path: str, checkpoint: str, size: str, available_now: bool = True,
-                time_col: str = "arrival_ts", start: str | None = None) -> StreamingQuery:
-    """Keep the window aggregates of each micro-batch under ``path``.
+def with_heartbeat(readings: DataFrame, time_col: str = "arrival_ts", per_second: int = 1) -> DataFrame:
+    """A stream of readings united with rows that hold the time of their micro-batch and nothing else.
 
-    A micro-batch writes its own folder and replaces it when it is run again.
+    They keep the clock of an idle source running: a trigger always has a
+    micro-batch, and its time is seen by a frontier or a watermark.  Windows
+    leave them out, as they have no temperature.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        part = W.window_partials(batch, size, time_col, start=start)
-        bounds = F.struct(F.col("window.start").cast("timestamp_ntz").alias("start"),
-                          F.col("window.end").cast("timestamp_ntz").alias("end"))
-        part.withColumn("window", bounds).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return _started(readings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
+    beats = (readings.sparkSession.readStream.format("rate").option("rowsPerSecond", str(per_second))
+             .option("numPartitions", "1").load())
+    kinds = {f.name: f.dataType for f in readings.schema.fields}
+    now = F.current_timestamp().cast(kinds[time_col]).alias(time_col)
+    return readings.unionByName(beats.select(*[now if n == time_col else F.lit(None).cast(k).alias(n) for n, k in kinds.items()]))
 
 
-def window_results(spark: SparkSession, path: str, threshold: float, closed_before=None) -> DataFrame:
-    """Statistics of all windows kept under ``path``, or of those that ended by ``closed_before``."""
-    partials = spark.read.parquet(path).drop("batch_id")
-    if closed_before is not None:
-        partials = partials.where(F.col("window.end") <= F.lit(closed_before))
-    return W.stats_of(W.merge_partials(partials), threshold)
-
-
-def emit_closed(spark: SparkSession, path: str, out: str, threshold: float, closed_before=None) -> None:
-    """Append the statistics of closed windows to ``out``, each once.
-
-    Called by a timer, it closes windows whether messages come or not.  A
-    window that late rows reached after it was emitted is emitted again, with
-    its larger count.
-    """
-    stats = window_results(spark, path, threshold, closed_before)
-    try:
-        known = spark.read.parquet(out).select("window_start", "count")
-        stats = stats.join(known, ["window_start", "count"], "left_anti")
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    stats.write.mode("append").parquet(out)
+def run_windows(readings: DataFrame, store: WindowStore, checkpoint: str, available_now: bool = True,
+                trigger: str = TRIGGER) -> StreamingQuery:
+    """Fold micro-batches into the windows of ``store``; windows and their alerts are written as they close."""
+    return _started(readings.writeStream.foreachBatch(store.write).option("checkpointLocation", checkpoint), available_now,
+                    trigger)
 
 
 def run_to_parquet(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
-                   available_now: bool = True, partition_cols: list[str] | None = None) -> StreamingQuery:
+                   available_now: bool = True, partition_cols: list[str] | None = None,
+                   trigger: str = TRIGGER) -> StreamingQuery:
     """Start a query into a parquet folder (exactly-once file sink) and, with
     ``available_now``, wait until everything available is processed."""
     w = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
     if partition_cols:
         w = w.partitionBy(*partition_cols)
-    return _started(w.option("path", out_path), available_now)
+    return _started(w.option("path", out_path), available_now, trigger)
 
 
 def jdbc_rows(url: str, table: str, properties: dict[str, str], batch_size: int = STORAGE_BATCH_SIZE):
@@ -170,30 +141,51 @@ def jdbc_rows(url: str, table: str, properties: dict[str, str], batch_size: int
     return write
 
 
-def storage_batches(path: str, also=None):
+def _observed(seen: Observation) -> dict[str, int]:
+    """The counts that a write has observed; zeros if the optimizer left the rows out because there surely are none."""
+    try:
+        got = seen.get
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e.java_exception):
+            raise
+        got = {}
+    return {k: int(got.get(k) or 0) for k in ("received", "stored", "errors")}
+
+
+def storage_batches(path: str, also=None, buffer: BufferedTable | None = None):
     """``foreachBatch`` writer of decoded and checked messages.
 
     One write: ``<path>/rows/is_valid=true`` is the readings table, with the
     time of the micro-batch as ``received_at``, and ``is_valid=false`` holds the
     rejected messages with their reasons.  A micro-batch that is run again
-    replaces its own partitions.  Then its counts are taken from what was
-    written and kept in ``<path>/counts``.  ``also`` gets the accepted rows.
+    replaces its own partitions.  Its counts are observed by that write (nothing
+    is read back) and kept in ``<path>/counts``.  ``also`` gets the accepted
+    rows.  With a ``buffer`` the accepted rows go to its table in full batches,
+    and leave ``rows`` once they are there.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         view = batch if "is_valid" in batch.columns else M.storage_view(M.decode(batch))
         spark = batch.sparkSession
+        seen = Observation()
         out = f"{path}/rows"
         (view.select(*READING_COLUMNS, F.current_timestamp().cast("timestamp_ntz").alias("received_at"),
                      F.when(~F.col("is_valid"), F.col("value")).alias("value"), "reject_reason",
                      "is_valid", F.lit(batch_id).cast("long").alias("batch_id"))
+         .observe(seen, F.count(F.lit(1)).alias("received"), F.count_if("is_valid").alias("stored"),
+                  F.count_if(~F.col("is_valid")).alias("errors"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("is_valid", "batch_id").parquet(out))
-        rows = _rows(spark, path).where(F.col("batch_id") == batch_id)
-        (rows.agg(F.count(F.lit(1)).alias("received"), F.count_if("is_valid").alias("stored"),
-                  F.count_if(~F.col("is_valid")).alias("errors"))
+        n = _observed(seen)
+        (spark.createDataFrame([tuple(n.values())], "received long, stored long, errors long")
          .coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}"))
-        if also is not None:
-            also(rows.where("is_valid"))
+        accepted = f"{out}/is_valid=true/batch_id={batch_id}"                # this micro-batch's own folder
+        rows = spark.read.parquet(accepted) if n["stored"] else None
+        if also is not None and rows is not None:
+            also(rows)
+        if buffer is not None:
+            buffer.accept(None if rows is None else rows.select(*READING_COLUMNS, "received_at", "_metadata"), batch_id,
+                          n["received"], n["stored"], n["errors"])
+            remove_path(spark, accepted)
     return write
 
 
@@ -218,9 +210,12 @@ def storage_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_storage(messages: DataFrame, path: str, checkpoint: str, available_now: bool = True,
-                decode_parallelism: int | None = None, also=None) -> StreamingQuery:
+                decode_parallelism: int | None = None, also=None, buffer: BufferedTable | None = None) -> StreamingQuery:
     """Storage consumer: decode, check, write accepted and rejected rows and their counts.
 
+    With a ``buffer`` accepted rows are inserted in full batches and the rest
+    waits for the next micro-batch or a drain; without, each is stored at once.
+
     ``decode_parallelism`` spreads each micro-batch over that many tasks
     before decoding, for sources with fewer partitions than cores; leave it
     unset when the source is already wide (for Kafka prefer the source's
@@ -229,7 +224,7 @@ def run_storage(messages: DataFrame, path: str, checkpoint: str, available_now:
     if decode_parallelism:
         messages = messages.repartition(int(decode_parallelism))
     view = M.storage_view(M.decode(messages))
-    return _started(view.writeStream.foreachBatch(storage_batches(path, also))
+    return _started(view.writeStream.foreachBatch(storage_batches(path, also, buffer))
                     .option("checkpointLocation", checkpoint), available_now)
 
 
@@ -245,14 +240,3 @@ def instant_alert_stream(view: DataFrame, alert_at=None, instant: bool = False,
     """Alert records per message: stateless, so they never wait for a window."""
     at = F.current_timestamp().cast("timestamp_ntz") if alert_at is None else alert_at
     return AL.alert_records_instant(AL.instant_alerts(view, instant, threshold if instant else None, alert_at=at))
-
-
-def window_alert_rows(stats: DataFrame, size: str = f"{WINDOW_SECONDS} seconds") -> DataFrame:
-    """One alert record per window whose mean exceeded the threshold."""
-    return AL.alert_records_window(W.window_alerts(stats), _interval_seconds(size))
-
-
-def _interval_seconds(size: str) -> int:
-    n, unit = size.split()[:2]
-    per = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
-    return int(float(n) * per[unit.rstrip("s").lower()])

@@ -56,9 +56,9 @@ def test_replay_storage_analytics(spark, scratch, capsys):
     assert cli.main(["analytics", msgs, out, "--instant", "--checkpoint", os.path.join(scratch, "ck2")],
                     spark=spark) == 0
     assert spark.read.parquet(os.path.join(out, "instant_alerts")).count() == ev.where("value > 40").count()
-    stats = spark.read.parquet(os.path.join(out, "window_stats"))
+    stats = spark.read.parquet(os.path.join(out, "windows", "stats"))
     assert stats.agg(F.sum("count")).first()[0] == ev.count()          # the last window is emitted too
-    alerts = spark.read.parquet(os.path.join(out, "window_alerts")).count()
+    alerts = spark.read.parquet(os.path.join(out, "windows", "alerts")).count()
     assert alerts == stats.where("avg_temperature > 50").count()
 
 
@@ -71,3 +71,20 @@ def test_stats_document(spark, scratch, capsys):
     doc = json.loads(capsys.readouterr().out.strip())
     assert doc["count"] == 2 and doc["alert_triggered"] and set(doc["per_device"]) == {"a", "b"}
     assert doc["avg_temperature"] == 56.75
+
+
+def test_rules_over_samples(spark, scratch, capsys):
+    path = os.path.join(scratch, "samples.csv")
+    series = {"a": [9, 9, 7, 3, 3, 3, 3], "b": [8, 1, 2, 9, 4, 5, 1]}
+    with open(path, "w") as f:
+        f.write("value,run,sample_ts\n")
+        f.writelines(f"{v},{r},2024-01-01 00:00:{i:02d}\n" for r, vs in series.items() for i, v in enumerate(vs))
+
+    def said(*args):
+        assert cli.main([args[0], path, *args[1:]], spark=spark) == 0
+        return [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
+
+    assert [d.get("drained_index") for d in said("drained")] == [6, None]
+    assert [d["timed_out"] for d in said("drained", "--timeout", "6")] == [True, True]
+    assert [d["recovery_s"] for d in said("recovery", "--needed", "3", "--horizon", "60")] == ["6", "7"]
+    assert [d["peak_backlog"] for d in said("peak-backlog")] == [9, 9]

@@ -3,8 +3,10 @@ import os
 from pyspark.sql import functions as F
 
 from fieldpulse.operators import windows as W
+from fieldpulse.plans.catalog import dealt_stream
 from fieldpulse.sources import adapters as A
 from fieldpulse.streaming import jobs as S
+from fieldpulse.streaming.window_store import WindowStore
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,32 +98,11 @@ def test_analytics_streams(spark, scratch):
     assert got.count() == good.where(F.col("value") > 40).count()
     assert got.where("e2e_latency_ms IS NULL").count() == 0
     # on arrival time every usable message is in some window, the last one included
-    path, out = os.path.join(scratch, "parts"), os.path.join(scratch, "stats")
-    S.run_windows(view, path, os.path.join(scratch, "ck-s"), "1 hour")
-    S.emit_closed(spark, path, out, 50.0)
-    S.emit_closed(spark, path, out, 50.0)                       # each window once
-    assert spark.read.parquet(out).agg(F.sum("count")).first()[0] == good.count()
-
-
-def test_windows_take_late_rows_and_close_by_the_clock(spark, scratch):
-    src = os.path.join(scratch, "ev")
-    hours = [5, 6, 1, 9, 12]                                    # the micro-batches' order
-    for i, h in enumerate(hours):
-        rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", "a", float(m)) for m in range(11)]
-        spark.createDataFrame(rows, "t string, device_id string, temperature double").coalesce(1) \
-            .write.json(os.path.join(src, f"b{i}"))
-    stream = (spark.readStream.schema("t string, device_id string, temperature double").option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").json(src)
-              .select(F.col("t").cast("timestamp_ntz").alias("arrival_ts"), "device_id", "temperature"))
-    path, out = os.path.join(scratch, "parts"), os.path.join(scratch, "out")
-    q = S.run_windows(stream, path, os.path.join(scratch, "ck"), "1 hour")
-    assert q.lastProgress["batchId"] >= 4
-    import datetime as dt
-    S.emit_closed(spark, path, out, 50.0, dt.datetime(2024, 1, 1, 10))
-    closed = {r.window_start.hour: r["count"] for r in spark.read.parquet(out).collect()}
-    assert closed == {1: 11, 5: 11, 6: 11, 9: 11}               # 12h is still open
-    S.emit_closed(spark, path, out, 50.0)                       # the final flush
-    assert {r.window_start.hour for r in spark.read.parquet(out).collect()} == set(hours)
+    store = WindowStore(spark, os.path.join(scratch, "windows"), "1 hour", 50.0)
+    S.run_windows(view, store, os.path.join(scratch, "ck-s"))
+    store.finish()
+    store.finish()                                              # each window once
+    assert store.stats().agg(F.sum("count")).first()[0] == good.count()
 
 
 def _stream_rows(spark, folder, batches):
@@ -164,13 +145,14 @@ def test_event_time_late_rows_dropped_and_empty_windows(spark, scratch):
     assert dropped == 1
 
 
-def test_window_alert_rows_equal_the_batch(spark, scratch):
+def test_windows_and_alerts_equal_the_batch(spark, scratch):
     ev = A.events(spark, SF)
-    path = os.path.join(scratch, "parts")
-    S.run_windows(A.readings(S.dealt_stream(ev, "event_id", 5)), path, os.path.join(scratch, "ck"), "1 hour")
-    got = S.window_results(spark, path, 50.0)
+    store = WindowStore(spark, os.path.join(scratch, "windows"), "1 hour", 50.0, in_order=False)
+    S.run_windows(A.readings(dealt_stream(ev, "event_id", 5)), store, os.path.join(scratch, "ck"))
+    assert store.stats() is None                                # rows of all times: nothing may close before the end
+    store.finish()
     batch = W.window_global_stats(A.readings(ev), "1 hour", 50.0)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
-    rows = S.window_alert_rows(got, "1 hour")
+    assert sorted(map(tuple, store.stats().collect())) == sorted(map(tuple, batch.collect()))
+    rows = store.alerts()
     assert rows.count() == batch.where("alert_triggered").count() > 0
     assert rows.where("window_size_s = 3600 AND temperature > 50").count() == rows.count()
