@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldpulse.functions.numeric import round2, text2
-from fieldpulse.operators.ordinal import floor_rank_pick, summary_with_floor_rank
+from fieldpulse.operators.radix import floor_rank_pick, summary_with_floor_rank
 
 
 def p95_floor_rank(latencies: DataFrame, value_col: str = "latency_ms",
@@ -21,8 +21,8 @@ def latency_summary(latencies: DataFrame, value_col: str = "latency_ms",
     """avg, min, max and floor-rank p95 of each group, rounded to 2 decimals.
 
     ``summary`` is the ``avg,min,max,p95`` line with two decimals.  Without
-    groups an empty input gives one row of zeros.  All figures come from one
-    range-partitioned pass over the values (see ``ordinal``).
+    groups an empty input gives one row of zeros.  The p95 is counted by bit
+    prefixes, the others come with its first histogram (see ``radix``).
     """
     group_cols = list(group_cols)
     s = summary_with_floor_rank(latencies, value_col, group_cols, q)

@@ -1,4 +1,4 @@
-"""Distributed positions in a total order: global ordinals and floor-rank picks.
+"""Distributed positions in a total order: global ordinals.
 
 A global row number written as ``row_number() OVER (ORDER BY ...)`` moves
 every row into one task.  Here the rows are range-partitioned on the order
@@ -17,8 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.numeric import mean_of
-
 
 def _ranged(df: DataFrame, keys: list[str], n: int | None) -> DataFrame:
     """``df`` range-partitioned and sorted on ``keys``, with its partition ids and positions pinned by a checkpoint.
@@ -69,67 +67,3 @@ def with_global_ordinal(df: DataFrame, order_cols: Sequence[str], group_cols: Se
     if with_total:
         out = out.withColumnRenamed("_total", f"{name}_total")
     return out.drop("_pid", "_pos", "_first", "_before")
-
-
-def floor_rank_index(n, q: float = 0.95):
-    """0-based index ``max(0, int(q*n) - 1)`` of the floor-rank percentile."""
-    return F.greatest(F.lit(0), F.floor(F.lit(float(q)) * n.cast("double")) - F.lit(1))
-
-
-def _histogram(df: DataFrame, value_col: str, group_cols: list[str]) -> DataFrame:
-    """How often each value occurs in its group: equal values meet within the tasks, before any shuffle."""
-    return (df.where(F.col(value_col).isNotNull()).groupBy(*group_cols, F.col(value_col).alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_c")))
-
-
-def _pick(ranged: DataFrame, group_cols: list[str], q: float, alias: str) -> DataFrame:
-    """The value at the floor rank of each group of a ranged histogram.
-
-    Block totals find the one block that holds the rank; only that block's
-    values are counted up, so no task sees more than one range partition.
-    """
-    blocks = _with_before(ranged.groupBy("_pid", *group_cols).agg(F.sum("_c").alias("_n")), group_cols)
-    k = floor_rank_index(F.col("_total"), q) + F.lit(1)          # 1-based target rank
-    target = (blocks.where((F.col("_before") < k) & (k <= F.col("_before") + F.col("_n")))
-              .select("_pid", *group_cols, (k - F.col("_before")).alias("_k")))
-    up = Window.partitionBy("_pid", *group_cols).orderBy("_v")
-    return (ranged.join(target, ["_pid", *group_cols])
-            .withColumn("_upto", F.sum("_c").over(up.rowsBetween(Window.unboundedPreceding, 0)))
-            .where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k")))
-            .select(*group_cols, F.col("_v").alias(alias)))
-
-
-def floor_rank_pick(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), q: float = 0.95,
-                    alias: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Per group, the value at sorted index ``max(0, int(q*n)-1)`` (exact, distributed).
-
-    Not ``percentile_disc`` (ceil rank) nor ``percentile`` (interpolated).
-    Works on the histogram of distinct values, so ties cost nothing.
-    """
-    group_cols = list(group_cols)
-    ranged = _ranged(_histogram(df, value_col, group_cols), group_cols + ["_v"], num_partitions)
-    return _pick(ranged, group_cols, q, alias or f"p{int(round(q * 100))}")
-
-
-def summary_with_floor_rank(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), q: float = 0.95,
-                            num_partitions: int | None = None) -> DataFrame:
-    """Per group: n, mean, min, max and the floor-rank pick, from one pass over the values.
-
-    The mean is summed from the histogram: value times count, exactly where
-    the product fits (see ``mean_parts``).
-    """
-    group_cols = list(group_cols)
-    ranged = _ranged(_histogram(df, value_col, group_cols), group_cols + ["_v"], num_partitions)
-    value = F.col("_v").try_cast("decimal(26,6)")
-    exact = F.try_multiply(value, F.col("_c").try_cast("decimal(11,0)"))       # 38 digits: no digit is lost
-    fits = F.coalesce(value.cast("double") == F.col("_v"), F.lit(False))
-    stats = (ranged.groupBy(*group_cols) if group_cols else ranged.groupBy()).agg(
-        F.sum("_c").alias("n"), F.try_sum(exact).alias("_exact"),
-        F.sum(F.col("_v") * F.col("_c")).alias("_double"), F.max(~fits | exact.isNull()).alias("_odd"),
-        F.min("_v").alias("min"), F.max("_v").alias("max"))
-    stats = stats.select(*group_cols, "n", mean_of("n").alias("mean"), "min", "max")
-    pick = _pick(ranged, group_cols, q, "pick")
-    if group_cols:
-        return stats.join(pick, group_cols, "left")
-    # one row with one row
-    return stats.withColumn("_k", F.lit(1)).join(pick.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")

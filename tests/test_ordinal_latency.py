@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from fieldpulse.operators import latency as L
-from fieldpulse.operators.ordinal import floor_rank_pick, with_global_ordinal
+from fieldpulse.operators.ordinal import with_global_ordinal
+from fieldpulse.operators.radix import floor_rank_pick
 
 MQTT = [1970.49, 1709.32, 1594.60, 2055.20, 1536.33, 2040.85, 1360.95, 1880.63, 1254.68, 1628.93]
 KAFKA = [2615.61, 2544.29, 2547.64, 2424.07, 2455.30, 2427.36, 2301.07, 2251.64, 2148.81, 2953.09]
