@@ -10,6 +10,8 @@ operators; only one-line summaries are printed on the driver.
                                       with --batch-size above 1 TABLE_DIR/table in full batches
   drain      TABLE_DIR                insert what waits in the buffer of a stopped consumer; prints how many rows
   counters   TABLE_DIR                counters of a storage consumer, running or stopped
+  fold       TABLE_DIR                fold the folders that the micro-batches of a storage consumer wrote
+  lag        CHECKPOINT SOURCE_DIR    files read, there and waiting of a consumer, running or stopped
   analytics  SOURCE_DIR OUT_DIR       analytics consumer: window statistics and alert records
   replay     READINGS_CSV OUT_DIR     readings as JSON messages in file order with batch numbers
   drained, recovery, peak-backlog  SAMPLES_CSV    the harness's rules over samples (run, sample_ts, value)
@@ -35,7 +37,9 @@ from fieldpulse.schema import (
 from fieldpulse.session import build_session, cluster_settings, scratch_path
 from fieldpulse.sinks import writers as K
 from fieldpulse.sources import files as FS
+from fieldpulse.streaming import compaction
 from fieldpulse.streaming import jobs as S
+from fieldpulse.streaming import offsets as O
 from fieldpulse.streaming.buffer import BufferedTable
 from fieldpulse.streaming.window_store import WindowStore
 
@@ -134,6 +138,18 @@ def _sampled(spark, a, rule, **parameters) -> str:
     return "\n".join(rule(samples, **parameters).orderBy("run").toJSON().collect())     # a row for each run
 
 
+def cmd_lag(spark, a) -> int:
+    g = R.group_lag(O.file_lag(spark, a.checkpoint, a.source_dir)).first()
+    print(f"{g.offset}\t{g.log_end_offset}\t{g.lag}")
+    return 0
+
+
+def cmd_fold(spark, a) -> int:
+    m = compaction.fold(spark, a.table_dir)
+    print(f"segments={len(m.segments)} upto={m.upto}")
+    return 0
+
+
 def cmd_replay(spark, a) -> int:
     batches = RP.replay_files(FS.read_readings_csv(spark, a.readings_csv), batch_size=a.batch_size)
     # few large files; batch_no and its release time tell when a message is due
@@ -200,6 +216,13 @@ def build_parser() -> argparse.ArgumentParser:
         dr.add_argument("table_dir")
         dr.add_argument("--batch-size", type=int, default=size, help="as given to storage")
         dr.set_defaults(fn=fn)
+    lg = sub.add_parser("lag")
+    lg.add_argument("checkpoint")
+    lg.add_argument("source_dir")
+    lg.set_defaults(fn=cmd_lag)
+    fo = sub.add_parser("fold")
+    fo.add_argument("table_dir")
+    fo.set_defaults(fn=cmd_fold)
     rules = {}
     for name, fn in (("drained", cmd_drained), ("recovery", cmd_recovery), ("peak-backlog", cmd_peak_backlog)):
         rules[name] = sub.add_parser(name)

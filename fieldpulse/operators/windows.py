@@ -107,7 +107,7 @@ def window_stats_nested(readings: DataFrame, size: str = "10 seconds",
     Two chained aggregations (device partials, then windows); in streaming
     this runs in ``append`` mode.  The map holds one entry per device seen in
     the window, which is the shape of the original output; with very many
-    devices in a window use :func:`window_stats_flat`.
+    devices in a window use :func:`window_stats_nested_parts` or :func:`window_stats_flat`.
     """
     d = device_partials(readings, size, **kw)
     dev = F.struct(F.col("d_count").alias("count"), round2(mean_of("d_count", "d")).alias("avg"),
@@ -119,9 +119,36 @@ def window_stats_nested(readings: DataFrame, size: str = "10 seconds",
                     safe_gt(avg, threshold).alias("alert_triggered"), F.lit(float(threshold)).alias("threshold"))
 
 
+PART_DEVICES = 1_000         # devices of one map of the nested statistics, about
+
+
+def window_stats_nested_parts(readings: DataFrame, size: str = "10 seconds", threshold: float = WINDOW_ALERT_THRESHOLD,
+                              part_devices: int = PART_DEVICES, **kw) -> DataFrame:
+    """:func:`window_stats_nested` with each window's map split into ``parts`` by a hash of the device.
+
+    A window has one row for each ``part``, about ``part_devices`` devices in
+    its map, and the window's totals on it; no row holds all devices.  The
+    number of parts follows from the window's devices, which are counted first.
+    """
+    d = device_partials(readings, size, **kw)
+    avg = mean_of("count", "d")
+    w = _window_totals(d, F.ceil(F.count(F.lit(1)) / F.lit(int(part_devices))).cast("int").alias("parts"))
+    w = w.select("window", "count", avg.alias("avg_temperature"), "min_temperature", "max_temperature", "parts")
+    totals = ["count", "avg_temperature", "min_temperature", "max_temperature"]
+    dev = F.struct(F.col("d_count").alias("count"), round2(mean_of("d_count", "d")).alias("avg"),
+                   F.col("d_min").alias("min"), F.col("d_max").alias("max"))
+    each = d.select("window", "device_id", dev.alias("_s")).join(w, "window")
+    part = F.pmod(F.xxhash64("device_id"), F.col("parts")).cast("int")
+    g = each.groupBy("window", part.alias("part"), "parts", *totals).agg(
+        F.map_from_entries(F.collect_list(F.struct("device_id", "_s"))).alias("per_device"))
+    return g.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *totals,
+                    "part", "parts", "per_device", safe_gt(F.col("avg_temperature"), threshold).alias("alert_triggered"),
+                    F.lit(float(threshold)).alias("threshold"))
+
+
 def exploded(nested: DataFrame) -> DataFrame:
-    """:func:`window_stats_nested` with its map as rows, one per (window, device)."""
-    rest = [c for c in nested.columns if c != "per_device"]
+    """:func:`window_stats_nested` (or its parts) with its map as rows, one per (window, device)."""
+    rest = [c for c in nested.columns if c not in ("per_device", "part", "parts")]
     return nested.select(*rest, F.explode("per_device").alias("device_id", "_d")).select(
         *rest, "device_id", F.col("_d.count").alias("device_count"), F.col("_d.avg").alias("device_avg"),
         F.col("_d.min").alias("device_min"), F.col("_d.max").alias("device_max"))

@@ -72,7 +72,7 @@ def q_window_device_stats(spark, sf):
 
 
 def q_window_stats_nested(spark, sf):
-    return W.exploded(W.window_stats_nested(A.readings(_ev(spark, sf)), DAY, WIN_THR))
+    return W.exploded(W.window_stats_nested_parts(A.readings(_ev(spark, sf)), DAY, WIN_THR))
 
 
 def q_window_stats_flat(spark, sf):

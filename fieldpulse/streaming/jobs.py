@@ -28,6 +28,7 @@ from fieldpulse.operators import windows as W
 from fieldpulse.schema import INSTANT_ALERT_THRESHOLD, READING_COLUMNS, STORAGE_BATCH_SIZE
 from fieldpulse.session import remove_path
 from fieldpulse.sources import messages as M
+from fieldpulse.streaming import compaction
 from fieldpulse.streaming.buffer import BufferedTable
 from fieldpulse.streaming.window_store import WindowStore
 
@@ -190,8 +191,7 @@ def storage_batches(path: str, also=None, buffer: BufferedTable | None = None):
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
-    # a partition value is read back as text
-    return spark.read.parquet(f"{path}/rows").withColumn("is_valid", F.col("is_valid").cast("boolean"))
+    return compaction.table(spark, path, "rows")
 
 
 def stored_readings(spark: SparkSession, path: str) -> DataFrame:
@@ -205,7 +205,7 @@ def rejected_messages(spark: SparkSession, path: str) -> DataFrame:
 
 def storage_counts(spark: SparkSession, path: str) -> DataFrame:
     """received, stored and errors over all micro-batches (one row)."""
-    c = spark.read.parquet(f"{path}/counts")
+    c = compaction.table(spark, path, "counts")
     return c.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in ("received", "stored", "errors")])
 
 
