@@ -77,12 +77,17 @@ def read_latencies(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(v != "").select(v.cast("double").alias("latency_ms"))
 
 
+#: parts that the lines of one listing are dealt over
+LISTING_PARTS = 64
+
+
 def parse_offset_listing(lines: DataFrame, source_col: str = "source", value_col: str = "value") -> DataFrame:
     """Rows of a consumer-group listing: (source, partition, current, log end, lag).
 
     The header line holding ``CURRENT-OFFSET`` and ``LAG`` gives the column
     positions of its listing; it is joined to the data lines of the same
-    source (one header per source).  Banner lines and rows whose partition is
+    source (one header per source), which are dealt over ``LISTING_PARTS`` parts,
+    so that a long listing is not one task's work.  Banner lines and rows whose partition is
     not an integer are skipped; ``-`` is an absent value.
     """
     line = F.trim(F.replace(F.col(value_col), F.lit("\r"), F.lit("")))
@@ -95,7 +100,10 @@ def parse_offset_listing(lines: DataFrame, source_col: str = "source", value_col
     banner = F.lit(False)
     for b in LISTING_BANNERS:
         banner = banner | F.col("line").startswith(b)
-    data = clean.where(~banner & ~is_header).withColumn("tok", tokens).join(header, "source")
+    header = header.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(LISTING_PARTS - 1))))
+    part_of = F.pmod(F.xxhash64("line"), F.lit(LISTING_PARTS)).cast("int")
+    data = (clean.where(~banner & ~is_header).withColumn("tok", tokens).withColumn("_part", part_of)
+            .join(header, ["source", "_part"]))
     width = F.greatest(*[F.col(f"p{i}") for i in range(4)])
     complete = F.least(*[F.col(f"p{i}") for i in range(4)]) > 0
 

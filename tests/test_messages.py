@@ -97,3 +97,22 @@ def test_integral_numbers_fit_integer_columns(spark):
 def test_counter_field_keeps_every_digit(spark):
     df = spark.createDataFrame([('{"k": 9007199254740993}',)], "j string")
     assert df.select(M.counter_field("j", "k")).first()[0] == 9007199254740993
+
+
+def test_one_parse_and_nothing_closes_it_early(spark):
+    """Texts that are no JSON value though their beginning, or what they are wrapped in, is one."""
+    import contextlib
+    import io
+
+    broken = ['1,"w":["x"],"end":1}', '{"device_id":"d","temperature":9},"w":["x"],"end":1}', '{"a":1}],"end":1}', "5] x", "5} x",
+              '1,"w":2', "1,2", '{"a":1},{"b":2}', '{"a":1} {"b":2}', '{"a":1}]', '{"a":1}}', "", " ", "nul", '"open', '{"a":', "[1,2",
+              '"x","y"', '{"a":1},"k":{"b":2}']
+    whole = ["5", "null", "[1,2]", '"text"', "true", " 7 ", '{"a":[{"b":"]}"}]}', '{}', ' {"temperature":1} ', '"end"', "-1.5e3"]
+    df = M.decode(spark.createDataFrame([(x,) for x in broken + whole], "value string"))
+    got = {r.value: (r.is_json, r.is_object) for r in df.select("value", "is_json", "is_object").collect()}
+    assert {x for x in broken if got[x] != (False, False)} == set()
+    assert {x for x in whole if got[x] != (True, x.strip().startswith("{"))} == set()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        M.storage_view(df).explain("formatted")
+    assert buf.getvalue().count("from_json(") <= 2              # an operator's list of expressions and its output
