@@ -14,6 +14,10 @@ State (a folder of Parquet tables, one version per change):
 A line's key is the line without ASCII white space at both ends, with A-Z in
 lower case.  Lines whose key is empty are never dropped.
 
+An index under a given path is opened again where it stands: the newest whole
+version counts, one that was not finished is written anew.  Taking back a
+document that was not inserted is refused, and leaves the index as it was.
+
 Removing lines: the filters and the exact keys they stand for go to the tasks
 when their size, which is counted first, is at most ``BROADCAST_BYTES``; each
 line is tried against its shard's filter and only a hit is looked up among the
@@ -27,8 +31,8 @@ row from each task.
 Defined results: a null or empty text is one empty line, which stays (a null
 text stays null); one row
 out for one in, repeated rows counted as documents of their own, null ids
-allowed; the output keeps all input columns (clashing names of its own columns
-are the caller's to choose).  Whole texts are read; memory is bounded by one
+allowed; the output keeps all input columns, but for one that has the name of a
+count, which the count replaces.  Whole texts are read; memory is bounded by one
 Arrow batch.
 """
 
@@ -40,6 +44,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,6 +163,21 @@ class LineIndex:
                  keys_per_shard: int = KEYS_PER_SHARD):
         self.spark, self.min_docs, self.keys_per_shard = spark, min_docs, keys_per_shard
         self.path, self.version = path or scratch_path(spark, "line-index"), 0
+        if path:
+            self._open()
+
+    def _open(self) -> None:
+        """Go on from the newest whole version that the folder holds; one that was not finished is written anew."""
+        try:
+            whole = self.spark.read.parquet(f"{self.path}/versions")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return
+        newest = whole.agg(F.max_by(F.struct("version", "min_docs"), "version").alias("v")).first().v
+        if newest.min_docs != self.min_docs:
+            raise ValueError(f"this index drops lines of {newest.min_docs} documents, not {self.min_docs}")
+        self.version = int(newest.version)
 
     def _table(self, kind: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{self.version if version is None else version}/{kind}")
@@ -185,9 +205,11 @@ class LineIndex:
         out = f"{self.path}/v{new}"
         # range-free hash layout by key: the sum's own exchange is the only shuffle
         (reduce(DataFrame.unionByName, parts).groupBy("h", "l").agg(F.sum("n").alias("n"), F.sum("old").alias("old"))
-         .write.parquet(f"{out}/changed"))
+         .write.mode("overwrite").parquet(f"{out}/changed"))
         changed = self.spark.read.parquet(f"{out}/changed")
-        changed.filter("n > 0").select("h", "l", "n").write.parquet(f"{out}/refs")
+        if sign < 0 and not changed.filter("n < 0").isEmpty():
+            raise ValueError("a document is taken back that was not inserted")
+        changed.filter("n > 0").select("h", "l", "n").write.mode("overwrite").parquet(f"{out}/refs")
         hot = changed.filter((F.col("n") >= limit) | (F.col("old") >= limit))
         held = hot.filter(F.col("n") >= limit).count()
         shards = max(1, -(-held // self.keys_per_shard))
@@ -195,7 +217,9 @@ class LineIndex:
         if self.version:
             first = self.filters().select("shards").first()
             shards, old = (first[0], self.filters()) if first and first[0] >= shards else (shards, None)
-        self._filters(hot, shards, old).write.parquet(f"{out}/filters")
+        self._filters(hot, shards, old).write.mode("overwrite").parquet(f"{out}/filters")
+        (self.spark.createDataFrame([(new, limit)], "version long, min_docs long").coalesce(1)
+         .write.mode("overwrite").parquet(f"{self.path}/versions/v={new}"))
         self.version = new
         return self
 
@@ -265,7 +289,11 @@ class LineIndex:
                         positive[at] = held[s].has(high[at])
                 return {keys[i] for i in np.flatnonzero(positive) if found[i] in known}
 
-            yield from _rewrite(batches, text, hot)
+            def of_rows(part, per_doc):
+                common = hot(list({k for keys in per_doc for k in keys if k}))
+                return [common] * len(per_doc)
+
+            yield from _rewrite(batches, text, of_rows)
 
         return _with_counts(docs, run, n_lines, n_dropped)
 
@@ -274,8 +302,9 @@ class LineIndex:
 
         Equal texts share one key of the text, so copies are looked up once.
         """
-        tagged = docs.withColumn("_lines", F.col(text).cast("string"))
-        tagged = tagged.withColumn("_text_key", F.unhex(F.md5("_lines")))
+        own, named, hot_lines = (T.free_name(docs.columns, n) for n in ("_lines", "_text_key", "_hot"))
+        tagged = docs.withColumn(own, F.col(text).cast("string"))
+        tagged = tagged.withColumn(named, F.unhex(F.md5(own)))
 
         def keys(batches):
             for part, data, offsets in T.doc_batches(batches, "_lines"):
@@ -290,34 +319,36 @@ class LineIndex:
                                        pa.array(np.ascontiguousarray(both[:, 0])),
                                        pa.array(np.ascontiguousarray(both[:, 1]))], names=["_text_key", "h", "l"])
 
-        lines = (tagged.select("_text_key", "_lines").filter("_text_key is not null")
+        lines = (tagged.select(F.col(named).alias("_text_key"), F.col(own).alias("_lines")).filter("_text_key is not null")
                  .mapInArrow(keys, "_text_key binary, h long, l long").distinct())
         # one row for each text: its own hot lines, as many as it has lines at most
-        found = (lines.join(self.hot_keys(), ["h", "l"]).groupBy("_text_key")
-                 .agg(F.collect_list(F.struct("h", "l")).alias("_hot")))
+        found = (lines.join(self.hot_keys(), ["h", "l"]).groupBy(F.col("_text_key").alias(named))
+                 .agg(F.collect_list(F.struct("h", "l")).alias(hot_lines)))
 
-        def run(batches):
-            for batch in batches:
-                hot_at = batch.column(batch.schema.get_field_index("_hot"))
-                for i in range(batch.num_rows):
-                    mine = {np.array([x["h"], x["l"]], np.int64).tobytes() for x in hot_at[i].as_py() or ()}
-                    yield from _rewrite([batch.slice(i, 1)], text,
-                                        lambda ks, mine=mine: {k for k in ks if digest(k) in mine})
+        def of_rows(part, per_doc):
+            mine = part.column(part.schema.get_field_index(hot_lines)).to_pylist()
+            out = []
+            for keys_of, held in zip(per_doc, mine):
+                known = {np.array([x["h"], x["l"]], np.int64).tobytes() for x in held or ()}
+                out.append({k for k in set(keys_of) if k and digest(k) in known} if known else frozenset())
+            return out
 
-        joined = tagged.join(found, "_text_key", "left").select(*docs.columns, "_text_key", "_hot")
-        return _with_counts(joined, run, n_lines, n_dropped, leave=("_text_key", "_hot"))
+        joined = tagged.join(found, named, "left").select(*docs.columns, hot_lines)
+        return _with_counts(joined, lambda batches: _rewrite(batches, text, of_rows), n_lines, n_dropped, leave=(hot_lines,))
 
 
 def _rewrite(batches, text: str, hot):
-    """Batches with the text's remaining lines, and the two counts appended."""
+    """Batches with the text's remaining lines, and the two counts appended.
+
+    ``hot(rows, keys of each row's lines)`` gives the set of keys that go, for each row.
+    """
     for batch in batches:
         at_text = batch.schema.get_field_index(text)
         for part, data, offsets in T.doc_batches([batch], text):
             raw, at = data.tobytes(), offsets.tolist()
             per_doc = [line_keys(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
-            drop = hot(list({k for keys in per_doc for k in keys if k}))
             kept, total, gone = [], [], []
-            for (a, b), keys in zip(zip(at[:-1], at[1:]), per_doc):
+            for (a, b), keys, drop in zip(zip(at[:-1], at[1:]), per_doc, hot(part, per_doc)):
                 out = raw[a:b]
                 n = 0
                 if drop and not drop.isdisjoint(keys):
@@ -331,12 +362,18 @@ def _rewrite(batches, text: str, hot):
             null = np.asarray(part.column(at_text).is_null())
             new = pa.array(kept, pa.binary(), mask=null).cast(pa.string())
             columns[at_text] = new.cast(part.schema.field(at_text).type)
+            lines, dropped = T.free_name(part.schema.names, "_n_lines"), T.free_name(part.schema.names, "_n_dropped")
             yield pa.record_batch([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
-                                  names=[*part.schema.names, "_n_lines", "_n_dropped"])
+                                  names=[*part.schema.names, lines, dropped])
 
 
 def _with_counts(docs: DataFrame, run, n_lines: str, n_dropped: str, leave: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` through ``run`` without the columns ``leave``; the counts stand last, under the given names.
+
+    A column of ``docs`` that has one of these names gives way to the count.
+    """
     from pyspark.sql.types import LongType, StructType
-    schema = StructType([*docs.schema.fields]).add("_n_lines", LongType()).add("_n_dropped", LongType())
-    out = docs.mapInArrow(run, schema).drop(*leave)
-    return out.withColumnRenamed("_n_lines", n_lines).withColumnRenamed("_n_dropped", n_dropped)
+    lines, dropped = T.free_name(docs.columns, "_n_lines"), T.free_name(docs.columns, "_n_dropped")
+    schema = StructType([*docs.schema.fields]).add(lines, LongType()).add(dropped, LongType())
+    stay = [c for c in docs.columns if c not in (*leave, n_lines, n_dropped)]
+    return docs.mapInArrow(run, schema).select(*stay, F.col(lines).alias(n_lines), F.col(dropped).alias(n_dropped))

@@ -87,3 +87,48 @@ def test_cuckoo_filter():
     assert f.has(h[2000:]).all() and f.has(h[:2000]).mean() < 0.002
     assert (L.CuckooFilter.load(f.blob()).table == f.table).all()
     assert not L.CuckooFilter(16).add(h)                         # too full to hold
+
+
+def test_index_is_opened_again(spark, tmp_path):
+    """Insert in one job, delete and drop in others, on both sides of the broadcast limit."""
+    path = str(tmp_path / "index")
+    texts = _texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    L.LineIndex(spark, path, min_docs=10).insert(docs.filter("doc_id < 60"))
+    L.LineIndex(spark, path, min_docs=10).insert(docs.filter("doc_id >= 60"))
+    index = L.LineIndex(spark, path, min_docs=10)
+    assert index.version == 2
+    assert sorted(map(tuple, index.refs().collect())) == sorted(map(tuple, L.LineIndex(spark, min_docs=10).insert(docs).refs().collect()))
+    # a version that was not finished does not count, and is written over
+    index.refs().write.parquet(f"{path}/v3/changed")
+    index = L.LineIndex(spark, path, min_docs=10).delete(docs.filter("doc_id < 30"))
+    assert index.version == 3
+    rest = docs.filter("doc_id >= 30")
+    want = {i + 30: t for i, (t, _, _) in enumerate(brute(texts[30:], 10))}
+    for bound in (L.BROADCAST_BYTES, 0):
+        got = L.LineIndex(spark, path, min_docs=10).drop_lines(rest, broadcast_bytes=bound)
+        assert {r.doc_id: r.text for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        L.LineIndex(spark, path, min_docs=11)
+
+
+def test_a_document_that_is_not_there_cannot_be_taken_back(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(1, "a\nb"), (2, "a")], "doc_id long, text string")
+    index = L.LineIndex(spark, path, min_docs=2).insert(docs)
+    before = sorted(map(tuple, index.refs().collect()))
+    with pytest.raises(ValueError):
+        index.delete(spark.createDataFrame([(3, "a\nc")], "doc_id long, text string"))
+    again = L.LineIndex(spark, path, min_docs=2)
+    assert again.version == 1 and sorted(map(tuple, again.refs().collect())) == before
+
+
+def test_clashing_names_on_both_paths(spark):
+    names = ["_lines", "_text_key", "_hot", "_n_lines", "_n_dropped", "n_lines"]
+    docs = spark.createDataFrame([(i, "same\nown %d" % i, *range(6)) for i in range(4)],
+                                 "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    index = L.LineIndex(spark, min_docs=3).insert(docs)
+    results = [index.drop_lines(docs, broadcast_bytes=b) for b in (L.BROADCAST_BYTES, 0)]
+    assert results[0].columns == results[1].columns == ["doc_id", "text", *names[:-1], "n_lines", "n_dropped"]
+    rows = [sorted(map(tuple, r.collect())) for r in results]
+    assert rows[0] == rows[1] == [(i, "own %d" % i, 0, 1, 2, 3, 4, 2, 1) for i in range(4)]
