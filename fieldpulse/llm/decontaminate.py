@@ -13,8 +13,9 @@ short passage.)  Every shingle of every whole document is tried against the
 sketches; the documents found are then verified by exact shingle containment
 on the words themselves.
 
-The sketches are broadcast when there are at most ``SKETCH_ROWS`` of them
-(counted first); beyond that Spark joins by shuffle.
+The sketches are broadcast when there are at most ``SKETCH_ROWS`` of them, the
+items' shingles when they weigh at most ``SHINGLE_BYTES`` (both counted first);
+beyond that Spark joins by shuffle.
 
 An item with fewer words than the width is one shingle, its whole sequence of
 words; for each such length that occurs among the items, the documents' windows
@@ -36,8 +37,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from . import _text as T
 
 SKETCH_ROWS = 1 << 20
+SHINGLE_BYTES, ROW_BYTES = 64 << 20, 64         # of the items' shingles that are broadcast; what a row costs besides
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -112,11 +115,14 @@ def find(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, d
     candidates = docs.sparkSession.read.parquet(path)
 
     exact = _with_words(tests).select(F.col("id").alias("item_id"), F.explode(_shingles(width)).alias("shingle")).distinct()
+    # the texts of the items' shingles, not the sketch's rows, are what is broadcast here
+    weight = exact.agg(F.coalesce(F.sum(F.octet_length("shingle") + ROW_BYTES), F.lit(0))).first()[0]
+    light = weight <= SHINGLE_BYTES
     sizes = exact.groupBy("item_id").agg(F.count("*").alias("n_item"))
     suspects = source.join(candidates.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     held = _with_words(suspects).select(F.col("id").alias("doc_id"),
                                         F.explode(F.array_distinct(_shingles(width, shorter))).alias("shingle"))
-    shared = (held.join(F.broadcast(exact) if few else exact, "shingle")
+    shared = (held.join(F.broadcast(exact) if light else exact, "shingle")
               .groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared")))
     return (shared.join(candidates, ["doc_id", "item_id"], "left_semi").join(sizes, "item_id")
             .filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
@@ -126,6 +132,7 @@ def find(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, d
 def remove(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id",
            text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without those that contain an item; all columns stay as they are."""
+    leak = T.free_name(docs.columns, "_leak")
     leaks = (find(docs, items, width, percent, doc_id, text, item_id, item_text)
-             .select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(leaks, F.col(doc_id) == F.col("_leak"), "left_anti")
+             .select(F.col("doc_id").alias(leak)).distinct())
+    return docs.join(leaks, F.col(doc_id) == F.col(leak), "left_anti")
