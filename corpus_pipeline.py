@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldpulse.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity_cnn
+from fieldpulse.llm._text import free_name
 from fieldpulse.session import prepare, scratch_path
 
 #: no SQL can express the trained classifier; tests hold run() against a brute-force version
@@ -36,10 +37,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the lines that stand in ``MIN_DOCS`` documents; n_chars follows the text."""
     index = line_dedup.LineIndex(spark, min_docs=MIN_DOCS).insert(docs)
-    out = index.drop_lines(docs, n_lines="_lines", n_dropped="_dropped")
+    lines, dropped = free_name(docs.columns, "_lines"), free_name(docs.columns, "_dropped")
+    out = index.drop_lines(docs, n_lines=lines, n_dropped=dropped)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast(kind))
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(kind))
                              .otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
