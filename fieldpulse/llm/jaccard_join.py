@@ -30,8 +30,9 @@ groups that qualify are opened.
    and only those that qualify are intersected.
 
 No link between different texts is lost: steps 1, 3 and 4 use necessary
-conditions only, and step 2 only adds links that are checked.  Tokens are the
-upper 32 + log2(shards) bits (40 at least) of a 64-bit hash.
+conditions only, and step 2 only adds links that are checked.  Tokens are whole
+64-bit hashes throughout; a shard's rows leave out only the bits that are its
+own number, so the result does not depend on the number of shards.
 
 Defined results: a null or empty text, or one without words, has no tokens and
 links with nothing; fewer words than the shingle width are one shingle; copies
@@ -61,8 +62,8 @@ ODD_ROWS = 1 << 19                   # ids to leave out (9 bytes each) that may
 PROBES = 2                           # rare tokens that a class is tried with beyond those it needs
 SEEDS = (1, 2, 3, 4)                 # min-hash functions of step 2
 _SINGLE, _SHARED, _KNOWN, _META, _TIMES = range(5)
-_NAMES = ["shard", "chunk", "kind", "a", "b", "c"]
-_PIECE = "shard int, chunk long, kind int, a binary, b binary, c binary"
+_NAMES = ["shard", "chunk", "kind", "a", "b", "c", "middle", "top"]
+_PIECE = "shard int, chunk long, kind int, a binary, b binary, c binary, middle binary, top binary"
 _REPLY = "chunk long, kind int, a binary, b binary, c binary"
 
 
@@ -86,6 +87,18 @@ def _joined(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(data.tobytes(), dtype), np.diff(offsets) // np.dtype(dtype).itemsize
 
 
+def _below(shards: int) -> int:
+    """How many bits of a token lie below its shard's number (56 at most)."""
+    return 64 - (shards.bit_length() - 1)
+
+
+def _shard_tokens(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens without their shard's number, how many each row holds); their bytes lie apart, as they compress so."""
+    low, count = _joined(pieces["a"], "<u4")
+    middle, top = _joined(pieces["middle"], "<u2")[0], _joined(pieces["top"], "u1")[0]
+    return low.astype(np.uint64) | middle.astype(np.uint64) << np.uint64(32) | top.astype(np.uint64) << np.uint64(48), count
+
+
 def _pieces(number: int, shards: int, tokens: np.ndarray, owner: np.ndarray, group: np.ndarray | None, meta: list):
     """A chunk's rows for the shards and for itself.
 
@@ -99,13 +112,15 @@ def _pieces(number: int, shards: int, tokens: np.ndarray, owner: np.ndarray, gro
     own = owner if group is None else group
     several = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start) if len(start) else np.zeros(0, bool)
     shared = np.repeat(several, length)
-    low, shard = tokens.astype(np.uint32), (tokens >> np.uint64(32)).astype(np.int64)
+    shard = (tokens >> np.uint64(_below(shards))).astype(np.int64)
+    low = tokens & np.uint64((1 << _below(shards)) - 1)
 
     def rows(kind, at, b, c):
         bounds = np.searchsorted(shard[at], np.arange(shards + 1))
         full = np.flatnonzero(np.diff(bounds))
         cuts = np.concatenate([bounds[full], bounds[-1:]])
-        blobs = [pa.nulls(len(full), pa.binary()) if x is None else _packed(x, cuts) for x in (low[at], b, c)]
+        planes = [(low[at] >> np.uint64(k)).astype(t) for k, t in ((0, np.uint32), (32, np.uint16), (48, np.uint8))]
+        blobs = [pa.nulls(len(full), pa.binary()) if x is None else _packed(x, cuts) for x in (planes[0], b, c, *planes[1:])]
         return pa.record_batch([
             pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number, np.int64)),
             pa.array(np.full(len(full), kind, np.int32)), *blobs], names=_NAMES)
@@ -117,7 +132,8 @@ def _pieces(number: int, shards: int, tokens: np.ndarray, owner: np.ndarray, gro
     yield pa.record_batch([
         pa.array([home, home], pa.int32()), pa.array([number, number], pa.int64()), pa.array([_KNOWN, _META], pa.int32()),
         pa.array([tokens[shared].tobytes(), meta[0]], pa.binary()),
-        pa.array([owner[shared].tobytes(), meta[1]], pa.binary()), pa.array([None, meta[2]], pa.binary())], names=_NAMES)
+        pa.array([owner[shared].tobytes(), meta[1]], pa.binary()), pa.array([None, meta[2]], pa.binary()),
+        pa.nulls(2, pa.binary()), pa.nulls(2, pa.binary())], names=_NAMES)
 
 
 class _Texts:
@@ -147,7 +163,6 @@ class _Texts:
         for row, seed in zip(marks, (0xA5A5, 0x5A5A)):
             np.add.at(row, owner, T.mix64(tokens ^ np.uint64(seed)))
         ids = np.array([0 if i is None else i for i in self.ids], np.int64).tobytes() + bytes(i is not None for i in self.ids)
-        tokens = tokens >> np.uint64(32 - (shards.bit_length() - 1))
         yield from _pieces(number, shards, tokens, owner, None, [ids, sizes.astype(np.int64).tobytes(), marks.tobytes()])
 
 
@@ -188,51 +203,53 @@ def _deal_sets(shards: int):
     return run
 
 
-def _match(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
-    """A shard: of the single tokens, those that another group holds too; the rest goes on to its chunk.
-
-    With given groups the replies say how many documents hold a token.
-    """
-    top = np.uint64(key[0].as_py() << 32)
-    kind = pieces["kind"].to_numpy()
-    single, marked = pieces.filter(pa.array(kind == _SINGLE)), pieces.filter(pa.array(kind == _SHARED))
-    tokens, count = _joined(single["a"], "<u4")
-    owner, _ = _joined(single["b"], "<u2")
-    group, _ = _joined(single["c"], "<i8")
-    others, marks = _joined(marked["a"], "<u4")
-    times, _ = _joined(marked["b"], "<u4")
-    if not len(group):                                           # every row's tokens are of documents of its own
-        group = np.repeat(np.arange(len(count)), count)
-    order = np.argsort(tokens, kind="stable")
-    ranked, group = tokens[order], group[order]
-    start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, int)
-    length = np.diff(np.concatenate([start, [len(ranked)]]))
-    several, known = np.zeros(len(start), bool), ranked[start]
-    held = length.astype(np.int64)
-    if len(start):
-        several = (np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)) | np.isin(known, others)
-    # documents of each marked token, in all chunks that marked it and in single ones
-    distinct, inverse = np.unique(others, return_inverse=True)
-    total = np.bincount(inverse, times, len(distinct)).astype(np.int64) if len(times) else np.zeros(len(distinct), np.int64)
-    spot = np.searchsorted(known, distinct)
-    both = (spot < len(known)) & (known[np.minimum(spot, max(0, len(known) - 1))] == distinct) if len(known) else np.zeros(len(distinct), bool)
-    total[both] += held[spot[both]]
-    held[spot[both]] = total[both]
-
-    again, df = np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
-    again[order], df[order] = np.repeat(several, length), np.repeat(held, length)
-    row = np.repeat(np.arange(len(count)), count)[again]
-    at = np.searchsorted(row, np.arange(len(count) + 1))
-    full = np.flatnonzero(np.diff(at))
-    cuts = np.concatenate([at[full], at[-1:]])
-    chunks = single["chunk"].to_numpy()
-    out = [_reply(chunks[full] if len(full) else np.zeros(0, np.int64), _KNOWN, tokens[again].astype(np.uint64) | top,
-                  owner[again], df[again].astype(np.uint32), cuts)]
-    if len(times):
-        out.append(_reply(marked["chunk"].to_numpy(), _TIMES, others.astype(np.uint64) | top, None,
-                          total[inverse].astype(np.uint32), np.concatenate([[0], np.cumsum(marks)])))
-    rest = pieces.filter(pa.array(kind >= _KNOWN)).select(_NAMES[1:])
-    return pa.concat_tables([*out, rest.cast(out[0].schema)])
+def _match(shards: int):
+    def run(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
+        """A shard: of the single tokens, those that another group holds too; the rest goes on to its chunk.
+
+        With given groups the replies say how many documents hold a token.
+        """
+        top = np.uint64(key[0].as_py() << _below(shards))
+        kind = pieces["kind"].to_numpy()
+        single, marked = pieces.filter(pa.array(kind == _SINGLE)), pieces.filter(pa.array(kind == _SHARED))
+        tokens, count = _shard_tokens(single)
+        owner, _ = _joined(single["b"], "<u2")
+        group, _ = _joined(single["c"], "<i8")
+        others, marks = _shard_tokens(marked)
+        times, _ = _joined(marked["b"], "<u4")
+        if not len(group):                                           # every row's tokens are of documents of its own
+            group = np.repeat(np.arange(len(count)), count)
+        order = np.argsort(tokens, kind="stable")
+        ranked, group = tokens[order], group[order]
+        start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, int)
+        length = np.diff(np.concatenate([start, [len(ranked)]]))
+        several, known = np.zeros(len(start), bool), ranked[start]
+        held = length.astype(np.int64)
+        if len(start):
+            several = (np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)) | np.isin(known, others)
+        # documents of each marked token, in all chunks that marked it and in single ones
+        distinct, inverse = np.unique(others, return_inverse=True)
+        total = np.bincount(inverse, times, len(distinct)).astype(np.int64) if len(times) else np.zeros(len(distinct), np.int64)
+        spot = np.searchsorted(known, distinct)
+        both = (spot < len(known)) & (known[np.minimum(spot, max(0, len(known) - 1))] == distinct) if len(known) else np.zeros(len(distinct), bool)
+        total[both] += held[spot[both]]
+        held[spot[both]] = total[both]
+
+        again, df = np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+        again[order], df[order] = np.repeat(several, length), np.repeat(held, length)
+        row = np.repeat(np.arange(len(count)), count)[again]
+        at = np.searchsorted(row, np.arange(len(count) + 1))
+        full = np.flatnonzero(np.diff(at))
+        cuts = np.concatenate([at[full], at[-1:]])
+        chunks = single["chunk"].to_numpy()
+        out = [_reply(chunks[full] if len(full) else np.zeros(0, np.int64), _KNOWN, tokens[again] | top,
+                      owner[again], df[again].astype(np.uint32), cuts)]
+        if len(times):
+            out.append(_reply(marked["chunk"].to_numpy(), _TIMES, others | top, None,
+                              total[inverse].astype(np.uint32), np.concatenate([[0], np.cumsum(marks)])))
+        rest = pieces.filter(pa.array(kind >= _KNOWN)).select(_NAMES[1:6])
+        return pa.concat_tables([*out, rest.cast(out[0].schema)])
+    return run
 
 
 def _reply(chunks: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray | None, c: np.ndarray, cuts: np.ndarray) -> pa.Table:
@@ -301,15 +318,17 @@ def _gather_sets(percent: int):
 def sets(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """(uid, doc_id, n, rep, tokens): a row per document; tokens only of those that may link, once per chunk."""
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    dealt = src.mapInArrow(_deal(width, _shards(docs.sparkSession)), _PIECE)
-    return dealt.groupBy("shard").applyInArrow(_match, _REPLY).groupBy("chunk").applyInArrow(
+    shards = _shards(docs.sparkSession)
+    dealt = src.mapInArrow(_deal(width, shards), _PIECE)
+    return dealt.groupBy("shard").applyInArrow(_match(shards), _REPLY).groupBy("chunk").applyInArrow(
         _gather(percent), "uid long, doc_id long, n long, rep long, tokens array<long>")
 
 
 def crossing(verts: DataFrame, percent: int) -> DataFrame:
     """Of (uid, comp, n, tokens) those that hold enough tokens of foreign groups; tokens: the crossing ones, rare first."""
-    dealt = verts.select("uid", "comp", "n", "tokens").mapInArrow(_deal_sets(_shards(verts.sparkSession)), _PIECE)
-    return dealt.groupBy("shard").applyInArrow(_match, _REPLY).groupBy("chunk").applyInArrow(
+    shards = _shards(verts.sparkSession)
+    dealt = verts.select("uid", "comp", "n", "tokens").mapInArrow(_deal_sets(shards), _PIECE)
+    return dealt.groupBy("shard").applyInArrow(_match(shards), _REPLY).groupBy("chunk").applyInArrow(
         _gather_sets(percent), "uid long, comp long, n long, tokens array<long>")
 
 
@@ -460,12 +479,13 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     found = spark.read.parquet(path).filter("doc_id is not null")
     # rows to leave out, and ids that stand in several rows
     seen = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
+    name, once = T.free_name(docs.columns, "_odd"), T.free_name(docs.columns, "_once")
     odd = seen.filter("component_id <> doc_id or rows > 1").select(
-        F.col("doc_id").alias("_odd"), (F.col("component_id") == F.col("doc_id")).alias("_once"))
+        F.col("doc_id").alias(name), (F.col("component_id") == F.col("doc_id")).alias(once))
     # its rows are counted first: the texts are shuffled only beyond the bound
     odd = F.broadcast(odd) if odd.count() <= ODD_ROWS else odd
-    marked = docs.join(odd, F.col(doc_id).cast("long") == F.col("_odd"), "left")
-    kept = marked.filter("_odd is null").select(*docs.columns)
-    if not odd.filter("_once").limit(1).count():
+    marked = docs.join(odd, F.col(doc_id).cast("long") == F.col(name), "left")
+    kept = marked.filter(F.col(name).isNull()).select(*docs.columns)
+    if not odd.filter(F.col(once)).limit(1).count():
         return kept
-    return kept.unionByName(marked.filter("_once").dropDuplicates(["_odd"]).select(*docs.columns))
+    return kept.unionByName(marked.filter(F.col(once)).dropDuplicates([name]).select(*docs.columns))

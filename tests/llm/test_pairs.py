@@ -98,6 +98,52 @@ def test_query(spark, data_dir):
     assert got == sorted((d, n, c) for (d, _), n, c in zip(rows, *brute(rows)))
 
 
+def test_links_at_the_limit_whatever_the_shuffle_partitions(spark):
+    rows = []
+    for k, shared in enumerate((8000, 7999, 8001)):              # of 9000 shingles each: 80 % exactly, below, above
+        base = [f"b{k}x{i}" for i in range(9004)]
+        rows += [(10 * k + 1, " ".join(base)),
+                 (10 * k, " ".join(base[:shared + 4] + [f"e{k}x{i}" for i in range(9000 - shared)]))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("4", "300"):                                   # 256 and 1024 shards
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            check(spark, rows, 3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert brute(rows)[1] == [0, 0, 11, 10, 20, 20]
+
+
+@pytest.mark.parametrize("shards", [256, 1 << 14])
+def test_tokens_are_compared_with_all_their_bits(shards):
+    import numpy as np
+    import pyarrow as pa
+    first, last = (0xABCDEF0123456789 + k for k in (0, 1))       # differ in the lowest bit only
+    high, other = 0xABCDEF0123456789 ^ (1 << 47), 0x0123456789ABCDEF
+    out = []
+    for number, held in enumerate(([first, high, other], [last, high ^ (1 << 40), other])):
+        tokens = np.sort(np.array(held, np.uint64))
+        meta = [np.zeros(1, np.int64).tobytes() + b"\1", np.array([3], np.int64).tobytes(), np.zeros(2, np.uint64).tobytes()]
+        out += jaccard_join._pieces(number, shards, tokens, np.zeros(3, np.uint16), None, meta)
+    pieces = pa.Table.from_batches(out)
+    found = []
+    for shard in pieces["shard"].unique().to_pylist():
+        mine = pieces.filter(pa.array(pieces["shard"].to_numpy() == shard))
+        told = jaccard_join._match(shards)((pa.scalar(shard),), mine)
+        for r in told.filter(pa.array(told["kind"].to_numpy() == jaccard_join._KNOWN)).to_pylist():
+            found += np.frombuffer(r["a"], np.uint64).tolist()
+    assert found == [other, other]
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    text = "a b c d e f g"
+    docs = spark.createDataFrame([(2, text, 5, True), (1, text, 6, False), (1, text, 6, False), (None, text, 7, None), (3, "z", 8, None)],
+                                 "doc_id long, text string, _odd long, _once boolean")
+    left = jaccard_join.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted((tuple(r) for r in left.collect()), key=str) == [(1, text, 6, False), (3, "z", 8, None), (None, text, 7, None)]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 400)] + [(500, 500), (7, 7)]
     got = {r.v: r.root for r in components.smallest_reachable(spark, spark.createDataFrame(links, "a long, b long")).collect()}
