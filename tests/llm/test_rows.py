@@ -202,6 +202,99 @@ def test_toxicity(spark, odd, empty):
     assert toxicity_cnn.reject(odd, none).count() == odd.count()
 
 
+def plain_logit(network, text):
+    """The network's forward pass for one text, word by word."""
+    import numpy as np
+
+    from fieldpulse.llm import _text as T
+    c = network.config
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    vectors = []
+    for w in words:
+        whole, head = (int(T.hashes_of([b])[0]) for b in (w.encode(), w.encode()[:c.prefix_bytes]))
+        again = int(T.mix64(np.array([(whole + 0x51ED27) % 2**64], np.uint64))[0])
+        n = c.buckets
+        vectors.append(network.embed[whole % n] + network.embed[n + again % n] + network.embed[2 * n + head % n])
+    total, k = float(network.bias[0]), 0
+    for width in c.widths:
+        for f in range(c.filters):
+            best = 0.0
+            for i in range(len(words) - width + 1):
+                best = max(best, float(network.shift[width][f]) + sum(
+                    float(np.dot(vectors[i + j], network.kernels[width][j][:, f])) for j in range(width)))
+            total += best * float(network.out[k])
+            k += 1
+    return total
+
+
+def test_toxicity_query(spark, monkeypatch):
+    import pickle
+    import zlib
+
+    import numpy as np
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = queries._toxicity_model(queries._documents(spark, sf, "doc_id", "text", "lang"), spark.read.parquet(f"{sf}/labels.parquet"))
+    monkeypatch.setattr(queries, "_toxicity_model", lambda *_: model)
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, sf).collect()}
+    rows = {r.doc_id: r for r in docs.select("doc_id", "text", "lang").collect()}
+    assert got.keys() == rows.keys()
+    for d, r in got.items():
+        assert r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").collect()
+    toxic = {r.doc_id: 0 for r in labels} | {r.doc_id: 1 for r in labels if r.toxic > 0}
+    held = [d for d in toxic if d in got and got[d].held_out]
+    hit = {}
+    for d in held:
+        if toxic[d]:
+            hit.setdefault(rows[d].lang, []).append(got[d].predicted)
+    print({k: (sum(v), len(v)) for k, v in hit.items()})
+    assert sum(map(sum, hit.values())) >= 0.9 * sum(map(len, hit.values()))
+    assert sum(got[d].predicted for d in held if not toxic[d]) <= 0.1 * sum(map(len, hit.values()))
+    assert all(sum(v) >= 0.7 * len(v) for v in hit.values())
+    # the scores of a plain forward pass
+    m = pickle.loads(model)
+    assert len(m.cuts) == len(m.languages) and len(set(m.cuts)) > 1
+    short = [d for d in sorted(held) if len(rows[d].text or "") < 1500][:40] + [d for d in sorted(held) if toxic[d]][:5]
+    for d in short:
+        p = 1 / (1 + np.exp(-np.clip(plain_logit(m.network, rows[d].text), -40, 40)))
+        cuts = 1 / (1 + np.exp(-m.cuts))
+        want = np.where(p < cuts, 0.3 * p / cuts, 0.3 + 0.7 * (p - cuts) / (1 - cuts))      # by the cut of some language
+        assert np.abs(want - got[d].score).min() < 1e-4, d
+
+
+def test_every_language_has_a_threshold():
+    import numpy as np
+    rnd, words = random.Random(5), np.random.default_rng(5)
+    texts = []
+    for k in range(400):                                     # a frequent language, and one with four toxic rows
+        lang, toxic = ("aa", k % 4 == 0) if k < 370 else ("bb", k >= 396)
+        ids = words.integers(100 * (lang == "bb"), 100 * (lang == "bb") + 90, (rnd.randrange(5, 30), 3)).astype(np.int32)
+        ids[:, 1] += toxicity_cnn.Config().buckets
+        ids[:, 2] += 2 * toxicity_cnn.Config().buckets
+        if toxic:
+            ids[rnd.randrange(len(ids)), :] = [900, 900 + (1 << 16), 900 + (2 << 16)]
+        texts.append((ids, int(toxic), lang))
+    config = toxicity_cnn.Config(readings=4000)
+    model = toxicity_cnn.fit(texts, config)
+    assert model.languages == ["aa", "bb"] and len(model.cuts) == 2 and np.isfinite(model.cuts).all()
+    assert toxicity_cnn.fit(texts, toxicity_cnn.Config(readings=4000, languages=1)).languages == ["aa"]
+    only = [t for t in texts if not t[1]] + [t for t in texts if t[1]][:1]    # one toxic row: no network can be judged by it
+    assert np.isfinite(toxicity_cnn.fit(only, config).cuts).all()
+    assert toxicity_cnn.fit([t for t in texts if t[1]], config).network is None
+
+
+def test_a_word_of_one_text_is_not_learned():
+    import numpy as np
+    config = toxicity_cnn.Config(readings=800)
+    row = lambda *words: np.array([[w, w + (1 << 16), w + (2 << 16)] for w in words], np.int32)
+    texts = [(row(1, 2, 100 + k, *([7] * (k % 2))), k % 2, "x") for k in range(40)]
+    network = toxicity_cnn.fit_network(texts, np.arange(40), config)
+    assert not network.embed[[100 + k for k in range(40)]].any() and not network.embed[-1].any() and network.embed[7].any()
+    logits = network.logits(np.concatenate([row(1, 2, 500, 7), row(1, 2, 501)]), np.array([0, 4, 7]))
+    assert logits[0] > 0 > logits[1]
+
+
 def test_blocks_do_not_change_a_score(monkeypatch):
     import numpy as np
     import pyarrow as pa
