@@ -263,6 +263,33 @@ def test_toxicity_query(spark, monkeypatch):
         assert np.abs(want - got[d].score).min() < 1e-4, d
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Words' shares are those of all rows, one shard or several; several learn what one does."""
+    import pickle
+
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldpulse.llm import _text as T
+    rows = [(k, "calm " * (1 + k % 3) + ("vile" if k % 10 == 0 else f"word{k % 50}"), "xy"[k % 2]) for k in range(6000)]
+    docs = spark.createDataFrame([*rows, *rows[:5], (7, "zz a later text of row 7", "x")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(6000)], "doc_id long, toxic int")
+    counts = {lang: np.ones(1 << 16) for lang in "xy"}
+    for _, text, lang in rows:
+        np.add.at(counts[lang], toxicity_cnn.word_ids(*T.buffers(pa.array([text])), toxicity_cnn.Config())[0][:, 0], 1)
+    for size in (1 << 20, 30_000):
+        config = toxicity_cnn.Config(readings=1, shard_bytes=size)
+        monkeypatch.setattr(toxicity_cnn, "_SENT_LABELS", size // 10)
+        held, n = toxicity_cnn.shards(docs, labels, config)
+        assert held.count() == 6000 and held.rdd.getNumPartitions() == n and (n > 2) == (size == 30_000)
+        model = toxicity_cnn.train(docs, labels, config)
+        words = pickle.loads(model).words
+        assert all(np.allclose(words[:, k], np.log(counts[lang] / counts[lang].sum())) for k, lang in enumerate("xy"))
+        got = toxicity_cnn.score(docs.limit(6000), model).collect()
+        assert sum(r.predicted == (r.doc_id % 10 == 0) for r in got) >= 0.99 * len(got)
+    assert toxicity_cnn.train(docs, labels, config) == model
+
+
 def test_every_language_has_a_threshold():
     import numpy as np
     rnd, words = random.Random(5), np.random.default_rng(5)
