@@ -34,6 +34,7 @@ read.  An empty table gives no segments.  A worker holds one segment (about
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -84,6 +85,29 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at)
 
 
+#: a word of Latin letters with at most a space before it, and the byte-level alphabet's sign for each byte
+_WORD = re.compile("[ ]?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+_SIGNS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LEVEL = {b: b for b in _SIGNS} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_SIGNS}))}
+
+
+def _is_plain(parts: dict) -> bool:
+    """Whether the tokenizer is byte-level BPE without any step that could change a single word."""
+    cut = parts["pre_tokenizer"] or {}
+    return (parts["normalizer"] is None and parts["truncation"] is None and parts["padding"] is None
+            and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout")
+            and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True))
+
+
+def _with_room(values: np.ndarray, size: int) -> np.ndarray:
+    """``values``, or twice as much room (or more) with them at its beginning, if there are fewer than ``size``."""
+    if size <= len(values):
+        return values
+    out = np.empty(max(size, 2 * len(values)), values.dtype)
+    out[:len(values)] = values
+    return out
+
+
 class Encoder:
     """The tokenizers library, with the pieces encoded so far in flat arrays (about 20 bytes and its ids each)."""
 
@@ -98,22 +122,40 @@ class Encoder:
         # the longest of those that begin at one place, as in the library
         strings = sorted({t.content.encode() for t in known}, key=lambda x: (-len(x), x))
         self.added = re.compile(b"|".join(map(re.escape, strings))) if strings else None
+        self.contents = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.plain = _WORD if _is_plain(json.loads(self.tokenizer.to_str())) else None
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # sorted hashes, and for each the number of its piece: where this one's ids begin, and in the end their number
+        self.keys, self.piece, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.pieces = 0
+
+    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each piece; a plain word is one pre-token, which the library's model takes as it is."""
+        if self.plain is None:
+            return [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        model, word, added = self.tokenizer.model, self.plain.fullmatch, self.contents
+        out = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+               if word(p) and p not in added else None for p in pieces]
+        other = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(other, self.tokenizer.encode_batch([pieces[i] for i in other], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Encode new pieces and merge them into the sorted arrays."""
-        got = [e.ids for lo in range(0, len(pieces), 4096)
-               for e in self.tokenizer.encode_batch(pieces[lo:lo + 4096], add_special_tokens=False)]
-        n = np.fromiter(map(len, got), np.int32, len(got))
-        at = len(self.ids) + np.cumsum(n) - n
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))])
-        both = np.concatenate([self.keys, keys])
-        order = np.argsort(both, kind="stable")
-        self.keys, self.at, self.n = both[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+        """Encode new pieces and merge their (sorted) hashes into the sorted ones."""
+        got = [ids for lo in range(0, len(pieces), 4096) for ids in self._encoded(pieces[lo:lo + 4096])]
+        ends = self.at[self.pieces] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+        self.at = _with_room(self.at, self.pieces + 1 + len(got))
+        self.ids = _with_room(self.ids, int(ends[-1]))
+        self.ids[self.at[self.pieces]:ends[-1]] = np.fromiter(chain.from_iterable(got), np.uint32)
+        self.at[self.pieces + 1:self.pieces + 1 + len(got)] = ends
+        spot = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, spot, keys)
+        self.piece = np.insert(self.piece, spot, np.arange(self.pieces, self.pieces + len(got), dtype=np.int32))
+        self.pieces += len(got)
 
     def _around(self, starts: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """``starts`` with pieces of their own for the added tokens of each document."""
@@ -145,10 +187,11 @@ class Encoder:
             k = first[new]
             self._learn(found[new], [raw[a:b].decode() for a, b in zip(starts[k].tolist(), ends[k].tolist())])
             spot = np.searchsorted(self.keys, found)
-        which = spot[inverse]
-        n = self.n[which].astype(np.int64)
+        which = self.piece[spot][inverse] if len(spot) else np.zeros(0, np.int32)
+        at = self.at[which]
+        n = self.at[which + 1] - at
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.at[which] - upto[:-1], n)]
+        ids = self.ids.take(np.arange(upto[-1]) + np.repeat(at - upto[:-1], n))
         return ids, upto[np.searchsorted(starts, offsets)]
 
 

@@ -1,6 +1,7 @@
 """Token files and byte-level BPE against whole-text encoding."""
 import base64
 import hashlib
+import json
 import random
 import zlib
 
@@ -63,6 +64,33 @@ def test_added_tokens_give_the_ids_of_the_library():
     assert got[400] == [64, 220, 50256, 275]
 
 
+def test_plain_words_take_the_short_way():
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(queries.TOKENIZER)
+
+    class Counted:
+        model, sent = library.model, []
+
+        def encode_batch(self, pieces, **kind):
+            self.sent += pieces
+            return library.encode_batch(pieces, **kind)
+
+    encoder = token_files.Encoder(queries.TOKENIZER)
+    encoder.tokenizer = Counted()
+    words = ["word", " word", "A", " Größe", "ÿœǅɏ", " " + "x" * 300, "é"]
+    others = ["", " ", "  word", "two words", "it's", "a1", "×", " ÷", "Ж", "x\n", "\nx", "word,", "<|endoftext|>"]
+    got = encoder._encoded(words + others)
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in words + others]
+    assert Counted.sent == others
+    # only for a tokenizer that leaves a single word as it is
+    parts = json.loads(library.to_str())
+    assert token_files._is_plain(parts)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None},
+                   {"pre_tokenizer": {**parts["pre_tokenizer"], "add_prefix_space": True}},
+                   {"model": {**parts["model"], "dropout": 0.1}}):
+        assert not token_files._is_plain({**parts, **change})
+
+
 def test_token_files_query_keeps_added_tokens(spark, scratch):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(queries.TOKENIZER)
@@ -115,6 +143,9 @@ def test_coder_round_trips():
         assert (context_coder.decode(blocks) == ids).all()
         # each block stands for itself
         assert (context_coder.decode(blocks[-1:]) == ids[-1:]).all()
+    # the bytes of version 1 of the format
+    fixed = ((np.arange(20 * n) ** 2 // 7 % 1013) * (np.arange(20 * n) % 11 > 2)).astype(np.uint16).reshape(20, n)
+    assert hashlib.sha256(b"".join(context_coder.encode(fixed))).hexdigest() == "7999e14f4a0c3b110e8d9fbb822d13be6a7def5e356448dffcb9901abbd35ef1"
     assert context_coder.encode(np.zeros((0, n), np.uint16)) == [] and context_coder.decode([]).shape == (0, n)
     skewed = (rng.zipf(1.5, (2, n)) % 300).astype(np.uint16)
     assert sum(map(len, context_coder.encode(skewed))) < skewed.nbytes * 0.6
