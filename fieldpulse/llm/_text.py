@@ -8,7 +8,9 @@ buffer instead of a Python loop over words.  Pieces of at most ``PIECE_BYTES``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,42 @@ def free_name(columns, name: str) -> str:
     return name
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim                # glibc's; other C libraries have none
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def give_back() -> None:
+    """Hand freed memory of this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches; what it freed goes back to the system after it, as the worker stays up beside later stages."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """``tidy`` for a function of a key and the key's rows."""
+    def tidied(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        try:
+            return run(key, rows)
+        finally:
+            give_back()
+    return tidied
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _text as T
+
 LONG_TEXT = 1 << 16          # characters after which a text is cut at the next safe boundary
 LONG_SPACE = 512             # white-space characters that count as a long run
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
@@ -95,7 +97,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc_id"
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return src.mapInArrow(T.tidy(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -110,7 +112,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                                       names=["doc_id", "ids", "raw"])
 
     src = encoded.select("doc_id", "ids")
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids binary, raw binary")
+    return src.mapInArrow(T.tidy(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids binary, raw binary")
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
@@ -142,5 +144,5 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc
 
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return src.mapInArrow(T.tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
                                + ", ids binary" * keep_ids)

@@ -319,17 +319,17 @@ def sets(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> D
     """(uid, doc_id, n, rep, tokens): a row per document; tokens only of those that may link, once per chunk."""
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     shards = _shards(docs.sparkSession)
-    dealt = src.mapInArrow(_deal(width, shards), _PIECE)
-    return dealt.groupBy("shard").applyInArrow(_match(shards), _REPLY).groupBy("chunk").applyInArrow(
-        _gather(percent), "uid long, doc_id long, n long, rep long, tokens array<long>")
+    dealt = src.mapInArrow(T.tidy(_deal(width, shards)), _PIECE)
+    return dealt.groupBy("shard").applyInArrow(T.tidy_group(_match(shards)), _REPLY).groupBy("chunk").applyInArrow(
+        T.tidy_group(_gather(percent)), "uid long, doc_id long, n long, rep long, tokens array<long>")
 
 
 def crossing(verts: DataFrame, percent: int) -> DataFrame:
     """Of (uid, comp, n, tokens) those that hold enough tokens of foreign groups; tokens: the crossing ones, rare first."""
     shards = _shards(verts.sparkSession)
-    dealt = verts.select("uid", "comp", "n", "tokens").mapInArrow(_deal_sets(shards), _PIECE)
-    return dealt.groupBy("shard").applyInArrow(_match(shards), _REPLY).groupBy("chunk").applyInArrow(
-        _gather_sets(percent), "uid long, comp long, n long, tokens array<long>")
+    dealt = verts.select("uid", "comp", "n", "tokens").mapInArrow(T.tidy(_deal_sets(shards)), _PIECE)
+    return dealt.groupBy("shard").applyInArrow(T.tidy_group(_match(shards)), _REPLY).groupBy("chunk").applyInArrow(
+        T.tidy_group(_gather_sets(percent)), "uid long, comp long, n long, tokens array<long>")
 
 
 def _bucket_links(verts: DataFrame, percent: int) -> DataFrame:
@@ -348,7 +348,7 @@ def _bucket_links(verts: DataFrame, percent: int) -> DataFrame:
                 yield pa.record_batch([uid.take(pa.array(full)), pa.array((low ^ np.uint64(seed)).view(np.int64)),
                                        pa.array(held[full] / n[full])], names=["uid", "bucket", "share"])
 
-    dealt = verts.select("uid", "n", "tokens").mapInArrow(keys, "uid long, bucket long, share double")
+    dealt = verts.select("uid", "n", "tokens").mapInArrow(T.tidy(keys), "uid long, bucket long, share double")
     typical = dealt.groupBy("bucket").agg(F.max(F.struct("share", "uid")).alias("m"), F.count("*").alias("rows"))
     pairs = (dealt.join(typical.filter("rows > 1"), "bucket").select("uid", F.col("m.uid").alias("other"))
              .filter("uid <> other")

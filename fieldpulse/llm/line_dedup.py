@@ -153,7 +153,7 @@ def _counts(docs: DataFrame, text: str, sign: int) -> DataFrame:
                                    pa.array(np.fromiter(found.values(), np.int64, len(found)) * sign)], names=["h", "l", "n"])
 
     src = docs.select(F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(run, "h long, l long, n long")
+    return src.mapInArrow(T.tidy(run), "h long, l long, n long")
 
 
 class LineIndex:
@@ -320,7 +320,7 @@ class LineIndex:
                                        pa.array(np.ascontiguousarray(both[:, 1]))], names=["_text_key", "h", "l"])
 
         lines = (tagged.select(F.col(named).alias("_text_key"), F.col(own).alias("_lines")).filter("_text_key is not null")
-                 .mapInArrow(keys, "_text_key binary, h long, l long").distinct())
+                 .mapInArrow(T.tidy(keys), "_text_key binary, h long, l long").distinct())
         # one row for each text: its own hot lines, as many as it has lines at most
         found = (lines.join(self.hot_keys(), ["h", "l"]).groupBy(F.col("_text_key").alias(named))
                  .agg(F.collect_list(F.struct("h", "l")).alias(hot_lines)))
@@ -376,4 +376,4 @@ def _with_counts(docs: DataFrame, run, n_lines: str, n_dropped: str, leave: tupl
     lines, dropped = T.free_name(docs.columns, "_n_lines"), T.free_name(docs.columns, "_n_dropped")
     schema = StructType([*docs.schema.fields]).add(lines, LongType()).add(dropped, LongType())
     stay = [c for c in docs.columns if c not in (*leave, n_lines, n_dropped)]
-    return docs.mapInArrow(run, schema).select(*stay, F.col(lines).alias(n_lines), F.col(dropped).alias(n_dropped))
+    return docs.mapInArrow(T.tidy(run), schema).select(*stay, F.col(lines).alias(n_lines), F.col(dropped).alias(n_dropped))

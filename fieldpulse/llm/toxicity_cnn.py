@@ -404,7 +404,7 @@ def shards(docs: DataFrame, labels: DataFrame, config: Config) -> tuple[DataFram
     dealt = docs.join(F.broadcast(known) if few else known, "doc_id").repartition(n, "doc_id")
     rows = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "toxic", "lang")
     return (rows.sortWithinPartitions("doc_id", "text", "lang")
-            .mapInArrow(ids_of, "fold int, toxic int, lang string, ids binary"), n)
+            .mapInArrow(T.tidy(ids_of), "fold int, toxic int, lang string, ids binary"), n)
 
 
 def _texts(batch: pa.RecordBatch) -> Texts:
@@ -483,14 +483,14 @@ def _fit_all(held: DataFrame, n_shards: int, rows: dict, config: Config) -> dict
                                    pa.array([pickle.dumps(m) for _, m in out], pa.binary())],
                                   names=["fit", "stretch", "shard", "moves"])
 
-        return held.mapInArrow(run, "fit int, stretch int, shard int, moves binary")
+        return held.mapInArrow(T.tidy(run), "fit int, stretch int, shard int, moves binary")
 
     for turn in range(rounds):
         turns = [k for k in states if n_shards == 1 or turn < passes_of(n[k, 0] + n[k, 1], config)]
         sent = {k: spark.sparkContext.broadcast(pickle.dumps(states[k][:2])) for k in turns}     # a fixed size, whatever the input
         moves = reduce(DataFrame.unionByName, [job(k, turn, sent[k]) for k in turns])
         with _setting(spark, "spark.sql.unionOutputPartitioning", "false"):    # a task for each network and shard
-            found = moves.groupBy("fit", "stretch").applyInArrow(_moved, "fit int, stretch int, moves binary")
+            found = moves.groupBy("fit", "stretch").applyInArrow(T.tidy_group(_moved), "fit int, stretch int, moves binary")
             for r in found.toLocalIterator():
                 network, memory, used = states[r["fit"]]
                 if r["stretch"] < 0:
@@ -525,7 +525,7 @@ def _word_shares(held: DataFrame, languages: list[str], config: Config) -> np.nd
                               names=["lang", "bucket", "n"])
 
     counts = np.ones((config.buckets, len(languages)), np.float32)
-    found = held.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = held.mapInArrow(T.tidy(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts[found["bucket"].to_numpy(), found["lang"].to_numpy()] += found["n"].to_numpy()
     return _log_shares(counts)
 
@@ -554,7 +554,7 @@ def _calibrated(held: DataFrame, model: Model, judges: dict[int, Network], confi
                                       names=["guess", "cell", "toxic", "n"])
 
     # no more rows than the grid has places for each language and label
-    found = (held.mapInArrow(run, "guess int, cell int, toxic int, n long").groupBy("guess", "cell", "toxic")
+    found = (held.mapInArrow(T.tidy(run), "guess int, cell int, toxic int, n long").groupBy("guess", "cell", "toxic")
              .agg(F.sum("n").alias("n")).orderBy("guess", "cell", "toxic").toArrow())
     for b in (guesser, *sent.values()):
         b.destroy()
@@ -596,7 +596,7 @@ def score(docs: DataFrame, model: bytes, config: Config = Config(), doc_id: str
 
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return src.mapInArrow(T.tidy(run), f"doc_id {kind}, score double, predicted int")
 
 
 def reject(docs: DataFrame, model: bytes, config: Config = Config(), text: str = "text") -> DataFrame:
@@ -609,4 +609,4 @@ def reject(docs: DataFrame, model: bytes, config: Config = Config(), text: str =
             keep = m.scores(*word_ids(data, offsets, config)) < THRESHOLD
             yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(T.tidy(run), docs.schema)

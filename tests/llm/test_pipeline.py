@@ -1,6 +1,8 @@
 """The pipeline's stages against plain Python, each on its own input."""
+import numpy as np
+
 import corpus_pipeline as CP
-from fieldpulse.llm import toxicity_cnn
+from fieldpulse.llm import _text, toxicity_cnn
 
 from .test_lines import brute as brute_lines
 from .test_pairs import brute as brute_pairs
@@ -48,3 +50,25 @@ def test_stages_take_odd_and_empty_tables(spark, odd, empty, data_dir):
         assert stage(spark, odd, data_dir).columns == odd.columns
         assert stage(spark, empty, data_dir).count() == 0
     assert CP.encode(spark, odd, data_dir).count() == odd.count() and CP.encode(spark, empty, data_dir).count() == 0
+
+
+def _anonymous_mb() -> float:
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon")) / 1024
+
+
+def test_a_worker_keeps_no_freed_memory():
+    pins = []
+
+    def run(batches):
+        for x in batches:
+            held = [np.ones(12_000) for _ in range(2_000)]         # 190 MB in pieces that malloc puts on its heap
+            pins.append(np.ones(1_000))                            # stays above them, so that the heap can't shrink
+            yield x + len(held)
+
+    list(run([0]))                                                 # malloc's thresholds move with the first large run
+    _text.give_back()
+    before = _anonymous_mb()
+    assert list(_text.tidy(run)([1])) == [2_001]
+    assert _anonymous_mb() < before + 40
+    assert _text.tidy_group(lambda key, rows: (key, rows))(1, 2) == (1, 2)
