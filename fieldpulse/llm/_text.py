@@ -177,10 +177,10 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     return tokens, owner
 
 
-def doc_batches(batches, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches whose texts hold about ``PIECE_BYTES``, with their bytes and offsets."""
+def doc_batches(batches, text: str = "text", size: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches whose texts hold about ``size`` bytes, with their bytes and offsets."""
     for batch in batches:
         data, offsets = buffers(batch.column(batch.schema.get_field_index(text)))
-        for i, j in pieces(offsets):
+        for i, j in pieces(offsets, size):
             lo, hi = offsets[i], offsets[j]
             yield batch.slice(i, j - i), data[lo:hi], offsets[i:j + 1] - lo

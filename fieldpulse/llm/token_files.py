@@ -9,7 +9,8 @@ will do); a segment's bytes are self-contained:
     lengths of the documents, their ids and which of these are there   index
     size and crc32 of each block                                       directory
     crc32 of all of the above
-    the blocks: ``context_coder``'s range-coded ids, each reset, the last one padded with id 0
+    the blocks: ``block_coder``'s range-coded ids, each reset, the last one padded with id 0
+    (in segments of version 1, which ``read`` takes as well, ``context_coder``'s)
 
 ``read`` decodes the segments, checks every checksum, and returns each
 document's ids and the number of ids before it.
@@ -40,7 +41,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -49,17 +50,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from . import context_coder as C
+from . import block_coder as C
+from . import context_coder
 
-MAGIC, VERSION = b"IDSG", 1
+MAGIC, VERSION = b"IDSG", 2
+_CODERS = {1: context_coder, 2: C}                          # by version of the format; the last one is written
 SEGMENT_IDS = 2048 * C.BLOCK
 CACHE = 3_000_000
-_SOLID, _LETTER, _PUNCT = (np.zeros(256, bool) for _ in range(3))
-_SOLID[0x21:0x7F] = True
-_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
-_PUNCT[0x21:0x7F] = ~_LETTER[0x21:0x7F]
-_PUNCT[0x30:0x3A] = False
-_PUNCT[0x09] = True
+PIECE_BYTES = 4 << 20                 # of text whose pieces are looked up together
+#: bit 0: surely not white space; bit 1: a letter
+_BEFORE = np.zeros(256, np.uint8)
+_BEFORE[0x21:0x7F] = 1
+_BEFORE[0x41:0x5B] = _BEFORE[0x61:0x7B] = 3
+#: what is cut off after such a byte: bit 0: a space or newline; bit 1: a tab or ASCII punctuation; and bit 2: a letter
+_HERE = np.zeros(256, np.uint8)
+_HERE[[0x20, 0x0A]] = 1
+_HERE[0x21:0x30] = _HERE[0x3A:0x7F] = _HERE[0x09] = 2
+_HERE[0x41:0x5B] = _HERE[0x61:0x7B] = 4
 _HEAD = struct.Struct("<4sHHIQI")
 
 
@@ -72,15 +79,13 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """
     if not len(data):
         return np.zeros(0, np.int64)
-    one, two = np.zeros_like(data), np.zeros_like(data)
-    one[1:], two[2:] = data[:-1], data[:-2]
-    latin = (two == 0xC3) & (one >= 0x80)                       # U+00C0 to U+00FF
-    solid = _SOLID[one] | latin
-    letter = _LETTER[one] | (latin & (one != 0x97) & (one != 0xB7))
-    before_solid = np.zeros(len(data), bool)
-    before_solid[1:] = _SOLID[two[1:]]
-    at = (solid & ((data == 0x20) | (data == 0x0A))) | (letter & _PUNCT[data])
-    at |= (one == 0x0A) & before_solid & _LETTER[data]
+    before, here = _BEFORE.take(data), _HERE.take(data)
+    at = np.zeros(len(data), bool)
+    line = np.flatnonzero(data[1:-1] == 0x0A) + 1
+    at[line[(before[line - 1] > 0) & (here[line + 1] == 4)] + 1] = True
+    latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80)) + 1    # U+00C0 to U+00FF
+    before[latin] = np.where((data[latin] == 0x97) | (data[latin] == 0xB7), 1, 3)
+    at[1:] |= (before[:-1] & here[1:]) > 0
     at[offsets[:-1][offsets[:-1] < len(data)]] = True
     return np.flatnonzero(at)
 
@@ -136,13 +141,14 @@ class Encoder:
         """The ids of each piece; a plain word is one pre-token, which the library's model takes as it is."""
         if self.plain is None:
             return [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        model, word, added = self.tokenizer.model, self.plain.fullmatch, self.contents
-        out = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_BYTE_LEVEL))]
-               if word(p) and p not in added else None for p in pieces]
-        other = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(other, self.tokenizer.encode_batch([pieces[i] for i in other], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
+        tokenize, word, added = self.tokenizer.model.tokenize, self.plain.fullmatch, self.contents
+        plain = [word(p) is not None and p not in added for p in pieces]
+        # no plain word holds a newline, so all can be spelt in the byte-level alphabet at once
+        spelt = "\n".join(compress(pieces, plain)).encode().decode("latin-1").translate(_BYTE_LEVEL)
+        short = iter(spelt.split(chr(_BYTE_LEVEL[0x0A])))
+        others = [p for p, is_plain in zip(pieces, plain) if not is_plain]
+        long = iter(self.tokenizer.encode_batch(others, add_special_tokens=False))
+        return [[t.id for t in tokenize(next(short))] if is_plain else next(long).ids for is_plain in plain]
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Encode new pieces and merge their (sorted) hashes into the sorted ones."""
@@ -174,8 +180,13 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each document's begin and the last one's end)."""
         starts = self._around(cuts(data, offsets), data, offsets)
-        ends = np.concatenate([starts[1:], [len(data)]]).astype(np.int64) if len(starts) else starts
-        found, first, inverse = np.unique(T.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        # pieces follow one another without a gap, so they are an Arrow column as they are
+        column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)),
+                                                                  pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        texts, borders = T.buffers(column.dictionary)
+        found, first, inverse = np.unique(T.word_hashes(texts, borders[:-1], borders[1:]), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE:
             self._forget()
         spot = np.searchsorted(self.keys, found)
@@ -183,16 +194,13 @@ class Encoder:
         inside = spot < len(self.keys)
         new[inside] = self.keys[spot[inside]] != found[inside]
         if new.any():
-            raw = data.tobytes()
-            k = first[new]
-            self._learn(found[new], [raw[a:b].decode() for a, b in zip(starts[k].tolist(), ends[k].tolist())])
+            self._learn(found[new], column.dictionary.take(pa.array(first[new])).cast(pa.string()).to_pylist())
             spot = np.searchsorted(self.keys, found)
-        which = self.piece[spot][inverse] if len(spot) else np.zeros(0, np.int32)
-        at = self.at[which]
-        n = self.at[which + 1] - at
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids.take(np.arange(upto[-1]) + np.repeat(at - upto[:-1], n))
-        return ids, upto[np.searchsorted(starts, offsets)]
+        which = self.piece[spot][inverse][column.indices.to_numpy()]
+        known = pa.LargeListArray.from_arrays(self.at[:self.pieces + 1], self.ids)
+        ids = known.take(pa.array(which))
+        upto = ids.offsets.to_numpy()
+        return ids.values.to_numpy()[upto[0]:upto[-1]], (upto - upto[0])[np.searchsorted(starts, offsets)]
 
 
 @lru_cache(maxsize=2)
@@ -221,7 +229,7 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
 def unpack(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, their lengths, all ids) of a segment; raises ValueError if a checksum doesn't hold."""
     magic, version, block, n_docs, n_ids, n_blocks = _HEAD.unpack_from(blob)
-    if (magic, version, block) != (MAGIC, VERSION, C.BLOCK):
+    if magic != MAGIC or version not in _CODERS or block != C.BLOCK:
         raise ValueError("not a segment of this format")
     at = _HEAD.size
 
@@ -240,7 +248,7 @@ def unpack(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     for i, (b, s) in enumerate(zip(blocks, sums.tolist())):
         if zlib.crc32(b) != s:
             raise ValueError(f"block {i} of a segment is damaged")
-    ids = C.decode(blocks).reshape(-1)[:n_ids].astype(np.uint32)
+    ids = _CODERS[version].decode(blocks).reshape(-1)[:n_ids].astype(np.uint32)
     return [d if t else None for d, t in zip(doc_ids.tolist(), there.tolist())], lengths.astype(np.int64), ids
 
 
@@ -258,7 +266,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
                 pa.array([held], pa.int64()), pa.array([pack(names, ids)], pa.binary())],
                 names=["part", "seq", "n_docs", "n_ids", "segment"])
 
-        for rows, data, offsets in T.doc_batches(batches):
+        for rows, data, offsets in T.doc_batches(batches, size=PIECE_BYTES):
             flat, at = enc.encode(data, offsets)
             for d, lo, hi in zip(rows.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 x = np.concatenate([flat[lo:hi], end])

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from fieldpulse.llm import byte_bpe, context_coder, queries, token_files
+from fieldpulse.llm import block_coder, byte_bpe, context_coder, queries, token_files
 from fieldpulse.llm._text import buffers
 
 
@@ -151,6 +151,51 @@ def test_coder_round_trips():
     assert sum(map(len, context_coder.encode(skewed))) < skewed.nbytes * 0.6
 
 
+def test_block_coder_round_trips():
+    rng = np.random.default_rng(6)
+    n = block_coder.BLOCK
+    for ids in (rng.integers(0, 65536, (3, n)), np.zeros((2, n)), np.full((1, n), 65535), rng.integers(0, 3, (4, n)),
+                rng.zipf(1.3, (40, n)) % 50000, np.tile(rng.integers(0, 65536, 700), (2, 3))[:, :n]):
+        ids = ids.astype(np.uint16)
+        blocks = block_coder.encode(ids)
+        assert (block_coder.decode(blocks) == ids).all()
+        # each block stands for itself
+        assert block_coder.encode(ids[-1:]) == blocks[-1:] and (block_coder.decode(blocks[-1:]) == ids[-1:]).all()
+        # a model that is renewed in steps is about as good as one that moves with each id
+        assert sum(map(len, blocks)) < 1.03 * sum(map(len, context_coder.encode(ids))) + 40 * len(ids)
+    assert block_coder.encode(np.zeros((0, n), np.uint16)) == [] and block_coder.decode([]).shape == (0, n)
+
+
+def test_segments_of_both_versions_are_read(monkeypatch):
+    ids = [np.arange(5000, dtype=np.uint32) % 700, np.zeros(3, np.uint32)]
+    new = token_files.pack([4, None], ids)
+    with monkeypatch.context() as m:
+        m.setattr(token_files, "C", context_coder)
+        m.setattr(token_files, "VERSION", 1)
+        old = token_files.pack([4, None], ids)
+    assert new != old and (new[4], old[4]) == (2, 1)
+    for blob in (new, old):
+        names, lengths, flat = token_files.unpack(blob)
+        assert names == [4, None] and lengths.tolist() == [5000, 3] and (flat == np.concatenate(ids)).all()
+    with pytest.raises(ValueError):
+        token_files.unpack(new[:4] + b"\x03" + new[5:])
+
+
+def test_cuts_between_bytes():
+    texts = ["", "a b", "a\nb", " \nb", "é b", "×,a", "é,a", "a\tb1.c", "\n", "x\n\ny", "1,2 3", "Ж b", "~\nZ"]
+    data, offsets = buffers(pa.array(texts))
+    raw, want = data.tobytes(), {x for x in offsets[:-1].tolist() if x < len(data)}
+    solid, letter = (lambda x: 0x21 <= x < 0x7F), (lambda x: chr(x).isalpha() and x < 0x80)
+    for i in range(1, len(raw)):
+        one, two, here = raw[i - 1], raw[i - 2] if i > 1 else 0, raw[i]
+        latin = two == 0xC3 and one >= 0x80
+        punctuation = here == 9 or solid(here) and not letter(here) and not 0x30 <= here < 0x3A
+        if ((solid(one) or latin) and here in b" \n" or (letter(one) or latin and one not in (0x97, 0xB7)) and punctuation
+                or one == 10 and solid(two) and letter(here)):
+            want.add(i)
+    assert token_files.cuts(data, offsets).tolist() == sorted(want)
+
+
 def test_damage_is_noticed():
     blob = token_files.pack([1, None], [np.arange(3000, dtype=np.uint32), np.zeros(1, np.uint32)])
     ids, lengths, flat = token_files.unpack(blob)
